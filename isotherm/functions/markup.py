@@ -71,14 +71,15 @@ def weather_fields(df: DataFrame, key: str, text: str) -> DataFrame:
     title = F.regexp_replace(F.get(headings, 0), r"(?i)^#+\s*weather\s*[—-]?\s*", "")
     title = F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("Weather"))
     out = df.select(key, F.reverse(pairs).alias("_pairs"), title.alias("_title"))
-    columns = []
-    for field in dict.fromkeys(WEATHER_LABELS.values()):
+
+    def field_value(field: str) -> Column:
         labels = [label for label, f in WEATHER_LABELS.items() if f == field]
-        hits = F.filter("_pairs", lambda p, ls=labels: p["key"].isin(ls) & (p["value"] != ""))
-        value = F.get(hits, 0)["value"]
-        unit = FIELD_UNITS.get(field)
-        nothing = F.col("_title") if field == "loc" else F.lit("-")
-        columns.append((append_unit(value, unit) if unit else F.coalesce(value, nothing)).alias(field))
+        value = F.get(F.filter("_pairs", lambda p: p["key"].isin(labels) & (p["value"] != "")), 0)["value"]
+        if field in FIELD_UNITS:
+            return append_unit(value, FIELD_UNITS[field])
+        return F.coalesce(value, F.col("_title") if field == "loc" else F.lit("-"))
+
+    columns = [field_value(f).alias(f) for f in dict.fromkeys(WEATHER_LABELS.values())]
     payload = [label for label, f in WEATHER_LABELS.items() if f != "loc"]
     found = F.exists("_pairs", lambda p: p["key"].isin(payload) & (p["value"] != ""))
     return out.where(found).select(key, *columns)

@@ -5,10 +5,10 @@ Keywords are substrings of the lower-cased text unless ``whole_words`` is set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.functions.text import YEAR, first_group, has_any, historical_date, normalize, place_phrase
+from isotherm.functions.text import YEAR, first_group, has_any, normalize, parse_texts
 
 # Keyword lists of the classifiers.
 INTENT_WEATHER = [
@@ -178,20 +178,19 @@ def requested_year(text: Column, latest: Column) -> Column:
     return F.coalesce(explicit, F.when(has_any(q, LATEST_YEAR_WORDS), latest))
 
 
-def looks_like_weather(text: Column) -> Column:
+def looks_like_weather(q: Column) -> Column:
     """Weather word or a place preposition."""
-    return has_any(F.lower(text), WEATHER_LIKE + [" in ", " at ", " of "])
+    return has_any(q, WEATHER_LIKE + [" in ", " at ", " of "])
 
 
-def asks_past_weather(text: Column, as_of: Column) -> Column:
+def asks_past_weather(q: Column, date: Column) -> Column:
     """A past date together with a weather word."""
-    return historical_date(text, as_of).isNotNull() & has_any(F.lower(text), WEATHER_PAST)
+    return date.isNotNull() & has_any(q, WEATHER_PAST)
 
 
-def is_followup(text: Column) -> Column:
+def is_followup(q: Column, place: Column) -> Column:
     """Refers back, and names no new year, place or ranking."""
-    q = F.lower(text)
-    fresh = has_any(q, FOLLOWUP_NEW_YEAR) | place_phrase(text).isNotNull() | q.rlike(YEAR)
+    fresh = has_any(q, FOLLOWUP_NEW_YEAR) | place.isNotNull() | q.rlike(YEAR)
     return (
         F.when(fresh, False)
         .when(q.rlike(r"(?U)\b(last|past|previous)\s+[0-9]+\s+years?\b"), True)
@@ -200,26 +199,23 @@ def is_followup(text: Column) -> Column:
     )
 
 
-def fixed_route(text: Column, as_of: Column) -> Column:
+def fixed_route(q: Column, place: Column, date: Column) -> Column:
     """The route a place, date or time word settles on its own; else null."""
-    q = F.lower(text)
-    place = place_phrase(text).isNotNull()
-    place_weather = place & has_any(q, ROUTE_PLACE_WEATHER)
+    has_place = place.isNotNull()
+    place_weather = has_place & has_any(q, ROUTE_PLACE_WEATHER)
     has_year = q.rlike(YEAR)
-    time_word = has_any(q, ROUTE_TIME)
-    past = place & historical_date(text, as_of).isNotNull() & has_any(q, WEATHER_PAST)
+    past = has_place & date.isNotNull() & has_any(q, WEATHER_PAST)
     return F.when(past | (place_weather & has_year), "historical_weather").when(
-        time_word | (has_year & ~place_weather), "climate"
+        has_any(q, ROUTE_TIME) | (has_year & ~place_weather), "climate"
     )
 
 
-def keyword_route(text: Column, names_place: Column) -> Column:
+def keyword_route(q: Column, place: Column, names_place: Column) -> Column:
     """The route by keywords alone; ``names_place`` tells whether the text names a known place."""
-    q = F.lower(text)
     table = has_any(q, ROUTE_TABLE)
     live = has_any(q, ROUTE_LIVE)
     hybrid = has_any(q, ROUTE_HYBRID) | (live & has_any(q, ROUTE_HYBRID_TABLE))
-    warm_place = has_any(q, ROUTE_TEMPERATURE) & place_phrase(text).isNotNull()
+    warm_place = has_any(q, ROUTE_TEMPERATURE) & place.isNotNull()
     return (
         F.when(hybrid, "hybrid")
         .when(live & ~table, "weather")
@@ -240,10 +236,22 @@ def followup_route(last_source: Column) -> Column:
     return F.when(last_source == "hybrid", "climate").otherwise(last_source)
 
 
-def answer_route(text: Column, names_place: Column, last_source: Column, as_of: Column) -> Column:
-    """historical_weather / climate / weather / hybrid / out_of_scope of one turn."""
-    carried = F.when(is_followup(text), followup_route(last_source))
-    return F.coalesce(fixed_route(text, as_of), carried, keyword_route(text, names_place))
+def with_routes(df: DataFrame, text: str, as_of: Column) -> DataFrame:
+    """Add ``q, place, date, fixed, follow, keyword`` to texts with ``names_place``."""
+    q, place, date = F.col("q"), F.col("place"), F.col("date")
+    return parse_texts(df, text, as_of).withColumns(
+        {
+            "fixed": fixed_route(q, place, date),
+            "follow": is_followup(q, place),
+            "keyword": keyword_route(q, place, F.col("names_place")),
+        }
+    )
+
+
+def answer_route(last_source: Column) -> Column:
+    """historical_weather / climate / weather / hybrid / out_of_scope of a row of ``with_routes``."""
+    carried = F.when(F.col("follow"), followup_route(last_source))
+    return F.coalesce("fixed", carried, "keyword")
 
 
 def search_terms(text: Column) -> Column:

@@ -6,7 +6,7 @@ not end inside an accented word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.lookups import MONTHS, PLACE_ALIASES, map_column
@@ -36,11 +36,13 @@ def words(c: Column) -> Column:
 
 def shingles(tokens: Column, sizes) -> Column:
     """Distinct phrases of ``sizes`` consecutive words; the whole text is used."""
-    parts = []
-    for n in sizes:
+
+    def of_size(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        phrase = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        parts.append(F.coalesce(phrase, F.array().cast("array<string>")))
+        phrases = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        return F.coalesce(phrases, F.array().cast("array<string>"))
+
+    parts = [tokens if n == 1 else of_size(n) for n in sizes]
     return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
@@ -68,41 +70,52 @@ def _past_month(year: Column, month: Column, as_of: Column) -> Column:
     return F.when(known & (first < as_of), iso)
 
 
-def historical_date(text: Column, as_of: Column) -> Column:
-    """``YYYY-MM-DD``, ``YYYY-MM`` or ``YYYY`` of the first valid past date in the text.
+# Date layouts in order, with the groups of year, month and day.
+DATE_LAYOUTS = [
+    (rf"({MONTH_NAMES})\s+([0-9]{{1,2}})[,\s]+([0-9]{{4}})", 3, 1, 2),
+    (rf"([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({MONTH_NAMES})\s+([0-9]{{4}})", 3, 2, 1),
+    (r"([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})", 1, 2, 3),
+    (r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})", 3, 2, 1),
+    (rf"({MONTH_NAMES})\s+([0-9]{{4}})", 2, 1, None),
+    (rf"([0-9]{{4}})\s+({MONTH_NAMES})", 1, 2, None),
+]
+
+
+def with_date(df: DataFrame, text: str, as_of: Column, name: str = "date") -> DataFrame:
+    """Add ``YYYY-MM-DD``, ``YYYY-MM`` or ``YYYY`` of the first valid past date in the text.
 
     Layouts in order: month day year, day month year, year-month-day,
-    day-month-year, month year, year month, year.
+    day-month-year, month year, year month, year. Every layout scans the text
+    once; its parts are read from the short match. Texts without four digits in a
+    row are not scanned at all.
     """
-    q = F.lower(text)
-    month_number = lambda c: map_column(MONTHS, c)
-
-    def groups(pattern, *order):
-        return [first_group(q, pattern, g) for g in order]
-
-    m1, d1, y1 = groups(rf"({MONTH_NAMES})\s+([0-9]{{1,2}})[,\s]+([0-9]{{4}})", 1, 2, 3)
-    d2, m2, y2 = groups(rf"([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({MONTH_NAMES})\s+([0-9]{{4}})", 1, 2, 3)
-    y3, m3, d3 = groups(r"([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})", 1, 2, 3)
-    d4, m4, y4 = groups(r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})", 1, 2, 3)
-    m5, y5 = groups(rf"({MONTH_NAMES})\s+([0-9]{{4}})", 1, 2)
-    y6, m6 = groups(rf"([0-9]{{4}})\s+({MONTH_NAMES})", 1, 2)
-    year = F.coalesce(
-        first_group(q, r"(?U)(?:in|during|for|of|year)\s+((?:19|20)[0-9]{2})\b"), first_group(q, YEAR)
-    )
-    return F.coalesce(
-        _past_day(y1, month_number(m1), d1, as_of),
-        _past_day(y2, month_number(m2), d2, as_of),
-        _past_day(y3, m3, d3, as_of),
-        _past_day(y4, m4, d4, as_of),
-        _past_month(y5, month_number(m5), as_of),
-        _past_month(y6, month_number(m6), as_of),
-        F.when(year.cast("int") <= F.year(as_of), year),
+    q = F.lower(F.col(text))
+    scan = lambda p, g=0: F.when(q.rlike("[0-9]{4}"), first_group(q, p, g))
+    found = {f"_l{i}": scan(layout[0]) for i, layout in enumerate(DATE_LAYOUTS)}
+    found["_ly"] = F.coalesce(
+        scan(r"(?U)(?:in|during|for|of|year)\s+((?:19|20)[0-9]{2})\b", 1), scan(YEAR, 1)
     )
+    parts = {}
+    for i, (pattern, *groups) in enumerate(DATE_LAYOUTS):
+        for part, group in zip("ymd", groups):
+            if group is not None:
+                value = first_group(F.col(f"_l{i}"), pattern, group)
+                worded = part == "m" and MONTH_NAMES in pattern
+                parts[f"_{part}{i}"] = map_column(MONTHS, value) if worded else value
+    dates = [
+        _past_day(F.col(f"_y{i}"), F.col(f"_m{i}"), F.col(f"_d{i}"), as_of)
+        if layout[3]
+        else _past_month(F.col(f"_y{i}"), F.col(f"_m{i}"), as_of)
+        for i, layout in enumerate(DATE_LAYOUTS)
+    ]
+    dates.append(F.when(F.col("_ly").cast("int") <= F.year(as_of), F.col("_ly")))
+    read = df.withColumns(found).withColumns(parts)
+    return read.select(*df.columns, F.coalesce(*dates).alias(name))
 
 
-def place_phrase(text: Column) -> Column:
-    """The place named after in / at / for / a weather word, with dates taken out first."""
-    t = F.regexp_replace(text, rf"(?iU)\b({MONTH_NAMES})\b", "")
+def with_place(df: DataFrame, text: str, name: str = "place") -> DataFrame:
+    """Add the place named after in / at / for / a weather word, with dates taken out first."""
+    t = F.regexp_replace(F.col(text), rf"(?iU)\b({MONTH_NAMES})\b", "")
     t = F.regexp_replace(t, r"(?U)\b(19|20)[0-9]{2}\b", "")
     t = F.regexp_replace(t, r"(?U)\b[0-9]{1,2}(st|nd|rd|th)?\b", "")
     t = squeeze(F.regexp_replace(t, r"(?iU)\bon\b", ""))
@@ -114,10 +127,17 @@ def place_phrase(text: Column) -> Column:
         rf"(?iU)\bfor\s+{phrase}",
         rf"(?iU)\b(?:{weather})\s+(?:in\s+|for\s+|at\s+|of\s+)?{phrase}",
     ]
-    found = [squeeze(F.regexp_extract(t, p, 1)) for p in patterns]
-    return F.coalesce(
-        *[F.when((F.length(p) >= 2) & ~F.lower(p).isin(NOT_A_PLACE), p) for p in found]
+    names = [f"_p{i}" for i in range(len(patterns))]
+    found = df.withColumn("_clean", t).withColumns(
+        {n: squeeze(F.regexp_extract("_clean", p, 1)) for n, p in zip(names, patterns)}
     )
+    kept = [F.when((F.length(n) >= 2) & ~F.lower(n).isin(NOT_A_PLACE), F.col(n)) for n in names]
+    return found.select(*df.columns, F.coalesce(*kept).alias(name))
+
+
+def parse_texts(df: DataFrame, text: str, as_of: Column) -> DataFrame:
+    """Add ``q`` (lower case), ``place`` and ``date``, from which the classifiers read."""
+    return with_date(with_place(df.withColumn("q", F.lower(F.col(text))), text), "q", as_of)
 
 
 def place_name(c: Column) -> Column:

@@ -7,13 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isotherm.functions.distributed import carry_forward
-from isotherm.functions.questions import (
-    fixed_route,
-    followup_route,
-    is_followup,
-    keyword_route,
-    source_of,
-)
+from isotherm.functions.questions import followup_route, source_of, with_routes
 
 
 def recent_turns(turns: DataFrame, n: int = 10) -> DataFrame:
@@ -47,26 +41,18 @@ def route_turns(turns: DataFrame, as_of: Column) -> DataFrame:
     second carry. ``last_source`` of a mixed answer reads ``hybrid`` until the first
     follow-up turns it into climate.
     """
-    text = F.col("text")
-    fixed = fixed_route(text, as_of)
-    known = turns.withColumns(
-        {
-            "_fixed": fixed,
-            "_follow": fixed.isNull() & is_followup(text),
-            "_keyword": keyword_route(text, F.col("names_place")),
-        }
-    )
-    anchor = F.when(~F.col("_follow"), source_of(F.coalesce("_fixed", "_keyword")))
+    known = with_routes(turns, "text", as_of).withColumn("follow", F.col("fixed").isNull() & F.col("follow"))
+    anchor = F.when(~F.col("follow"), source_of(F.coalesce("fixed", "keyword")))
     carried = carry_forward(known, "conv_id", "turn", anchor, "_anchor")
-    lead = F.when(F.col("_follow") & F.col("_anchor").isNull(), source_of(F.col("_keyword")))
+    lead = F.when(F.col("follow") & F.col("_anchor").isNull(), source_of(F.col("keyword")))
     led = carry_forward(carried, "conv_id", "turn", lead, "_lead", keep="first")
     state = F.coalesce("_anchor", "_lead")
-    routed = led.withColumn("_state", state).withColumn(
-        "route",
-        F.when(F.col("_follow"), F.coalesce(followup_route(F.col("_state")), "_keyword")).otherwise(
-            F.coalesce("_fixed", "_keyword")
-        ),
-    )
-    return routed.withColumnsRenamed({"_follow": "followup", "_state": "last_source"}).drop(
-        "_fixed", "_keyword", "_anchor", "_lead"
+    own = F.coalesce("fixed", "keyword")
+    taken = F.coalesce(followup_route(state), "keyword")
+    return led.select(
+        *turns.columns,
+        "place",
+        F.col("follow").alias("followup"),
+        state.alias("last_source"),
+        F.when(F.col("follow"), taken).otherwise(own).alias("route"),
     )

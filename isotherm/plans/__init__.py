@@ -2,7 +2,7 @@
 
 
 def _load():
-    from isotherm.plans import catalog, ingest_queries, panel_queries, rollup_queries  # noqa: F401
+    from isotherm.plans import catalog, ingest_queries, link_queries, panel_queries, rollup_queries, text_queries  # noqa: F401
 
     return catalog
 

@@ -183,7 +183,7 @@ def _(w):
 
 @query(
     "jn03_observation_trends",
-    "SELECT event_id, country, temperature_c, AverageTemperature, TemperatureChange FROM observations LEFT JOIN country_trends t ON lower(country) = lower(t.Country)",
+    "SELECT event_id, o.country, temperature_c, AverageTemperature, TemperatureChange FROM observations o LEFT JOIN country_trends t ON lower(o.country) = lower(t.Country)",
 )
 def _(w):
     joined = compare.with_country_trends(w.observations, "country", w.country_trends)
@@ -192,8 +192,8 @@ def _(w):
 
 @query(
     "jn12_against_history",
-    f"""SELECT event_id, country, temperature_c, AverageTemperature AS historical_avg, {r('temperature_c - AverageTemperature', 3)} AS difference
-    FROM observations LEFT JOIN country_trends t ON lower(country) = lower(t.Country)""",
+    f"""SELECT event_id, o.country, temperature_c, AverageTemperature AS historical_avg, {r('temperature_c - AverageTemperature', 3)} AS difference
+    FROM observations o LEFT JOIN country_trends t ON lower(o.country) = lower(t.Country)""",
 )
 def _(w):
     _, countries, _ = w.reduced
@@ -216,7 +216,7 @@ PERIOD = """CASE event_id % 4 WHEN 0 THEN '2024-0' || (1 + event_id % 9) || '-1'
       SELECT *, CASE length(period) WHEN 10 THEN 'day' WHEN 7 THEN 'month' WHEN 4 THEN CASE WHEN period <> 'soon' THEN 'year' END END AS mode FROM p),
     b AS (SELECT *, CAST(CASE mode WHEN 'day' THEN period WHEN 'month' THEN period || '-01' WHEN 'year' THEN period || '-01-01' END AS DATE) AS s FROM d)
     SELECT event_id, period, mode, strftime(s, '%Y-%m-%d') AS start_date, strftime(CASE mode WHEN 'day' THEN s WHEN 'month' THEN least(last_day(s), DATE '{AS_OF}')
-      ELSE least(CAST(s + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE), DATE '{AS_OF}') END, '%Y-%m-%d') AS end_date,
+      WHEN 'year' THEN least(CAST(s + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE), DATE '{AS_OF}') END, '%Y-%m-%d') AS end_date,
       CASE mode WHEN 'month' THEN strftime(s, '%B %Y') WHEN 'day' THEN period WHEN 'year' THEN period END AS label FROM b""",
 )
 def _(w):

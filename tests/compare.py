@@ -75,7 +75,7 @@ def main(pattern="", sf="0.01"):
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
         "check", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
