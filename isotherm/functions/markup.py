@@ -1,6 +1,8 @@
 """Lines, label-value pairs and blocks of marked-up text.
 
 Everything happens inside the row: lines are arrays, so no shuffle is needed.
+Arrays are exploded with the outer variants, since for the inner ones the optimizer
+adds a filter on the array's size that computes the array a second time.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def line_type(line: Column) -> Column:
 def label_values(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, label, value`` of the label-value lines."""
     return (
-        df.select(key, F.posexplode(text_lines(F.col(text))).alias("line_no", "line"))
+        df.select(key, F.posexplode_outer(text_lines(F.col(text))).alias("line_no", "line"))
         .select(key, "line_no", line_label(F.col("line")).alias("label"), line_value(F.col("line")).alias("value"))
         .where("label <> '' AND value <> ''")
     )
@@ -97,8 +99,9 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         F.sequence(F.lit(0), F.size("_types") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))
     )
     runs = typed.select(key, "_types", starts.alias("_starts")).select(
-        key, "_types", "_starts", F.posexplode("_starts").alias("_n", "_start")
+        key, "_types", "_starts", F.posexplode_outer("_starts").alias("_n", "_start")
     )
+    runs = runs.where(F.col("_start").isNotNull())
     end = F.coalesce(F.get("_starts", F.col("_n") + 1), F.size("_types"))
     return runs.select(
         key,
@@ -111,5 +114,6 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def typed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, line_type, line`` with one row per line."""
-    lines = df.select(key, F.posexplode(text_lines(F.col(text))).alias("_i", "line"))
+    lines = df.select(key, F.posexplode_outer(text_lines(F.col(text))).alias("_i", "line"))
+    lines = lines.where(F.col("line").isNotNull())
     return lines.select(key, (F.col("_i") + 1).alias("line_no"), line_type(F.col("line")).alias("line_type"), "line")

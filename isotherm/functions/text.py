@@ -35,7 +35,11 @@ def words(c: Column) -> Column:
 
 
 def shingles(tokens: Column, sizes) -> Column:
-    """Distinct phrases of ``sizes`` consecutive words; the whole text is used."""
+    """Distinct phrases of ``sizes`` consecutive words; the whole text is used.
+
+    ``tokens`` must be a column of the table, not an expression: the phrases read
+    it once per word.
+    """
 
     def of_size(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))

@@ -47,15 +47,23 @@ def _sizes(names: DataFrame) -> list[int]:
     return [r[0] for r in names.select("n_words").distinct().orderBy("n_words").collect()]
 
 
-def _phrases(text: Column, sizes: list[int], aliases: dict[str, str]) -> Column:
-    """Distinct phrases of a text, with the full names of the aliases among them."""
-    tokens = words(text)
+def _phrase_rows(
+    texts: DataFrame, key: str, text: str, sizes: list[int], aliases: dict[str, str] | None = None
+) -> DataFrame:
+    """``key, phrase``: distinct phrases per text, with the full names of the aliases among them.
+
+    The words become a column before they are cut into phrases, and the arrays are
+    exploded with the outer variant: the filter the optimizer adds to an inner
+    explode would compute them twice.
+    """
+    tokens = F.col("_words")
     phrases = shingles(tokens, sizes)
-    if not aliases:
-        return phrases
-    short = shingles(tokens, sorted({len(a.split()) for a in aliases}))
-    known = F.filter(short, lambda p: p.isin(list(aliases)))
-    return F.array_union(phrases, F.transform(known, lambda p: map_column(aliases, p)))
+    if aliases:
+        short = shingles(tokens, sorted({len(a.split()) for a in aliases}))
+        known = F.filter(short, lambda p: p.isin(list(aliases)))
+        phrases = F.array_union(phrases, F.transform(known, lambda p: map_column(aliases, p)))
+    split = texts.select(key, words(F.col(text)).alias("_words"))
+    return split.select(key, F.explode_outer(phrases).alias("phrase")).where("phrase IS NOT NULL")
 
 
 def mentions(
@@ -66,8 +74,7 @@ def mentions(
     With a dictionary that passes the size check this is one narrow stage: the
     phrases of a row are streamed through a broadcast hash join.
     """
-    phrases = _phrases(F.col(text), _sizes(names), aliases or {})
-    exploded = texts.select(key, F.explode(phrases).alias("phrase"))
+    exploded = _phrase_rows(texts, key, text, _sizes(names), aliases)
     return exploded.join(broadcast_if_small(names.select("kind", "name", "phrase")), "phrase").select(
         key, "kind", "name"
     )
@@ -177,7 +184,7 @@ def fuzzy_mentions(
             key, *[F.lit(None).cast(t).alias(c) for c, t in
                    (("kind", "string"), ("name", "string"), ("similarity", "double"))]
         )
-    windows = texts.select(key, F.explode(_phrases(F.col(text), sizes, aliases or {})).alias("phrase"))
+    windows = _phrase_rows(texts, key, text, sizes, aliases)
     distinct = windows.select("phrase").distinct().withColumn("n_words", F.size(F.split("phrase", " ")))
     pairs = materialize(similar_pairs(distinct, fuzzy, threshold, measure))
     hits = windows.join(broadcast_if_small(pairs), "phrase")
@@ -231,7 +238,7 @@ def pick_rows(
     linked = linked_names(texts, key, text, names)
     by_country = linked.where("kind = 'Country'").select(key, F.col("name").alias("Country"), F.lit(1).alias("phase"))
     by_region = linked.where("kind = 'Region'").select(key, F.col("name").alias("Region"), F.lit(2).alias("phase"))
-    terms = texts.select(key, F.explode(search_terms(F.col(text))).alias("part"))
+    terms = texts.select(key, F.explode_outer(search_terms(F.col(text))).alias("part"))
     parts = materialize(substrings(names, "name", 3).join(names.select("name", "kind"), "name"))
     found = terms.join(broadcast_if_small(parts), "part").select(key, "kind", "name").distinct()
     third = [
@@ -265,12 +272,16 @@ def keyword_rows(
 
     The best ``n`` per text, or the first ``fallback`` rows of the table if none scores.
     """
-    tokens = words(F.col(text))
-    kept = F.filter(tokens, lambda w: ~w.isin(PLACE_STOP_WORDS))
-    used = F.when(F.size(kept) > 0, kept).otherwise(tokens)
-    countries = F.filter(F.transform(used, lambda w: map_column(COUNTRY_OF_CITY, w)), lambda c: c.isNotNull())
+    split = texts.select(key, words(F.col(text)).alias("_all")).withColumn(
+        "_kept", F.filter("_all", lambda w: ~w.isin(PLACE_STOP_WORDS))
+    )
+    used = split.select(key, F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_all")).alias("_used"))
+    cities = F.transform("_used", lambda w: map_column(COUNTRY_OF_CITY, w))
     keywords = (
-        texts.select(key, F.explode(F.concat(used, countries)).alias("part")).groupBy(key, "part").count()
+        used.select(key, F.explode_outer(F.concat("_used", cities)).alias("part"))
+        .where("part IS NOT NULL")
+        .groupBy(key, "part")
+        .count()
     )
     parts = materialize(substrings(rows.select(column).distinct(), column))
     scores = (

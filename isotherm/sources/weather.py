@@ -32,7 +32,7 @@ def archive_days(responses: DataFrame) -> DataFrame:
         F.col("daily.time").alias("time"),
         *[F.col(f"daily.{m}").alias(c) for c, m in ARCHIVE_METRICS.items()],
     )
-    return responses.select(F.col("location.name").alias("location"), F.explode(daily).alias("d")).select(
+    return responses.select(F.col("location.name").alias("location"), F.explode_outer(daily).alias("d")).where("d IS NOT NULL").select(
         "location",
         F.try_to_date(F.col("d.time"), "yyyy-MM-dd").alias("day"),
         *[F.col(f"d.{c}").alias(c) for c in ARCHIVE_METRICS],
