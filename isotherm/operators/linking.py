@@ -80,6 +80,20 @@ def mentions(
     )
 
 
+def flag_mentions(texts: DataFrame, text: str, names: DataFrame, max_names: int = 10_000) -> DataFrame:
+    """Add ``names_place``: does the text hold a name at word boundaries? Row by row, so it suits streams.
+
+    The phrases travel as one array, which is why their number is checked first;
+    a larger dictionary needs the join of ``mentions``.
+    """
+    if names.limit(max_names + 1).count() > max_names:
+        raise ValueError(f"more than {max_names} names: use mentions()")
+    known = names.agg(F.collect_set("phrase")).scalar()
+    split = texts.withColumn("_words", words(F.col(text)))
+    hit = F.arrays_overlap(shingles(F.col("_words"), _sizes(names)), known)
+    return split.withColumn("names_place", F.coalesce(hit, F.lit(False))).drop("_words")
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, for distinct candidate pairs only."""

@@ -2,7 +2,15 @@
 
 
 def _load():
-    from isotherm.plans import catalog, ingest_queries, link_queries, panel_queries, rollup_queries, text_queries  # noqa: F401
+    from isotherm.plans import (  # noqa: F401
+        catalog,
+        ingest_queries,
+        link_queries,
+        panel_queries,
+        rollup_queries,
+        stream_queries,
+        text_queries,
+    )
 
     return catalog
 

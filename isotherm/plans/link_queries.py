@@ -21,7 +21,7 @@ am AS (SELECT qid, kind, name FROM m UNION
 
 @query("so01_place_names", "SELECT Country AS name FROM means UNION SELECT Region FROM means")
 def _(w):
-    means, countries, regions = w.reduced
+    means, countries, regions = w.ready_means, w.ready_countries, w.ready_regions
     return selection.place_names(
         (countries, "Country"), (countries, "Region"), (regions, "Region"), (means, "Country"), (means, "Region")
     )
@@ -82,7 +82,7 @@ def _(w):
 
 @query("flt09_pick_rows")
 def _(w):
-    _, countries, _ = w.reduced
+    countries = w.ready_countries
     picked = linking.pick_rows(w.questions, "qid", "text", countries, w.names, trends.country_order())
     return picked.select("qid", "phase", "row_no", "Country", "Region")
 
@@ -96,7 +96,7 @@ def _(w):
 def _(w):
     from isotherm.functions.questions import search_terms
 
-    terms = w.texts.select("qid", F.explode(search_terms(F.col("text"))).alias("part"))
+    terms = w.texts.select("qid", F.explode_outer(search_terms(F.col("text"))).alias("part"))
     parts = linking.substrings(w.names.select("name").distinct(), "name", 3)
     return terms.join(parts, "part").select("qid", "name").distinct()
 
@@ -112,7 +112,7 @@ _YEAR_ASKED = f"""coalesce(CAST(nullif(regexp_extract(lower(text), '{o.YEAR}', 1
     SELECT qid, a.Year, coalesce(n_rows, 0) AS n_rows, GlobalAverage FROM a LEFT JOIN g ON a.Year = g.Year WHERE a.Year IS NOT NULL""",
 )
 def _(w):
-    means, _, _ = w.reduced
+    means = w.ready_means
     return selection.rows_of_year(w.questions, "qid", "text", means)
 
 
@@ -135,7 +135,7 @@ _CITY = ", ".join(f"('{c}', '{n}')" for c, n in COUNTRY_OF_CITY.items())
     UNION ALL SELECT q.qid, h.score, row_no, Country FROM questions q, head h WHERE row_no <= 10 AND q.qid NOT IN (SELECT qid FROM sc)""",
 )
 def _(w):
-    _, countries, _ = w.reduced
+    countries = w.ready_countries
     rows = linking.keyword_rows(w.questions, "qid", "text", countries, "Country", trends.country_order())
     return rows.select("qid", "score", "row_no", "Country")
 
@@ -154,7 +154,7 @@ _PLACE_OF_USER = "CASE user_id % 6 WHEN 0 THEN 'USA' WHEN 1 THEN 'england' WHEN
     QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, Country) <= 20""",
 )
 def _(w):
-    _, countries, _ = w.reduced
+    countries = w.ready_countries
     places = w.events.select(F.expr(_PLACE_OF_USER.replace("|| user_id", "|| CAST(user_id AS STRING)")).alias("place"))
     return linking.match_countries(places, "place", countries)
 
@@ -164,7 +164,7 @@ def _(w):
     "SELECT * FROM country_trends WHERE Region IN (SELECT Region FROM regional_trends WHERE RegionalTemperatureChange > 0) ORDER BY TemperatureChange DESC, Region, Country LIMIT 10",
 )
 def _(w):
-    _, countries, regions = w.reduced
+    countries, regions = w.ready_countries, w.ready_regions
     return selection.countries_of_regions(countries, regions.where("RegionalTemperatureChange > 0"), 10)
 
 
@@ -173,7 +173,7 @@ def _(w):
     "SELECT * FROM regional_trends WHERE Region IN (SELECT Region FROM country_trends WHERE TemperatureChange < 0) ORDER BY Region LIMIT 10",
 )
 def _(w):
-    _, countries, regions = w.reduced
+    countries, regions = w.ready_countries, w.ready_regions
     return selection.regions_of_countries(regions, selection.cooling(countries), 10)
 
 
@@ -186,7 +186,7 @@ _DIFFS = ", ".join(f"{o.r(f'a.{c} - b.{c}', 3)} AS {n}" for n, c in compare.METR
     SELECT a.qid, a.Country AS a, b.Country AS b, {_DIFFS} FROM x a JOIN x b ON a.qid = b.qid AND a.no < b.no WHERE b.no <= 4""",
 )
 def _(w):
-    _, countries, _ = w.reduced
+    countries = w.ready_countries
     named = linking.mentions(w.texts, "qid", "text", w.names, COMPARE_ALIASES).distinct().where("kind = 'Country'")
     return compare.pair_differences(named, "qid", countries, trends.country_order(), first=4)
 
@@ -216,7 +216,7 @@ def _ranked_sql():
     WHERE rank <= n AND (section = 'regions' OR NOT regions_only)""",
 )
 def _(w):
-    _, countries, regions = w.reduced
+    countries, regions = w.ready_countries, w.ready_regions
     return ranking.answer_rankings(w.questions, "qid", "text", countries, regions)
 
 
@@ -265,12 +265,12 @@ def _facts_sql(n, year):
 
 @query("rp02_dataset_facts", _facts_sql(8, 1998))
 def _(w):
-    return reports.dataset_facts(*w.reduced, n=8, year=1998)
+    return reports.dataset_facts(w.ready_means, w.ready_countries, w.ready_regions, n=8, year=1998)
 
 
 @query("rp02_matched_facts")
 def _(w):
-    _, countries, regions = w.reduced
+    countries, regions = w.ready_countries, w.ready_regions
     return reports.matched_facts(w.questions, "qid", "text", w.names, countries, regions)
 
 
@@ -285,7 +285,7 @@ def _(w):
     UNION ALL {_long_sql('rr', 'region', 'Region', reports.REGION_METRICS)}""",
 )
 def _(w):
-    _, countries, regions = w.reduced
+    countries, regions = w.ready_countries, w.ready_regions
     return reports.comparison(w.texts, "qid", "text", w.names, countries, regions)
 
 
@@ -300,5 +300,5 @@ def _(w):
     UNION ALL SELECT event_id, 'yearly', CAST(Year AS VARCHAR), 'AvgTemperature', AvgTemperature FROM o JOIN ys ON nm = lower(ys.Country)""",
 )
 def _(w):
-    means, countries, regions = w.reduced
+    means, countries, regions = w.ready_means, w.ready_countries, w.ready_regions
     return reports.place_profile(w.observations, "event_id", "country", "temperature_c", means, countries, regions)

@@ -196,7 +196,7 @@ def _(w):
     FROM observations o LEFT JOIN country_trends t ON lower(o.country) = lower(t.Country)""",
 )
 def _(w):
-    _, countries, _ = w.reduced
+    countries = w.ready_countries
     return compare.against_history(w.observations, "country", "temperature_c", countries).drop("ts")
 
 

@@ -156,14 +156,21 @@ class Workload:
         return regional_trends(self.means)
 
     @cached_property
-    def reduced(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Yearly means and both trend tables, materialized: small, and read several times."""
-        means = materialize(self.means)
-        return means, materialize(country_trends(means)), materialize(regional_trends(means))
+    def ready_means(self) -> DataFrame:
+        """Yearly means, materialized: small, and read several times."""
+        return materialize(self.means)
+
+    @cached_property
+    def ready_countries(self) -> DataFrame:
+        return materialize(country_trends(self.ready_means))
+
+    @cached_property
+    def ready_regions(self) -> DataFrame:
+        return materialize(regional_trends(self.ready_means))
 
     @cached_property
     def names(self) -> DataFrame:
-        means, _, _ = self.reduced
+        means = self.ready_means
         return dictionary((means, "Country", "Country"), (means, "Region", "Region"))
 
     @cached_property

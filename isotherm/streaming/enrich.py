@@ -1,0 +1,12 @@
+"""Readings of a stream against the historical average of their country."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from isotherm.operators.compare import against_history
+
+
+def enrich_readings(readings: DataFrame, country: str, temperature: str, trends: DataFrame) -> DataFrame:
+    """Stream-static left join; ``trends`` is a written table, broadcast only if it is small."""
+    return against_history(readings, country, temperature, trends)
