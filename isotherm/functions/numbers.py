@@ -80,6 +80,22 @@ def mean(c: Column) -> Column:
     return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
 
 
+def slope(y: Column, x: Column, digits: int) -> Column:
+    """Least-squares slope of ``y`` (``digits`` decimals) on a whole number ``x``; 0 if undefined.
+
+    All sums are whole numbers in decimals, so the result is the exact quotient,
+    whatever the order of the rows.
+    """
+    whole = lambda c, p=38: c.cast(f"decimal({p},0)")
+    scaled = whole(y.cast(f"decimal({18 + digits},{digits})") * whole(F.lit(10**digits), digits + 1), 24)
+    used = F.when(y.isNotNull(), x.cast("decimal(10,0)"))
+    n = whole(F.count(y), 10)
+    sum_x, sum_y = whole(F.sum(used), 14), whole(F.sum(scaled), 24)
+    top = n * whole(F.sum(scaled * used), 28) - sum_x * sum_y
+    bottom = n * whole(F.sum(used * used), 28) - sum_x * sum_x
+    return F.when(whole(bottom) > 0, top.cast("double") / (bottom.cast("double") * float(10**digits))).otherwise(0.0)
+
+
 def exact(c: Column, digits: int = 3) -> Column:
     """A value that was rounded to ``digits`` as the decimal it stands for."""
     return c.cast(f"decimal(28,{digits})")

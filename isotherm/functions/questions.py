@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.functions.text import YEAR, first_group, has_any, normalize, parse_texts
+from isotherm.functions.text import YEAR, has_any, normalize, parse_texts
 
 # Keyword lists of the classifiers.
 INTENT_WEATHER = [
@@ -165,16 +165,15 @@ def top_n(text: Column, default: int = 10, cap: int = 200) -> Column:
         r"(?U)\b(?:show|give|list|find|get|fetch|display)\s+(?:me\s+)?([0-9]+)\b",
         r"(?U)\b([0-9]+)\b.*?\b(?:countries|regions|results|entries|rows|records)\b",
     ]
-    digits = F.coalesce(*[first_group(q, p) for p in patterns])
-    # More digits than a long holds are far above the cap.
-    number = F.coalesce(digits.try_cast("bigint"), F.lit(cap))
-    return F.when(digits.isNull(), default).otherwise(F.least(number, F.lit(cap))).cast("int")
+    # No match is an empty text, and that is no number.
+    number = [F.regexp_extract(q, p, 1).try_cast("double") for p in patterns]
+    return F.least(F.coalesce(*number, F.lit(float(default))), F.lit(float(cap))).cast("int")
 
 
 def requested_year(text: Column, latest: Column) -> Column:
     """A year in the text, or ``latest`` if the text asks for the latest year."""
     q = F.lower(text)
-    explicit = first_group(q, YEAR).cast("int")
+    explicit = F.regexp_extract(q, YEAR, 1).try_cast("int")
     return F.coalesce(explicit, F.when(has_any(q, LATEST_YEAR_WORDS), latest))
 
 

@@ -56,22 +56,15 @@ def has_any(text: Column, keywords: list[str], whole_words: bool = False) -> Col
     return text.rlike(rf"(?U)\b(?:{alternatives})\b" if whole_words else alternatives)
 
 
-def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 def _past_day(year: Column, month: Column, day: Column, as_of: Column) -> Column:
     iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    known = year.isNotNull() & month.isNotNull() & day.isNotNull() & (year != "0000")
-    return F.when(known & (F.try_to_date(iso, "yyyy-MM-dd") < as_of), iso)
+    return F.when(~year.isin("", "0000") & (F.try_to_date(iso, "yyyy-MM-dd") < as_of), iso)
 
 
 def _past_month(year: Column, month: Column, as_of: Column) -> Column:
     iso = F.concat_ws("-", year, month)
-    known = year.isNotNull() & month.isNotNull() & (year != "0000")
     first = F.try_to_date(F.concat(iso, F.lit("-01")), "yyyy-MM-dd")
-    return F.when(known & (first < as_of), iso)
+    return F.when(~year.isin("", "0000") & (first < as_of), iso)
 
 
 # Date layouts in order, with the groups of year, month and day.
@@ -94,26 +87,23 @@ def with_date(df: DataFrame, text: str, as_of: Column, name: str = "date") -> Da
     row are not scanned at all.
     """
     q = F.lower(F.col(text))
-    scan = lambda p, g=0: F.when(q.rlike("[0-9]{4}"), first_group(q, p, g))
-    found = {f"_l{i}": scan(layout[0]) for i, layout in enumerate(DATE_LAYOUTS)}
-    found["_ly"] = F.coalesce(
-        scan(r"(?U)(?:in|during|for|of|year)\s+((?:19|20)[0-9]{2})\b", 1), scan(YEAR, 1)
-    )
+    dated = df.withColumn("_q", F.when(q.rlike("[0-9]{4}"), q))
+    found = {f"_l{i}": F.regexp_extract("_q", p, 0) for i, (p, *_) in enumerate(DATE_LAYOUTS)}
+    found["_in"] = F.regexp_extract("_q", r"(?U)(?:in|during|for|of|year)\s+((?:19|20)[0-9]{2})\b", 1)
+    found["_bare"] = F.regexp_extract("_q", YEAR, 1)
+    dates = []
     parts = {}
     for i, (pattern, *groups) in enumerate(DATE_LAYOUTS):
         for part, group in zip("ymd", groups):
             if group is not None:
-                value = first_group(F.col(f"_l{i}"), pattern, group)
+                value = F.regexp_extract(f"_l{i}", pattern, group)
                 worded = part == "m" and MONTH_NAMES in pattern
                 parts[f"_{part}{i}"] = map_column(MONTHS, value) if worded else value
-    dates = [
-        _past_day(F.col(f"_y{i}"), F.col(f"_m{i}"), F.col(f"_d{i}"), as_of)
-        if layout[3]
-        else _past_month(F.col(f"_y{i}"), F.col(f"_m{i}"), as_of)
-        for i, layout in enumerate(DATE_LAYOUTS)
-    ]
-    dates.append(F.when(F.col("_ly").cast("int") <= F.year(as_of), F.col("_ly")))
-    read = df.withColumns(found).withColumns(parts)
+        year, month = F.col(f"_y{i}"), F.col(f"_m{i}")
+        dates.append(_past_day(year, month, F.col(f"_d{i}"), as_of) if groups[2] else _past_month(year, month, as_of))
+    parts["_year"] = F.when(F.col("_in") != "", F.col("_in")).otherwise(F.col("_bare"))
+    dates.append(F.when(F.col("_year").try_cast("int") <= F.year(as_of), F.col("_year")))
+    read = dated.withColumns(found).withColumns(parts)
     return read.select(*df.columns, F.coalesce(*dates).alias(name))
 
 

@@ -112,12 +112,12 @@ def directional_ranking(
 def ranking_request(text: Column) -> Column:
     """Struct ``ascending, by_change, regions_only`` read from a question."""
     q = F.lower(text)
-    low, high = has_any(q, ASCENDING_WORDS), has_any(q, DESCENDING_WORDS)
-    by_change = has_any(q, CHANGE_WORDS)
+    says = lambda words: F.coalesce(has_any(q, words), F.lit(False))
+    low, high, by_change = says(ASCENDING_WORDS), says(DESCENDING_WORDS), says(CHANGE_WORDS)
     return F.struct(
         F.when(by_change, low & ~high).otherwise(low).alias("ascending"),
         by_change.alias("by_change"),
-        has_any(q, REGION_WORDS).alias("regions_only"),
+        says(REGION_WORDS).alias("regions_only"),
     )
 
 

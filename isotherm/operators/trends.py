@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.functions.numbers import exact, mean, round_to
+from isotherm.functions.numbers import exact, mean, round_to, slope
 from isotherm.operators.panel import regional_means
 
 
@@ -19,26 +19,27 @@ def region_order() -> list[Column]:
     return [F.desc("RegionalTemperatureChange"), F.desc("RegionalWarmingTrendPerYear"), F.asc("Region")]
 
 
-def trend_metrics(df: DataFrame, keys: list[str], value: str, average) -> DataFrame:
+def trend_metrics(df: DataFrame, keys: list[str], value: str, digits: int) -> DataFrame:
     """First and latest value, change, mean, slope, volatility and peak per group.
 
-    ``df`` has one row per group and Year. The lag window and the aggregation are
+    ``df`` has one row per group and Year, and ``value`` counts to ``digits`` decimals,
+    so that sums are exact and do not depend on the order of the rows. The lag window and the aggregation are
     clustered on the same keys and share one shuffle.
     """
     by_year = W.partitionBy(*keys).orderBy("Year")
     v = F.col(value)
     stepped = df.withColumn("_step", v - F.lag(v).over(by_year))
     first, latest = F.min_by(v, F.col("Year")), F.max_by(v, F.col("Year"))
-    slope = F.coalesce(F.regr_slope(v, F.col("Year").cast("double")), F.lit(0.0))
+    trend = slope(v, F.col("Year"), digits)
     volatility = F.when(F.count("_step") == 0, 0.0).otherwise(F.stddev_samp("_step"))
     return stepped.groupBy(*keys).agg(
         F.min("Year").alias("first_year"),
         F.max("Year").alias("latest_year"),
         round_to(first, 3).alias("first"),
         round_to(latest, 3).alias("latest"),
-        round_to(average, 3).alias("average"),
+        round_to(mean(exact(v, digits)), 3).alias("average"),
         round_to(latest - first, 3).alias("change"),
-        round_to(slope, 4).alias("slope"),
+        round_to(trend, 4).alias("slope"),
         round_to(volatility, 4).alias("volatility"),
         F.max_by("Year", F.struct(v, -F.col("Year"))).alias("peak_year"),
         round_to(F.max(v), 3).alias("peak"),
@@ -46,8 +47,7 @@ def trend_metrics(df: DataFrame, keys: list[str], value: str, average) -> DataFr
 
 
 def country_trends(yearly: DataFrame) -> DataFrame:
-    average = mean(exact(F.col("AvgTemperature")))
-    return trend_metrics(yearly, ["Region", "Country"], "AvgTemperature", average).select(
+    return trend_metrics(yearly, ["Region", "Country"], "AvgTemperature", 3).select(
         "Region",
         "Country",
         F.col("first_year").alias("FirstYear"),
@@ -65,10 +65,7 @@ def country_trends(yearly: DataFrame) -> DataFrame:
 
 def regional_trends(yearly: DataFrame) -> DataFrame:
     """The same metrics over the region means, without the peak."""
-    value = "RegionalAverageTemperature"
-    # Twelve decimals and a decimal sum keep the mean of the means independent of row order.
-    average = mean(F.col(value).cast("decimal(28,12)"))
-    return trend_metrics(regional_means(yearly), ["Region"], value, average).select(
+    return trend_metrics(regional_means(yearly), ["Region"], "RegionalAverageTemperature", 9).select(
         "Region",
         F.col("first_year").alias("FirstYear"),
         F.col("latest_year").alias("LatestYear"),

@@ -44,11 +44,15 @@ def number(x: str) -> str:
     return f"(CASE WHEN {ok} AND isfinite({v}) THEN {v} END)"
 
 
-def trends(source: str, keys: str, v: str, average: str) -> str:
+def trends(source: str, keys: str, v: str, digits: int) -> str:
+    k = f"CAST({10**digits} AS DOUBLE)"
+    whole = f"CAST(CAST({v} AS DECIMAL(28,{digits})) * {10**digits} AS HUGEINT)"
+    top = f"(count(*) * sum(Year * {whole}) - sum(Year) * sum({whole}))"
+    bottom = "(count(*) * sum(Year * Year) - sum(Year) * sum(Year))"
     return f"""
     SELECT {keys}, min(Year) AS y0, max(Year) AS y1, arg_min({v}, Year) AS f, arg_max({v}, Year) AS l,
-      {average} AS a, arg_max({v}, Year) - arg_min({v}, Year) AS c,
-      CASE WHEN count(DISTINCT Year) < 2 THEN 0 ELSE regr_slope({v}, CAST(Year AS DOUBLE)) END AS s,
+      {DEC_MEAN.format(v, digits)} AS a, arg_max({v}, Year) - arg_min({v}, Year) AS c,
+      CASE WHEN count(DISTINCT Year) < 2 THEN 0 ELSE CAST({top} AS DOUBLE) / (CAST({bottom} AS DOUBLE) * {k}) END AS s,
       CASE WHEN count(step) = 0 THEN 0 ELSE stddev_samp(step) END AS vol, max({v}) AS p
     FROM (SELECT *, {v} - lag({v}) OVER (PARTITION BY {keys} ORDER BY Year) AS step FROM {source})
     GROUP BY {keys}"""
@@ -166,7 +170,7 @@ yearly AS (
       OVER (PARTITION BY Region ORDER BY Year), 0) AS RegionalTempChange FROM regional) g
     ON m.Region = g.Region AND m.Year = g.Year
   WINDOW w AS (PARTITION BY m.Region, m.Country ORDER BY m.Year)),
-country_raw AS ({trends('means', 'Region, Country', 'AvgTemperature', DEC_MEAN.format('AvgTemperature', 3))}),
+country_raw AS ({trends('means', 'Region, Country', 'AvgTemperature', 3)}),
 peaks AS (
   SELECT Region, Country, Year AS HottestYear FROM (
     SELECT *, row_number() OVER (PARTITION BY Region, Country ORDER BY AvgTemperature DESC, Year) AS rn FROM means) WHERE rn = 1),
@@ -175,7 +179,7 @@ country_trends AS (
     {r('l', 3)} AS LatestTemperature, {r('a', 3)} AS AverageTemperature, {r('c', 3)} AS TemperatureChange,
     {r('s', 4)} AS WarmingTrendPerYear, {r('vol', 4)} AS VolatilityScore, HottestYear, {r('p', 3)} AS HottestTemperature
   FROM country_raw t JOIN peaks k ON t.Region = k.Region AND t.Country = k.Country),
-regional_raw AS ({trends('regional', 'Region', 'RegionalAverageTemperature', DEC_MEAN.format('RegionalAverageTemperature', 12))}),
+regional_raw AS ({trends('regional', 'Region', 'RegionalAverageTemperature', 9)}),
 regional_trends AS (
   SELECT Region, y0 AS FirstYear, y1 AS LatestYear, {r('f', 3)} AS FirstRegionalTemperature,
     {r('l', 3)} AS LatestRegionalTemperature, {r('a', 3)} AS AverageRegionalTemperature,

@@ -205,7 +205,8 @@ def _(w):
 
 @query(
     "tk12_page",
-    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 11975",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 "
+    "OFFSET (SELECT least(479, (count(*) - 1) // 25) * 25 FROM orders)",
 )
 def _(w):
     orders = w.table("orders").select("o_orderkey", "o_totalprice")
