@@ -24,6 +24,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int =
     return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores over all cores.
+
+    For work that is heavy per row. A large table has more splits than that and
+    stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def number_rows(df: DataFrame, *order: Column, name: str = "row_no") -> DataFrame:
     """Row numbers of a total order over a table of any size.
 

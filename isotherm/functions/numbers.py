@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INT_MAX = 2147483647
+NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 
 # Unit marks in measure texts, with the marks of a wrong decoding.
 DEFAULT_UNITS = "Ã‚Â°C|Â°C|Ã‚Â°|Â°|°C|°"
@@ -14,20 +13,23 @@ UPLOAD_UNITS = "°C|degrees|degree|deg"
 
 
 def finite(c: Column) -> Column:
-    """Null for NaN and infinite values."""
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    """Null for NaN and infinite values.
+
+    A finite number modulo infinity is itself, an infinite one is NaN. Written this
+    way the expression holds ``c`` once; a filter that is pushed through a
+    projection would otherwise repeat everything ``c`` is made of.
+    """
+    return F.nanvl(c.cast("double") % F.lit(float("inf")), F.lit(None).cast("double"))
 
 
 def parse_number(text: Column) -> Column:
     """Double, or null for anything that is not a finite number."""
-    t = F.trim(text)
-    return finite(F.when(t.rlike(NUMBER), t.try_cast("double")))
+    return finite(F.regexp_extract(text, NUMBER, 1).try_cast("double"))
 
 
 def parse_measure(text: Column, units: str = f"{DEFAULT_UNITS}|degrees|degree|deg") -> Column:
     """A measure with unit marks and thousands commas as a double."""
-    bare = F.regexp_replace(F.regexp_replace(text, units, ""), ",", "")
-    return parse_number(F.regexp_replace(bare, r"^\s+|\s+$", ""))
+    return parse_number(F.translate(F.regexp_replace(text, units, ""), ",", ""))
 
 
 def parse_loose_number(text: Column) -> Column:
@@ -37,9 +39,8 @@ def parse_loose_number(text: Column) -> Column:
 
 
 def parse_year(text: Column) -> Column:
-    """A year as int, cutting off a fraction; null if it is no number."""
-    number = parse_number(text.cast("string"))
-    return F.when(F.abs(number) <= INT_MAX, number).cast("int")
+    """A year as int, cutting off a fraction; null if it is no number or no int."""
+    return parse_number(text.cast("string")).try_cast("int")
 
 
 def rint_to(x: Column, digits: int) -> Column:

@@ -50,10 +50,25 @@ def shingles(tokens: Column, sizes) -> Column:
     return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
+def any_of(keywords) -> str:
+    """A pattern that finds any of the keywords as substring, branching letter by letter.
+
+    A plain alternation tries every keyword at every place of the text; here each
+    place is left after its first letter. A keyword that starts with another one
+    adds nothing and is cut off.
+    """
+    tails: dict[str, set[str]] = {}
+    for word in keywords:
+        tails.setdefault(word[0], set()).add(word[1:])
+    branches = [first + ("" if "" in rest else any_of(sorted(rest))) for first, rest in sorted(tails.items())]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 def has_any(text: Column, keywords: list[str], whole_words: bool = False) -> Column:
     """Does the lower-cased text hold one of the keywords, as substring or as whole words?"""
-    alternatives = "|".join(k.strip() if whole_words else k for k in keywords)
-    return text.rlike(rf"(?U)\b(?:{alternatives})\b" if whole_words else alternatives)
+    if whole_words:
+        return text.rlike(rf"(?U)\b(?:{'|'.join(k.strip() for k in keywords)})\b")
+    return text.rlike(any_of(keywords))
 
 
 def _past_day(year: Column, month: Column, day: Column, as_of: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.distributed import carry_forward
 from isotherm.functions.questions import followup_route, source_of, with_routes
+from isotherm.session import materialize
 
 
 def recent_turns(turns: DataFrame, n: int = 10) -> DataFrame:
@@ -32,7 +33,7 @@ def history_text(turns: DataFrame, n: int = 8) -> DataFrame:
 
 
 def route_turns(turns: DataFrame, as_of: Column) -> DataFrame:
-    """``turns`` with ``route`` and ``last_source`` (the state each turn starts from).
+    """``conv_id, turn, place, followup, last_source, route``; ``last_source`` is the state a turn starts from.
 
     ``turns`` needs ``conv_id, turn, text, names_place``. A follow-up takes over the
     source of the turn before it, which may itself be taken over. That chain ends
@@ -40,8 +41,13 @@ def route_turns(turns: DataFrame, as_of: Column) -> DataFrame:
     such turn before them hang on the first of them that keywords can place: a
     second carry. ``last_source`` of a mixed answer reads ``hybrid`` until the first
     follow-up turns it into climate.
+
+    The texts are classified once and left behind: only short columns are shuffled.
     """
-    known = with_routes(turns, "text", as_of).withColumn("follow", F.col("fixed").isNull() & F.col("follow"))
+    routed = with_routes(turns, "text", as_of).select(
+        "conv_id", "turn", "place", "fixed", (F.col("fixed").isNull() & F.col("follow")).alias("follow"), "keyword"
+    )
+    known = materialize(routed)
     anchor = F.when(~F.col("follow"), source_of(F.coalesce("fixed", "keyword")))
     carried = carry_forward(known, "conv_id", "turn", anchor, "_anchor")
     lead = F.when(F.col("follow") & F.col("_anchor").isNull(), source_of(F.col("keyword")))
@@ -50,7 +56,8 @@ def route_turns(turns: DataFrame, as_of: Column) -> DataFrame:
     own = F.coalesce("fixed", "keyword")
     taken = F.coalesce(followup_route(state), "keyword")
     return led.select(
-        *turns.columns,
+        "conv_id",
+        "turn",
         "place",
         F.col("follow").alias("followup"),
         state.alias("last_source"),

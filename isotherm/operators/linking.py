@@ -220,9 +220,12 @@ def linked_names(
 
 
 def names_place(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """``texts`` with ``names_place``: does the text name any known place, exactly or nearly?"""
+    """``key, names_place``: does the text name any known place, exactly or nearly?
+
+    Only keys are joined; the texts themselves are not shuffled.
+    """
     hit = linked_names(texts, key, text, names).select(key).distinct().withColumn("_hit", F.lit(True))
-    return texts.join(hit, key, "left").withColumn("names_place", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return texts.select(key).join(hit, key, "left").select(key, F.coalesce("_hit", F.lit(False)).alias("names_place"))
 
 
 def substrings(names: DataFrame, name: str, shortest: int = 1) -> DataFrame:

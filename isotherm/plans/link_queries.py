@@ -77,7 +77,7 @@ def _(w):
 
 @query("flt10_names_place")
 def _(w):
-    return linking.names_place(w.texts, "qid", "text", w.names).select("qid", "names_place")
+    return linking.names_place(w.texts, "qid", "text", w.names)
 
 
 @query("flt09_pick_rows")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from isotherm.functions.distributed import spread
 from isotherm.functions import facts, markup, numbers, questions, text
 from isotherm.operators import conversation, linking
 from isotherm.plans import oracle as o
@@ -109,18 +110,12 @@ ROUTES = PLACES + NAMED + f""", f AS (SELECT p.*, n.qid IS NOT NULL AS names_pla
 routes AS (SELECT qid, {FIXED} AS fixed, {FOLLOWUP} AS follow, {KEYWORD} AS keyword FROM f)"""
 
 
-def placed(w, rows, key):
-    """Rows with a flag whether they name a known place at word boundaries."""
-    hit = linking.mentions(rows, key, "text", w.names).select(key).distinct().withColumn("names_place", F.lit(True))
-    return rows.join(hit, key, "left").na.fill(False, ["names_place"])
-
-
 @query(
     "sc10_answer_route",
     ROUTES + " SELECT qid, coalesce(fixed, CASE WHEN follow THEN 'weather' END, keyword) AS route FROM routes",
 )
 def _(w):
-    rows = placed(w, w.texts, "qid")
+    rows = linking.flag_mentions(w.texts, "text", w.names)
     routed = questions.with_routes(rows, "text", as_of())
     return routed.select("qid", questions.answer_route(F.lit("weather")).alias("route"))
 
@@ -137,7 +132,7 @@ def _(w):
       CASE WHEN follow THEN coalesce(CASE state WHEN 'hybrid' THEN 'climate' ELSE state END, keyword) ELSE coalesce(fixed, keyword) END AS route FROM s""",
 )
 def _(w):
-    rows = placed(w, w.questions, "qid")
+    rows = linking.flag_mentions(w.questions, "text", w.names)
     return conversation.route_turns(rows, as_of()).select("conv_id", "turn", "followup", "last_source", "route")
 
 
@@ -212,7 +207,7 @@ typed AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '##'
 
 
 def marked(w):
-    return w.table("documents").select("doc_id", F.expr(MARKED).alias("text"))
+    return spread(w.table("documents").select("doc_id", "text")).select("doc_id", F.expr(MARKED).alias("text"))
 
 
 @query("sc17_label_values", SQL_LINES + " SELECT doc_id, line_no - 1 AS line_no, label, value FROM typed WHERE label <> '' AND value <> ''")

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotherm.functions.distributed import spread
 from isotherm.functions.numbers import mean, rint_to
 from isotherm.operators.cleaning import apply_region_corrections
 from isotherm.operators.linking import dictionary
@@ -203,7 +204,8 @@ class Workload:
     @cached_property
     def questions(self) -> DataFrame:
         """``qid, conv_id, turn, text``: one question per event."""
-        parts = self.events.select("event_id", "user_id", *[F.expr(e).alias(c) for c, e in QUESTION_PARTS.items()])
+        events = spread(self.events.select("event_id", "user_id"))
+        parts = events.select("event_id", "user_id", *[F.expr(e).alias(c) for c, e in QUESTION_PARTS.items()])
         return parts.select(
             F.col("event_id").alias("qid"),
             F.col("user_id").alias("conv_id"),
@@ -214,7 +216,7 @@ class Workload:
     @cached_property
     def texts(self) -> DataFrame:
         """``qid, text``: the questions and every whole conversation turn."""
-        turns = self.table("conversations").select(
+        turns = spread(self.table("conversations")).select(
             F.expr("-(conv_id * 1000 + turn + 1)").alias("qid"), "text"
         )
         return self.questions.select("qid", "text").unionByName(turns)
