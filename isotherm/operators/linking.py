@@ -249,33 +249,34 @@ def pick_rows(
 ) -> DataFrame:
     """The rows of a country table each question is about, at most ``max_rows`` in table order.
 
-    First hit wins: countries named, regions named, a search term inside a
-    country or region name, else the first rows of the table.
+    First hit wins: countries named (phase 1), regions named (2), a search term
+    inside a country or region name (3), else the first rows of the table (4).
+    The phase of a question is settled on names alone, before any row is joined.
     """
-    linked = linked_names(texts, key, text, names)
-    by_country = linked.where("kind = 'Country'").select(key, F.col("name").alias("Country"), F.lit(1).alias("phase"))
-    by_region = linked.where("kind = 'Region'").select(key, F.col("name").alias("Region"), F.lit(2).alias("phase"))
-    terms = texts.select(key, F.explode_outer(search_terms(F.col(text))).alias("part"))
-    parts = materialize(substrings(names, "name", 3).join(names.select("name", "kind"), "name"))
-    found = terms.join(broadcast_if_small(parts), "part").select(key, "kind", "name").distinct()
-    third = [
-        found.where(f"kind = '{c}'").select(key, F.col("name").alias(c), F.lit(3).alias("phase"))
-        for c in ("Country", "Region")
-    ]
-    hits = (
-        rows.join(by_country.unionByName(third[0]), "Country")
-        .unionByName(rows.join(by_region.unionByName(third[1]), "Region"))
-        .distinct()
+    present = names.join(rows.select(F.col("Country").alias("name"), F.lit("Country").alias("kind")).unionByName(
+        rows.select(F.col("Region").alias("name"), F.lit("Region").alias("kind"))
+    ), ["name", "kind"], "left_semi")
+    linked = linked_names(texts, key, text, present).withColumn(
+        "phase", F.when(F.col("kind") == "Country", 1).otherwise(2)
     )
-    per_phase = W.partitionBy(key, "phase").orderBy(*order)
-    capped = hits.withColumn("row_no", F.row_number().over(per_phase)).where(F.col("row_no") <= max_rows)
-    per_text = W.partitionBy(key).orderBy("phase")  # at most three times max_rows rows
-    best = capped.withColumn("_best", F.min("phase").over(per_text)).where("phase = _best").drop("_best")
-
-    head = rows.orderBy(*order).limit(max_rows)
-    numbered = head.withColumn("row_no", F.row_number().over(W.orderBy(*order)))
-    listed = numbered.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))).alias("_head"))
-    missed = texts.select(key).join(best.select(key).distinct(), key, "left_anti")
+    terms = texts.select(key, F.explode_outer(search_terms(F.col(text))).alias("part")).where("part IS NOT NULL")
+    parts = materialize(substrings(present, "name", 3).join(present.select("name", "kind"), "name"))
+    inside = terms.join(broadcast_if_small(parts), "part").select(key, "kind", "name", F.lit(3).alias("phase"))
+    found = materialize(linked.unionByName(inside).distinct())
+    first = found.groupBy(key).agg(F.min("phase").alias("phase"))
+    chosen = found.join(first, [key, "phase"], "left_semi")
+
+    # No question takes more than max_rows rows of one region.
+    in_region = W.partitionBy("Region").orderBy(*order)
+    leading = rows.withColumn("_n", F.row_number().over(in_region)).where(F.col("_n") <= max_rows).drop("_n")
+    of = lambda kind: chosen.where(F.col("kind") == kind).select(key, "phase", F.col("name").alias(kind))
+    hits = rows.join(of("Country"), "Country").unionByName(leading.join(of("Region"), "Region")).distinct()
+    numbered = hits.withColumn("row_no", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    best = numbered.where(F.col("row_no") <= max_rows)
+
+    head = rows.orderBy(*order).limit(max_rows).withColumn("row_no", F.row_number().over(W.orderBy(*order)))
+    listed = head.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))))
+    missed = texts.select(key).join(first.select(key), key, "left_anti")
     rest = missed.withColumn("_h", F.explode(listed.scalar())).select(key, "_h.*", F.lit(4).alias("phase"))
     columns = [key, "phase", "row_no", *rows.columns]
     return best.select(*columns).unionByName(rest.select(*columns))

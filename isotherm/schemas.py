@@ -2,61 +2,93 @@
 
 from pyspark.sql import types as T
 
+S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
 
+def _struct(*groups: tuple[T.DataType, str]) -> T.StructType:
+    """Fields from (type, names) pairs, names separated by blanks."""
+    return T.StructType([T.StructField(name, dtype) for dtype, names in groups for name in names.split()])
 
-RAW_PANEL = _struct("Country string, Region string, Year string, AvgTemperature string")
 
-PANEL = _struct("Country string, Region string, Year int, AvgTemperature double")
+RAW_PANEL = _struct((S, "Country Region Year AvgTemperature"))
+
+PANEL = _struct((S, "Country Region"), (I, "Year"), (D, "AvgTemperature"))
 
 YEARLY = _struct(
-    "Country string, Region string, Year int, AvgTemperature double, TempChange double, "
-    "BaselineTemperature double, TotalTempChange double, "
-    "RegionalAverageTemperature double, RegionalTempChange double"
+    (S, "Country Region"),
+    (I, "Year"),
+    (D, "AvgTemperature TempChange BaselineTemperature TotalTempChange"),
+    (D, "RegionalAverageTemperature RegionalTempChange"),
 )
 
 COUNTRY_TRENDS = _struct(
-    "Region string, Country string, FirstYear int, LatestYear int, FirstTemperature double, "
-    "LatestTemperature double, AverageTemperature double, TemperatureChange double, "
-    "WarmingTrendPerYear double, VolatilityScore double, HottestYear int, HottestTemperature double"
+    (S, "Region Country"),
+    (I, "FirstYear LatestYear"),
+    (D, "FirstTemperature LatestTemperature AverageTemperature TemperatureChange"),
+    (D, "WarmingTrendPerYear VolatilityScore"),
+    (I, "HottestYear"),
+    (D, "HottestTemperature"),
 )
 
 REGIONAL_TRENDS = _struct(
-    "Region string, FirstYear int, LatestYear int, FirstRegionalTemperature double, "
-    "LatestRegionalTemperature double, AverageRegionalTemperature double, "
-    "RegionalTemperatureChange double, RegionalWarmingTrendPerYear double, "
-    "RegionalVolatilityScore double"
+    (S, "Region"),
+    (I, "FirstYear LatestYear"),
+    (D, "FirstRegionalTemperature LatestRegionalTemperature AverageRegionalTemperature"),
+    (D, "RegionalTemperatureChange RegionalWarmingTrendPerYear RegionalVolatilityScore"),
 )
 
+PLACE = _struct((S, "name country admin1"), (D, "latitude longitude"))
+
 # One archive response: parallel arrays per metric, elements may be null.
 ARCHIVE = _struct(
-    "location struct<name:string,country:string,admin1:string,latitude:double,longitude:double>, "
-    "daily struct<time:array<string>,temperature_2m_max:array<double>,"
-    "temperature_2m_min:array<double>,temperature_2m_mean:array<double>,"
-    "precipitation_sum:array<double>,rain_sum:array<double>,"
-    "wind_speed_10m_max:array<double>,weather_code:array<int>>"
+    (PLACE, "location"),
+    (
+        _struct(
+            (T.ArrayType(S), "time"),
+            (T.ArrayType(D), "temperature_2m_max temperature_2m_min temperature_2m_mean"),
+            (T.ArrayType(D), "precipitation_sum rain_sum wind_speed_10m_max"),
+            (T.ArrayType(I), "weather_code"),
+        ),
+        "daily",
+    ),
 )
 
 # First observation shape: numbers, daily values as one-element arrays.
 FORECAST = _struct(
-    "place struct<name:string,country:string,admin1:string,latitude:double,longitude:double>, "
-    "timezone string, "
-    "current struct<temperature_2m:double,relative_humidity_2m:double,apparent_temperature:double,"
-    "precipitation:double,rain:double,weather_code:int,wind_speed_10m:double>, "
-    "daily struct<time:array<string>,temperature_2m_max:array<double>,"
-    "temperature_2m_min:array<double>,precipitation_sum:array<double>,rain_sum:array<double>,"
-    "precipitation_probability_max:array<double>,weather_code:array<int>>"
+    (PLACE, "place"),
+    (S, "timezone"),
+    (
+        _struct(
+            (D, "temperature_2m relative_humidity_2m apparent_temperature precipitation rain"),
+            (I, "weather_code"),
+            (D, "wind_speed_10m"),
+        ),
+        "current",
+    ),
+    (
+        _struct(
+            (T.ArrayType(S), "time"),
+            (T.ArrayType(D), "temperature_2m_max temperature_2m_min precipitation_sum rain_sum"),
+            (T.ArrayType(D), "precipitation_probability_max"),
+            (T.ArrayType(I), "weather_code"),
+        ),
+        "daily",
+    ),
 )
 
 # Second observation shape: numbers as strings under other names.
 STATION = _struct(
-    "place struct<name:string,country:string,admin1:string,latitude:double,longitude:double>, "
-    "current_condition array<struct<temp_C:string,FeelsLikeC:string,humidity:string,"
-    "windspeedKmph:string,precipMM:string,weatherCode:string,"
-    "weatherDesc:array<struct<value:string>>>>, "
-    "weather array<struct<date:string,mintempC:string,maxtempC:string>>"
+    (PLACE, "place"),
+    (
+        T.ArrayType(
+            _struct(
+                (S, "temp_C FeelsLikeC humidity windspeedKmph precipMM weatherCode"),
+                (T.ArrayType(_struct((S, "value"))), "weatherDesc"),
+            )
+        ),
+        "current_condition",
+    ),
+    (T.ArrayType(_struct((S, "date mintempC maxtempC"))), "weather"),
 )
 
 DATASET_TABLES = {
