@@ -101,24 +101,29 @@ def carry_forward(
     name: str,
     keep: str = "last",
     block: int = 4096,
+    levels: int = 2,
 ) -> DataFrame:
     """``keep`` ("last" / "first") non-null ``value`` of the earlier rows of the same ``key``.
 
     A key may hold a large share of all rows, so its rows are cut into blocks of the
-    integer ``order``; a window runs inside each block, and a second one over one row
-    per block hands values on to the later blocks. ``(key, order)`` must be unique.
+    integer ``order``. A window runs inside each block; what the blocks hand on is
+    carried in the same way over one row per block, ``levels`` times, so that the one
+    window over a whole key sees a row per ``block ** levels`` steps of ``order``.
+    ``(key, order)`` must be unique.
     """
     over, by = (F.last, F.max_by) if keep == "last" else (F.first, F.min_by)
-    cut = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / block))
-    inside = W.partitionBy(key, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    near = cut.withColumn("_near", over("_v", ignorenulls=True).over(inside))
-    end = by("_v", F.when(F.col("_v").isNotNull(), F.col(order)))
-    blocks = cut.groupBy(key, "_b").agg(end.alias("_end"))
-    earlier = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    far = blocks.select(key, "_b", over("_end", ignorenulls=True).over(earlier).alias("_far"))
-    pick = ("_near", "_far") if keep == "last" else ("_far", "_near")
+    earlier = lambda *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    if levels == 0:
+        return df.withColumn(name, over(value, ignorenulls=True).over(earlier(key)))
+    v, b, near, far = (f"_{c}{levels}" for c in ("value", "block", "near", "far"))
+    cut = df.withColumn(v, value).withColumn(b, F.floor(F.col(order) / block))
+    inside = cut.withColumn(near, over(v, ignorenulls=True).over(earlier(key, b)))
+    end = by(v, F.when(F.col(v).isNotNull(), F.col(order)))
+    ends = cut.groupBy(key, b).agg(end.alias("_end"))
+    handed = carry_forward(ends, key, b, F.col("_end"), far, keep, block, levels - 1)
+    pick = (near, far) if keep == "last" else (far, near)
     return (
-        near.join(far, [key, "_b"], "left")
+        inside.join(handed.select(key, b, far), [key, b], "left")
         .withColumn(name, F.coalesce(*pick))
-        .drop("_v", "_b", "_near", "_far")
+        .drop(v, b, near, far)
     )

@@ -48,10 +48,13 @@ def pair_differences(
 
 
 def with_country_trends(observations: DataFrame, country: str, trends: DataFrame) -> DataFrame:
-    """Left join of readings with the trend row of their country, ignoring case."""
-    right = trends.withColumn("_name", F.lower("Country"))
-    right = right.withColumnRenamed("Country", "MatchedCountry").drop("Region")
-    return observations.withColumn("_name", F.lower(F.col(country))).join(right, "_name", "left").drop("_name")
+    """Left join of readings with the trend row of their country, ignoring case.
+
+    ``trends`` must be cheap to read twice; it is broadcast only if it is small.
+    """
+    known = trends.withColumn("_name", F.lower("Country")).withColumnRenamed("Country", "MatchedCountry").drop("Region")
+    named = observations.withColumn("_name", F.lower(F.col(country)))
+    return named.join(broadcast_if_small(known), "_name", "left").drop("_name")
 
 
 def against_history(

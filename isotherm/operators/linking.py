@@ -160,7 +160,8 @@ def similar_pairs(
         F.substring("name_phrase", F.col("at") + 1, F.col("size")).alias("seg"),
     ).distinct()
 
-    pairs = left.join(right, ["n_words", "len", "i", "seg"]).select(
+    index = broadcast_if_small(materialize(right), max_rows=2_000_000)
+    pairs = left.join(index, ["n_words", "len", "i", "seg"]).select(
         "phrase", "n_words", "kind", "name", "name_phrase"
     ).distinct()
     distance = F.levenshtein("phrase", "name_phrase")
@@ -211,20 +212,23 @@ def linked_names(
     text: str,
     names: DataFrame,
     threshold: float = 0.88,
+    measure: str = "ratio",
     exact_single: bool = True,
     aliases: dict[str, str] | None = None,
 ) -> DataFrame:
     """``key, kind, name`` by exact phrase, alias or similarity."""
-    fuzzy = fuzzy_mentions(texts, key, text, names, threshold, "ratio", exact_single, aliases)
+    fuzzy = fuzzy_mentions(texts, key, text, names, threshold, measure, exact_single, aliases)
     return mentions(texts, key, text, names, aliases).unionByName(fuzzy.drop("similarity")).distinct()
 
 
-def names_place(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+def names_place(
+    texts: DataFrame, key: str, text: str, names: DataFrame, measure: str = "ratio"
+) -> DataFrame:
     """``key, names_place``: does the text name any known place, exactly or nearly?
 
     Only keys are joined; the texts themselves are not shuffled.
     """
-    hit = linked_names(texts, key, text, names).select(key).distinct().withColumn("_hit", F.lit(True))
+    hit = linked_names(texts, key, text, names, measure=measure).select(key).distinct().withColumn("_hit", F.lit(True))
     return texts.select(key).join(hit, key, "left").select(key, F.coalesce("_hit", F.lit(False)).alias("names_place"))
 
 
@@ -245,7 +249,7 @@ def substrings(names: DataFrame, name: str, shortest: int = 1) -> DataFrame:
 
 def pick_rows(
     texts: DataFrame, key: str, text: str, rows: DataFrame, names: DataFrame, order: list[Column],
-    max_rows: int = 20,
+    max_rows: int = 20, measure: str = "ratio",
 ) -> DataFrame:
     """The rows of a country table each question is about, at most ``max_rows`` in table order.
 
@@ -256,7 +260,7 @@ def pick_rows(
     present = names.join(rows.select(F.col("Country").alias("name"), F.lit("Country").alias("kind")).unionByName(
         rows.select(F.col("Region").alias("name"), F.lit("Region").alias("kind"))
     ), ["name", "kind"], "left_semi")
-    linked = linked_names(texts, key, text, present).withColumn(
+    linked = linked_names(texts, key, text, present, measure=measure).withColumn(
         "phase", F.when(F.col("kind") == "Country", 1).otherwise(2)
     )
     terms = texts.select(key, F.explode_outer(search_terms(F.col(text))).alias("part")).where("part IS NOT NULL")
@@ -274,14 +278,39 @@ def pick_rows(
     numbered = hits.withColumn("row_no", F.row_number().over(W.partitionBy(key).orderBy(*order)))
     best = numbered.where(F.col("row_no") <= max_rows)
 
-    head = rows.orderBy(*order).limit(max_rows).withColumn("row_no", F.row_number().over(W.orderBy(*order)))
-    listed = head.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))))
-    missed = texts.select(key).join(first.select(key), key, "left_anti")
-    rest = missed.withColumn("_h", F.explode(listed.scalar())).select(key, "_h.*", F.lit(4).alias("phase"))
+    rest = _first_rows(texts, first, key, rows, order, max_rows).withColumn("phase", F.lit(4))
     columns = [key, "phase", "row_no", *rows.columns]
     return best.select(*columns).unionByName(rest.select(*columns))
 
 
+def matched_or_first(
+    texts: DataFrame, key: str, text: str, rows: DataFrame, column: str, names: DataFrame, order: list[Column],
+    n: int, threshold: float = 0.82, measure: str = "ratio",
+) -> DataFrame:
+    """All rows whose name a text holds, exactly or nearly; the first ``n`` rows for a text without any."""
+    present = names.join(rows.select(F.col(column).alias("name")), "name", "left_semi").where(
+        F.col("kind") == column
+    )
+    linked = materialize(linked_names(texts, key, text, present, threshold, measure, exact_single=False))
+    hits = linked.select(key, F.col("name").alias(column)).join(rows, column).withColumn("matched", F.lit(True))
+    rest = _first_rows(texts, linked.select(key).distinct(), key, rows, order, n).withColumn("matched", F.lit(False))
+    columns = [key, "matched", *rows.columns]
+    return hits.select(*columns).unionByName(rest.select(*columns))
+
+
+def _first_rows(
+    texts: DataFrame, served: DataFrame, key: str, rows: DataFrame, order: list[Column], n: int
+) -> DataFrame:
+    """The first ``n`` rows of a table, numbered, for every text that is not ``served``.
+
+    They travel as one short array, so no join is needed.
+    """
+    head = rows.orderBy(*order).limit(n).withColumn("row_no", F.row_number().over(W.orderBy(*order)))
+    listed = head.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))))
+    missed = texts.select(key).join(served.select(key), key, "left_anti")
+    return missed.withColumn("_h", F.explode(listed.scalar())).select(key, "_h.*")
+
+
 def keyword_rows(
     texts: DataFrame, key: str, text: str, rows: DataFrame, column: str, order: list[Column], n: int = 20,
     fallback: int = 10,
@@ -311,10 +340,9 @@ def keyword_rows(
         .withColumn("row_no", F.row_number().over(by_score))
         .where(F.col("row_no") <= n)
     )
-    head = rows.orderBy(*order).limit(fallback).withColumn("row_no", F.row_number().over(W.orderBy(*order)))
-    listed = head.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))))
-    missed = texts.select(key).join(scores.select(key).distinct(), key, "left_anti")
-    rest = missed.withColumn("_h", F.explode(listed.scalar())).select(key, "_h.*", F.lit(0).cast("bigint").alias("score"))
+    rest = _first_rows(texts, scores.select(key).distinct(), key, rows, order, fallback).withColumn(
+        "score", F.lit(0).cast("bigint")
+    )
     columns = [key, "score", "row_no", *rows.columns]
     return best.select(*columns).unionByName(rest.select(*columns))
 

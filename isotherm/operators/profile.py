@@ -50,7 +50,7 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
     middle = exact_median(df, column).scalar()
     row = df.where(v.isNotNull()).agg(
         F.count(v).alias("n"),
-        round_to(mean(exact(v)), 3).alias("mean"),
+        round_to(mean(exact(v, 6)), 3).alias("mean"),
         round_to(low, 3).alias("min"),
         round_to(high, 3).alias("max"),
         round_to(F.stddev_samp(v.cast("double")), 3).alias("std"),

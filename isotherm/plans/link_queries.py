@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from isotherm.functions.lookups import COMPARE_ALIASES, COUNTRY_OF_CITY, STATION_ALIASES
+from isotherm.functions.lookups import COMPARE_ALIASES, COUNTRY_OF_CITY, FACT_ALIASES, STATION_ALIASES
 from isotherm.functions.numbers import round_to
 from isotherm.functions.questions import LATEST_YEAR_WORDS, TERM_STOP_WORDS
 from isotherm.operators import compare, linking, ranking, selection, trends
@@ -80,13 +80,71 @@ def _(w):
     return linking.names_place(w.texts, "qid", "text", w.names)
 
 
+def linked_sql(threshold: float, exact_single: bool = True, aliases: dict | None = None) -> str:
+    """CTE ``lk(qid, kind, name)``: every window of a question against every name, by edit distance."""
+    known = ", ".join(f"('{a}', '{c}')" for a, c in (aliases or {"-": "-"}).items())
+    single = "k > 1" if exact_single else "k > 0"
+    return f""", nq AS (SELECT qid, {o.norm('text')} AS n FROM questions),
+    dn AS (SELECT DISTINCT n FROM nq), tk AS (SELECT n, list_filter(string_split(n, ' '), lambda x: x <> '') AS t FROM dn),
+    ps AS (SELECT n, t, unnest(generate_series(1, len(t))) AS i FROM tk), nw AS (SELECT kind, name, phrase AS np, len(string_split(phrase, ' ')) AS k FROM names),
+    al(a, full_name) AS (VALUES {known}),
+    win AS (SELECT n, array_to_string(t[i:i + k - 1], ' ') AS phrase, k FROM ps, (SELECT DISTINCT k FROM nw) WHERE i + k - 1 <= len(t)
+      UNION SELECT n, full_name, len(string_split(full_name, ' ')) FROM tk JOIN al ON contains(' ' || n || ' ', ' ' || a || ' ')),
+    lp AS (SELECT DISTINCT phrase, kind, name FROM (SELECT DISTINCT phrase, k FROM win) w JOIN nw USING (k)
+      WHERE phrase = np OR ({single} AND 1 - levenshtein(phrase, np) / greatest(length(phrase), length(np)) >= {threshold})),
+    lk AS (SELECT DISTINCT qid, kind, name FROM nq JOIN win USING (n) JOIN lp USING (phrase))"""
+
+
+TERMS_SQL = f""", tm AS (SELECT qid, unnest(list_distinct(list_filter(string_split({o.norm('text')}, ' '),
+      lambda x: length(x) > 2 AND x NOT IN ({o.quoted(TERM_STOP_WORDS)})))) AS term FROM questions)"""
+
+
+@query(
+    "flt10_names_place_by_edits",
+    linked_sql(0.88) + " SELECT q.qid, k.qid IS NOT NULL AS names_place FROM questions q LEFT JOIN (SELECT DISTINCT qid FROM lk) k ON q.qid = k.qid",
+)
+def _(w):
+    return linking.names_place(w.questions, "qid", "text", w.names, measure="levenshtein")
+
+
 @query("flt09_pick_rows")
 def _(w):
-    countries = w.ready_countries
-    picked = linking.pick_rows(w.questions, "qid", "text", countries, w.names, trends.country_order())
+    picked = linking.pick_rows(w.questions, "qid", "text", w.ready_countries, w.names, trends.country_order())
+    return picked.select("qid", "phase", "row_no", "Country", "Region")
+
+
+@query(
+    "flt09_pick_rows_by_edits",
+    linked_sql(0.88) + TERMS_SQL + f""", ph AS (
+      SELECT qid, kind, name, CASE kind WHEN 'Country' THEN 1 ELSE 2 END AS phase FROM lk UNION
+      SELECT qid, kind, name, 3 FROM tm JOIN names ON contains(lower(name), term)),
+    ch AS (SELECT * FROM ph QUALIFY phase = min(phase) OVER (PARTITION BY qid)),
+    hit AS (SELECT DISTINCT qid, phase, t.* FROM ch JOIN country_trends t ON (kind = 'Country' AND t.Country = name) OR (kind = 'Region' AND t.Region = name)),
+    al2 AS (SELECT q.qid, 4 AS phase, t.* FROM questions q, country_trends t WHERE q.qid NOT IN (SELECT qid FROM ph)),
+    un AS (SELECT * FROM hit UNION ALL SELECT * FROM al2)
+    SELECT qid, phase, row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) AS row_no, Country, Region FROM un
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) <= 6""",
+)
+def _(w):
+    picked = linking.pick_rows(
+        w.questions, "qid", "text", w.ready_countries, w.names, trends.country_order(), 6, "levenshtein"
+    )
     return picked.select("qid", "phase", "row_no", "Country", "Region")
 
 
+@query(
+    "flt09_matched_or_first",
+    linked_sql(0.82, exact_single=False) + f""", hd AS (SELECT Country FROM country_trends ORDER BY {COUNTRY_TIES} LIMIT 10)
+    SELECT qid, true AS matched, Country FROM lk JOIN country_trends ON kind = 'Country' AND name = Country
+    UNION ALL SELECT qid, false, Country FROM questions, hd WHERE qid NOT IN (SELECT qid FROM lk WHERE kind = 'Country')""",
+)
+def _(w):
+    rows = linking.matched_or_first(
+        w.questions, "qid", "text", w.ready_countries, "Country", w.names, trends.country_order(), 10, measure="levenshtein"
+    )
+    return rows.select("qid", "matched", "Country")
+
+
 @query(
     "flt09_search_terms",
     f""", t AS (SELECT qid, unnest(list_distinct(list_filter(string_split({o.norm('text')}, ' '),
@@ -274,6 +332,21 @@ def _(w):
     return reports.matched_facts(w.questions, "qid", "text", w.names, countries, regions)
 
 
+@query(
+    "rp02_matched_facts_by_edits",
+    f"""{linked_sql(0.88, aliases=FACT_ALIASES)},
+    cr AS (SELECT qid, t.* FROM lk JOIN country_trends t ON kind = 'Country' AND name = t.Country),
+    rr AS (SELECT qid, t.* FROM lk JOIN regional_trends t ON kind = 'Region' AND name = t.Region),
+    no AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) AS no FROM cr),
+    df AS (SELECT a.qid, a.Country || ' vs ' || b.Country AS entity, {_DIFFS} FROM no a JOIN no b ON a.qid = b.qid AND a.no < b.no WHERE b.no <= 4)
+    {_long_sql('cr', 'country', 'Country', reports.COUNTRY_METRICS)} UNION ALL {_long_sql('df', 'difference', 'entity', list(compare.METRICS)[:3])}
+    UNION ALL {_long_sql('rr', 'region', 'Region', reports.REGION_METRICS)}""",
+)
+def _(w):
+    countries, regions = w.ready_countries, w.ready_regions
+    return reports.matched_facts(w.questions, "qid", "text", w.names, countries, regions, measure="levenshtein")
+
+
 @query(
     "rp03_comparison",
     f"""{ALIASED}, s AS (SELECT a.* FROM am a JOIN (SELECT qid, kind FROM am GROUP BY qid, kind HAVING count(*) >= 2) k ON a.qid = k.qid AND a.kind = k.kind),

@@ -124,10 +124,11 @@ def dataset_facts(yearly: DataFrame, countries: DataFrame, regions: DataFrame, n
 
 
 def matched_facts(
-    questions: DataFrame, key: str, text: str, names: DataFrame, countries: DataFrame, regions: DataFrame
+    questions: DataFrame, key: str, text: str, names: DataFrame, countries: DataFrame, regions: DataFrame,
+    measure: str = "ratio",
 ) -> DataFrame:
     """Metric rows of the places each question names, and the differences of its first four countries."""
-    linked = materialize(linked_names(questions, key, text, names, aliases=FACT_ALIASES))
+    linked = materialize(linked_names(questions, key, text, names, measure=measure, aliases=FACT_ALIASES))
     named = linked.where("kind = 'Country'").select(key, "name")
     rows = named.join(countries, F.col("name") == F.col("Country"))
     regional = linked.where("kind = 'Region'").join(regions, F.col("name") == F.col("Region"))

@@ -186,7 +186,7 @@ def _(w):
     "SELECT event_id, o.country, temperature_c, AverageTemperature, TemperatureChange FROM observations o LEFT JOIN country_trends t ON lower(o.country) = lower(t.Country)",
 )
 def _(w):
-    joined = compare.with_country_trends(w.observations, "country", w.country_trends)
+    joined = compare.with_country_trends(w.observations, "country", w.ready_countries)
     return joined.select("event_id", "country", "temperature_c", "AverageTemperature", "TemperatureChange")
 
 
