@@ -15,9 +15,11 @@ def daily_summaries(readings: DataFrame, lateness: str = "1 hour") -> DataFrame:
     later than that are dropped. Works on a batch table as well. State is one
     small row per location and open day, kept per task before the shuffle.
     """
-    day = F.window("ts", "1 day")
-    rows = readings.withColumn("ts", F.col("ts").cast("timestamp"))
+    # Windows are cut at midnight UTC: shift to local wall-clock time and back.
+    zone = F.current_timezone()
+    rows = readings.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
     rows = rows.withWatermark("ts", lateness) if readings.isStreaming else rows
+    day = F.window("ts", "1 day")
     return (
         rows.groupBy(day.alias("w"), "location")
         .agg(
@@ -28,7 +30,7 @@ def daily_summaries(readings: DataFrame, lateness: str = "1 hour") -> DataFrame:
         )
         .select(
             "location",
-            F.date_format("w.start", "yyyy-MM-dd").alias("day"),
+            F.date_format(F.to_utc_timestamp("w.start", zone), "yyyy-MM-dd").alias("day"),
             round_to(F.try_divide(F.col("total").cast("double"), F.col("n").cast("double")), 2).alias("temperature_c"),
             "max_temperature_c",
             "min_temperature_c",
