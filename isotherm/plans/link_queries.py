@@ -10,6 +10,7 @@ from isotherm.plans import oracle as o
 from isotherm.plans import reports
 from isotherm.plans.catalog import query
 from isotherm.plans.panel_queries import COUNTRY_TIES
+from isotherm.session import materialize
 
 NORM = f", nt AS (SELECT qid, ' ' || {o.norm('text')} || ' ' AS n FROM texts)"
 MENTIONS = NORM + """, m AS (SELECT qid, kind, name FROM nt JOIN names ON contains(n, ' ' || phrase || ' '))"""
@@ -246,6 +247,7 @@ _DIFFS = ", ".join(f"{o.r(f'a.{c} - b.{c}', 3)} AS {n}" for n, c in compare.METR
 def _(w):
     countries = w.ready_countries
     named = linking.mentions(w.texts, "qid", "text", w.names, COMPARE_ALIASES).distinct().where("kind = 'Country'")
+    named = materialize(named.select("qid", "name"))  # both sides of the pairs read it
     return compare.pair_differences(named, "qid", countries, trends.country_order(), first=4)
 
 
