@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.lookups import MONTHS, PLACE_ALIASES, map_column
 
-MONTH_NAMES = "|".join(MONTHS)
+# A month name or its short form; the longer one is tried first.
+MONTH_NAMES = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
+    "sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+)
 YEAR = r"(?U)\b(19[0-9]{2}|20[0-9]{2})\b"
 
 # Words that end a place phrase, and words that are no place.
@@ -73,12 +77,12 @@ def has_any(text: Column, keywords: list[str], whole_words: bool = False) -> Col
 
 def _past_day(year: Column, month: Column, day: Column, as_of: Column) -> Column:
     iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(~year.isin("", "0000") & (F.try_to_date(iso, "yyyy-MM-dd") < as_of), iso)
+    return F.when(~year.isin("", "0000") & (iso.try_cast("date") < as_of), iso)
 
 
 def _past_month(year: Column, month: Column, as_of: Column) -> Column:
     iso = F.concat_ws("-", year, month)
-    first = F.try_to_date(F.concat(iso, F.lit("-01")), "yyyy-MM-dd")
+    first = F.concat(iso, F.lit("-01")).try_cast("date")
     return F.when(~year.isin("", "0000") & (first < as_of), iso)
 
 
@@ -163,11 +167,11 @@ def period_bounds(period: Column, as_of: Column) -> Column:
     day = period.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
     month = period.rlike(r"^[0-9]{4}-[0-9]{2}$")
     year = period.rlike(r"^[0-9]{4}$")
-    first = F.try_to_date(
+    first = (
         F.when(day, period)
         .when(month, F.concat(period, F.lit("-01")))
-        .when(year, F.concat(period, F.lit("-01-01"))),
-        "yyyy-MM-dd",
+        .when(year, F.concat(period, F.lit("-01-01")))
+        .try_cast("date")
     )
     last = (
         F.when(day, first)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isotherm.functions.lookups import MONTHS, REGION_OF_COUNTRY, WEATHER_CODES
-from isotherm.functions.text import MONTH_NAMES, NOT_A_PLACE, PLACE_END
+from isotherm.functions.text import NOT_A_PLACE, PLACE_END
 from isotherm.plans.workload import AS_OF, COUNTRY, DIRTY, EVENT_CODE, QUESTION, QUESTION_PARTS
 
 
@@ -67,6 +67,7 @@ MASKED = (
     "\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{02C1}}]', '_', 'g')"
 )
 
+MONTH_NAMES = "|".join(MONTHS)
 YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
 MONTH_NO = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MONTHS.items()) + " END"
 

@@ -34,7 +34,7 @@ def archive_days(responses: DataFrame) -> DataFrame:
     )
     return responses.select(F.col("location.name").alias("location"), F.explode_outer(daily).alias("d")).where("d IS NOT NULL").select(
         "location",
-        F.try_to_date(F.col("d.time"), "yyyy-MM-dd").alias("day"),
+        F.col("d.time").try_cast("date").alias("day"),
         *[F.col(f"d.{c}").alias(c) for c in ARCHIVE_METRICS],
     )
 
