@@ -100,8 +100,8 @@ def carry_forward(
     value: Column,
     name: str,
     keep: str = "last",
-    block: int = 4096,
-    levels: int = 2,
+    block: int = 65_536,
+    levels: int = 1,
 ) -> DataFrame:
     """``keep`` ("last" / "first") non-null ``value`` of the earlier rows of the same ``key``.
 
@@ -109,7 +109,8 @@ def carry_forward(
     integer ``order``. A window runs inside each block; what the blocks hand on is
     carried in the same way over one row per block, ``levels`` times, so that the one
     window over a whole key sees a row per ``block ** levels`` steps of ``order``.
-    ``(key, order)`` must be unique.
+    ``(key, order)`` must be unique; for a wide ``order`` such as microseconds take
+    two levels.
     """
     over, by = (F.last, F.max_by) if keep == "last" else (F.first, F.min_by)
     earlier = lambda *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)

@@ -1,4 +1,7 @@
-"""Rows as sentences and key-value facts."""
+"""Rows as sentences and key-value facts.
+
+The wording of the sentences and labels is a fixed value.
+"""
 
 from __future__ import annotations
 

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from isotherm.functions.distributed import broadcast_if_small
 from isotherm.functions.lookups import COUNTRY_OF_CITY, STATION_ALIASES, map_column
-from isotherm.functions.questions import search_terms
+from isotherm.functions.questions import requested_year, search_terms
 from isotherm.functions.text import normalize, shingles, words
+from isotherm.operators.selection import filter_year, latest_year_rows
 from isotherm.session import materialize
 
 # Words a place search ignores.
@@ -28,6 +29,10 @@ PLACE_STOP_WORDS = [
     "current",
 ]
 
+# Words that ask for the lowest or the highest rows of a year.
+LOW_WORDS = ["lowest", "coldest", "coolest", "least", "minimum", "min"]
+HIGH_WORDS = ["highest", "hottest", "warmest", "most", "top", "maximum", "max"]
+
 
 def dictionary(*columns: tuple[DataFrame, str, str]) -> DataFrame:
     """``kind, name, phrase, n_words`` of the distinct names, from (table, column, kind) triples.
@@ -257,9 +262,10 @@ def pick_rows(
     inside a country or region name (3), else the first rows of the table (4).
     The phase of a question is settled on names alone, before any row is joined.
     """
-    present = names.join(rows.select(F.col("Country").alias("name"), F.lit("Country").alias("kind")).unionByName(
-        rows.select(F.col("Region").alias("name"), F.lit("Region").alias("kind"))
-    ), ["name", "kind"], "left_semi")
+    places = rows.select(F.lit("Country").alias("kind"), F.col("Country").alias("name")).unionByName(
+        rows.select(F.lit("Region").alias("kind"), F.col("Region").alias("name"))
+    )
+    present = materialize(names.join(places, ["kind", "name"], "left_semi"))
     linked = linked_names(texts, key, text, present, measure=measure).withColumn(
         "phase", F.when(F.col("kind") == "Country", 1).otherwise(2)
     )
@@ -283,13 +289,35 @@ def pick_rows(
     return best.select(*columns).unionByName(rest.select(*columns))
 
 
+def yearly_rows(
+    yearly: DataFrame, question: str, names: DataFrame, max_rows: int = 20, measure: str = "ratio"
+) -> DataFrame:
+    """The yearly rows one question is about.
+
+    Rows of the year it asks for (all years if that one is absent); hottest or
+    coldest first if it says so, else the rows of the places it names.
+    """
+    asked = yearly.sparkSession.range(1).select("id", F.lit(question).alias("q"))
+    year = asked.select(requested_year(F.col("q"), F.lit(-1))).first()[0]
+    rows = yearly
+    if year is not None:
+        rows = latest_year_rows(yearly) if year == -1 else filter_year(yearly, year)
+    q = question.lower()
+    if any(w in q for w in LOW_WORDS + HIGH_WORDS):
+        direction = F.asc if any(w in q for w in LOW_WORDS) else F.desc
+        ranked = rows.where("AvgTemperature IS NOT NULL")
+        return ranked.orderBy(direction("AvgTemperature"), "Country", "Region").limit(max_rows)
+    order = [F.asc("Country"), F.asc("Year"), F.asc("Region")]
+    return pick_rows(asked, "id", "q", rows, names, order, max_rows, measure).select(*yearly.columns)
+
+
 def matched_or_first(
     texts: DataFrame, key: str, text: str, rows: DataFrame, column: str, names: DataFrame, order: list[Column],
     n: int, threshold: float = 0.82, measure: str = "ratio",
 ) -> DataFrame:
     """All rows whose name a text holds, exactly or nearly; the first ``n`` rows for a text without any."""
-    present = names.join(rows.select(F.col(column).alias("name")), "name", "left_semi").where(
-        F.col("kind") == column
+    present = materialize(
+        names.where(F.col("kind") == column).join(rows.select(F.col(column).alias("name")), "name", "left_semi")
     )
     linked = materialize(linked_names(texts, key, text, present, threshold, measure, exact_single=False))
     hits = linked.select(key, F.col("name").alias(column)).join(rows, column).withColumn("matched", F.lit(True))

@@ -88,27 +88,6 @@ def relevant_rows(df: DataFrame, question: str, max_rows: int | None = None) ->
     return kept if max_rows is None else kept.limit(max_rows)
 
 
-def filter_yearly(yearly: DataFrame, question: str, max_rows: int = 20) -> DataFrame:
-    """Rows of the year a question asks for, hottest or coldest first where it says so."""
-    spark = yearly.sparkSession
-    asked = spark.range(1).select(F.lit(question).alias("q"))
-    year = asked.select(requested_year(F.col("q"), F.lit(-1))).first()[0]
-    rows = yearly
-    if year == -1:
-        rows = latest_year_rows(yearly)
-    elif year is not None:
-        rows = filter_year(yearly, year)
-    q = question.lower()
-    low = ["lowest", "coldest", "coolest", "least", "minimum", "min"]
-    high = ["highest", "hottest", "warmest", "most", "top", "maximum", "max"]
-    if any(w in q for w in low + high):
-        direction = F.asc if any(w in q for w in low) else F.desc
-        return rows.where("AvgTemperature IS NOT NULL").orderBy(
-            direction("AvgTemperature"), "Country", "Region"
-        ).limit(max_rows)
-    return rows.orderBy("Country", "Year", "Region").limit(max_rows)
-
-
 def rows_of_year(questions: DataFrame, key: str, text: str, yearly: DataFrame) -> DataFrame:
     """Per question: the year it asks for and how many rows and what mean that year has.
 

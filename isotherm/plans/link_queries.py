@@ -175,6 +175,14 @@ def _(w):
     return selection.rows_of_year(w.questions, "qid", "text", means)
 
 
+@query(
+    "flt04_yearly_rows",
+    "SELECT * FROM means WHERE Year = 1998 AND Country IN ('Egypt', 'Saudi Arabia') ORDER BY Country LIMIT 20",
+)
+def _(w):
+    return linking.yearly_rows(w.ready_means, "how warm were Egypt and Saudi Arabbia in 1998", w.names)
+
+
 _STOP = o.quoted(linking.PLACE_STOP_WORDS)
 _CITY = ", ".join(f"('{c}', '{n}')" for c, n in COUNTRY_OF_CITY.items())
 

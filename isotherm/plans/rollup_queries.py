@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from isotherm.functions.facts import weather_lines
 from isotherm.functions.numbers import parse_number
 from isotherm.functions.text import period_bounds
 from isotherm.operators import compare, linking, rollup
@@ -156,6 +157,23 @@ def _(w):
     )
 
 
+@query(
+    "sc19_weather_lines",
+    """SELECT event_id, 'Location: L' || user_id || ', Testland' || chr(10) || 'Temperature: ' || value || ' C' || chr(10) || 'Feels Like: N/A C' || chr(10)
+      || 'Condition: ' || CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'Sunny' END || chr(10) || 'Humidity: ' || (event_id % 100)::DOUBLE || '%' || chr(10)
+      || 'Wind Speed: N/A km/h' || chr(10) || 'Today Min: ' || CASE WHEN event_id % 7 <> 0 THEN 'low' ELSE 'same' END AS lines FROM events WHERE event_id % 2 = 1""",
+)
+def _(w):
+    rows = weather.station_records(stations(w), ["event_id"], "body")
+    text = weather_lines("r")
+    packed = rows.select("event_id", F.struct("location", "current", "today").alias("r")).select(
+        "event_id", F.col("r.current.temperature_c").alias("t"), F.col("r.today.min_temperature_c").alias("m"), text.alias("x")
+    )
+    # The lowest value is a difference of doubles, whose text the engines may write differently.
+    kind = F.when(F.col("m") == F.col("t"), "same").otherwise("low")
+    return packed.select("event_id", F.concat(F.substring_index("x", "Today Min: ", 1), F.lit("Today Min: "), kind).alias("lines"))
+
+
 @query(
     "prj14_normalized_record",
     """SELECT event_id, 'L' || user_id AS name, value AS temperature_c, (event_id % 100)::DOUBLE AS humidity_percent,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.numbers import display_value, finite
-from isotherm.operators.selection import is_numeric, search_rows
+from isotherm.operators.selection import search_rows
 
 
 def write_table(df: DataFrame, path: str, dataset_id: str) -> None:
@@ -31,15 +31,11 @@ def export_search(df: DataFrame, text: str, path: str) -> None:
 
 
 def records(df: DataFrame) -> DataFrame:
-    """Rows as JSON records, with NaN, infinite and missing values as 0."""
-    filled = []
-    for name, dtype in df.dtypes:
-        c = F.col(name)
-        if dtype in ("float", "double"):
-            c = F.coalesce(finite(c), F.lit(0.0))
-        elif is_numeric(dtype):
-            c = F.coalesce(c, F.lit(0).cast(dtype))
-        elif dtype == "string":
-            c = F.coalesce(c, F.lit("0"))
-        filled.append(c.alias(name))
-    return df.select(F.to_json(F.struct(*filled)).alias("record"))
+    """Rows as JSON records, with NaN, infinite and missing values as 0.
+
+    A missing value is written as null and then read as 0: a quote inside a text
+    is always escaped, so an unescaped one before ``:null`` ends a field name.
+    """
+    clean = [finite(F.col(c)).alias(c) if t in ("float", "double") else F.col(c) for c, t in df.dtypes]
+    record = F.to_json(F.struct(*clean), {"ignoreNullFields": "false"})
+    return df.select(F.regexp_replace(record, r'(?<!\\)":null(?=[,}])', '":0').alias("record"))

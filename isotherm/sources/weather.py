@@ -123,6 +123,8 @@ def normalized_record(raw: Column) -> Column:
         *[F.get_json_object(raw, f"$.{p}").try_cast("double") for p in paths]
     )
     text = lambda *paths: F.coalesce(*[F.get_json_object(raw, f"$.{p}") for p in paths])
+    condition = F.get_json_object(raw, "$.current.condition")
+    plain_condition = F.when(~condition.startswith("{"), condition)
     return F.struct(
         F.struct(*[text(f"location.{n}").alias(n) for n in ("name", "admin1", "country")]).alias("location"),
         F.struct(
@@ -130,7 +132,7 @@ def normalized_record(raw: Column) -> Column:
             value("current.feels_like_c", "current.feelslike_c").alias("feels_like_c"),
             value("current.humidity_percent", "current.humidity").alias("humidity_percent"),
             value("current.wind_speed_kmh", "current.wind_kph").alias("wind_speed_kmh"),
-            text("current.condition.text", "current.condition").alias("condition"),
+            F.coalesce(text("current.condition.text"), plain_condition).alias("condition"),
         ).alias("current"),
         F.struct(
             value("today.min_temperature_c", "today.mintemp_c").alias("min_temperature_c"),

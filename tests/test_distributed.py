@@ -32,8 +32,9 @@ def test_carry_forward(spark):
         turns = sorted(random.sample(range(3000), n))
         rows += [(key, t, random.choice([None, None, "x", "y", "z"])) for t in turns]
     df = spark.createDataFrame(rows, "k int, t int, v string").repartition(6)
-    for keep in ("last", "first"):
-        got = {(r["k"], r["t"]): r["c"] for r in carry_forward(df, "k", "t", F.col("v"), "c", keep, block=16).collect()}
+    for keep, levels in (("last", 1), ("first", 1), ("last", 2), ("first", 3)):
+        carried = carry_forward(df, "k", "t", F.col("v"), "c", keep, block=16, levels=levels)
+        got = {(r["k"], r["t"]): r["c"] for r in carried.collect()}
         for key, turn, _ in rows:
             seen = [v for k, t, v in rows if k == key and t < turn and v is not None]
             assert got[key, turn] == ((seen[-1] if keep == "last" else seen[0]) if seen else None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isotherm.functions import numbers, questions, text
 from isotherm.functions.lookups import REGION_OF_COUNTRY, WEATHER_CODES
 from isotherm.functions.markup import blocks, label_values, typed_lines, weather_fields
-from isotherm.operators import cleaning, panel, profile, ranking, rollup, selection, trends
+from isotherm.operators import cleaning, linking, panel, profile, ranking, rollup, selection, trends
 
 
 def column(spark, values, build, dtype="string"):
@@ -201,9 +201,13 @@ def test_pages(spark):
 def test_year_filter_and_questions(spark):
     df = panel_of(spark, [("A", "R", 2000, 1.0), ("B", "R", 2000, 3.0), ("A", "R", 2001, 2.0)])
     assert selection.filter_year(df, 2001).count() == 1 and selection.filter_year(df, 1900).count() == 3
-    hot = selection.filter_yearly(df, "hottest country in 2000").collect()
-    assert [r["Country"] for r in hot] == ["B", "A"]
-    assert [r["Year"] for r in selection.filter_yearly(df, "rows of the latest year").collect()] == [2001]
+    names = linking.dictionary((df.withColumn("Country", F.concat("Country", F.lit(" land"))), "Country", "Country"))
+    lands = df.withColumn("Country", F.concat("Country", F.lit(" land")))
+    asked = lambda q: [(r["Country"], r["Year"]) for r in linking.yearly_rows(lands, q, names).collect()]
+    assert asked("hottest country in 2000") == [("B land", 2000), ("A land", 2000)]
+    assert asked("rows of the latest year") == [("A land", 2001)]
+    assert sorted(asked("about a land")) == [("A land", 2000), ("A land", 2001)]
+    assert asked("B land in 2000") == [("B land", 2000)]
     assert selection.asked_rows("top 3", spark=spark) == 3
     assert selection.relevant_rows(df, "what is in zzz").count() == 3
     assert [r["Country"] for r in selection.relevant_rows(df, "tell me of b").collect()] == ["B"]

@@ -1,6 +1,7 @@
 """Reading and writing files, and streams against batch."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -45,8 +46,10 @@ def test_datasets(spark):
 
 
 def test_records(spark):
-    df = spark.createDataFrame([("a", float("nan"), None), (None, float("inf"), 3)], "s string, d double, n int")
-    assert [r[0] for r in sinks.records(df).collect()] == ['{"s":"a","d":0.0,"n":0}', '{"s":"0","d":0.0,"n":3}']
+    rows = [("a", float("nan"), None), (None, float("inf"), 3), ('x":null,', 1.5, 4)]
+    df = spark.createDataFrame(rows, "s string, d double, n int")
+    got = [json.loads(r[0]) for r in sinks.records(df).collect()]
+    assert got == [{"s": "a", "d": 0, "n": 0}, {"s": 0, "d": 0, "n": 3}, {"s": 'x":null,', "d": 1.5, "n": 4}]
 
 
 def test_export(spark):
