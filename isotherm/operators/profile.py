@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isotherm.functions.distributed import exact_median
 from isotherm.functions.numbers import exact, mean, rint_to, round_to
 from isotherm.operators.selection import is_numeric
+from isotherm.session import materialize
 
 
 def region_stats(yearly: DataFrame) -> DataFrame:
@@ -59,10 +60,19 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
     return row.withColumn("median", round_to(middle, 3))
 
 
+def _by_place_and_year(df: DataFrame) -> DataFrame:
+    """Rows per country, region and year: what distinct counts are taken from.
+
+    Counting several distinct columns directly would multiply every row before
+    the shuffle.
+    """
+    return df.groupBy("Country", "Region", "Year").agg(F.count("*").alias("_rows"))
+
+
 def table_metadata(df: DataFrame) -> DataFrame:
     """One row: rows, columns, distinct countries, regions and years, first and last year."""
-    return df.agg(
-        F.count("*").alias("n_rows"),
+    return _by_place_and_year(df).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.countDistinct("Country").alias("n_countries"),
         F.countDistinct("Region").alias("n_regions"),
@@ -78,7 +88,8 @@ def distinct_names(df: DataFrame, column: str, max_bytes: int = 16 << 20) -> Dat
     The size is checked before anything is collected into the cell; a column
     with more than ``max_bytes`` of names has to be listed as rows.
     """
-    names = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct()
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v"))
+    names = materialize(values.distinct())
     size = names.select(F.coalesce(F.sum(F.octet_length("v") + 2), F.lit(0))).first()[0]
     if size > max_bytes:
         raise ValueError(f"{column}: {size} bytes of names do not fit one cell; list them as rows")
@@ -236,8 +247,8 @@ def top_rows_per_column(df: DataFrame, columns, ties, n: int = 10) -> DataFrame:
 def run_report(clean: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """One row: rows and countries processed, year range, and which column was taken for what."""
     detected = ", ".join(f"{std}={name}" for std, name in mapping.items())
-    return clean.agg(
-        F.count("*").alias("rows_processed"),
+    return _by_place_and_year(clean).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_processed"),
         F.countDistinct("Country").alias("countries"),
         F.min("Year").alias("first_year"),
         F.max("Year").alias("last_year"),

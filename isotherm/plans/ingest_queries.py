@@ -141,13 +141,11 @@ def _(w):
 
 @query(
     "snk03_export_search",
-    "SELECT p_name, p_brand, format('{:.3f}', p_retailprice + 0.0005 * 0) AS p_retailprice FROM part "
-    "WHERE contains(lower(p_name), 'ring') AND p_retailprice <> floor(p_retailprice)",
+    "SELECT p_name, p_brand, format('{:.3f}', p_retailprice) AS p_retailprice FROM part WHERE contains(lower(p_name), 'ring')",
 )
 def _(w):
     path = w.work_path("export")
-    parts = w.table("part").where("p_retailprice <> floor(p_retailprice)")
-    named = parts.select("p_name", "p_brand", F.format_string("%.3f", "p_retailprice").alias("p_retailprice"))
+    named = w.table("part").select("p_name", "p_brand", F.format_string("%.3f", "p_retailprice").alias("p_retailprice"))
     sinks.export_search(named, "Ring", path)
     return w.spark.read.option("header", True).option("escape", '"').csv(path)
 

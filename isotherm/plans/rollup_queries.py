@@ -113,7 +113,7 @@ def forecasts(w):
         one(F.when(F.col("event_id") % 4 != 1, F.col("event_id") % 100)).alias("precipitation_probability_max"), one(code).alias("weather_code"),
     )
     body = F.struct(place.alias("place"), F.lit("UTC").alias("timezone"), current.alias("current"), daily.alias("daily"))
-    return w.events.where("event_id % 2 = 0").select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+    return w.events.select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
 
 
 def stations(w):
@@ -128,29 +128,31 @@ def stations(w):
     )
     day = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.when(F.col("event_id") % 7 != 0, text(v - 5)).alias("mintempC"))
     body = F.struct(place.alias("place"), F.array(now).alias("current_condition"), F.array(day).alias("weather"))
-    return w.events.where("event_id % 2 = 1").select("event_id", F.to_json(body).alias("body"))
+    return w.events.select("event_id", F.to_json(body).alias("body"))
 
 
 @query(
     "src07_observation_records",
     """, code_of AS (SELECT event_id, coalesce(code_text, 'unknown') AS t FROM events LEFT JOIN codes ON code = event_id % 70)
-    SELECT e.event_id, 'L' || user_id AS name, strftime(ts, '%Y-%m-%d') AS date, value AS temperature_c, value - 1 AS feels_like_c,
+    SELECT 'forecast' AS shape, e.event_id, 'L' || user_id AS name, strftime(ts, '%Y-%m-%d') AS date, value AS temperature_c, value - 1 AS feels_like_c,
       (e.event_id % 100)::DOUBLE AS humidity, 0.5::DOUBLE AS rain_mm, value * 2 AS wind, (e.event_id % 70)::INTEGER AS weather_code, t AS condition,
       value + 5 AS highest, value - 5 AS lowest, CASE WHEN e.event_id % 3 = 0 THEN value ELSE 0 END AS rain_sum,
       (e.event_id % 3 = 0 AND value > 0) OR coalesce(CASE WHEN e.event_id % 4 <> 1 THEN e.event_id % 100 END >= 50, false) AS will_rain
-    FROM events e JOIN code_of c ON e.event_id = c.event_id WHERE e.event_id % 2 = 0
+    FROM events e JOIN code_of c ON e.event_id = c.event_id
     UNION ALL
-    SELECT event_id, 'L' || user_id, strftime(ts, '%Y-%m-%d'), value, NULL, (event_id % 100)::DOUBLE,
+    SELECT 'station', event_id, 'L' || user_id, strftime(ts, '%Y-%m-%d'), value, NULL, (event_id % 100)::DOUBLE,
       CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END, NULL, 113, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'Sunny' END,
       value, CASE WHEN event_id % 7 <> 0 THEN value - 5 ELSE value END, CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END, event_id % 3 = 0 AND value > 0
-    FROM events WHERE event_id % 2 = 1""",
+    FROM events""",
 )
 def _(w):
-    records = weather.forecast_records(forecasts(w), ["event_id"], "body").unionByName(
-        weather.station_records(stations(w), ["event_id"], "body")
+    tagged = lambda df, shape: df.select(F.lit(shape).alias("shape"), "*")
+    keys = ["shape", "event_id"]
+    records = weather.forecast_records(tagged(forecasts(w), "forecast"), keys, "body").unionByName(
+        weather.station_records(tagged(stations(w), "station"), keys, "body")
     )
     return records.select(
-        "event_id", "location.name", "date", "current.temperature_c", "current.feels_like_c",
+        *keys, "location.name", "date", "current.temperature_c", "current.feels_like_c",
         F.col("current.humidity_percent").alias("humidity"), "current.rain_mm", F.col("current.wind_speed_kmh").alias("wind"),
         "current.weather_code", "current.condition", F.col("today.max_temperature_c").alias("highest"),
         F.col("today.min_temperature_c").alias("lowest"), F.col("today.rain_sum_mm").alias("rain_sum"), "today.will_rain",
@@ -161,7 +163,7 @@ def _(w):
     "sc19_weather_lines",
     """SELECT event_id, 'Location: L' || user_id || ', Testland' || chr(10) || 'Temperature: ' || value || ' C' || chr(10) || 'Feels Like: N/A C' || chr(10)
       || 'Condition: ' || CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'Sunny' END || chr(10) || 'Humidity: ' || (event_id % 100)::DOUBLE || '%' || chr(10)
-      || 'Wind Speed: N/A km/h' || chr(10) || 'Today Min: ' || CASE WHEN event_id % 7 <> 0 THEN 'low' ELSE 'same' END AS lines FROM events WHERE event_id % 2 = 1""",
+      || 'Wind Speed: N/A km/h' || chr(10) || 'Today Min: ' || CASE WHEN event_id % 7 <> 0 THEN 'low' ELSE 'same' END AS lines FROM events""",
 )
 def _(w):
     rows = weather.station_records(stations(w), ["event_id"], "body")

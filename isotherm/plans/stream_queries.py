@@ -17,7 +17,8 @@ from isotherm.streaming.run import run_available
 
 def event_stream(w):
     schema = w.events.schema
-    return w.spark.readStream.schema(schema).parquet(f"{w.sf_dir}/events*.parquet")
+    files = w.spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
+    return files.parquet(f"{w.sf_dir}/events*.parquet")
 
 
 @query("st01_stream_ingest", clean_sql() + SUMMARY_SQL)

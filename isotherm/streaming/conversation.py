@@ -18,7 +18,7 @@ STATE = "source string, place string, question string"
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Answer the turns of one conversation in order, starting from its stored state."""
     source, place, question = state.get if state.exists else (None, None, None)
-    # Short columns only; how many turns a micro-batch holds is set by its trigger.
+    # How many new turns a micro-batch holds is set by its trigger.
     turns = pd.concat(list(batches)).sort_values("turn")
     rows = []
     for turn, fixed, follow, keyword, named, text in zip(
@@ -40,15 +40,15 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame(rows, columns=["conv_id", "turn", "followup", "last_source", "last_place", "route"])
 
 
-def carried_state(turns: DataFrame, as_of: Column, question_chars: int = 1500) -> DataFrame:
+def carried_state(turns: DataFrame, as_of: Column) -> DataFrame:
     """Route each turn with the state of the turns before it.
 
     ``turns`` needs ``conv_id, turn, text, names_place``. Classification happens
-    in native columns before the shuffle; the stateful step sees a few short
-    columns per turn, and keeps the last source, place and (shortened) question.
+    in native columns before the shuffle; the stateful step only follows the chain,
+    and keeps the last source, place and question.
     """
     routed = with_routes(turns, "text", as_of)
-    question = F.substring("text", 1, question_chars).alias("question")
+    question = F.col("text").alias("question")
     return (
         routed.select("conv_id", "turn", "fixed", "follow", "keyword", "place", question)
         .groupBy("conv_id")
