@@ -110,13 +110,14 @@ def directional_ranking(
 
 
 def ranking_request(text: Column) -> Column:
-    """Struct ``ascending, by_change, regions_only`` read from a question."""
+    """Struct ``ascending, by_change, neutral, regions_only`` read from a question."""
     q = F.lower(text)
     says = lambda words: F.coalesce(has_any(q, words), F.lit(False))
     low, high, by_change = says(ASCENDING_WORDS), says(DESCENDING_WORDS), says(CHANGE_WORDS)
     return F.struct(
         F.when(by_change, low & ~high).otherwise(low).alias("ascending"),
         by_change.alias("by_change"),
+        (~low & ~high).alias("neutral"),
         says(REGION_WORDS).alias("regions_only"),
     )
 
@@ -126,8 +127,9 @@ def answer_rankings(
 ) -> DataFrame:
     """The ranking each question asks for: join on (metric, direction) to ranked rows.
 
-    No question asks for more than ``most`` rows, so each of the eight ranked
-    lists has at most ``most`` rows and the broadcast side at most eight times that.
+    A question that names no direction gets the coolest countries as well. No question
+    asks for more than ``most`` rows, so each of the ten ranked lists has at most
+    ``most`` rows and the broadcast side at most ten times that.
     """
     lists = None
     for by_change in (True, False):
@@ -136,11 +138,23 @@ def answer_rankings(
                 F.lit(by_change).alias("by_change"), F.lit(ascending).alias("ascending"), "*"
             )
             lists = part if lists is None else lists.unionByName(part)
+    coolest = directional_ranking(countries, regions, False, True, most).where("section = 'countries'")
+    for by_change in (True, False):
+        lists = lists.unionByName(
+            coolest.withColumn("section", F.lit("coolest")).select(
+                F.lit(by_change).alias("by_change"), F.lit(False).alias("ascending"), "*"
+            )
+        )
+    wanted = (
+        F.when(F.col("section") == "regions", True)
+        .when(F.col("section") == "countries", ~F.col("regions_only"))
+        .otherwise(F.col("neutral") & ~F.col("regions_only"))
+    )
     asked = questions.select(
         key, ranking_request(F.col(text)).alias("_r"), top_n(F.col(text)).alias("_n")
     ).select(key, "_r.*", "_n")
     return (
         asked.join(F.broadcast(lists), ["by_change", "ascending"])
-        .where((F.col("rank") <= F.col("_n")) & ((F.col("section") == "regions") | ~F.col("regions_only")))
+        .where((F.col("rank") <= F.col("_n")) & wanted)
         .select(key, "section", "rank", "entity", "metric", "value")
     )

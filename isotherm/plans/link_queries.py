@@ -271,6 +271,7 @@ def _ranked_sql():
             way = "ASC" if low else "DESC"
             parts.append(f"SELECT {change} AS ch, {low} AS lo, 'countries' AS section, row_number() OVER (ORDER BY {metric} {way}, Country, Region) AS rank, Country AS entity, '{metric}' AS metric, {metric} AS value FROM country_trends")
             parts.append(f"SELECT {change}, {low}, 'regions', row_number() OVER (ORDER BY {rmetric} {way}, Region), Region, '{rmetric}', {rmetric} FROM regional_trends")
+        parts.append(f"SELECT {change}, false, 'coolest', row_number() OVER (ORDER BY AverageTemperature, Country, Region), Country, 'AverageTemperature', AverageTemperature FROM country_trends")
     return " UNION ALL ".join(parts)
 
 
@@ -278,10 +279,10 @@ def _ranked_sql():
     "tk06_asked_rankings",
     f""", q AS (SELECT qid, lower(text) AS q FROM questions), a AS (
       SELECT qid, {_CHANGE} AS ch, CASE WHEN {_CHANGE} THEN {_LOW} AND NOT {_HIGH} ELSE {_LOW} END AS lo,
-        {o.any_of('q', ranking.REGION_WORDS)} AS regions_only, {o.top_n('q')} AS n FROM q),
+        NOT {_LOW} AND NOT {_HIGH} AS neutral, {o.any_of('q', ranking.REGION_WORDS)} AS regions_only, {o.top_n('q')} AS n FROM q),
     l AS ({_ranked_sql()})
     SELECT qid, section, CAST(rank AS INTEGER) AS rank, entity, metric, value FROM a JOIN l ON a.ch = l.ch AND a.lo = l.lo
-    WHERE rank <= n AND (section = 'regions' OR NOT regions_only)""",
+    WHERE rank <= n AND (section = 'regions' OR (NOT regions_only AND (section = 'countries' OR neutral)))""",
 )
 def _(w):
     countries, regions = w.ready_countries, w.ready_regions
