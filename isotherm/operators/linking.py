@@ -99,10 +99,18 @@ def flag_mentions(texts: DataFrame, text: str, names: DataFrame, max_names: int
     return split.withColumn("names_place", F.coalesce(hit, F.lit(False))).drop("_words")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, for distinct candidate pairs only."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def sequence_ratio(a: str, b: str) -> Column:
+    """Share of characters in matching blocks, for distinct candidate pairs only.
+
+    The function is local, so it travels to the executors by value and they need
+    not have this package installed.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
 
 
 def _edits(measure: str, threshold: float, length: Column) -> tuple[Column, Column, Column]:

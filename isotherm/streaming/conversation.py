@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from isotherm.functions.questions import with_routes
 
@@ -15,29 +13,33 @@ OUTPUT = "conv_id long, turn long, followup boolean, last_source string, last_pl
 STATE = "source string, place string, question string"
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Answer the turns of one conversation in order, starting from its stored state."""
-    source, place, question = state.get if state.exists else (None, None, None)
-    # How many new turns a micro-batch holds is set by its trigger.
-    turns = pd.concat(list(batches)).sort_values("turn")
-    rows = []
-    for turn, fixed, follow, keyword, named, text in zip(
-        turns["turn"], turns["fixed"], turns["follow"], turns["keyword"], turns["place"], turns["question"]
-    ):
-        fixed, named = (None if pd.isna(x) else x for x in (fixed, named))
-        follow = bool(follow) and fixed is None
-        taken = "climate" if source == "hybrid" else source
-        route = fixed or (taken if follow and taken else keyword)
-        rows.append((key[0], turn, follow, source, place, route))
-        if route != "out_of_scope":
-            source = "weather" if route == "historical_weather" else route
-            question = text
-            if route == "climate":
-                place = None
-            else:
-                place = named or (place if route == "weather" else None)
-    state.update((source, place, question))
-    yield pd.DataFrame(rows, columns=["conv_id", "turn", "followup", "last_source", "last_place", "route"])
+def _stepper():
+    """The stateful step. A local function travels to the executors by value."""
+
+    def step(key, batches, state):
+        source, place, question = state.get if state.exists else (None, None, None)
+        # How many new turns a micro-batch holds is set by its trigger.
+        turns = pd.concat(list(batches)).sort_values("turn")
+        rows = []
+        for turn, fixed, follow, keyword, named, text in zip(
+            turns["turn"], turns["fixed"], turns["follow"], turns["keyword"], turns["place"], turns["question"]
+        ):
+            fixed, named = (None if pd.isna(x) else x for x in (fixed, named))
+            follow = bool(follow) and fixed is None
+            taken = "climate" if source == "hybrid" else source
+            route = fixed or (taken if follow and taken else keyword)
+            rows.append((key[0], turn, follow, source, place, route))
+            if route != "out_of_scope":
+                source = "weather" if route == "historical_weather" else route
+                question = text
+                if route == "climate":
+                    place = None
+                else:
+                    place = named or (place if route == "weather" else None)
+        state.update((source, place, question))
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", "followup", "last_source", "last_place", "route"])
+
+    return step
 
 
 def carried_state(turns: DataFrame, as_of: Column) -> DataFrame:
@@ -52,5 +54,5 @@ def carried_state(turns: DataFrame, as_of: Column) -> DataFrame:
     return (
         routed.select("conv_id", "turn", "fixed", "follow", "keyword", "place", question)
         .groupBy("conv_id")
-        .applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_stepper(), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
     )
