@@ -130,6 +130,27 @@ def train(docs: DataFrame, per_language: int = 800, epochs: int = 3):
     return languages, idf, (weights / heat).astype(np.float32)
 
 
+def keep_known(docs: DataFrame, least_score: float, per_language: int = 800) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with ``least_score`` or more, with all their columns.
+
+    Learned from those of its rows that have a lang. Rows that ``identify`` calls ``und`` go; where no language
+    could be learned, all rows with a letter stay.
+    """
+    model = train(docs.select(F.col("doc_id").cast("long"), "text", "lang"), per_language)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        known = sent.value
+        for batch in row_blocks(batches, "text", most_rows=ROWS):
+            stay = np.array([has_letter(t) for t in batch.column("text").to_pylist()], bool)
+            if known:
+                _, idf, weights = known
+                stay &= softmax((weighted(gram_counts(batch), idf) @ weights).astype(np.float64)).max(1) >= least_score
+            yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, learn_from: Column, per_language: int = 800) -> DataFrame:
     """``docs`` (doc_id, text, lang) with ``lang_pred`` and the calibrated probability ``score`` of that language.
 

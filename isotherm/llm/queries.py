@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm import html_text, language, license_scan, line_dedup, packing, quality_rules, sharding, site_quality
+from isotherm.llm import decontamination, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -82,6 +82,11 @@ def op6(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_html_extraction")
 def op8(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -95,3 +100,8 @@ def held_out() -> Column:
 def op9(spark, sf_dir):
     found = language.identify(table(spark, sf_dir, "documents"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_ngram_join")
+def op10(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
