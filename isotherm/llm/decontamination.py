@@ -90,38 +90,45 @@ class Items:
                 at = at + ((word * odd[step] + shift[step]) >> np.uint64(63)).astype(np.int64)
         return key
 
-    def windows(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """For each band the starts of windows that may hold an item."""
+    def windows(self, words: np.ndarray, base: np.ndarray) -> dict[int, np.ndarray]:
+        """For each band the starts of windows that may hold an item; texts begin at ``base``."""
         found: dict[int, set[int]] = {}
         for q, table in self.runs.items():
             h = run_hashes(words, q)
-            for at in np.flatnonzero(self.held[q][(h >> np.uint64(64 - _BITS)).astype(np.int64)]).tolist():
-                for i, inside in table.get(int(h[at]), ()):
-                    found.setdefault(self.band[i], set()).add(max(at - inside, 0))
+            places = np.flatnonzero(self.held[q][(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+            begin = base[np.searchsorted(base, places, "right") - 1]
+            for at, first, key in zip(places.tolist(), begin.tolist(), h[places].tolist()):
+                for i, inside in table.get(key, ()):
+                    found.setdefault(self.band[i], set()).add(max(at - inside, first))
         return {band: np.array(sorted(s), np.int64) for band, s in found.items()}
 
-    def look_up(self, words: np.ndarray, at_once: int = 4096) -> list[tuple[int, int, int, int, int]]:
-        """``item, edits, first word, end, item words`` of the nearest passage for each item within its distance of some passage."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for band, starts in self.windows(words).items():
+    def look_up(self, texts: list[np.ndarray], at_once: int = 4096) -> list[list[tuple[int, int, int, int, int]]]:
+        """For each text ``item, edits, first word, end, item words`` of the nearest passage for each item that is within its distance."""
+        gap = np.zeros(1, np.int64)  # an unknown word, so no run goes over the end of a text
+        words = np.concatenate([part for t in texts for part in (t, gap)])
+        end = np.cumsum([len(t) + 1 for t in texts]) - 1
+        base = end - [len(t) for t in texts]
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        for band, starts in self.windows(words, base).items():
             known, table = self.tables[band]
             seen: set[tuple[int, int]] = set()
             for k in range(0, len(starts), at_once):
                 some = starts[k : k + at_once]
-                keys = self.walk(words, some, np.full(len(some), len(words)), band)
+                keys = self.walk(words, some, end[np.searchsorted(base, some, "right") - 1], band)
                 place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 for w, r in zip(*np.nonzero(known[place] == keys)):
                     for i in table[int(keys[w, r])]:
-                        seen.add((i, int(some[w])))
-            for i, start in sorted(seen):
-                n, e = len(self.items[i][1]), self.edits[i]
-                if i in best and best[i][0] == 0:
+                        seen.add((int(some[w]), i))
+            for start, i in sorted(seen):
+                text = int(np.searchsorted(base, start, "right")) - 1
+                n, e, own = len(self.items[i][1]), self.edits[i], best[text]
+                if i in own and own[i][0] == 0:
                     continue
-                low = max(start - e, 0)
-                hit = nearest(self.items[i][1], words[low : start + n + 2 * e], e)
-                if hit is not None and (i not in best or hit[0] < best[i][0]):
-                    best[i] = (hit[0], low + hit[1], low + hit[2])
-        return [(self.items[i][0], *best[i], len(self.items[i][1])) for i in sorted(best)]
+                low = max(start - e, int(base[text]))
+                hit = nearest(self.items[i][1], words[low : min(start + n + 2 * e, int(end[text]))], e)
+                if hit is not None and (i not in own or hit[0] < own[i][0]):
+                    own[i] = (hit[0], low - int(base[text]) + hit[1], low - int(base[text]) + hit[2])
+        return [[(self.items[i][0], *own[i], len(self.items[i][1])) for i in sorted(own)] for own in best]
 
 
 def run_hashes(words: np.ndarray, q: int) -> np.ndarray:
@@ -134,7 +141,8 @@ def run_hashes(words: np.ndarray, q: int) -> np.ndarray:
         for k in range(q):
             part = words[k : last + k]
             known &= part > 0
-            h = mix(h * np.uint64(0x100000001B3) + part.astype(np.uint64))
+            h = h * np.uint64(0x5851F42D4C957F2D) + part.astype(np.uint64)
+        h = mix(h)
     return np.where(known, h, np.uint64(0))
 
 
@@ -201,8 +209,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: in
             for batch in row_blocks(batches, "text"):
                 out = [
                     (doc, *hit)
-                    for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"))
-                    for hit in items.look_up(numbered_words(text, items.vocabulary))
+                    for doc, hits in zip(batch.column("doc_id").to_pylist(), items.look_up([numbered_words(t, items.vocabulary) for t in bytes_of(batch, "text")]))
+                    for hit in hits
                 ]
                 names = [f.strip().split()[0] for f in schema.split(",")]
                 yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names=names)
@@ -223,7 +231,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeat
 
         def clean(batches):
             for batch in row_blocks(batches, "text"):
-                keep = [not items.look_up(numbered_words(t, items.vocabulary)) for t in bytes_of(batch, "text")]
+                keep = [not hits for hits in items.look_up([numbered_words(t, items.vocabulary) for t in bytes_of(batch, "text")])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return rows.mapInArrow(clean, rows.schema)
