@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.batches import bytes_of, mix, row_blocks, word_pieces
+from isotherm.llm.batches import BLOCK, mix, row_blocks, texts_of
 
-_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _BITS = 20  # of the table that tells which runs of words stand in an item
 
 
@@ -27,11 +27,11 @@ class Items:
     Hamming distance. An LSH key is what a walk wrote at ``samples`` random steps.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], ratio: float, repeats: int, samples: int, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], ratio: float, repeats: int, samples: int, seed: int = 7):
         self.vocabulary: dict[bytes, int] = {}
         self.items = []
         for item, text in items:
-            words = text.translate(_WORDS).split()
+            words = words_of(text)
             if words:
                 self.items.append((item, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)))
         self.edits = [math.floor(ratio * len(w)) for _, w in self.items]
@@ -131,6 +131,11 @@ class Items:
         return [[(self.items[i][0], *own[i], len(self.items[i][1])) for i in sorted(own)] for own in best]
 
 
+def words_of(text: str) -> list[bytes]:
+    """Case-folded runs of ASCII letters and digits and of all other non-ASCII characters."""
+    return text.casefold().encode().translate(_WORDS).split()
+
+
 def run_hashes(words: np.ndarray, q: int) -> np.ndarray:
     """Hashes of all runs of ``q`` known words; 0 where a word is unknown."""
     if len(words) < q:
@@ -178,23 +183,33 @@ def item_blocks(benchmark: DataFrame, block_bytes: int):
     blocks = max(1, math.ceil(size / block_bytes))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield sorted((r["item_id"], r["text"].encode()) for r in own.collect())
+        yield sorted((r["item_id"], r["text"]) for r in own.collect())
 
 
-def numbered_words(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+def numbered_words(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
     """A text's words as the items' numbers; 0 for all words that stand in no item."""
     parts = []
-    for piece in word_pieces(text):
-        words = piece.translate(_WORDS).split()
+    for start, stop in pieces(text):
+        words = words_of(text[start:stop])
         parts.append(np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words)))
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
+def pieces(text: str, limit: int = BLOCK):
+    """Bounds of the pieces of a long text, cut only at spaces."""
+    start = 0
+    while start < len(text):
+        stop = text.find(" ", start + limit) if len(text) > start + limit else -1
+        stop = len(text) if stop < 0 else stop
+        yield start, stop
+        start = stop
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: int = 24, samples: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, item_id, edits, first_word, end_word, item_words``: each item that a row of ``docs`` (doc_id, text) holds.
 
     A document holds an item (item_id, text) if a part of it is within ``ratio`` x item words of word edits; words are
-    lower-cased (A-Z) runs of ASCII letters and digits and of all other non-ASCII characters. The nearest part counts, of equals the
+    case-folded runs of ASCII letters and digits and of all other non-ASCII characters. The nearest part counts, of equals the
     first that is found. Of passages at the largest distance the LSH finds nearly all: its recall is tested. Null or empty texts hold
     nothing, items without words or id are in nothing; repeated rows and items each give their rows. The benchmark is
     taken in blocks of ``block_bytes``, so what goes to the tasks is bounded; nothing is shuffled.
@@ -209,7 +224,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: in
             for batch in row_blocks(batches, "text"):
                 out = [
                     (doc, *hit)
-                    for doc, hits in zip(batch.column("doc_id").to_pylist(), items.look_up([numbered_words(t, items.vocabulary) for t in bytes_of(batch, "text")]))
+                    for doc, hits in zip(batch.column("doc_id").to_pylist(), items.look_up([numbered_words(t, items.vocabulary) for t in texts_of(batch, "text")]))
                     for hit in hits
                 ]
                 names = [f.strip().split()[0] for f in schema.split(",")]
@@ -231,7 +246,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeat
 
         def clean(batches):
             for batch in row_blocks(batches, "text"):
-                keep = [not hits for hits in items.look_up([numbered_words(t, items.vocabulary) for t in bytes_of(batch, "text")])]
+                keep = [not hits for hits in items.look_up([numbered_words(t, items.vocabulary) for t in texts_of(batch, "text")])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return rows.mapInArrow(clean, rows.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.tables import staged
+from isotherm.llm.tables import fresh, staged
 
 
 def boilerplate(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
@@ -35,16 +35,16 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1,
     that loses every line has an empty text. Pages without a host form one host; repeated rows are pages of
     their own. Other columns are kept; columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    found = staged(boilerplate(docs, host, ratio, least_pages), "boilerplate")
+    site, lines, kept = (fresh(docs, n) for n in ("host", "lines", "kept"))
+    found = staged(boilerplate(docs, host, ratio, least_pages).toDF(site, lines), "boilerplate")
     whole = F.split("text", "\n")
-    kept = F.filter(whole, lambda x: (F.trim(x) == "") | ~F.array_contains("_lines", F.xxhash64(x)))
-    marked = docs.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(found, "_host", "left")
-    lines = F.when(F.col("_lines").isNull(), whole).otherwise(kept)
-    count = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
+    rest = F.filter(whole, lambda x: (F.trim(x) == "") | ~F.array_contains(lines, F.xxhash64(x)))
+    marked = docs.withColumn(site, F.coalesce(F.col(host), F.lit(""))).join(found, site, "left")
+    count = lambda x: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
     return (
-        marked.withColumn("_kept", lines)
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(count(whole)))
-        .withColumn("n_dropped", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - count(F.col("_kept"))))
-        .withColumn("text", F.concat_ws("\n", "_kept"))
-        .drop("_host", "_lines", "_kept")
+        marked.withColumn(kept, F.when(F.col(lines).isNull(), whole).otherwise(rest))
+        .withColumn("n_lines", count(whole))
+        .withColumn("n_dropped", F.col("n_lines") - count(F.col(kept)))
+        .withColumn("text", F.when(F.col("text").isNotNull(), F.concat_ws("\n", kept)))
+        .drop(site, lines, kept)
     )

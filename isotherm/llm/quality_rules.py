@@ -137,17 +137,22 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept that make ``raw`` a calibrated logit, with Platt's smoothed targets."""
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    slope, cut = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * raw + cut, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - target) * raw).sum(), (p - target).sum()])
-        hess = np.array([[(w * raw * raw).sum() + 1e-6, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        slope, cut = slope - step[0], cut - step[1]
-        if np.abs(step).max() < 1e-8:
+    middle, width = raw.mean(), max(raw.std(), 1e-9)
+    x = np.stack([(raw - middle) / width, np.ones(len(raw))], 1)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - target @ (x @ w) + 1e-6 * w @ w
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slant = x.T @ (p - target) + 2e-6 * w
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), slant)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return float(max(slope, 1e-3)), float(cut)
+    slope = max(w[0] / width, 1e-6)
+    return float(slope), float(w[1] - slope * middle)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 5000):
