@@ -11,7 +11,7 @@ from isotherm.plans.oracle import squeeze as sql_squeeze
 from isotherm.plans.reports import build_bundle
 from isotherm.schemas import RAW_PANEL
 from isotherm.session import materialize
-from isotherm.sources import bundle, delimited, sinks
+from isotherm.sources import bundle, delimited, sinks, uploads
 
 MESSY_HEADERS = {"Country": " country ", "Region": "REGION", "Year": "year", "AvgTemperature": " avg_temp  "}
 UNITS = "'Ã‚Â°C|Â°C|Ã‚Â°|Â°|°C|°|degrees|degree|deg'"
@@ -46,14 +46,38 @@ def messy(w):
     return w.dirty.select(*[F.col(c).alias(name) for c, name in MESSY_HEADERS.items()])
 
 
-def upload_folder(w, per_dataset: bool = False):
-    """The dirty panel written as delimited files, as an upload folder would hold it."""
+def upload_folder(w):
+    """The dirty panel written as delimited files with one header."""
     path = w.work_path("uploads")
     rows = w.dirty.select(*MESSY_HEADERS)
     rows.write.option("header", True).option("quoteAll", True).option("emptyValue", "").csv(path)
     return path
 
 
+# Headers of uploads by remainder of the key: column names in file order; the last one lacks the region.
+UPLOAD_HEADERS = [
+    {"Country": "Country", "Region": "Region", "Year": "Year", "AvgTemperature": "AvgTemperature"},
+    {" Year": "Year", "temperature": "AvgTemperature", "COUNTRY": "Country", "region ": "Region"},
+    {"note, free": None, "Region": "Region", "avg_temp": "AvgTemperature", "Country": "Country", "year": "Year"},
+    {"Year": "Year", "Country": "Country", "AvgTemp": "AvgTemperature"},
+]
+
+
+def mixed_uploads(w):
+    """The dirty panel as an upload folder whose files have different headers; names tell the header."""
+    path = w.work_path("mixed-uploads")
+    for i, header in enumerate(UPLOAD_HEADERS):
+        rows = w.dirty.where(F.col("o_orderkey") % len(UPLOAD_HEADERS) == i)
+        shown = [(F.lit('x, "y"') if c is None else F.col(c)).alias(name) for name, c in header.items()]
+        part = rows.select(*shown).write.option("header", True).option("quoteAll", True).option("emptyValue", "")
+        part.option("escape", '"').csv(f"{path}/kind{i}")
+    return f"{path}/*"
+
+
+KIND_OF_FILE = F.regexp_extract("file", "/kind([0-9]+)/", 1).cast("int").alias("kind")
+CANONICAL = "SELECT o_orderkey % 4 AS kind, Country, Region, Year, AvgTemperature FROM dirty WHERE o_orderkey % 4 <> 3 AND NOT (Country IS NULL AND Region IS NULL AND Year IS NULL AND AvgTemperature IS NULL)"
+
+
 @query(
     "src01_csv_scan",
     clean_sql() + """, loaded AS (
@@ -96,13 +120,24 @@ def _(w):
     return out
 
 
-@query("src04_upload_folder", "SELECT count(*) AS n_rows, true AS all_named FROM dirty WHERE Country IS NOT NULL OR Region IS NOT NULL OR Year IS NOT NULL OR AvgTemperature IS NOT NULL")
+@query("src04_upload_folder", CANONICAL.replace("Country, Region, Year, AvgTemperature FROM", "nullif(trim(Country), '') AS Country, nullif(trim(Region), '') AS Region, nullif(trim(Year), '') AS Year, nullif(trim(AvgTemperature), '') AS AvgTemperature FROM"))
 def _(w):
-    uploads = delimited.read_uploads(w.spark, upload_folder(w), RAW_PANEL).dropna("all", subset=RAW_PANEL.names)
-    listed = delimited.list_uploads(uploads)
-    return listed.agg(
-        F.sum("n_rows").alias("n_rows"), F.bool_and(F.col("dataset_id").endswith(".csv")).alias("all_named")
-    )
+    lines = uploads.upload_lines(w.spark.read.text(mixed_uploads(w)))
+    headers = uploads.upload_headers(lines)
+    kinds = headers.select("dataset_id", KIND_OF_FILE)
+    rows = uploads.panel_rows(lines, headers).dropna("all", subset=RAW_PANEL.names).join(kinds, "dataset_id")
+    return rows.select("kind", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in RAW_PANEL.names])
+
+
+@query(
+    "src04_upload_report",
+    """ SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Country=country, Region=region, Year=year, AvgTemperature=avgtemperature' WHEN 1 THEN 'Country=country, Region=region, Year=year, AvgTemperature=temperature'
+      WHEN 2 THEN 'Country=country, Region=region, Year=year, AvgTemperature=avg_temp' ELSE 'Country=country, Year=year, AvgTemperature=avgtemp' END AS columns_detected,
+      CASE WHEN o_orderkey % 4 = 3 THEN 'Region' ELSE '' END AS missing, sum(CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END)::BIGINT AS n_rows FROM dirty GROUP BY 1, 2""",
+)
+def _(w):
+    report = uploads.upload_report(w.spark, mixed_uploads(w))
+    return report.groupBy("columns_detected", "missing").agg(F.sum("n_rows").alias("n_rows"))
 
 
 @query("src05_select_dataset", "SELECT * FROM country_trends")

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from isotherm.operators import linking
 from isotherm.plans.catalog import query
-from isotherm.plans.ingest_queries import SUMMARY_SQL, clean_sql, summary, upload_folder
+from isotherm.plans.ingest_queries import KIND_OF_FILE, clean_sql, mixed_uploads
 from isotherm.plans.oracle import r
 from isotherm.plans.text_queries import ROUTES, as_of
 from isotherm.plans.workload import EVENT_CODE, QUESTION, QUESTION_PARTS
+from isotherm.sources import uploads
 from isotherm.streaming.conversation import carried_state
 from isotherm.streaming.enrich import enrich_readings
 from isotherm.streaming.ingest import ingest_uploads
@@ -21,11 +22,20 @@ def event_stream(w):
     return files.parquet(f"{w.sf_dir}/events*.parquet")
 
 
-@query("st01_stream_ingest", clean_sql() + SUMMARY_SQL)
+@query(
+    "st01_stream_ingest",
+    clean_sql() + """ SELECT o_orderkey % 4 AS kind, Country, Region, Year, AvgTemperature FROM clean WHERE o_orderkey % 4 <> 3
+    UNION ALL SELECT 3, 'Region', NULL, NULL, NULL""",
+)
 def _(w):
-    folder, out = upload_folder(w), w.work_path("ingested")
+    """Every row that was ingested, with the header its file had, and the file kinds that were refused."""
+    folder, out = mixed_uploads(w), w.work_path("ingested")
     ingest_uploads(w.spark, folder, out, w.work_path("ingest-log"), files_per_batch=4).awaitTermination()
-    return summary(w.spark.read.parquet(out))
+    files = uploads.upload_headers(uploads.upload_lines(w.spark.read.text(folder))).select("dataset_id", KIND_OF_FILE)
+    rows = w.spark.read.parquet(out).join(files, "dataset_id").select("kind", "Country", "Region", "Year", "AvgTemperature")
+    refused = w.spark.read.parquet(f"{out}-headers").where("missing <> ''").join(files, "dataset_id").select("kind", "missing").distinct()
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("Region", "string"), ("Year", "int"), ("AvgTemperature", "double"))]
+    return rows.unionByName(refused.select("kind", F.col("missing").alias("Country"), *nothing))
 
 
 MEAN = "(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) / count(value))"

@@ -1,4 +1,4 @@
-"""Delimited files: one scan, cleaned on the way; folders of uploads as datasets."""
+"""Delimited files: one scan, cleaned on the way."""
 
 from __future__ import annotations
 
@@ -34,12 +34,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return apply_region_corrections(cleaned)
 
 
-def read_uploads(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All uploads of a folder in one scan; the file name is the ``dataset_id``."""
-    rows = spark.read.option("header", True).schema(schema).csv(folder)
-    return rows.withColumn("dataset_id", F.col("_metadata.file_name"))
-
-
 def list_uploads(uploads: DataFrame) -> DataFrame:
     """The uploads of a folder with their row counts."""
     return uploads.groupBy("dataset_id").agg(F.count("*").alias("n_rows"))

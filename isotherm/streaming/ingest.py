@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from isotherm.operators.cleaning import clean_panel
 from isotherm.schemas import RAW_PANEL
+from isotherm.sources.uploads import panel_rows, upload_headers, upload_lines
 
 
 def ingest_uploads(
     spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Clean the new delimited files of ``folder`` and append them to ``out`` by ``dataset_id``.
+    """Clean the new delimited files of ``folder`` into ``out``, one partition ``batch`` per micro-batch.
 
-    The cleaning is one narrow stage with a fixed 95-row broadcast. Stops when
-    everything that was there has been read; run it again for later files.
+    Each file's columns are found by its own header; ``dataset_id`` keeps the file name. A batch that is run
+    again after a failure replaces its own partition. ``out``-``headers`` holds each batch's files with the columns
+    they miss. Stops when everything that was there has been read; run it again for later files.
     """
-    files = (
-        spark.readStream.option("header", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .schema(RAW_PANEL)
-        .csv(folder)
-    )
-    named = files.withColumn("dataset_id", F.col("_metadata.file_name"))
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+
+    def write(lines: DataFrame, batch: int) -> None:
+        headers = upload_headers(lines)
+        rows = clean_panel(panel_rows(lines, headers).dropna("all", subset=RAW_PANEL.names))
+        report = headers.select("dataset_id", F.array_join("missing", ", ").alias("missing"))
+        for df, path in ((rows, out), (report, f"{out}-headers")):
+            keyed = df.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+            keyed.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
     return (
-        clean_panel(named.dropna("all", subset=RAW_PANEL.names))
-        .writeStream.format("parquet")
-        .partitionBy("dataset_id")
-        .option("path", out)
+        upload_lines(files)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .outputMode("append")
         .start()
     )
