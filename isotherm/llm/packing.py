@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import types
 import zlib
@@ -17,19 +18,30 @@ from isotherm.llm.tables import number_within, staged
 _USUAL = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
 _TWO_SPACES = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?= \S)")
-_HELD = 400_000  # remembered units of a Python worker
+_STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+_HELD = 800_000  # remembered units of a Python worker
 
 
 def units_of(text: str) -> list[str]:
     """A text cut before its spaces, where the tokenizer's pattern always starts a new match.
 
     Of several white-space characters the pattern splits off the last one before a word, so a cut needs a
-    non-space on one side.
+    non-space on one side. A line feed between non-spaces stands alone.
     """
     if _TWO_SPACES.search(text):
         return [u for u in _CUTS.split(text) if u]
-    first, *rest = text.split(" ")
-    return [*([first] if first else []), *(" " + r for r in rest)]
+    out = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        if first:
+            out.append(first)
+        out += [" " + r for r in rest]
+        out.append("\n")
+    return out[:-1]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -49,23 +61,34 @@ class Encoder:
         self.fast = _ranks(ranks, pattern) if ranks else None
 
     def learn(self, units: set[str]) -> None:
-        if len(self.known) > _HELD:
-            self.known.clear()
-        pack = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
+        known = self.known
+        if len(known) > _HELD:
+            known.clear()
         rare = []
-        for u in units - self.known.keys():
-            if self.fast is not None and _USUAL.fullmatch(u):
-                self.known[u] = pack(self.fast.encode_ordinary(u))
+        for u in units:
+            if u in known:
+                continue
+            if m := _STEM.fullmatch(u):  # letters, then signs: two matches of the pattern
+                known[u] = self._own(m[1]) + self._own(m[2])
+            elif self.fast is not None and _USUAL.fullmatch(u):
+                known[u] = self._own(u)
             else:
                 rare.append(u)
         for u, e in zip(rare, self.slow.encode_batch(rare, add_special_tokens=False)):
-            self.known[u] = pack(e.ids)
+            known[u] = _packed(e.ids)
+
+    def _own(self, unit: str) -> bytes:
+        found = self.known.get(unit)
+        if found is None:
+            plain = self.fast.encode_ordinary(unit) if self.fast is not None else self.slow.encode(unit, add_special_tokens=False).ids
+            found = self.known[unit] = _packed(plain)
+        return found
 
     def encode(self, text: str, piece: int = 1 << 20) -> bytes:
         units, parts = units_of(text), []
         for start in range(0, len(units), piece):
             some = units[start : start + piece]
-            self.learn(set(some) | {""})
+            self.learn(set(some))
             parts.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(parts)
 
