@@ -8,22 +8,6 @@ from pyspark.sql import functions as F
 
 from isotherm.session import materialize
 
-_ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast ``df`` only after counting that it fits; otherwise leave the choice to AQE.
-
-    Pass a table that is cheap to read twice (a file, or a materialized one).
-    """
-    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    width = F.lit(16 * len(df.columns))
-    for name in texts:
-        width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
-    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table that comes in fewer splits than there are cores over all cores.
 
@@ -34,63 +18,51 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def number_rows(df: DataFrame, *order: Column, name: str = "row_no") -> DataFrame:
-    """Row numbers of a total order over a table of any size.
+def _sorted_rows(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` range-sorted and staged, with ``_part`` and a number ``_id`` that grows by one inside each part."""
+    ordered = df.orderBy(*order)
+    return materialize(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")), "sorted")
+
+
+def _before() -> W:
+    return W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+
 
-    The table is range-sorted once and checkpointed, so its partitions stay put;
-    rows are numbered inside their partition and shifted by the sizes of the
-    partitions before it. Only those sizes (one row per partition) meet in one task.
+def number_rows(df: DataFrame, *order: Column, name: str = "row_no", total: str | None = None) -> DataFrame:
+    """Row numbers of a total order over a table of any size; ``total`` adds the number of all rows.
+
+    The table is range-sorted once and staged; rows are numbered inside their part and shifted by the sizes of
+    the parts before it. Only those sizes (one row per part) meet in one task.
     """
-    ordered = materialize(df.orderBy(*order))
-    row_id = F.monotonically_increasing_id()
-    tagged = ordered.withColumn("_id", row_id).withColumn("_part", F.shiftright("_id", _ROW_BITS))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        tagged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, inside + F.col("_offset") + 1)
-        .drop("_id", "_part", "_offset")
-    )
+    tagged = _sorted_rows(df, *order)
+    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    shift = F.coalesce(F.sum("_n").over(_before()), F.lit(0))
+    whole = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    offsets = sizes.select("_part", (shift - F.col("_first") + 1).alias("_offset"), *([whole.alias(total)] if total else []))
+    numbered = tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_id") + F.col("_offset"))
+    return numbered.drop("_part", "_id", "_offset")
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``value, n, rank_to``: each distinct value, how often it occurs, and how many rows are <= it."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    ordered = materialize(counts.orderBy(value)).withColumn(
-        "_part", F.shiftright(F.monotonically_increasing_id(), _ROW_BITS)
-    )
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ordered.groupBy("_part")
-        .agg(F.sum("n").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        ordered.withColumn("_run", F.sum("n").over(inside))
-        .join(F.broadcast(offsets), "_part")
-        .select(value, "n", (F.col("_run") + F.col("_offset")).alias("rank_to"))
-    )
+SKETCH = 10_000  # accuracy of the quantile sketch: it errs by 1 / SKETCH of the rows
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row ``median``: the middle value, or the mean of the two middle ones.
 
-    ``median()`` holds every distinct value in one buffer; here equal values are
-    counted first and the counts are summed along a distributed sort.
+    A quantile sketch in one pass brackets the middle, twice as wide as it may err. A second pass counts the rows
+    below the bracket and the values inside it; of all values only those few (6 / SKETCH of the rows at most) are sorted.
     """
-    ranks = materialize(value_ranks(df, value))
-    total = ranks.select(F.max("rank_to")).scalar()
-    middle = ranks.withColumn("_total", total)
-    low = F.floor((F.col("_total") + 1) / 2)
-    high = F.floor((F.col("_total") + 2) / 2)
-    pick = lambda at: F.min(F.when(F.col("rank_to") >= at, F.col(value))).cast("double")
-    return middle.agg(((pick(low) + pick(high)) / 2).alias("median"))
+    rows = df.where(F.col(value).isNotNull()).select(value)
+    low, high, n = rows.agg(
+        F.percentile_approx(value, 0.5 - 2 / SKETCH, SKETCH), F.percentile_approx(value, 0.5 + 2 / SKETCH, SKETCH), F.count("*")
+    ).first()
+    if not n:
+        return rows.agg(F.avg(value).cast("double").alias("median"))
+    inside = F.when(F.col(value) >= F.lit(low), F.col(value))
+    grouped = rows.where(F.col(value) <= F.lit(high)).groupBy(inside.alias("v")).agg(F.count("*").alias("n"))
+    ranks = grouped.withColumn("rank_to", F.sum("n").over(W.orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0)))
+    pick = lambda at: F.min(F.when(F.col("v").isNotNull() & (F.col("rank_to") >= at), F.col("v"))).cast("double")
+    return ranks.agg(((pick((n + 1) // 2) + pick((n + 2) // 2)) / 2).alias("median"))
 
 
 def carry_forward(

@@ -113,12 +113,24 @@ def country_against_region() -> Column:
     )
 
 
-def weather_lines(record: str) -> Column:
+def _reader(record: str, decimals: int | None):
+    """Texts of the fields of an observation record; numbers as they are, or rounded to ``decimals``."""
+
+    def text(path: str, nothing: str = "N/A") -> Column:
+        c = F.col(f"{record}.{path}")
+        shown = c.cast("string") if decimals is None or path.endswith("condition") else F.when(c.isNotNull(), fmt_number(c, "", decimals))
+        return F.coalesce(shown, F.lit(nothing))
+
+    place = F.concat_ws(", ", *[F.nullif(F.col(f"{record}.location.{n}"), F.lit("")) for n in ("name", "admin1", "country")])
+    return text, place
+
+
+def weather_lines(record: str, date: Column | None = None, decimals: int | None = None) -> Column:
     """An observation record as label-value lines."""
-    text = lambda path, nothing="N/A": F.coalesce(F.col(f"{record}.{path}").cast("string"), F.lit(nothing))
-    place = F.concat_ws(", ", *[F.col(f"{record}.location.{n}") for n in ("name", "admin1", "country")])
+    text, place = _reader(record, decimals)
     return F.concat(
         F.lit("Location: "), F.coalesce(F.nullif(place, F.lit("")), F.lit("Unknown")),
+        F.lit("\nDate: "), F.coalesce(date, F.lit("Unknown")) if date is not None else F.lit("Unknown"),
         F.lit("\nTemperature: "), text("current.temperature_c"), F.lit(" C"),
         F.lit("\nFeels Like: "), text("current.feels_like_c"), F.lit(" C"),
         F.lit("\nCondition: "), text("current.condition", "Unknown"),
@@ -128,3 +140,32 @@ def weather_lines(record: str) -> Column:
         F.lit("\nToday Max: "), text("today.max_temperature_c"), F.lit(" C"),
         F.lit("\nRain: "), text("today.rain_sum_mm"), F.lit(" mm"),
     )
+
+
+def weather_answer(record: str, decimals: int | None = None) -> Column:
+    """An observation record as an answer with a forecast part."""
+    text, place = _reader(record, decimals)
+    return F.concat(
+        F.lit("Weather Analysis\n\nLocation: "), place,
+        F.lit("\nTemperature: "), text("current.temperature_c"), F.lit("°C\nFeels like: "), text("current.feels_like_c"),
+        F.lit("°C\nCondition: "), text("current.condition"), F.lit("\nHumidity: "), text("current.humidity_percent"),
+        F.lit("%\nWind: "), text("current.wind_speed_kmh"), F.lit(" km/h\n\nForecast:\nMin: "), text("today.min_temperature_c"),
+        F.lit("°C\nMax: "), text("today.max_temperature_c"), F.lit("°C\nRain: "), text("today.rain_sum_mm"), F.lit(" mm\n"),
+    )
+
+
+def weather_context(record: str, date: Column, historical: Column, decimals: int | None = None) -> Column:
+    """An observation record as context; a historical one has no felt temperature and no humidity, and names its date."""
+    read, _ = _reader(record, decimals)
+    text = lambda path: read(path, "None")
+    place = lambda n: F.coalesce(F.col(f"{record}.location.{n}"), F.lit("None"))
+    current = lambda label, path, unit: F.when(historical, "").otherwise(F.concat(F.lit(label), text(path), F.lit(unit)))
+    title = F.when(historical, F.concat(F.lit("Historical weather on "), F.coalesce(date, F.lit("")))).otherwise("Current conditions")
+    return F.concat(
+        F.lit("\nLocation: "), place("name"), F.lit(", "), place("country"), F.lit("\n"), title,
+        F.lit("\n\nTemperature: "), text("current.temperature_c"), F.lit("°C\n"),
+        current("Feels Like: ", "current.feels_like_c", "°C"), F.lit("\nCondition: "), text("current.condition"), F.lit("\n"),
+        current("Humidity: ", "current.humidity_percent", "%"), F.lit("\nWind Speed: "), text("current.wind_speed_kmh"),
+        F.lit(" km/h\n\nDaily Summary:\nMin Temp: "), text("today.min_temperature_c"), F.lit("°C\nMax Temp: "),
+        text("today.max_temperature_c"), F.lit("°C\nRain: "), text("today.rain_sum_mm"), F.lit(" mm\n"),
+    )

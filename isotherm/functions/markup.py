@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.numbers import append_unit
 
+# The patterns of a label with its value and of the line types.
 LABEL_VALUE = r"^(?:\*\*)?([^:*]+?)(?:\*\*)?\s*[:\-]\s*(.+?)$"
 
 # The field each known label fills.

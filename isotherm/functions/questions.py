@@ -158,6 +158,7 @@ def question_type(text: Column, whole_words: bool = False) -> Column:
 def top_n(text: Column, default: int = 10, cap: int = 200) -> Column:
     """The number of rows a question asks for, by the first of four patterns that hits."""
     q = F.lower(text)
+    # The ways a number of rows is asked for.
     entity = "countries|regions|hottest|coolest|warmest|fastest|coldest|slowest"
     patterns = [
         r"(?U)\btop[\s\-_]?([0-9]+)\b",
@@ -189,6 +190,7 @@ def asks_past_weather(q: Column, date: Column) -> Column:
 
 def is_followup(q: Column, place: Column) -> Column:
     """Refers back, and names no new year, place or ranking."""
+    # The pattern of past years is a fixed value.
     fresh = has_any(q, FOLLOWUP_NEW_YEAR) | place.isNotNull() | q.rlike(YEAR)
     return (
         F.when(fresh, False)
@@ -209,20 +211,22 @@ def fixed_route(q: Column, place: Column, date: Column) -> Column:
     )
 
 
-def keyword_route(q: Column, place: Column, names_place: Column) -> Column:
-    """The route by keywords alone; ``names_place`` tells whether the text names a known place."""
-    table = has_any(q, ROUTE_TABLE)
-    live = has_any(q, ROUTE_LIVE)
+def early_route(q: Column) -> Column:
+    """What keywords settle before a known place is looked for; else null."""
+    table, live = has_any(q, ROUTE_TABLE), has_any(q, ROUTE_LIVE)
     hybrid = has_any(q, ROUTE_HYBRID) | (live & has_any(q, ROUTE_HYBRID_TABLE))
+    return F.when(hybrid, "hybrid").when(live & ~table, "weather").when(table, "climate")
+
+
+def late_route(q: Column, place: Column) -> Column:
+    """What keywords settle for a text that names no known place."""
     warm_place = has_any(q, ROUTE_TEMPERATURE) & place.isNotNull()
-    return (
-        F.when(hybrid, "hybrid")
-        .when(live & ~table, "weather")
-        .when(table | names_place, "climate")
-        .when(live | warm_place, "weather")
-        .when(has_any(q, ROUTE_LAST_CHANCE), "climate")
-        .otherwise("out_of_scope")
-    )
+    return F.when(has_any(q, ROUTE_LIVE) | warm_place, "weather").when(has_any(q, ROUTE_LAST_CHANCE), "climate").otherwise("out_of_scope")
+
+
+def keyword_route(early: Column, names_place: Column, late: Column) -> Column:
+    """The two parts with, between them, whether the text names a known place."""
+    return F.coalesce(early, F.when(names_place, "climate"), late)
 
 
 def source_of(route: Column) -> Column:
@@ -236,15 +240,15 @@ def followup_route(last_source: Column) -> Column:
 
 
 def with_routes(df: DataFrame, text: str, as_of: Column) -> DataFrame:
-    """Add ``q, place, date, fixed, follow, keyword`` to texts with ``names_place``."""
+    """Add ``q, place, date, fixed, follow, early, late``; and ``keyword`` to texts that have ``names_place``."""
     q, place, date = F.col("q"), F.col("place"), F.col("date")
-    return parse_texts(df, text, as_of).withColumns(
-        {
-            "fixed": fixed_route(q, place, date),
-            "follow": is_followup(q, place),
-            "keyword": keyword_route(q, place, F.col("names_place")),
-        }
+    routed = parse_texts(df, text, as_of).withColumns(
+        {"fixed": fixed_route(q, place, date), "follow": is_followup(q, place), "early": early_route(q)}
     )
+    routed = routed.withColumn("late", F.when(F.col("early").isNull(), late_route(q, place)))
+    if "names_place" not in df.columns:
+        return routed
+    return routed.withColumn("keyword", keyword_route(F.col("early"), F.col("names_place"), F.col("late")))
 
 
 def answer_route(last_source: Column) -> Column:

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.lookups import MONTHS, PLACE_ALIASES, map_column
 
-# A month name or its short form; the longer one is tried first.
-MONTH_NAMES = (
-    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-    "sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
-)
+
+def _shorter_forms(names) -> str:
+    """A pattern for the names in which one that continues another is its optional rest."""
+    stems = [n for n in names if not any(n != m and n.startswith(m) for m in names)]
+    rest = lambda n: "|".join(m[len(n):] for m in names if m != n and m.startswith(n))
+    return "|".join(n + (f"(?:{rest(n)})?" if rest(n) else "") for n in stems)
+
+
+MONTH_NAMES = _shorter_forms(list(MONTHS))  # the longer form is tried first
+# Fixed value: a year.
 YEAR = r"(?U)\b(19[0-9]{2}|20[0-9]{2})\b"
 
 # Words that end a place phrase, and words that are no place.
@@ -132,6 +137,7 @@ def with_place(df: DataFrame, text: str, name: str = "place") -> DataFrame:
     t = F.regexp_replace(t, r"(?U)\b(19|20)[0-9]{2}\b", "")
     t = F.regexp_replace(t, r"(?U)\b[0-9]{1,2}(st|nd|rd|th)?\b", "")
     t = squeeze(F.regexp_replace(t, r"(?iU)\bon\b", ""))
+    # A place phrase and the words before it.
     phrase = rf"([A-Za-z][A-Za-z\s]{{1,40}}?)(?:\s+(?:{PLACE_END})|\?|$)"
     weather = "weather|temperature|temp|forecast|condition|conditions"
     patterns = [

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.functions.distributed import broadcast_if_small
 from isotherm.functions.numbers import round_to
 
 # The compared metrics.
@@ -19,42 +18,41 @@ METRICS = {
 
 
 def pair_differences(
-    named: DataFrame, key: str, trends: DataFrame, order: list[Column], first: int | None = None
+    named: DataFrame, key: str, trends: DataFrame, order: list[Column], first: int | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Metric differences of the countries that one question names, as ``key, a, b, ...``.
 
-    ``named`` is ``key, name``. The join is within a question, so the pairs are
-    those of the names its own text holds; with ``first`` only its first names count.
+    ``named`` is ``key, name``. A question's countries are numbered and listed in one row, and the pairs are taken
+    from that list: as many as the square of the names its own text holds. With ``first`` only its first names
+    count. ``by`` are the columns ``named`` is partitioned by already, if any; they save the shuffle.
     """
+    keys = by or [key]
     metrics = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in METRICS.values()]
-    rows = named.select(key, F.col("name").alias("Country")).join(
-        trends.select("Region", "Country", *metrics), "Country"
-    )
-    place = W.partitionBy(key).orderBy(*order)
-    rows = rows.withColumn("_no", F.row_number().over(place))
+    rows = named.select(*keys, F.col("name").alias("Country")).join(trends.select("Region", "Country", *metrics), "Country")
+    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     if first is not None:
         rows = rows.where(F.col("_no") <= first)
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._no") < F.col("b._no"))
-    return a.join(b, same).select(
-        F.col(f"a.{key}").alias(key),
-        F.col("a.Country").alias("a"),
-        F.col("b.Country").alias("b"),
-        *[
-            round_to(F.col(f"a.{c}") - F.col(f"b.{c}"), 3).alias(name)
-            for name, c in METRICS.items()
-        ],
+    entry = F.struct("_no", "Country", *METRICS.values())
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    rest = lambda i: F.slice("_all", i + 2, F.size("_all"))
+    pairs = F.flatten(F.transform("_all", lambda a, i: F.transform(rest(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    each = listed.select(key, F.explode_outer(pairs).alias("_p")).where("_p IS NOT NULL")
+    return each.select(
+        key,
+        F.col("_p.a.Country").alias("a"),
+        F.col("_p.b.Country").alias("b"),
+        *[round_to(F.col(f"_p.a.{c}") - F.col(f"_p.b.{c}"), 3).alias(name) for name, c in METRICS.items()],
     )
 
 
 def with_country_trends(observations: DataFrame, country: str, trends: DataFrame) -> DataFrame:
     """Left join of readings with the trend row of their country, ignoring case.
 
-    ``trends`` must be cheap to read twice; it is broadcast only if it is small.
+    ``trends`` should be a written table: the optimizer then knows its size and broadcasts it if it is small.
     """
     known = trends.withColumn("_name", F.lower("Country")).withColumnRenamed("Country", "MatchedCountry").drop("Region")
     named = observations.withColumn("_name", F.lower(F.col(country)))
-    return named.join(broadcast_if_small(known), "_name", "left").drop("_name")
+    return named.join(known, "_name", "left").drop("_name")
 
 
 def against_history(
@@ -62,10 +60,10 @@ def against_history(
 ) -> DataFrame:
     """Current reading, historical average and their difference.
 
-    ``trends`` must be cheap to read twice; it is broadcast only if it is small.
+    ``trends`` should be a written table: the optimizer then knows its size and broadcasts it if it is small.
     """
     known = trends.select(F.lower("Country").alias("_name"), F.col("AverageTemperature").alias("historical_avg"))
     joined = observations.withColumn("_name", F.lower(F.col(country))).join(
-        broadcast_if_small(known), "_name", "left"
+        known, "_name", "left"
     )
     return joined.withColumn("difference", round_to(F.col(temperature) - F.col("historical_avg"), 3)).drop("_name")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isotherm.functions.distributed import carry_forward
-from isotherm.functions.questions import followup_route, source_of, with_routes
+from isotherm.functions.questions import early_route, followup_route, keyword_route, source_of, with_routes
+from isotherm.operators.linking import linked_names
 from isotherm.session import materialize
 
 
@@ -32,27 +33,45 @@ def history_text(turns: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-def route_turns(turns: DataFrame, as_of: Column) -> DataFrame:
+def routed_texts(
+    texts: DataFrame, key: str, text: str, names: DataFrame, as_of: Column, measure: str = "ratio"
+) -> DataFrame:
+    """``place, fixed, follow, keyword`` of each text, with all other columns of ``texts`` but the text itself.
+
+    A place counts as named exactly or nearly. It is looked for only in texts whose keywords leave that open,
+    and the texts are left behind before anything is shuffled.
+    """
+    kept = [c for c in texts.columns if c != text]
+    routed = with_routes(texts, text, as_of).select(*kept, "place", "fixed", "follow", "early", "late")
+    # A filter would be pushed below the text's own expression and repeat it.
+    open_ones = texts.select(key, F.when(early_route(F.lower(F.col(text))).isNull(), F.col(text)).alias(text))
+    named = linked_names(open_ones, key, text, names, measure=measure).select(key).distinct().withColumn("_named", F.lit(True))
+    joined = routed.join(named, key, "left")
+    keyword = keyword_route(F.col("early"), F.coalesce("_named", F.lit(False)), F.col("late"))
+    return joined.withColumn("keyword", keyword).drop("early", "late", "_named")
+
+
+def route_turns(routed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """``conv_id, turn, place, followup, last_source, route``; ``last_source`` is the state a turn starts from.
 
-    ``turns`` needs ``conv_id, turn, text, names_place``. A follow-up takes over the
+    ``routed`` needs ``conv_id, turn, place, fixed, follow, keyword``. A follow-up takes over the
     source of the turn before it, which may itself be taken over. That chain ends
     at the last turn that is no follow-up, so one carry finds it. Follow-ups with no
-    such turn before them hang on the first of them that keywords can place: a
-    second carry. ``last_source`` of a mixed answer reads ``hybrid`` until the first
-    follow-up turns it into climate.
-
-    The texts are classified once and left behind: only short columns are shuffled.
+    such turn before them take the state the conversation came with (``seeds``: ``conv_id, seed``), or
+    hang on the first of them that keywords can place: a second carry. ``last_source`` of a mixed answer reads
+    ``hybrid`` for the whole chain of follow-ups; their route is climate.
     """
-    routed = with_routes(turns, "text", as_of).select(
-        "conv_id", "turn", "place", "fixed", (F.col("fixed").isNull() & F.col("follow")).alias("follow"), "keyword"
-    )
-    known = materialize(routed)
+    follow = F.col("fixed").isNull() & F.col("follow")
+    known = routed.select("conv_id", "turn", "place", "fixed", follow.alias("follow"), "keyword")
+    seed = F.lit(None).cast("string")
+    if seeds is not None:
+        known, seed = known.join(seeds, "conv_id", "left"), F.col("seed")
+    known = materialize(known, "turns")
     anchor = F.when(~F.col("follow"), source_of(F.coalesce("fixed", "keyword")))
     carried = carry_forward(known, "conv_id", "turn", anchor, "_anchor")
     lead = F.when(F.col("follow") & F.col("_anchor").isNull(), source_of(F.col("keyword")))
     led = carry_forward(carried, "conv_id", "turn", lead, "_lead", keep="first")
-    state = F.coalesce("_anchor", "_lead")
+    state = F.coalesce(F.col("_anchor"), seed, F.col("_lead"))
     own = F.coalesce("fixed", "keyword")
     taken = F.coalesce(followup_route(state), "keyword")
     return led.select(
@@ -63,3 +82,30 @@ def route_turns(turns: DataFrame, as_of: Column) -> DataFrame:
         state.alias("last_source"),
         F.when(F.col("follow"), taken).otherwise(own).alias("route"),
     )
+
+
+def place_left(route: Column, place: Column) -> Column:
+    """The place a turn leaves behind: an empty text takes it away, null leaves it as it was."""
+    return (
+        F.when(route == "climate", "")
+        .when(route.isin("hybrid", "historical_weather"), F.coalesce(place, F.lit("")))
+        .when(route == "weather", place)
+    )
+
+
+def carried_answers(routed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """``route_turns`` with the exact state before each turn: ``last_source`` of the last answer in scope, ``last_place``.
+
+    ``seeds`` (``conv_id, seed, seed_place``) is the state the conversations came with.
+    """
+    turns = route_turns(routed, None if seeds is None else seeds.select("conv_id", "seed"))
+    source = carry_forward(turns, "conv_id", "turn", source_of(F.col("route")), "_source")
+    both = carry_forward(source, "conv_id", "turn", place_left(F.col("route"), F.col("place")), "_place")
+    if seeds is None:
+        both = both.withColumns({"seed": F.lit(None).cast("string"), "seed_place": F.lit(None).cast("string")})
+    else:
+        both = both.join(seeds, "conv_id", "left")
+    return both.select(
+        "conv_id", "turn", "place", "followup", F.coalesce("_source", "seed").alias("last_source"),
+        F.nullif(F.coalesce("_place", "seed_place"), F.lit("")).alias("last_place"), "route",
+    )

@@ -15,11 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isotherm.functions.distributed import broadcast_if_small
 from isotherm.functions.lookups import COUNTRY_OF_CITY, STATION_ALIASES, map_column
 from isotherm.functions.questions import requested_year, search_terms
-from isotherm.functions.text import normalize, shingles, words
-from isotherm.operators.selection import filter_year, latest_year_rows
+from isotherm.functions.text import has_any, normalize, shingles, words
 from isotherm.session import materialize
 
 # Words a place search ignores.
@@ -37,7 +35,7 @@ HIGH_WORDS = ["highest", "hottest", "warmest", "most", "top", "maximum", "max"]
 def dictionary(*columns: tuple[DataFrame, str, str]) -> DataFrame:
     """``kind, name, phrase, n_words`` of the distinct names, from (table, column, kind) triples.
 
-    Materialized, as every join against it first checks its size.
+    A written table: the optimizer knows its size in every join against it.
     """
     out = None
     for df, column, kind in columns:
@@ -76,27 +74,11 @@ def mentions(
 ) -> DataFrame:
     """``key, kind, name`` of every name that a text holds at word boundaries.
 
-    With a dictionary that passes the size check this is one narrow stage: the
-    phrases of a row are streamed through a broadcast hash join.
+    With a written dictionary that is small this is one narrow stage: the phrases
+    of a row are streamed through a broadcast hash join.
     """
     exploded = _phrase_rows(texts, key, text, _sizes(names), aliases)
-    return exploded.join(broadcast_if_small(names.select("kind", "name", "phrase")), "phrase").select(
-        key, "kind", "name"
-    )
-
-
-def flag_mentions(texts: DataFrame, text: str, names: DataFrame, max_names: int = 10_000) -> DataFrame:
-    """Add ``names_place``: does the text hold a name at word boundaries? Row by row, so it suits streams.
-
-    The phrases travel as one array, which is why their number is checked first;
-    a larger dictionary needs the join of ``mentions``.
-    """
-    if names.limit(max_names + 1).count() > max_names:
-        raise ValueError(f"more than {max_names} names: use mentions()")
-    known = names.agg(F.collect_set("phrase")).scalar()
-    split = texts.withColumn("_words", words(F.col(text)))
-    hit = F.arrays_overlap(shingles(F.col("_words"), _sizes(names)), known)
-    return split.withColumn("names_place", F.coalesce(hit, F.lit(False))).drop("_words")
+    return exploded.join(names.select("kind", "name", "phrase"), "phrase").select(key, "kind", "name")
 
 
 def sequence_ratio(a: str, b: str) -> Column:
@@ -173,8 +155,7 @@ def similar_pairs(
         F.substring("name_phrase", F.col("at") + 1, F.col("size")).alias("seg"),
     ).distinct()
 
-    index = broadcast_if_small(materialize(right), max_rows=2_000_000)
-    pairs = left.join(index, ["n_words", "len", "i", "seg"]).select(
+    pairs = left.join(right, ["n_words", "len", "i", "seg"]).select(
         "phrase", "n_words", "kind", "name", "name_phrase"
     ).distinct()
     distance = F.levenshtein("phrase", "name_phrase")
@@ -188,6 +169,15 @@ def similar_pairs(
     )
 
 
+def _similar_phrases(windows: DataFrame, fuzzy: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """``phrase, kind, name, similarity`` for the phrases among ``windows`` that are similar to a name.
+
+    Equal phrases are compared once, however many texts hold them: they meet before they are shuffled.
+    """
+    distinct = windows.select("phrase").distinct().withColumn("n_words", F.size(F.split("phrase", " ")))
+    return similar_pairs(distinct, fuzzy, threshold, measure).drop("n_words")
+
+
 def fuzzy_mentions(
     texts: DataFrame,
     key: str,
@@ -200,9 +190,8 @@ def fuzzy_mentions(
 ) -> DataFrame:
     """``key, kind, name, similarity``: a window of the text is similar to the name.
 
-    Windows have as many words as the name; with ``exact_single`` one-word names
-    must match exactly. Each distinct window is compared once, however many
-    texts hold it.
+    Windows have as many words as the name; with ``exact_single`` one-word names must match exactly. The
+    phrases that are similar to some name are a written table, which the windows are then joined with.
     """
     fuzzy = names.where("n_words > 1") if exact_single else names
     sizes = _sizes(fuzzy)
@@ -213,9 +202,8 @@ def fuzzy_mentions(
                    (("kind", "string"), ("name", "string"), ("similarity", "double"))]
         )
     windows = _phrase_rows(texts, key, text, sizes, aliases)
-    distinct = windows.select("phrase").distinct().withColumn("n_words", F.size(F.split("phrase", " ")))
-    pairs = materialize(similar_pairs(distinct, fuzzy, threshold, measure))
-    hits = windows.join(broadcast_if_small(pairs), "phrase")
+    pairs = materialize(_similar_phrases(windows, fuzzy, threshold, measure), "similar")
+    hits = windows.join(pairs, "phrase")
     return hits.groupBy(key, "kind", "name").agg(F.max("similarity").alias("similarity"))
 
 
@@ -229,9 +217,19 @@ def linked_names(
     exact_single: bool = True,
     aliases: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``key, kind, name`` by exact phrase, alias or similarity."""
-    fuzzy = fuzzy_mentions(texts, key, text, names, threshold, measure, exact_single, aliases)
-    return mentions(texts, key, text, names, aliases).unionByName(fuzzy.drop("similarity")).distinct()
+    """``key, kind, name`` by exact phrase, alias or similarity.
+
+    The names' own phrases and the phrases similar to one are put together in one table, so the texts are cut
+    once more and joined once.
+    """
+    sizes = _sizes(names)
+    windows = _phrase_rows(texts, key, text, sizes, aliases)
+    fuzzy = names.where("n_words > 1") if exact_single else names
+    exact = names.select("phrase", "kind", "name")
+    many = windows.where(F.col("phrase").contains(" ")) if exact_single else windows
+    near = _similar_phrases(many, fuzzy, threshold, measure).drop("similarity")
+    known = materialize(exact.unionByName(near).distinct(), "linked")
+    return windows.join(known, "phrase").select(key, "kind", "name").distinct()
 
 
 def names_place(
@@ -262,61 +260,75 @@ def substrings(names: DataFrame, name: str, shortest: int = 1) -> DataFrame:
 
 def pick_rows(
     texts: DataFrame, key: str, text: str, rows: DataFrame, names: DataFrame, order: list[Column],
-    max_rows: int = 20, measure: str = "ratio",
+    max_rows: int = 20, measure: str = "ratio", part: str | None = None,
 ) -> DataFrame:
     """The rows of a country table each question is about, at most ``max_rows`` in table order.
 
     First hit wins: countries named (phase 1), regions named (2), a search term
     inside a country or region name (3), else the first rows of the table (4).
     The phase of a question is settled on names alone, before any row is joined.
+    With ``part``, a column of both sides, a question sees only the rows of its part of the table.
     """
-    places = rows.select(F.lit("Country").alias("kind"), F.col("Country").alias("name")).unionByName(
-        rows.select(F.lit("Region").alias("kind"), F.col("Region").alias("name"))
-    )
-    present = materialize(names.join(places, ["kind", "name"], "left_semi"))
+    parts = [part] if part else []
+    places = rows.select(*parts, F.lit("Country").alias("kind"), F.col("Country").alias("name")).unionByName(
+        rows.select(*parts, F.lit("Region").alias("kind"), F.col("Region").alias("name"))
+    ).distinct()
+    present = names.join(places.select("kind", "name").distinct(), ["kind", "name"], "left_semi")
     linked = linked_names(texts, key, text, present, measure=measure).withColumn(
         "phase", F.when(F.col("kind") == "Country", 1).otherwise(2)
     )
-    terms = texts.select(key, F.explode_outer(search_terms(F.col(text))).alias("part")).where("part IS NOT NULL")
-    parts = materialize(substrings(present, "name", 3).join(present.select("name", "kind"), "name"))
-    inside = terms.join(broadcast_if_small(parts), "part").select(key, "kind", "name", F.lit(3).alias("phase"))
-    found = materialize(linked.unionByName(inside).distinct())
+    terms = texts.select(key, F.explode_outer(search_terms(F.col(text))).alias("part_")).where("part_ IS NOT NULL")
+    inside_names = substrings(present, "name", 3).join(present.select("name", "kind"), "name").withColumnRenamed("part", "part_")
+    inside = terms.join(materialize(inside_names, "parts"), "part_").select(key, "kind", "name", F.lit(3).alias("phase"))
+    named = linked.unionByName(inside).distinct()
+    if part:
+        named = named.join(texts.select(key, part), key).join(places, [part, "kind", "name"], "left_semi")
+    found = materialize(named, "found")
     first = found.groupBy(key).agg(F.min("phase").alias("phase"))
     chosen = found.join(first, [key, "phase"], "left_semi")
 
     # No question takes more than max_rows rows of one region.
-    in_region = W.partitionBy("Region").orderBy(*order)
+    in_region = W.partitionBy(*parts, "Region").orderBy(*order)
     leading = rows.withColumn("_n", F.row_number().over(in_region)).where(F.col("_n") <= max_rows).drop("_n")
-    of = lambda kind: chosen.where(F.col("kind") == kind).select(key, "phase", F.col("name").alias(kind))
-    hits = rows.join(of("Country"), "Country").unionByName(leading.join(of("Region"), "Region")).distinct()
+    of = lambda kind: chosen.where(F.col("kind") == kind).select(key, *parts, "phase", F.col("name").alias(kind))
+    hits = rows.join(of("Country"), [*parts, "Country"]).unionByName(leading.join(of("Region"), [*parts, "Region"])).distinct()
     numbered = hits.withColumn("row_no", F.row_number().over(W.partitionBy(key).orderBy(*order)))
     best = numbered.where(F.col("row_no") <= max_rows)
 
-    rest = _first_rows(texts, first, key, rows, order, max_rows).withColumn("phase", F.lit(4))
+    rest = _first_rows(texts, first, key, rows, order, max_rows, part).withColumn("phase", F.lit(4))
     columns = [key, "phase", "row_no", *rows.columns]
     return best.select(*columns).unionByName(rest.select(*columns))
 
 
 def yearly_rows(
-    yearly: DataFrame, question: str, names: DataFrame, max_rows: int = 20, measure: str = "ratio"
+    yearly: DataFrame, questions: DataFrame, key: str, text: str, names: DataFrame, max_rows: int = 20, measure: str = "ratio"
 ) -> DataFrame:
-    """The yearly rows one question is about.
+    """``key, row_no`` and the yearly rows each question is about.
 
-    Rows of the year it asks for (all years if that one is absent); hottest or
-    coldest first if it says so, else the rows of the places it names.
+    Rows of the year it asks for (all years if it asks for none, or for one without rows); hottest or
+    coldest first if it says so, else the rows of the places it names. The rows of one year are a part of the
+    table, all rows together are one more.
     """
-    asked = yearly.sparkSession.range(1).select("id", F.lit(question).alias("q"))
-    year = asked.select(requested_year(F.col("q"), F.lit(-1))).first()[0]
-    rows = yearly
-    if year is not None:
-        rows = latest_year_rows(yearly) if year == -1 else filter_year(yearly, year)
-    q = question.lower()
-    if any(w in q for w in LOW_WORDS + HIGH_WORDS):
-        direction = F.asc if any(w in q for w in LOW_WORDS) else F.desc
-        ranked = rows.where("AvgTemperature IS NOT NULL")
-        return ranked.orderBy(direction("AvgTemperature"), "Country", "Region").limit(max_rows)
+    columns = yearly.columns
+    parts = yearly.withColumn("_part", F.col("Year")).unionByName(yearly.withColumn("_part", F.lit(-1)))
+    q = F.lower(F.col(text))
+    year = requested_year(F.col(text), yearly.select(F.max("Year")).scalar())
+    asked = questions.select(key, text, year.alias("Year"), has_any(q, LOW_WORDS).alias("_low"), has_any(q, LOW_WORDS + HIGH_WORDS).alias("_ranked"))
+    years = yearly.select("Year", F.col("Year").alias("_found")).distinct()
+    asked = asked.join(years, "Year", "left").withColumn("_part", F.coalesce("_found", F.lit(-1))).drop("_found", "Year")
+
+    ranked = None
+    for low in (True, False):
+        way = F.asc("AvgTemperature") if low else F.desc("AvgTemperature")
+        place = F.row_number().over(W.partitionBy("_part").orderBy(way, "Country", "Region", "Year"))
+        side = parts.where("AvgTemperature IS NOT NULL").withColumn("row_no", place).where(F.col("row_no") <= max_rows)
+        side = side.withColumn("_low", F.lit(low))
+        ranked = side if ranked is None else ranked.unionByName(side)
+    top = asked.where("_ranked").select(key, "_part", "_low").join(ranked, ["_part", "_low"]).select(key, "row_no", *columns)
+    others = asked.where("NOT coalesce(_ranked, false)").select(key, text, "_part")
     order = [F.asc("Country"), F.asc("Year"), F.asc("Region")]
-    return pick_rows(asked, "id", "q", rows, names, order, max_rows, measure).select(*yearly.columns)
+    named = pick_rows(others, key, text, parts, names, order, max_rows, measure, part="_part")
+    return top.unionByName(named.select(key, "row_no", *columns))
 
 
 def matched_or_first(
@@ -324,10 +336,8 @@ def matched_or_first(
     n: int, threshold: float = 0.82, measure: str = "ratio",
 ) -> DataFrame:
     """All rows whose name a text holds, exactly or nearly; the first ``n`` rows for a text without any."""
-    present = materialize(
-        names.where(F.col("kind") == column).join(rows.select(F.col(column).alias("name")), "name", "left_semi")
-    )
-    linked = materialize(linked_names(texts, key, text, present, threshold, measure, exact_single=False))
+    present = names.where(F.col("kind") == column).join(rows.select(F.col(column).alias("name")), "name", "left_semi")
+    linked = materialize(linked_names(texts, key, text, present, threshold, measure, exact_single=False), "linked")
     hits = linked.select(key, F.col("name").alias(column)).join(rows, column).withColumn("matched", F.lit(True))
     rest = _first_rows(texts, linked.select(key).distinct(), key, rows, order, n).withColumn("matched", F.lit(False))
     columns = [key, "matched", *rows.columns]
@@ -335,16 +345,19 @@ def matched_or_first(
 
 
 def _first_rows(
-    texts: DataFrame, served: DataFrame, key: str, rows: DataFrame, order: list[Column], n: int
+    texts: DataFrame, served: DataFrame, key: str, rows: DataFrame, order: list[Column], n: int, part: str | None = None
 ) -> DataFrame:
-    """The first ``n`` rows of a table, numbered, for every text that is not ``served``.
+    """The first ``n`` rows of a table, or of each text's part of it, numbered, for every text that is not ``served``.
 
-    They travel as one short array, so no join is needed.
+    They travel as one short array per part.
     """
-    head = rows.orderBy(*order).limit(n).withColumn("row_no", F.row_number().over(W.orderBy(*order)))
-    listed = head.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))))
-    missed = texts.select(key).join(served.select(key), key, "left_anti")
-    return missed.withColumn("_h", F.explode(listed.scalar())).select(key, "_h.*")
+    missed = texts.select(key, *([part] if part else [])).join(served.select(key), key, "left_anti")
+    if part is None:
+        head = rows.orderBy(*order).limit(n).withColumn("row_no", F.row_number().over(W.orderBy(*order)))
+        listed = head.agg(F.array_sort(F.collect_list(F.struct("row_no", *rows.columns))))
+        return missed.withColumn("_h", F.explode(listed.scalar())).select(key, "_h.*")
+    head = rows.withColumn("row_no", F.row_number().over(W.partitionBy(part).orderBy(*order))).where(F.col("row_no") <= n)
+    return missed.join(head, part)
 
 
 def keyword_rows(
@@ -366,9 +379,9 @@ def keyword_rows(
         .groupBy(key, "part")
         .count()
     )
-    parts = materialize(substrings(rows.select(column).distinct(), column))
+    parts = materialize(substrings(rows.select(column).distinct(), column), "parts")
     scores = (
-        keywords.join(broadcast_if_small(parts), "part").groupBy(key, column).agg(F.sum("count").alias("score"))
+        keywords.join(parts, "part").groupBy(key, column).agg(F.sum("count").alias("score"))
     )
     by_score = W.partitionBy(key).orderBy(F.desc("score"), *order)
     best = (
@@ -392,7 +405,7 @@ def match_countries(places: DataFrame, place: str, countries: DataFrame, n: int
     asked = places.select(F.col(place).alias("place")).where("place IS NOT NULL").distinct()
     plain = normalize(F.col("place"))
     asked = asked.withColumn("wanted", F.coalesce(map_column(STATION_ALIASES, plain), plain)).where("wanted <> ''")
-    parts = broadcast_if_small(materialize(substrings(known, "Country")))
+    parts = materialize(substrings(known, "Country"), "parts")
     whole = asked.join(parts, asked["wanted"] == parts["part"]).select(
         "place", "Country", F.when(F.col("wanted") == F.lower("Country"), 100).otherwise(50).alias("tier"),
         F.lit(0).alias("words"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from isotherm.functions.distributed import exact_median
 from isotherm.functions.numbers import exact, mean, rint_to, round_to
 from isotherm.operators.selection import is_numeric
-from isotherm.session import materialize
 
 
 def region_stats(yearly: DataFrame) -> DataFrame:
@@ -48,16 +47,17 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
     """One row: n, mean, median, min, max, std and range, to three decimals."""
     v = F.col(column)
     low, high = F.min(v).cast("double"), F.max(v).cast("double")
-    middle = exact_median(df, column).scalar()
     row = df.where(v.isNotNull()).agg(
         F.count(v).alias("n"),
-        round_to(mean(exact(v, 6)), 3).alias("mean"),
-        round_to(low, 3).alias("min"),
-        round_to(high, 3).alias("max"),
-        round_to(F.stddev_samp(v.cast("double")), 3).alias("std"),
-        round_to(high - low, 3).alias("range"),
+        mean(exact(v, 6)).alias("mean"),
+        low.alias("min"),
+        high.alias("max"),
+        F.stddev_samp(v.cast("double")).alias("std"),
+        (high - low).alias("range"),
     )
-    return row.withColumn("median", round_to(middle, 3))
+    # The median is a column before it is rounded: rounding reads its argument several times.
+    whole = row.withColumn("median", exact_median(df, column).scalar())
+    return whole.select("n", *[round_to(F.col(c), 3).alias(c) for c in ("mean", "min", "max", "std", "range", "median")])
 
 
 def _by_place_and_year(df: DataFrame) -> DataFrame:
@@ -82,18 +82,18 @@ def table_metadata(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_names(df: DataFrame, column: str, max_bytes: int = 16 << 20) -> DataFrame:
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """``value``: all distinct values as text, one per row; for any number of them."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value"))
+    return values.distinct()
+
+
+def distinct_names(df: DataFrame, column: str) -> DataFrame:
     """One row: number of distinct values, and all of them as one sorted array.
 
-    The size is checked before anything is collected into the cell; a column
-    with more than ``max_bytes`` of names has to be listed as rows.
+    One cell holds the whole list: the caller's choice, for columns of few names. ``distinct_values`` lists them as rows.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v"))
-    names = materialize(values.distinct())
-    size = names.select(F.coalesce(F.sum(F.octet_length("v") + 2), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"{column}: {size} bytes of names do not fit one cell; list them as rows")
-    return names.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("v")).alias("names"))
+    return distinct_values(df, column).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("value")).alias("names"))
 
 
 def distinct_list(df: DataFrame, column: str) -> DataFrame:
@@ -182,8 +182,11 @@ def column_kinds(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*kinds)))
 
 
-def dataset_profile(df: DataFrame, filename: str, source: str = "default") -> DataFrame:
-    """One row per dataset with its columns by kind, rows, countries and year range."""
+def dataset_profile(df: DataFrame, filename: str, source: str = "default", list_countries: bool = True) -> DataFrame:
+    """One row per dataset with its columns by kind, rows, countries and year range.
+
+    The countries are one cell; without ``list_countries`` they are left out, for ``distinct_values`` to list.
+    """
     of = lambda kind: F.transform(
         F.filter("_k", lambda k: k["kind"] == kind), lambda k: k["column"]
     )
@@ -203,7 +206,7 @@ def dataset_profile(df: DataFrame, filename: str, source: str = "default") -> Da
         of("date").alias("date_columns"),
         *(["year_range"] if "Year" in df.columns else []),
     )
-    if "Country" not in df.columns:
+    if "Country" not in df.columns or not list_countries:
         return out
     return out.withColumn("countries", distinct_names(df, "Country").select("names").scalar())
 

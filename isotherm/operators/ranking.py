@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,13 +17,15 @@ CHANGE_WORDS = ["warming", "warm", "fastest", "change", "trend"]
 REGION_WORDS = ["region", "regional", "continent"]
 
 
-def sort_numeric(df: DataFrame, column: str, ascending: bool = False, ties=()) -> DataFrame:
-    """Sort by a column read as a number; rows without a number go."""
+def sort_numeric(df: DataFrame, column: str, ascending: bool = False, ties=(), name: str | None = None) -> DataFrame:
+    """Sort by a column read as a number; rows without a number go; ``name`` adds the place of each row."""
     key = F.col(column)
     if dict(df.dtypes)[column] == "string":
         key = key.try_cast("double")
     keyed = df.withColumn("_sort", key).where("_sort IS NOT NULL AND NOT isnan(_sort)")
     order = F.asc("_sort") if ascending else F.desc("_sort")
+    if name:
+        return number_rows(keyed, order, *[F.asc(t) for t in ties], name=name).drop("_sort")
     return keyed.orderBy(order, *ties).drop("_sort")
 
 
@@ -38,11 +38,6 @@ def ranked(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> Da
     return df.orderBy(*order).limit(k).withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
-def rank_all(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rank numbers for a whole table, by a distributed sort."""
-    return number_rows(df, *order, name=name)
-
-
 def with_share(df: DataFrame, column: str, name: str = "share") -> DataFrame:
     """Absolute value as percent of the largest absolute value, at most 100."""
     size = F.abs(F.col(column).cast("double"))
@@ -64,19 +59,18 @@ def top_by_magnitude(df: DataFrame, label: str, column: str, k: int = 10) -> Dat
     return head.withColumn("share", F.abs("value") / whole * 100)
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int = 25) -> DataFrame:
-    """Page ``number`` of a sorted table, clamped to the pages there are.
+def page(df: DataFrame, order: list[Column], number: int, size: int = 25, name: str | None = None) -> DataFrame:
+    """Page ``number`` of a sorted table, clamped to the pages there are; ``name`` adds the row numbers.
 
-    ``order`` must be total. The first pages come from a bounded top-k; a page
-    further in is cut from the distributed row numbers.
+    ``order`` must be total. Every page is cut in the same way from the distributed row numbers.
     """
-    pages = max(1, ceil(df.count() / size))
-    number = min(max(1, number), pages)
-    if number * size <= 10_000:
-        return df.orderBy(*order).limit(number * size).orderBy(*order).offset((number - 1) * size)
-    rows = number_rows(df, *order, name="_row")
-    inside = F.col("_row").between((number - 1) * size + 1, number * size)
-    return rows.where(inside).orderBy("_row").drop("_row")
+    row, total = name or "_row", "_total"
+    numbered = number_rows(df, *order, name=row, total=total)
+    pages = F.greatest(F.ceil(F.col(total) / size), F.lit(1))
+    at = F.least(F.greatest(F.lit(number), F.lit(1)), pages)
+    inside = F.col(row).between((at - 1) * size + 1, at * size)
+    cut = numbered.where(inside).orderBy(row).drop(total)
+    return cut if name else cut.drop(row)
 
 
 def latest_rows(yearly: DataFrame, n: int = 5) -> DataFrame:
@@ -127,9 +121,8 @@ def answer_rankings(
 ) -> DataFrame:
     """The ranking each question asks for: join on (metric, direction) to ranked rows.
 
-    A question that names no direction gets the coolest countries as well. No question
-    asks for more than ``most`` rows, so each of the ten ranked lists has at most
-    ``most`` rows and the broadcast side at most ten times that.
+    A question that names no direction gets the coolest countries as well. ``most`` is the one limit: no question
+    gets more rows than that, and each of the ten ranked lists, which are broadcast, has at most that many.
     """
     lists = None
     for by_change in (True, False):
@@ -151,7 +144,7 @@ def answer_rankings(
         .otherwise(F.col("neutral") & ~F.col("regions_only"))
     )
     asked = questions.select(
-        key, ranking_request(F.col(text)).alias("_r"), top_n(F.col(text)).alias("_n")
+        key, ranking_request(F.col(text)).alias("_r"), top_n(F.col(text), cap=most).alias("_n")
     ).select(key, "_r.*", "_n")
     return (
         asked.join(F.broadcast(lists), ["by_change", "ascending"])

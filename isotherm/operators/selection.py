@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.numbers import display_value
-from isotherm.functions.questions import requested_year, top_n
+from isotherm.functions.questions import requested_year
 from isotherm.functions.text import has_any
 
 # Words of a question that select no rows, and words that ask for all rows.
@@ -29,10 +29,10 @@ def is_numeric(dtype: str) -> bool:
     return dtype in NUMERIC or dtype.startswith("decimal")
 
 
-def project_existing(df: DataFrame, columns, max_rows: int | None = None) -> DataFrame:
-    """Those of ``columns`` that exist; optionally only the first rows (a preview)."""
-    out = df.select([c for c in columns if c in df.columns])
-    return out if max_rows is None else out.limit(max_rows)
+def project_existing(df: DataFrame, columns, max_rows: int | None = None, order=()) -> DataFrame:
+    """Those of ``columns`` that exist; as a preview the first ``max_rows`` in ``order``, ties by all columns."""
+    head = df if max_rows is None else df.orderBy(*order, *df.columns).limit(max_rows)
+    return head.select([c for c in columns if c in df.columns])
 
 
 def pick_columns(df: DataFrame) -> tuple[str | None, str | None]:
@@ -74,7 +74,7 @@ def search_rows(df: DataFrame, text: str) -> DataFrame:
 
 
 def relevant_rows(df: DataFrame, question: str, max_rows: int | None = None) -> DataFrame:
-    """Rows that contain any word of the question; all rows if none does."""
+    """Rows that contain any word of the question; all rows if none does; of these the first ``max_rows`` by all columns."""
     q = question.lower()
     if any(w in q for w in RELEVANT_ALL_ROWS):
         return df
@@ -85,7 +85,7 @@ def relevant_rows(df: DataFrame, question: str, max_rows: int | None = None) ->
     hit = reduce(lambda a, b: a | b, [row_text.contains(w) for w in words])
     found = F.coalesce(df.select(F.max(hit)).scalar(), F.lit(False))
     kept = df.where(hit | ~found)
-    return kept if max_rows is None else kept.limit(max_rows)
+    return kept if max_rows is None else kept.orderBy(*df.columns).limit(max_rows)
 
 
 def rows_of_year(questions: DataFrame, key: str, text: str, yearly: DataFrame) -> DataFrame:
@@ -126,11 +126,6 @@ def question_targets_region(questions: DataFrame, key: str, text: str, region_me
     )
 
 
-def asked_rows(question: str, default: int = 10, spark=None) -> int:
-    """``top_n`` of one question text."""
-    return spark.range(1).select(top_n(F.lit(question), default)).first()[0]
-
-
 def place_names(*tables: tuple[DataFrame, str]) -> DataFrame:
     """Distinct names over several (table, column) pairs."""
     parts = [df.select(F.col(c).alias("name")).where("name IS NOT NULL").distinct() for df, c in tables]

@@ -1,5 +1,7 @@
 """Reading, cleaning and writing tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from isotherm.functions import numbers
@@ -7,6 +9,7 @@ from isotherm.functions.text import squeeze
 from isotherm.operators import cleaning, profile, selection, trends
 from isotherm.plans.catalog import query
 from isotherm.plans.oracle import number
+from isotherm.plans.panel_queries import FASTEST, HOTTEST
 from isotherm.plans.oracle import squeeze as sql_squeeze
 from isotherm.plans.reports import build_bundle
 from isotherm.schemas import RAW_PANEL
@@ -99,25 +102,39 @@ def _(w):
     return w.dirty.select(*absent.columns).unionByName(absent)
 
 
+# Table of a dataset -> (its SQL source, keys, one of its values).
+BUNDLE = {
+    "main": ("yearly", "Country, Region, CAST(Year AS VARCHAR)", "TotalTempChange"),
+    "country_trends": ("country_trends", "Country, Region, CAST(HottestYear AS VARCHAR)", "WarmingTrendPerYear"),
+    "regional_trends": ("regional_trends", "Region, CAST(FirstYear AS VARCHAR), CAST(LatestYear AS VARCHAR)", "RegionalWarmingTrendPerYear"),
+    "fastest_regions": (f"({FASTEST})", "Region, CAST(FirstYear AS VARCHAR), CAST(LatestYear AS VARCHAR)", "RegionalTemperatureChange"),
+    "hottest_countries": (f"({HOTTEST})", "Country, Region, CAST(HottestYear AS VARCHAR)", "LatestTemperature"),
+    "raw": ("dirty", "Country, Region, Year, AvgTemperature", "length(AvgTemperature)"),
+}
+
+
 @query(
     "src03_dataset_bundle",
-    """ SELECT 'main' AS name, count(*) AS n_rows FROM yearly UNION ALL SELECT 'country_trends', count(*) FROM country_trends
-    UNION ALL SELECT 'regional_trends', count(*) FROM regional_trends
-    UNION ALL SELECT 'fastest_regions', least(count(*), 5) FROM regional_trends
-    UNION ALL SELECT 'hottest_countries', least(count(*), 10) FROM country_trends
-    UNION ALL SELECT 'raw', 0""",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, concat_ws('|', {keys}) AS entity, CAST({value} AS DOUBLE) AS value FROM {source}" for name, (source, keys, value) in BUNDLE.items()
+    ),
 )
 def _(w):
+    """Every row of all six tables after they were written and loaded again, by its keys and one of its values."""
     root = w.work_path("datasets")
     tables = build_bundle(w.panel)
     tables["main"] = tables.pop("yearly")
+    tables["raw"] = w.dirty.select(*RAW_PANEL.names)
     bundle.write_dataset(tables, root, "default")
-    loaded = bundle.load_dataset(w.spark, root, "default")
-    out = None
-    for name in loaded:
-        part = w.spark.table(name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    bundle.load_dataset(w.spark, root, "default")
+    parts = [
+        w.spark.table(name).select(
+            F.lit(name).alias("name"), F.expr(f"concat_ws('|', {keys.replace('VARCHAR', 'STRING')})").alias("entity"),
+            F.expr(value).cast("double").alias("value"),
+        )
+        for name, (_, keys, value) in BUNDLE.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("src04_upload_folder", CANONICAL.replace("Country, Region, Year, AvgTemperature FROM", "nullif(trim(Country), '') AS Country, nullif(trim(Region), '') AS Region, nullif(trim(Year), '') AS Year, nullif(trim(AvgTemperature), '') AS AvgTemperature FROM"))
@@ -274,8 +291,8 @@ def _(w):
 
 @query("prj13_existing_columns", "SELECT Country, VolatilityScore FROM country_trends ORDER BY VolatilityScore DESC, Region, Country LIMIT 20")
 def _(w):
-    ordered = w.country_trends.orderBy(F.desc("VolatilityScore"), "Region", "Country")
-    return selection.project_existing(ordered, ["Country", "Population", "VolatilityScore"], 20)
+    order = [F.desc("VolatilityScore"), F.asc("Region"), F.asc("Country")]
+    return selection.project_existing(w.country_trends, ["Country", "Population", "VolatilityScore"], 20, order)
 
 
 @query("flt01_drop_empty", "SELECT Country, Region, Year, AvgTemperature FROM dirty WHERE o_orderkey % 97 <> 0")

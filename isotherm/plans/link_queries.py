@@ -9,8 +9,8 @@ from isotherm.operators import compare, linking, ranking, selection, trends
 from isotherm.plans import oracle as o
 from isotherm.plans import reports
 from isotherm.plans.catalog import query
-from isotherm.plans.panel_queries import COUNTRY_TIES
-from isotherm.session import materialize
+from isotherm.plans.linked import linked_sql
+from isotherm.plans.panel_queries import COUNTRY_TIES, REGION_TIES
 
 NORM = f", nt AS (SELECT qid, ' ' || {o.norm('text')} || ' ' AS n FROM texts)"
 MENTIONS = NORM + """, m AS (SELECT qid, kind, name FROM nt JOIN names ON contains(n, ' ' || phrase || ' '))"""
@@ -56,14 +56,19 @@ def _(w):
     return hits.withColumn("similarity", round_to(F.col("similarity"), 6))
 
 
-@query("jn07_fuzzy_ratio")
+RATIO_HITS = f""" SELECT qid, kind, name, {o.r('max(similarity)', 6)} AS similarity FROM nq JOIN win USING (n) JOIN sm USING (phrase) JOIN nw USING (np) GROUP BY qid, kind, name"""
+
+
+@query("jn07_fuzzy_ratio", linked_sql(0.88, source="texts", measure="ratio") + RATIO_HITS)
 def _(w):
-    return linking.fuzzy_mentions(w.texts, "qid", "text", w.names, 0.88)
+    hits = linking.fuzzy_mentions(w.texts, "qid", "text", w.names, 0.88)
+    return hits.withColumn("similarity", round_to(F.col("similarity"), 6))
 
 
-@query("jn07_fuzzy_ratio_any_width")
+@query("jn07_fuzzy_ratio_any_width", linked_sql(0.82, exact_single=False, source="texts", measure="ratio") + RATIO_HITS)
 def _(w):
-    return linking.fuzzy_mentions(w.texts, "qid", "text", w.names, 0.82, exact_single=False)
+    hits = linking.fuzzy_mentions(w.texts, "qid", "text", w.names, 0.82, exact_single=False)
+    return hits.withColumn("similarity", round_to(F.col("similarity"), 6))
 
 
 @query(
@@ -76,76 +81,70 @@ def _(w):
     return selection.question_targets_region(w.texts, "qid", "text", regions)
 
 
-@query("flt10_names_place")
-def _(w):
-    return linking.names_place(w.texts, "qid", "text", w.names)
+NAMES_PLACE_SQL = " SELECT q.qid, k.qid IS NOT NULL AS names_place FROM texts q LEFT JOIN (SELECT DISTINCT qid FROM lk) k ON q.qid = k.qid"
 
 
-def linked_sql(threshold: float, exact_single: bool = True, aliases: dict | None = None) -> str:
-    """CTE ``lk(qid, kind, name)``: every window of a question against every name, by edit distance."""
-    known = ", ".join(f"('{a}', '{c}')" for a, c in (aliases or {"-": "-"}).items())
-    single = "k > 1" if exact_single else "k > 0"
-    return f""", nq AS (SELECT qid, {o.norm('text')} AS n FROM questions),
-    dn AS (SELECT DISTINCT n FROM nq), tk AS (SELECT n, list_filter(string_split(n, ' '), lambda x: x <> '') AS t FROM dn),
-    ps AS (SELECT n, t, unnest(generate_series(1, len(t))) AS i FROM tk), nw AS (SELECT kind, name, phrase AS np, len(string_split(phrase, ' ')) AS k FROM names),
-    al(a, full_name) AS (VALUES {known}),
-    win AS (SELECT n, array_to_string(t[i:i + k - 1], ' ') AS phrase, k FROM ps, (SELECT DISTINCT k FROM nw) WHERE i + k - 1 <= len(t)
-      UNION SELECT n, full_name, len(string_split(full_name, ' ')) FROM tk JOIN al ON contains(' ' || n || ' ', ' ' || a || ' ')),
-    lp AS (SELECT DISTINCT phrase, kind, name FROM (SELECT DISTINCT phrase, k FROM win) w JOIN nw USING (k)
-      WHERE phrase = np OR ({single} AND 1 - levenshtein(phrase, np) / greatest(length(phrase), length(np)) >= {threshold})),
-    lk AS (SELECT DISTINCT qid, kind, name FROM nq JOIN win USING (n) JOIN lp USING (phrase))"""
+@query("flt10_names_place", linked_sql(0.88, source="texts", measure="ratio") + NAMES_PLACE_SQL)
+def _(w):
+    return linking.names_place(w.texts, "qid", "text", w.names)
 
 
 TERMS_SQL = f""", tm AS (SELECT qid, unnest(list_distinct(list_filter(string_split({o.norm('text')}, ' '),
-      lambda x: length(x) > 2 AND x NOT IN ({o.quoted(TERM_STOP_WORDS)})))) AS term FROM questions)"""
+      lambda x: length(x) > 2 AND x NOT IN ({o.quoted(TERM_STOP_WORDS)})))) AS term FROM texts)"""
 
 
 @query(
     "flt10_names_place_by_edits",
-    linked_sql(0.88) + " SELECT q.qid, k.qid IS NOT NULL AS names_place FROM questions q LEFT JOIN (SELECT DISTINCT qid FROM lk) k ON q.qid = k.qid",
+    linked_sql(0.88, source="texts") + NAMES_PLACE_SQL,
 )
 def _(w):
-    return linking.names_place(w.questions, "qid", "text", w.names, measure="levenshtein")
-
-
-@query("flt09_pick_rows")
-def _(w):
-    picked = linking.pick_rows(w.questions, "qid", "text", w.ready_countries, w.names, trends.country_order())
-    return picked.select("qid", "phase", "row_no", "Country", "Region")
+    return linking.names_place(w.texts, "qid", "text", w.names, measure="levenshtein")
 
 
-@query(
-    "flt09_pick_rows_by_edits",
-    linked_sql(0.88) + TERMS_SQL + f""", ph AS (
+def picked_sql(n: int, measure: str) -> str:
+    return linked_sql(0.88, source="texts", measure=measure) + TERMS_SQL + f""", ph AS (
       SELECT qid, kind, name, CASE kind WHEN 'Country' THEN 1 ELSE 2 END AS phase FROM lk UNION
       SELECT qid, kind, name, 3 FROM tm JOIN names ON contains(lower(name), term)),
     ch AS (SELECT * FROM ph QUALIFY phase = min(phase) OVER (PARTITION BY qid)),
     hit AS (SELECT DISTINCT qid, phase, t.* FROM ch JOIN country_trends t ON (kind = 'Country' AND t.Country = name) OR (kind = 'Region' AND t.Region = name)),
-    al2 AS (SELECT q.qid, 4 AS phase, t.* FROM questions q, country_trends t WHERE q.qid NOT IN (SELECT qid FROM ph)),
+    al2 AS (SELECT q.qid, 4 AS phase, t.* FROM texts q, country_trends t WHERE q.qid NOT IN (SELECT qid FROM ph)),
     un AS (SELECT * FROM hit UNION ALL SELECT * FROM al2)
     SELECT qid, phase, row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) AS row_no, Country, Region FROM un
-    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) <= 6""",
-)
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) <= {n}"""
+
+
+@query("flt09_pick_rows", picked_sql(20, "ratio"))
+def _(w):
+    picked = linking.pick_rows(w.texts, "qid", "text", w.ready_countries, w.names, trends.country_order())
+    return picked.select("qid", "phase", "row_no", "Country", "Region")
+
+
+@query("flt09_pick_rows_by_edits", picked_sql(20, "levenshtein"))
 def _(w):
     picked = linking.pick_rows(
-        w.questions, "qid", "text", w.ready_countries, w.names, trends.country_order(), 6, "levenshtein"
+        w.texts, "qid", "text", w.ready_countries, w.names, trends.country_order(), 20, "levenshtein"
     )
     return picked.select("qid", "phase", "row_no", "Country", "Region")
 
 
-@query(
-    "flt09_matched_or_first",
-    linked_sql(0.82, exact_single=False) + f""", hd AS (SELECT Country FROM country_trends ORDER BY {COUNTRY_TIES} LIMIT 10)
-    SELECT qid, true AS matched, Country FROM lk JOIN country_trends ON kind = 'Country' AND name = Country
-    UNION ALL SELECT qid, false, Country FROM questions, hd WHERE qid NOT IN (SELECT qid FROM lk WHERE kind = 'Country')""",
-)
+def first_sql(kind: str, table: str, order: str, n: int, measure: str) -> str:
+    return linked_sql(0.82, exact_single=False, source="texts", measure=measure) + f""", hd AS (SELECT {kind} FROM {table} ORDER BY {order} LIMIT {n})
+    SELECT qid, true AS matched, {kind} FROM lk JOIN {table} ON kind = '{kind}' AND name = {kind}
+    UNION ALL SELECT qid, false, {kind} FROM texts, hd WHERE qid NOT IN (SELECT qid FROM lk WHERE kind = '{kind}')"""
+
+
+@query("flt09_matched_or_first", first_sql("Country", "country_trends", COUNTRY_TIES, 10, "ratio"))
 def _(w):
-    rows = linking.matched_or_first(
-        w.questions, "qid", "text", w.ready_countries, "Country", w.names, trends.country_order(), 10, measure="levenshtein"
-    )
+    rows = linking.matched_or_first(w.texts, "qid", "text", w.ready_countries, "Country", w.names, trends.country_order(), 10)
     return rows.select("qid", "matched", "Country")
 
 
+@query("flt09_matched_or_first_region", first_sql("Region", "regional_trends", REGION_TIES, 6, "ratio"))
+def _(w):
+    rows = linking.matched_or_first(w.texts, "qid", "text", w.ready_regions, "Region", w.names, trends.region_order(), 6)
+    return rows.select("qid", "matched", "Region")
+
+
 @query(
     "flt09_search_terms",
     f""", t AS (SELECT qid, unnest(list_distinct(list_filter(string_split({o.norm('text')}, ' '),
@@ -166,21 +165,39 @@ _YEAR_ASKED = f"""coalesce(CAST(nullif(regexp_extract(lower(text), '{o.YEAR}', 1
 
 @query(
     "flt04_year_asked",
-    f""", a AS (SELECT qid, {_YEAR_ASKED} AS Year FROM questions),
+    f""", a AS (SELECT qid, {_YEAR_ASKED} AS Year FROM texts),
     g AS (SELECT Year, count(*) AS n_rows, {o.DEC_MEAN.format('AvgTemperature', 3)} AS GlobalAverage FROM means GROUP BY Year)
     SELECT qid, a.Year, coalesce(n_rows, 0) AS n_rows, GlobalAverage FROM a LEFT JOIN g ON a.Year = g.Year WHERE a.Year IS NOT NULL""",
 )
 def _(w):
     means = w.ready_means
-    return selection.rows_of_year(w.questions, "qid", "text", means)
+    return selection.rows_of_year(w.texts, "qid", "text", means)
+
+
+_RANK_LOW = o.any_of("lower(text)", linking.LOW_WORDS)
+_RANK_ANY = o.any_of("lower(text)", linking.LOW_WORDS + linking.HIGH_WORDS)
 
 
 @query(
     "flt04_yearly_rows",
-    "SELECT * FROM means WHERE Year = 1998 AND Country IN ('Egypt', 'Saudi Arabia') ORDER BY Country LIMIT 20",
+    linked_sql(0.88, source="texts", measure="ratio") + TERMS_SQL + f""", yq AS (SELECT qid, {_YEAR_ASKED} AS y, {_RANK_LOW} AS low, {_RANK_ANY} AS ranked FROM texts),
+    aq AS (SELECT qid, low, ranked, CASE WHEN y IN (SELECT Year FROM means) THEN y ELSE -1 END AS part FROM yq),
+    sl AS (SELECT Year AS part, * FROM means UNION ALL SELECT -1, * FROM means),
+    rk AS (SELECT *, true AS low, row_number() OVER (PARTITION BY part ORDER BY AvgTemperature, Country, Region, Year) AS row_no FROM sl
+      UNION ALL SELECT *, false, row_number() OVER (PARTITION BY part ORDER BY AvgTemperature DESC, Country, Region, Year) FROM sl),
+    pl AS (SELECT DISTINCT part, 'Country' AS kind, Country AS name FROM sl UNION SELECT DISTINCT part, 'Region', Region FROM sl),
+    ph AS (SELECT h.* FROM (SELECT qid, kind, name, CASE kind WHEN 'Country' THEN 1 ELSE 2 END AS phase FROM lk UNION
+      SELECT qid, kind, name, 3 FROM tm JOIN names ON contains(lower(name), term)) h JOIN aq ON aq.qid = h.qid AND NOT ranked JOIN pl ON pl.part = aq.part AND pl.kind = h.kind AND pl.name = h.name),
+    ch AS (SELECT * FROM ph QUALIFY phase = min(phase) OVER (PARTITION BY qid)),
+    hit AS (SELECT DISTINCT ch.qid, sl.* FROM ch JOIN aq ON aq.qid = ch.qid JOIN sl ON sl.part = aq.part AND ((kind = 'Country' AND sl.Country = name) OR (kind = 'Region' AND sl.Region = name))),
+    hd AS (SELECT * FROM sl QUALIFY row_number() OVER (PARTITION BY part ORDER BY Country, Year, Region) <= 20),
+    un AS (SELECT * FROM hit UNION ALL SELECT aq.qid, hd.* FROM aq JOIN hd ON hd.part = aq.part WHERE NOT ranked AND aq.qid NOT IN (SELECT qid FROM ph)),
+    nb AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY Country, Year, Region) AS row_no, Country, Region, Year, AvgTemperature FROM un)
+    SELECT * FROM nb WHERE row_no <= 20 UNION ALL
+    SELECT aq.qid, row_no, Country, Region, Year, AvgTemperature FROM aq JOIN rk ON rk.part = aq.part AND rk.low = aq.low WHERE ranked AND row_no <= 20""",
 )
 def _(w):
-    return linking.yearly_rows(w.ready_means, "how warm were Egypt and Saudi Arabbia in 1998", w.names)
+    return linking.yearly_rows(w.ready_means, w.texts, "qid", "text", w.names)
 
 
 _STOP = o.quoted(linking.PLACE_STOP_WORDS)
@@ -190,7 +207,7 @@ _CITY = ", ".join(f"('{c}', '{n}')" for c, n in COUNTRY_OF_CITY.items())
 @query(
     "jn09_keyword_rows",
     f""", city(c, n) AS (VALUES {_CITY}),
-    tok AS (SELECT qid, list_filter(string_split({o.norm('text')}, ' '), lambda x: x <> '') AS t FROM questions),
+    tok AS (SELECT qid, list_filter(string_split({o.norm('text')}, ' '), lambda x: x <> '') AS t FROM texts),
     kept AS (SELECT qid, t, list_filter(t, lambda x: x NOT IN ({_STOP})) AS k FROM tok),
     kw AS (SELECT qid, unnest(CASE WHEN len(k) > 0 THEN k ELSE t END) AS w FROM kept),
     ex AS (SELECT qid, w FROM kw UNION ALL SELECT qid, n FROM kw JOIN city ON w = c),
@@ -199,11 +216,11 @@ _CITY = ", ".join(f"('{c}', '{n}')" for c, n in COUNTRY_OF_CITY.items())
     best AS (SELECT qid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {COUNTRY_TIES}) AS row_no, Country FROM sc JOIN country_trends USING (Country)),
     head AS (SELECT 0 AS score, row_number() OVER (ORDER BY {COUNTRY_TIES}) AS row_no, Country FROM country_trends)
     SELECT qid, score, row_no, Country FROM best WHERE row_no <= 20
-    UNION ALL SELECT q.qid, h.score, row_no, Country FROM questions q, head h WHERE row_no <= 10 AND q.qid NOT IN (SELECT qid FROM sc)""",
+    UNION ALL SELECT q.qid, h.score, row_no, Country FROM texts q, head h WHERE row_no <= 10 AND q.qid NOT IN (SELECT qid FROM sc)""",
 )
 def _(w):
     countries = w.ready_countries
-    rows = linking.keyword_rows(w.questions, "qid", "text", countries, "Country", trends.country_order())
+    rows = linking.keyword_rows(w.texts, "qid", "text", countries, "Country", trends.country_order())
     return rows.select("qid", "score", "row_no", "Country")
 
 
@@ -250,13 +267,12 @@ _DIFFS = ", ".join(f"{o.r(f'a.{c} - b.{c}', 3)} AS {n}" for n, c in compare.METR
 @query(
     "jn05_pair_differences",
     ALIASED + f""", x AS (SELECT qid, t.*, row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) AS no FROM am JOIN country_trends t ON kind = 'Country' AND name = t.Country)
-    SELECT a.qid, a.Country AS a, b.Country AS b, {_DIFFS} FROM x a JOIN x b ON a.qid = b.qid AND a.no < b.no WHERE b.no <= 4""",
+    SELECT a.qid, a.Country AS a, b.Country AS b, {_DIFFS} FROM x a JOIN x b ON a.qid = b.qid AND a.no < b.no""",
 )
 def _(w):
     countries = w.ready_countries
     named = linking.mentions(w.texts, "qid", "text", w.names, COMPARE_ALIASES).distinct().where("kind = 'Country'")
-    named = materialize(named.select("qid", "name"))  # both sides of the pairs read it
-    return compare.pair_differences(named, "qid", countries, trends.country_order(), first=4)
+    return compare.pair_differences(named, "qid", countries, trends.country_order())
 
 
 _LOW = o.any_of("q", ranking.ASCENDING_WORDS)
@@ -277,7 +293,7 @@ def _ranked_sql():
 
 @query(
     "tk06_asked_rankings",
-    f""", q AS (SELECT qid, lower(text) AS q FROM questions), a AS (
+    f""", q AS (SELECT qid, lower(text) AS q FROM texts), a AS (
       SELECT qid, {_CHANGE} AS ch, CASE WHEN {_CHANGE} THEN {_LOW} AND NOT {_HIGH} ELSE {_LOW} END AS lo,
         NOT {_LOW} AND NOT {_HIGH} AS neutral, {o.any_of('q', ranking.REGION_WORDS)} AS regions_only, {o.top_n('q')} AS n FROM q),
     l AS ({_ranked_sql()})
@@ -286,7 +302,7 @@ def _ranked_sql():
 )
 def _(w):
     countries, regions = w.ready_countries, w.ready_regions
-    return ranking.answer_rankings(w.questions, "qid", "text", countries, regions)
+    return ranking.answer_rankings(w.texts, "qid", "text", countries, regions)
 
 
 def _long_sql(source, section, entity, metrics, key="qid, "):
@@ -337,25 +353,26 @@ def _(w):
     return reports.dataset_facts(w.ready_means, w.ready_countries, w.ready_regions, n=8, year=1998)
 
 
-@query("rp02_matched_facts")
-def _(w):
-    countries, regions = w.ready_countries, w.ready_regions
-    return reports.matched_facts(w.questions, "qid", "text", w.names, countries, regions)
-
-
-@query(
-    "rp02_matched_facts_by_edits",
-    f"""{linked_sql(0.88, aliases=FACT_ALIASES)},
+def matched_sql(measure: str) -> str:
+    return f"""{linked_sql(0.88, aliases=FACT_ALIASES, source="texts", measure=measure)},
     cr AS (SELECT qid, t.* FROM lk JOIN country_trends t ON kind = 'Country' AND name = t.Country),
     rr AS (SELECT qid, t.* FROM lk JOIN regional_trends t ON kind = 'Region' AND name = t.Region),
     no AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {COUNTRY_TIES}) AS no FROM cr),
     df AS (SELECT a.qid, a.Country || ' vs ' || b.Country AS entity, {_DIFFS} FROM no a JOIN no b ON a.qid = b.qid AND a.no < b.no WHERE b.no <= 4)
     {_long_sql('cr', 'country', 'Country', reports.COUNTRY_METRICS)} UNION ALL {_long_sql('df', 'difference', 'entity', list(compare.METRICS)[:3])}
-    UNION ALL {_long_sql('rr', 'region', 'Region', reports.REGION_METRICS)}""",
-)
+    UNION ALL {_long_sql('rr', 'region', 'Region', reports.REGION_METRICS)}"""
+
+
+@query("rp02_matched_facts", matched_sql("ratio"))
+def _(w):
+    countries, regions = w.ready_countries, w.ready_regions
+    return reports.matched_facts(w.texts, "qid", "text", w.names, countries, regions)
+
+
+@query("rp02_matched_facts_by_edits", matched_sql("levenshtein"))
 def _(w):
     countries, regions = w.ready_countries, w.ready_regions
-    return reports.matched_facts(w.questions, "qid", "text", w.names, countries, regions, measure="levenshtein")
+    return reports.matched_facts(w.texts, "qid", "text", w.names, countries, regions, measure="levenshtein")
 
 
 @query(

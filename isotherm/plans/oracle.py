@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from isotherm.functions.lookups import MONTHS, REGION_OF_COUNTRY, WEATHER_CODES
 from isotherm.functions.text import NOT_A_PLACE, PLACE_END
-from isotherm.plans.workload import AS_OF, COUNTRY, DIRTY, EVENT_CODE, QUESTION, QUESTION_PARTS
+from isotherm.plans.workload import AS_OF, COUNTRY, DIRTY, EVENT_CODE, QUESTION, QUESTION_PARTS, TURN_ID
 
 
 def quoted(values) -> str:
@@ -143,7 +143,7 @@ _DIRTY = ", ".join(f"{e} AS {c}" for c, e in DIRTY.items())
 _MEAN2 = "round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100, 0) / 100"
 _YEARLY_MEAN = "round_even(CAST(sum(AvgTemperature) AS DOUBLE) / count(AvgTemperature) * 1000, 0) / 1000"
 
-BASE = f"""WITH canon(Country, canon_region) AS (VALUES {_CANON}),
+BASE = f"""WITH RECURSIVE canon(Country, canon_region) AS (VALUES {_CANON}),
 codes(code, code_text) AS (VALUES {', '.join(f"({k}, '{v}')" for k, v in WEATHER_CODES.items())}),
 priced AS (
   SELECT o_orderkey, {COUNTRY} AS Country, r_name AS Region, CAST(year(o_orderdate) AS INTEGER) AS Year,
@@ -200,7 +200,7 @@ questions AS (
   FROM (SELECT event_id, user_id, {_PARTS} FROM events)),
 texts AS (
   SELECT qid, text FROM questions UNION ALL
-  SELECT -(conv_id * 1000 + turn + 1) AS qid, text FROM conversations),
+  SELECT {TURN_ID} AS qid, text FROM conversations),
 names AS (
   SELECT DISTINCT kind, name, {norm('name')} AS phrase FROM (
     SELECT 'Country' AS kind, Country AS name FROM means UNION ALL SELECT 'Region', Region FROM means)),
@@ -209,6 +209,24 @@ observations AS (
 """
 
 
+def _best_block(a: str, b: str) -> str:
+    """The longest common block of two texts, the earliest in ``a``: a struct of its length and its negated start."""
+    lengths = f"list_filter(range(1, length({a}) - i + 2), lambda k: contains({b}, substr({a}, i, k)))"
+    return f"list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform({lengths}, lambda k: {{'k': k, 'ni': -i}}))))"
+
+
+# CTE ``ratios(np, p, similarity)`` of the pairs in CTE ``cand(np, p)``: the share of characters in matching blocks.
+# The longest common block splits both texts; the rests left and right of it are matched in the same way.
+RATIOS = f"""seg AS (
+    SELECT np, p, np AS a, p AS b, {_best_block('np', 'p')} AS m FROM cand
+    UNION ALL
+    SELECT np, p, x.a, x.b, {_best_block('x.a', 'x.b')} FROM (
+      SELECT np, p, unnest([{{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1)}}, {{'a': substr(a, i + k), 'b': substr(b, j + k)}}]) AS x FROM (
+        SELECT *, position(substr(a, i, k) IN b) AS j FROM (SELECT np, p, a, b, CAST(m.k AS INTEGER) AS k, CAST(-m.ni AS INTEGER) AS i FROM seg WHERE m IS NOT NULL)))
+    WHERE x.a <> '' AND x.b <> ''),
+  ratios AS (SELECT np, p, CAST(2 * coalesce(sum(m.k), 0) AS DOUBLE) / (length(p) + length(np)) AS similarity FROM seg GROUP BY np, p)"""
+
+
 def oracle(sql: str) -> str:
     """A query over the derived tables; further CTEs start with a comma."""
     return BASE + sql.strip()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from isotherm.functions.distributed import number_rows
 from isotherm.operators import panel, profile, ranking, selection, trends
 from isotherm.plans.catalog import query
 from isotherm.plans.oracle import DEC_MEAN, r
@@ -86,9 +87,9 @@ def _(w):
     return w.regional_trends
 
 
-@query("tk01_sorted_trends", f"SELECT * FROM country_trends ORDER BY {COUNTRY_TIES}")
+@query("tk01_sorted_trends", f"SELECT *, row_number() OVER (ORDER BY {COUNTRY_TIES}) AS rank FROM country_trends")
 def _(w):
-    return w.country_trends.orderBy(*trends.country_order())
+    return number_rows(w.country_trends, *trends.country_order(), name="rank")
 
 
 @query("tk02_fastest_regions", FASTEST)
@@ -185,10 +186,10 @@ def _(w):
 @query(
     "tk09_numeric_sort",
     ", n AS (SELECT o_orderkey, TRY_CAST(trim(AvgTemperature) AS DOUBLE) AS v FROM dirty) "
-    "SELECT o_orderkey FROM n WHERE v IS NOT NULL AND NOT isnan(v)",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY v DESC, o_orderkey) AS rank FROM n WHERE v IS NOT NULL AND NOT isnan(v)",
 )
 def _(w):
-    return ranking.sort_numeric(w.dirty, "AvgTemperature", ties=["o_orderkey"]).select("o_orderkey")
+    return ranking.sort_numeric(w.dirty, "AvgTemperature", ties=["o_orderkey"], name="rank").select("o_orderkey", "rank")
 
 
 @query(
@@ -204,21 +205,21 @@ def _(w):
 
 @query(
     "tk12_page",
-    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 "
+    "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders ORDER BY rank LIMIT 25 "
     "OFFSET (SELECT least(479, (count(*) - 1) // 25) * 25 FROM orders)",
 )
 def _(w):
     orders = w.table("orders").select("o_orderkey", "o_totalprice")
-    return ranking.page(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], 480)
+    return ranking.page(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], 480, name="rank")
 
 
 @query(
     "tk12_last_page",
-    "SELECT Country, Region, Year, AvgTemperature FROM means ORDER BY Country, Region, Year "
+    "SELECT Country, Region, Year, AvgTemperature, row_number() OVER (ORDER BY Country, Region, Year) AS rank FROM means ORDER BY rank "
     "LIMIT 25 OFFSET (SELECT (count(*) - 1) // 25 * 25 FROM means)",
 )
 def _(w):
-    return ranking.page(w.means, [F.asc("Country"), F.asc("Region"), F.asc("Year")], 9999)
+    return ranking.page(w.means, [F.asc("Country"), F.asc("Region"), F.asc("Year")], 9999, name="rank")
 
 
 @query(
@@ -249,7 +250,7 @@ def _(w):
 )
 def _(w):
     orders = w.table("orders").select("o_orderkey", "o_totalprice")
-    return ranking.rank_all(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "rank")
+    return number_rows(orders, F.desc("o_totalprice"), F.asc("o_orderkey"), name="rank").select("o_orderkey", "rank")
 
 
 @query(

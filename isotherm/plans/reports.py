@@ -144,21 +144,23 @@ def matched_facts(
 def comparison(
     questions: DataFrame, key: str, text: str, names: DataFrame, countries: DataFrame, regions: DataFrame
 ) -> DataFrame:
-    """Metric rows and differences of the countries a question names (two or more), and of its regions."""
-    linked = materialize(mentions(questions, key, text, names, COMPARE_ALIASES).distinct())
-    parts = []
-    for kind, table, metrics in (("Country", countries, COUNTRY_METRICS), ("Region", regions, REGION_METRICS)):
-        named = linked.where(F.col("kind") == kind)
-        several = named.groupBy(key).count().where("count >= 2").select(key)
-        named = named.join(several, key, "left_semi").select(key, "name")
-        rows = named.join(table, F.col("name") == F.col(kind))
-        parts.append(_long(rows, kind.lower(), key, kind, metrics))
-        if kind == "Country":
-            longest_first: list[Column] = [F.desc(F.length("Country")), F.asc("Country")]
-            pairs = pair_differences(named, key, table, longest_first)
-            pairs = pairs.withColumn("entity", F.concat_ws(" vs ", "a", "b"))
-            parts.append(_long(pairs, "difference", key, "entity", ["avg_diff", "latest_diff", "change_diff", "trend_diff"]))
-    return union(parts)
+    """Metric rows and differences of the countries a question names (two or more), and of its regions.
+
+    The names of a question are collected once per kind; the number of its pairs is the square of that few.
+    """
+    found = mentions(questions, key, text, names, COMPARE_ALIASES)
+    listed = found.groupBy(key, "kind").agg(F.collect_set("name").alias("_names")).where(F.size("_names") >= 2)
+    named = listed.select(key, "kind", F.explode_outer("_names").alias("name"))
+    of = lambda kind: named.where(F.col("kind") == kind)
+    rows = of("Country").join(countries, F.col("name") == F.col("Country"))
+    regional = of("Region").join(regions, F.col("name") == F.col("Region"))
+    longest_first: list[Column] = [F.desc(F.length("Country")), F.asc("Country")]
+    pairs = pair_differences(of("Country"), key, countries, longest_first, by=[key, "kind"])
+    return union([
+        _long(rows, "country", key, "Country", COUNTRY_METRICS),
+        _long(regional, "region", key, "Region", REGION_METRICS),
+        _long(pairs.withColumn("entity", F.concat_ws(" vs ", "a", "b")), "difference", key, "entity", ["avg_diff", "latest_diff", "change_diff", "trend_diff"]),
+    ])
 
 
 def place_profile(
@@ -170,8 +172,6 @@ def place_profile(
     The profile of a country is put together once and joined to the readings, so
     a country with many readings costs one hash lookup per reading.
     """
-    from isotherm.functions.distributed import broadcast_if_small
-
     trend = _long(countries, "country", None, "Country", COUNTRY_METRICS).select(
         F.col("entity").alias("Country"), "section", "entity", "metric", "value"
     )
@@ -187,5 +187,5 @@ def place_profile(
         key, F.lit("observation").alias("section"), F.col("_name").alias("entity"),
         F.lit("temperature_c").alias("metric"), "value",
     )
-    found = asked.select(key, "_name").join(broadcast_if_small(profiles), "_name").drop("_name")
+    found = asked.select(key, "_name").join(profiles, "_name").drop("_name")
     return reading.unionByName(found.select(*reading.columns))

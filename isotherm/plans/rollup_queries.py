@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from isotherm.functions.facts import weather_lines
+from isotherm.functions.facts import weather_answer, weather_context, weather_lines
 from isotherm.functions.numbers import parse_number
 from isotherm.functions.text import period_bounds
 from isotherm.operators import compare, linking, rollup
@@ -159,21 +159,48 @@ def _(w):
     )
 
 
+_TWO = lambda e: f"format('{{:.2f}}', {r(e, 2)})"
+# Fields of the station records as texts with two decimals.
+STATION_TEXTS = f""", wx AS (SELECT event_id, 'L' || user_id || ', Testland' AS place, 'L' || user_id AS name, strftime(ts, '%Y-%m-%d') AS date, {_TWO('value')} AS t,
+  CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'Sunny' END AS cond, {_TWO('(event_id % 100)::DOUBLE')} AS hum,
+  {_TWO('CASE WHEN event_id % 7 <> 0 THEN value - 5 ELSE value END')} AS lo, {_TWO('value')} AS hi, {_TWO('CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END')} AS rain FROM events)"""
+
+
+def weather_records(w):
+    rows = weather.station_records(stations(w), ["event_id"], "body")
+    return rows.select("event_id", "date", F.struct("location", "current", "today").alias("r"))
+
+
 @query(
     "sc19_weather_lines",
-    """SELECT event_id, 'Location: L' || user_id || ', Testland' || chr(10) || 'Temperature: ' || value || ' C' || chr(10) || 'Feels Like: N/A C' || chr(10)
-      || 'Condition: ' || CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'Sunny' END || chr(10) || 'Humidity: ' || (event_id % 100)::DOUBLE || '%' || chr(10)
-      || 'Wind Speed: N/A km/h' || chr(10) || 'Today Min: ' || CASE WHEN event_id % 7 <> 0 THEN 'low' ELSE 'same' END AS lines FROM events""",
+    STATION_TEXTS + """ SELECT event_id, 'Location: ' || place || chr(10) || 'Date: ' || date || chr(10) || 'Temperature: ' || t || ' C' || chr(10) || 'Feels Like: N/A C' || chr(10)
+      || 'Condition: ' || cond || chr(10) || 'Humidity: ' || hum || '%' || chr(10) || 'Wind Speed: N/A km/h' || chr(10) || 'Today Min: ' || lo || ' C' || chr(10)
+      || 'Today Max: ' || hi || ' C' || chr(10) || 'Rain: ' || rain || ' mm' AS lines FROM wx""",
 )
 def _(w):
-    rows = weather.station_records(stations(w), ["event_id"], "body")
-    text = weather_lines("r")
-    packed = rows.select("event_id", F.struct("location", "current", "today").alias("r")).select(
-        "event_id", F.col("r.current.temperature_c").alias("t"), F.col("r.today.min_temperature_c").alias("m"), text.alias("x")
-    )
-    # The lowest value is a difference of doubles, whose text the engines may write differently.
-    kind = F.when(F.col("m") == F.col("t"), "same").otherwise("low")
-    return packed.select("event_id", F.concat(F.substring_index("x", "Today Min: ", 1), F.lit("Today Min: "), kind).alias("lines"))
+    return weather_records(w).select("event_id", weather_lines("r", F.col("date"), 2).alias("lines"))
+
+
+@query(
+    "sc19_weather_answer",
+    STATION_TEXTS + """ SELECT event_id, 'Weather Analysis' || chr(10) || chr(10) || 'Location: ' || place || chr(10) || 'Temperature: ' || t || '°C' || chr(10)
+      || 'Feels like: N/A°C' || chr(10) || 'Condition: ' || cond || chr(10) || 'Humidity: ' || hum || '%' || chr(10) || 'Wind: N/A km/h' || chr(10) || chr(10)
+      || 'Forecast:' || chr(10) || 'Min: ' || lo || '°C' || chr(10) || 'Max: ' || hi || '°C' || chr(10) || 'Rain: ' || rain || ' mm' || chr(10) AS answer FROM wx""",
+)
+def _(w):
+    return weather_records(w).select("event_id", weather_answer("r", 2).alias("answer"))
+
+
+@query(
+    "sc19_weather_context",
+    STATION_TEXTS + """ SELECT event_id, chr(10) || 'Location: ' || name || ', Testland' || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'Historical weather on ' || date ELSE 'Current conditions' END
+      || chr(10) || chr(10) || 'Temperature: ' || t || '°C' || chr(10) || CASE WHEN event_id % 2 = 0 THEN '' ELSE 'Feels Like: None°C' END || chr(10) || 'Condition: ' || cond || chr(10)
+      || CASE WHEN event_id % 2 = 0 THEN '' ELSE 'Humidity: ' || hum || '%' END || chr(10) || 'Wind Speed: None km/h' || chr(10) || chr(10) || 'Daily Summary:' || chr(10)
+      || 'Min Temp: ' || lo || '°C' || chr(10) || 'Max Temp: ' || hi || '°C' || chr(10) || 'Rain: ' || rain || ' mm' || chr(10) AS context FROM wx""",
+)
+def _(w):
+    historical = F.col("event_id") % 2 == 0
+    return weather_records(w).select("event_id", weather_context("r", F.col("date"), historical, 2).alias("context"))
 
 
 @query(

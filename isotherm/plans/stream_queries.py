@@ -2,15 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from isotherm.operators import linking
 from isotherm.plans.catalog import query
 from isotherm.plans.ingest_queries import KIND_OF_FILE, clean_sql, mixed_uploads
 from isotherm.plans.oracle import r
 from isotherm.plans.text_queries import ROUTES, as_of
 from isotherm.plans.workload import EVENT_CODE, QUESTION, QUESTION_PARTS
 from isotherm.sources import uploads
-from isotherm.streaming.conversation import carried_state
-from isotherm.streaming.enrich import enrich_readings
+from isotherm.operators.compare import against_history
+from isotherm.streaming.conversation import route_conversations
 from isotherm.streaming.ingest import ingest_uploads
 from isotherm.streaming.rollup import daily_summaries
 from isotherm.streaming.run import run_available
@@ -61,16 +60,20 @@ def _(w):
     readings = event_stream(w).select(
         "event_id", F.upper(F.expr(QUESTION_PARTS["c1"])).alias("country"), F.col("value").alias("temperature_c")
     )
-    return run_available(enrich_readings(readings, "country", "temperature_c", w.ready_countries), "enriched")
+    return run_available(against_history(readings, "country", "temperature_c", w.ready_countries), "enriched")
 
 
-STATE_SQL = """, t AS (SELECT conv_id, turn, fixed, fixed IS NULL AND follow AS follow, keyword FROM routes r JOIN questions s ON r.qid = s.qid),
+STATE_SQL = """, t AS (SELECT conv_id, turn, place, fixed, fixed IS NULL AND follow AS follow, keyword FROM routes r JOIN questions s ON r.qid = s.qid),
     src AS (SELECT *, CASE coalesce(fixed, keyword) WHEN 'historical_weather' THEN 'weather' WHEN 'out_of_scope' THEN NULL ELSE coalesce(fixed, keyword) END AS source FROM t),
     a AS (SELECT *, last_value(CASE WHEN NOT follow THEN source END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM src),
     b AS (SELECT *, first_value(CASE WHEN follow AND anchor IS NULL THEN source END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead FROM a),
-    s AS (SELECT *, coalesce(anchor, lead) AS state FROM b)
-    SELECT conv_id, turn, follow AS followup,
-      CASE WHEN follow THEN coalesce(CASE state WHEN 'hybrid' THEN 'climate' ELSE state END, keyword) ELSE coalesce(fixed, keyword) END AS route FROM s"""
+    s AS (SELECT *, coalesce(anchor, lead) AS state FROM b),
+    ro AS (SELECT conv_id, turn, place, follow, CASE WHEN follow THEN coalesce(CASE state WHEN 'hybrid' THEN 'climate' ELSE state END, keyword) ELSE coalesce(fixed, keyword) END AS route FROM s),
+    lf AS (SELECT *, CASE route WHEN 'historical_weather' THEN 'weather' WHEN 'out_of_scope' THEN NULL ELSE route END AS src,
+      CASE route WHEN 'climate' THEN '' WHEN 'weather' THEN place WHEN 'out_of_scope' THEN NULL ELSE coalesce(place, '') END AS lft FROM ro)
+    SELECT conv_id, turn, follow AS followup, route,
+      last_value(src IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_source,
+      nullif(last_value(lft IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last_place FROM lf"""
 
 
 @query("st04_stream_conversations", ROUTES + STATE_SQL)
@@ -79,5 +82,6 @@ def _(w):
     turns = parts.select(
         F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.expr(QUESTION).alias("text")
     )
-    flagged = linking.flag_mentions(turns, "text", w.names)
-    return run_available(carried_state(flagged, as_of()), "state").select("conv_id", "turn", "followup", "route")
+    out = w.work_path("answers")
+    route_conversations(turns, w.names, as_of(), out, w.work_path("answers-log")).awaitTermination()
+    return w.spark.read.parquet(out).select("conv_id", "turn", "followup", "route", "last_source", "last_place")

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.distributed import spread
 from isotherm.functions import facts, markup, numbers, questions, text
-from isotherm.operators import conversation, linking
+from isotherm.operators import conversation
 from isotherm.plans import oracle as o
 from isotherm.plans.catalog import query
-from isotherm.plans.workload import AS_OF
+from isotherm.plans.linked import linked_sql
+from isotherm.plans.workload import AS_OF, pick_of
 from isotherm.functions.lookups import PLACE_ALIASES
 
 Q = ", q AS (SELECT qid, text, lower({0}) AS q, {0} AS masked FROM texts)".format(o.MASKED.format("text"))
@@ -95,9 +96,7 @@ def _(w):
     return parsed.select("qid", questions.is_followup(F.col("q"), F.col("place")).alias("followup"))
 
 
-# Exact mentions only in the oracle; similar names are covered by the links below.
-NAMED = f""", named AS (
-  SELECT DISTINCT qid FROM (SELECT qid, ' ' || {o.norm('text')} || ' ' AS n FROM texts) t JOIN names ON contains(n, ' ' || phrase || ' '))"""
+NAMED = linked_sql(0.88, source="texts", measure="ratio") + ", named AS (SELECT DISTINCT qid FROM lk)"
 FIXED = f"""CASE WHEN place IS NOT NULL AND ((date IS NOT NULL AND {o.any_of('q', questions.WEATHER_PAST)})
     OR ({o.any_of('q', questions.ROUTE_PLACE_WEATHER)} AND {HAS_YEAR})) THEN 'historical_weather'
   WHEN {o.any_of('q', questions.ROUTE_TIME)} OR ({HAS_YEAR} AND NOT (place IS NOT NULL AND {o.any_of('q', questions.ROUTE_PLACE_WEATHER)})) THEN 'climate' END"""
@@ -107,7 +106,7 @@ KEYWORD = f"""CASE WHEN {o.any_of('q', questions.ROUTE_HYBRID)} OR ({LIVE} AND {
   WHEN {LIVE} OR ({o.any_of('q', questions.ROUTE_TEMPERATURE)} AND place IS NOT NULL) THEN 'weather'
   WHEN {o.any_of('q', questions.ROUTE_LAST_CHANCE)} THEN 'climate' ELSE 'out_of_scope' END"""
 ROUTES = PLACES + NAMED + f""", f AS (SELECT p.*, n.qid IS NOT NULL AS names_place FROM p LEFT JOIN named n ON p.qid = n.qid),
-routes AS (SELECT qid, {FIXED} AS fixed, {FOLLOWUP} AS follow, {KEYWORD} AS keyword FROM f)"""
+routes AS (SELECT qid, place, {FIXED} AS fixed, {FOLLOWUP} AS follow, {KEYWORD} AS keyword FROM f)"""
 
 
 @query(
@@ -115,8 +114,7 @@ routes AS (SELECT qid, {FIXED} AS fixed, {FOLLOWUP} AS follow, {KEYWORD} AS keyw
     ROUTES + " SELECT qid, coalesce(fixed, CASE WHEN follow THEN 'weather' END, keyword) AS route FROM routes",
 )
 def _(w):
-    rows = linking.flag_mentions(w.texts, "text", w.names)
-    routed = questions.with_routes(rows, "text", as_of())
+    routed = conversation.routed_texts(w.texts, "qid", "text", w.names, as_of())
     return routed.select("qid", questions.answer_route(F.lit("weather")).alias("route"))
 
 
@@ -132,8 +130,8 @@ def _(w):
       CASE WHEN follow THEN coalesce(CASE state WHEN 'hybrid' THEN 'climate' ELSE state END, keyword) ELSE coalesce(fixed, keyword) END AS route FROM s""",
 )
 def _(w):
-    rows = linking.flag_mentions(w.questions, "text", w.names)
-    return conversation.route_turns(rows, as_of()).select("conv_id", "turn", "followup", "last_source", "route")
+    routed = conversation.routed_texts(w.questions, "qid", "text", w.names, as_of())
+    return conversation.route_turns(routed).select("conv_id", "turn", "followup", "last_source", "route")
 
 
 _CITY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PLACE_ALIASES.items())
@@ -193,12 +191,13 @@ def _(w):
 
 
 # Lines of the given documents: each text is cut, and every third line is marked up.
-MARKED = """array_join(transform(split(text, '\\n'), (l, i) -> CASE (i + doc_id) % 9 WHEN 0 THEN '## ' || l WHEN 1 THEN '- ' || l
-  WHEN 2 THEN '| ' || l || ' |' WHEN 3 THEN '3) ' || l WHEN 4 THEN '**Temperature**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h'
+LABEL = pick_of("doc_id % 8", ["Temperature", "Feels Like", "Condition", "Humidity", "Location", "Today Min", "Today Max", "Rainfall"])
+MARKED = f"""array_join(transform(split(text, '\\n'), (l, i) -> CASE (i + doc_id) % 9 WHEN 0 THEN '## ' || l WHEN 1 THEN '- ' || l
+  WHEN 2 THEN '| ' || l || ' |' WHEN 3 THEN '3) ' || l WHEN 4 THEN '**' || {LABEL} || '**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h'
   ELSE l END), '\\n')"""
-SQL_LINES = """, raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+SQL_LINES = f""", raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 marked AS (SELECT doc_id, line_no, trim(CASE (line_no - 1 + doc_id) % 9 WHEN 0 THEN '## ' || l WHEN 1 THEN '- ' || l WHEN 2 THEN '| ' || l || ' |'
-  WHEN 3 THEN '3) ' || l WHEN 4 THEN '**Temperature**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h' ELSE l END, ' ' || chr(9) || chr(13)) AS line FROM raw),
+  WHEN 3 THEN '3) ' || l WHEN 4 THEN '**' || {LABEL} || '**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h' ELSE l END, ' ' || chr(9) || chr(13)) AS line FROM raw),
 lv AS (SELECT *, trim(regexp_extract(line, '^(?:\\*\\*)?([^:*]+?)(?:\\*\\*)?\\s*[:\\-]\\s*(.+?)$', 1)) AS label,
   trim(regexp_extract(line, '^(?:\\*\\*)?([^:*]+?)(?:\\*\\*)?\\s*[:\\-]\\s*(.+?)$', 2)) AS value FROM marked),
 typed AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '##') THEN 'heading' WHEN starts_with(line, '|') THEN 'table'
@@ -218,12 +217,15 @@ def _(w):
 @query(
     "sc17_weather_fields",
     SQL_LINES + """, f AS (SELECT doc_id, line_no, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS k, value FROM typed WHERE label <> '' AND value <> ''),
-    last AS (SELECT doc_id, CASE k WHEN 'temperature' THEN 'temp' WHEN 'wind' THEN 'wind' END AS field, arg_max(value, line_no) AS v FROM f
-      WHERE k IN ('temperature', 'wind') GROUP BY 1, 2)
-    SELECT doc_id, coalesce(max(CASE WHEN field = 'temp' THEN v || ' C' END), '-') AS temp, coalesce(max(CASE WHEN field = 'wind' THEN v END), '-') AS wind FROM last GROUP BY doc_id""",
+    fl(k, field) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in markup.WEATHER_LABELS.items()) + """),
+    last AS (SELECT doc_id, field, arg_max(value, line_no) AS v FROM f JOIN fl USING (k) GROUP BY 1, 2)
+    SELECT doc_id, coalesce(max(CASE WHEN field = 'loc' THEN v END), 'Weather') AS loc, """ + ", ".join(
+        f"coalesce(max(CASE WHEN field = '{f}' THEN v{unit} END), '-') AS {f}"
+        for f, unit in {"temp": " || ' C'", "feels": " || ' C'", "cond": "", "hum": "", "wind": "", "mn": " || ' C'", "mx": " || ' C'", "rain": " || ' mm'"}.items()
+    ) + " FROM last GROUP BY doc_id HAVING count(CASE WHEN field <> 'loc' THEN 1 END) > 0",
 )
 def _(w):
-    return markup.weather_fields(marked(w), "doc_id", "text").select("doc_id", "temp", "wind")
+    return markup.weather_fields(marked(w), "doc_id", "text")
 
 
 @query("sc18_line_types", SQL_LINES + " SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line_type FROM typed")

@@ -85,7 +85,7 @@ TEMPLATES = [
     "'humidity in ' || c1 || ' March 2023'",
     "'standard deviation of the temperature, lowest ' || n1 || ' rows'",
     "'last 5 years'",
-    "'Hello there'",
+    "CASE WHEN event_id % 2 = 0 THEN 'Hello there' ELSE 'Saudi Arabbia please' END",
     "'climate change in ' || substr(c1, 1, 2) || substr(c1, 4) || ' versus ' || substr(r1, 1, 3) || substr(r1, 5)",
     "'forecast for ' || c1 || ' from 12/05/2031 or 05/12/2001'",
     "'What about ' || c1 || '?'",
@@ -97,6 +97,9 @@ QUESTION = (
     "CASE event_id % 25 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(TEMPLATES)) + " END"
 )
 
+# A number for each pair of conversation and turn: no two pairs share one, and none is a question's.
+TURN_ID = "-((((conv_id + turn) * (conv_id + turn + 1)) >> 1) + turn + 1)"
+
 EVENT_CODES = {"view": 61, "click": 0, "purchase": 3, "signup": 2, "error": 95}
 EVENT_CODE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EVENT_CODES.items()) + " END"
 
@@ -217,7 +220,7 @@ class Workload:
     def texts(self) -> DataFrame:
         """``qid, text``: the questions and every whole conversation turn."""
         turns = spread(self.table("conversations")).select(
-            F.expr("-(conv_id * 1000 + turn + 1)").alias("qid"), "text"
+            F.expr(TURN_ID).alias("qid"), "text"
         )
         return self.questions.select("qid", "text").unionByName(turns)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def build_session(app: str = "isotherm", master: str | None = None, **conf) -> SparkSession:
@@ -35,29 +38,55 @@ def build_session(app: str = "isotherm", master: str | None = None, **conf) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local master without that setting falls back to a temporary folder.
+    Only a local master without that setting gets a temporary folder, which goes with the process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="isotherm-"))
+    if context.applicationId not in _LOCAL_DIRS:
+        folder = tempfile.mkdtemp(prefix="isotherm-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_DIRS[context.applicationId] = folder
+    return _LOCAL_DIRS[context.applicationId]
+
+
+def _work_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/isotherm/{spark.sparkContext.applicationId}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def new_work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for a table written by a job."""
-    return f"{shared_dir(spark).rstrip('/')}/isotherm/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for a table written by a job.
+
+    All paths of an application lie in one folder, which goes when the driver's JVM ends or with ``clear_work``.
+    """
+    root = _work_root(spark)
+    if root not in _MARKED:
+        system, target = _file_system(spark, root)
+        system.deleteOnExit(target)
+        _MARKED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has staged; tables that were read from it can no longer be used."""
+    system, target = _file_system(spark, _work_root(spark))
+    system.delete(target, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it from there.
 
-    Used where a reduced table feeds several outputs or must be read twice with
-    the very same partitions; an executor that is lost later costs nothing.
+    For a reduced table that feeds several outputs. It is computed once, an executor that is lost later costs
+    nothing, scans of it are pruned, and the optimizer knows its size, from which it decides about broadcasts.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = new_work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from isotherm.sources.sinks import write_table
 
 
 def write_dataset(tables: dict[str, DataFrame], root: str, dataset_id: str) -> None:
-    """Write the tables of one dataset, replacing only that dataset."""
+    """Write the tables of one dataset, ``raw`` (the panel as it was uploaded, as text) among them, replacing only that dataset."""
     for name, df in tables.items():
         write_table(df, f"{root}/{name}", dataset_id)
 

@@ -1,58 +1,52 @@
-"""State carried between the turns of a conversation, as a stateful stream."""
+"""State carried between the turns of conversations, micro-batch by micro-batch."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from isotherm.functions.questions import with_routes
-
-OUTPUT = "conv_id long, turn long, followup boolean, last_source string, last_place string, route string"
-STATE = "source string, place string, question string"
-
-
-def _stepper():
-    """The stateful step. A local function travels to the executors by value."""
-
-    def step(key, batches, state):
-        source, place, question = state.get if state.exists else (None, None, None)
-        # How many new turns a micro-batch holds is set by its trigger.
-        turns = pd.concat(list(batches)).sort_values("turn")
-        rows = []
-        for turn, fixed, follow, keyword, named, text in zip(
-            turns["turn"], turns["fixed"], turns["follow"], turns["keyword"], turns["place"], turns["question"]
-        ):
-            fixed, named = (None if pd.isna(x) else x for x in (fixed, named))
-            follow = bool(follow) and fixed is None
-            taken = "climate" if source == "hybrid" else source
-            route = fixed or (taken if follow and taken else keyword)
-            rows.append((key[0], turn, follow, source, place, route))
-            if route != "out_of_scope":
-                source = "weather" if route == "historical_weather" else route
-                question = text
-                if route == "climate":
-                    place = None
-                else:
-                    place = named or (place if route == "weather" else None)
-        state.update((source, place, question))
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "followup", "last_source", "last_place", "route"])
-
-    return step
-
-
-def carried_state(turns: DataFrame, as_of: Column) -> DataFrame:
-    """Route each turn with the state of the turns before it.
-
-    ``turns`` needs ``conv_id, turn, text, names_place``. Classification happens
-    in native columns before the shuffle; the stateful step only follows the chain,
-    and keeps the last source, place and question.
+from pyspark.sql.streaming import StreamingQuery
+
+from isotherm.functions.questions import source_of
+from isotherm.operators.conversation import carried_answers, place_left, routed_texts
+from isotherm.sources.delimited import path_exists
+
+STATE = "conv_id long, source string, place string, seen timestamp"
+
+
+def route_conversations(
+    turns: DataFrame, names: DataFrame, as_of: Column, out: str, checkpoint: str, max_age: str = "30 days", measure: str = "ratio"
+) -> StreamingQuery:
+    """Route each turn of a stream (``conv_id, turn, text``) with the state of the turns before it.
+
+    A micro-batch is routed by the batch operators, so no conversation meets in one task. What it leaves behind
+    is one row per conversation: last source and place. ``out`` gets a partition ``batch`` of routes, ``out``-state a
+    partition of state; a batch that is run again replaces both. A conversation whose last turn in scope came more
+    than ``max_age`` before starts anew, and its row goes.
     """
-    routed = with_routes(turns, "text", as_of)
-    question = F.col("text").alias("question")
+    spark = turns.sparkSession
+
+    def write(rows: DataFrame, batch: int) -> None:
+        state, store = None, f"{out}-state"
+        if path_exists(spark, f"{store}/batch={batch - 1}"):
+            old = spark.read.schema(STATE).parquet(f"{store}/batch={batch - 1}")
+            state = old.where(F.col("seen") >= F.current_timestamp() - F.expr(f"INTERVAL {max_age}"))
+        seeds = None if state is None else state.select("conv_id", F.col("source").alias("seed"), F.col("place").alias("seed_place"))
+        keyed = rows.withColumn("_key", F.struct("conv_id", "turn"))
+        routed = routed_texts(keyed, "_key", "text", names, as_of, measure).drop("_key")
+        answers = carried_answers(routed, seeds)
+        answers.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        done = spark.read.schema(answers.schema).parquet(f"{out}/batch={batch}")
+        latest = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("turn")))
+        left = done.groupBy("conv_id").agg(
+            latest(source_of(F.col("route"))).alias("source"), latest(place_left(F.col("route"), F.col("place"))).alias("place")
+        ).withColumn("seen", F.current_timestamp())
+        if state is not None:
+            both = state.alias("o").join(left.alias("n"), "conv_id", "full")
+            pick = [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("source", "place", "seen")]
+            left = both.select("conv_id", *pick)
+        left.select("conv_id", "source", "place", "seen").write.mode("overwrite").parquet(f"{store}/batch={batch}")
+
     return (
-        routed.select("conv_id", "turn", "fixed", "follow", "keyword", "place", question)
-        .groupBy("conv_id")
-        .applyInPandasWithState(_stepper(), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        turns.select("conv_id", "turn", "text").writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from isotherm.functions.questions import with_routes
-from isotherm.operators.conversation import history_text, recent_turns, route_turns
-from isotherm.streaming.conversation import carried_state
-from isotherm.streaming.run import run_available
+from isotherm.operators import linking
+from isotherm.operators.conversation import carried_answers, history_text, recent_turns, route_turns, routed_texts
+from isotherm.streaming.conversation import route_conversations
 from isotherm.session import new_work_path
 
 TALKS = {
@@ -17,50 +17,72 @@ TALKS = {
     3: ["hello there", "why is that?", "more info", "rain now", "details"],
     4: ["why did the climate change", "why", "is it raining now", "what about it"],
     5: ["temperature in Rome in 2001", "reason?", "past 3 years", "elaborate"],
+    6: ["Saudi Arabbia please", "why?", "weather in Paris today", "why?", "rain now"],
 }
 
 
 @pytest.fixture(scope="module")
 def turns(spark):
-    rows = [(c, t, x, False) for c, texts in TALKS.items() for t, x in enumerate(texts)]
-    return spark.createDataFrame(rows, "conv_id long, turn long, text string, names_place boolean").repartition(4)
+    rows = [(c, t, x) for c, texts in TALKS.items() for t, x in enumerate(texts)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    return linking.dictionary((spark.createDataFrame([("Saudi Arabia",), ("Peru",)], "n string"), "n", "Country"))
 
 
 def as_of():
     return F.lit(dt.date(2024, 6, 30))
 
 
+def route_all(turns, names):
+    keyed = turns.withColumn("key", F.struct("conv_id", "turn"))
+    return routed_texts(keyed, "key", "text", names, as_of()).drop("key")
+
+
 @pytest.fixture(scope="module")
 def expected(turns):
-    rows = {(r["conv_id"], r["turn"]): r for r in with_routes(turns, "text", as_of()).collect()}
+    """``route, last source, last place`` of each turn by a plain loop."""
+    flagged = turns.withColumn("names_place", F.col("text").contains("Saudi Arabbia"))
+    rows = {(r["conv_id"], r["turn"]): r for r in with_routes(flagged, "text", as_of()).collect()}
     out = {}
     for conv, texts in TALKS.items():
-        source = None
+        source = place = None
         for turn in range(len(texts)):
             row = rows[conv, turn]
             route = row["fixed"]
             if route is None and row["follow"] and source:
                 route = "climate" if source == "hybrid" else source
             route = route or row["keyword"]
-            out[conv, turn] = route
+            out[conv, turn] = (route, source, place)
             if route != "out_of_scope":
                 source = "weather" if route == "historical_weather" else route
+                place = None if route == "climate" else row["place"] or (place if route == "weather" else None)
     return out
 
 
-def test_batch(turns, expected):
-    got = {(r["conv_id"], r["turn"]): r["route"] for r in route_turns(turns, as_of()).collect()}
-    assert got == expected
+def test_batch(turns, names, expected):
+    routed = route_all(turns, names)
+    got = {(r["conv_id"], r["turn"]): r["route"] for r in route_turns(routed).collect()}
+    assert got == {k: v[0] for k, v in expected.items()}
     assert {"weather", "climate", "hybrid", "historical_weather", "out_of_scope"} <= set(got.values())
+    assert got[6, 0] == "climate"  # by a misspelt name alone
+    whole = {(r["conv_id"], r["turn"]): (r["route"], r["last_source"], r["last_place"]) for r in carried_answers(routed).collect()}
+    assert whole == expected
 
 
-def test_stream(spark, turns, expected):
-    folder = new_work_path(spark, "turns")
+def test_stream(spark, turns, names, expected):
+    folder, out = new_work_path(spark, "turns"), new_work_path(spark, "routes")
     for low in (0, 2, 4):  # later turns arrive in later files
         turns.where(F.col("turn").between(low, low + 1)).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = run_available(carried_state(stream, as_of()), "routes").collect()
-    assert {(r["conv_id"], r["turn"]): r["route"] for r in got} == expected
+    route_conversations(stream, names, as_of(), out, new_work_path(spark, "log")).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert {(r["conv_id"], r["turn"]): (r["route"], r["last_source"], r["last_place"]) for r in got} == expected
+    assert {r["batch"] for r in got} == {0, 1, 2}
+    state = spark.read.parquet(f"{out}-state").where("batch = 2")
+    assert state.count() == state.select("conv_id").distinct().count() == len(TALKS)
 
 
 def test_history(spark):

@@ -5,12 +5,14 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from isotherm.functions.distributed import broadcast_if_small, carry_forward, exact_median, number_rows
+from isotherm.functions.distributed import carry_forward, exact_median, number_rows
+from isotherm.session import clear_work, materialize, new_work_path
+from isotherm.sources.delimited import path_exists
 
 
 def test_median(spark):
     random.seed(5)
-    for n in (1, 2, 7, 500, 501):
+    for n in (1, 2, 7, 500, 501, 30_001):
         values = [random.choice([1.5, 2.0, 7.25, random.random() * 9]) for _ in range(n)]
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
         assert exact_median(df, "v").first()[0] == statistics.median(values)
@@ -40,9 +42,11 @@ def test_carry_forward(spark):
             assert got[key, turn] == ((seen[-1] if keep == "last" else seen[0]) if seen else None)
 
 
-def test_broadcast_only_if_small(spark):
-    plan = lambda df: df._jdf.queryExecution().toString()
-    assert "broadcast" in plan(broadcast_if_small(spark.range(10))).lower()
-    assert "broadcast" not in plan(broadcast_if_small(spark.range(11), max_rows=10)).lower()
-    wide = spark.range(5).select(F.repeat(F.lit("x"), 100).alias("t"))
-    assert "broadcast" not in plan(broadcast_if_small(wide, max_bytes=400)).lower()
+def test_staged_tables(spark):
+    """A written table is broadcast by its known size, and goes with ``clear_work``."""
+    small = materialize(spark.range(10).withColumnRenamed("id", "k"))
+    assert "broadcast" in spark.range(100).join(small, F.col("id") == F.col("k"))._jdf.queryExecution().toString().lower()
+    folder = new_work_path(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    clear_work(spark)
+    assert not path_exists(spark, folder)

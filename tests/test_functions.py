@@ -203,12 +203,14 @@ def test_year_filter_and_questions(spark):
     assert selection.filter_year(df, 2001).count() == 1 and selection.filter_year(df, 1900).count() == 3
     names = linking.dictionary((df.withColumn("Country", F.concat("Country", F.lit(" land"))), "Country", "Country"))
     lands = df.withColumn("Country", F.concat("Country", F.lit(" land")))
-    asked = lambda q: [(r["Country"], r["Year"]) for r in linking.yearly_rows(lands, q, names).collect()]
+    texts = ["hottest country in 2000", "rows of the latest year", "about a land", "B land in 2000"]
+    table = spark.createDataFrame([(q, q) for q in texts], "qid string, text string")
+    got = linking.yearly_rows(lands, table, "qid", "text", names).collect()
+    asked = lambda q: [(r["Country"], r["Year"]) for r in sorted(got, key=lambda r: r["row_no"]) if r["qid"] == q]
     assert asked("hottest country in 2000") == [("B land", 2000), ("A land", 2000)]
     assert asked("rows of the latest year") == [("A land", 2001)]
     assert sorted(asked("about a land")) == [("A land", 2000), ("A land", 2001)]
     assert asked("B land in 2000") == [("B land", 2000)]
-    assert selection.asked_rows("top 3", spark=spark) == 3
     assert selection.relevant_rows(df, "what is in zzz").count() == 3
     assert [r["Country"] for r in selection.relevant_rows(df, "tell me of b").collect()] == ["B"]
 
@@ -218,8 +220,18 @@ def test_kinds_and_lists(spark):
     kinds = {r["column"]: r["kind"] for r in profile.column_kinds(df).collect()}
     assert kinds == {"d": "categorical", "s": "categorical", "n": "numeric", "e": "date"}
     assert profile.distinct_names(df, "s").first()["names"] == ["x, y", "z"]
-    with pytest.raises(ValueError):
-        profile.distinct_names(df, "s", max_bytes=3)
+    long = spark.range(20_000).select(F.concat(F.repeat(F.lit("n"), 1000), F.col("id").cast("string")).alias("s"))
+    assert profile.distinct_values(long, "s").count() == 20_000
+    assert profile.distinct_names(long, "s").select(F.size("names")).first()[0] == 20_000
+
+
+def test_asked_rankings_follow_their_one_limit(spark):
+    rows = [(f"C{i:03}", f"R{i % 9}", float(i), float(i)) for i in range(300)]
+    countries = spark.createDataFrame(rows, "Country string, Region string, TemperatureChange double, AverageTemperature double")
+    regions = countries.groupBy("Region").agg(F.max("TemperatureChange").alias("RegionalTemperatureChange"), F.max("AverageTemperature").alias("AverageRegionalTemperature"))
+    asked = spark.createDataFrame([(1, "top 80 hottest countries"), (2, "top 250 hottest countries")], "qid int, text string")
+    count = lambda **most: {r["qid"]: r["n"] for r in ranking.answer_rankings(asked, "qid", "text", countries, regions, **most).where("section = 'countries'").groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert count() == {1: 80, 2: 200} and count(most=20) == {1: 20, 2: 20} and count(most=280) == {1: 80, 2: 250}
 
 
 MARKED = "## Weather - Oslo\n\n**Temperature**: 12 C\nFeels Like: 10\nWind: 5 km/h\n- a bullet\n1. one\n| a | b |\nplain words"

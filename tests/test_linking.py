@@ -40,8 +40,15 @@ def test_mentions(tables):
     got = {(r["qid"], r["name"]) for r in linking.mentions(texts, "qid", "text", names).collect()}
     want = {(i, n) for i, t in enumerate(TEXTS) for n in NAMES if f" {ascii_lower(n)} " in f" {ascii_lower(t)} "}
     assert got == want and (3, "Romania") in got and (3, "Oman") in got
-    flagged = {r["qid"]: r["names_place"] for r in linking.flag_mentions(texts, "text", names).collect()}
-    assert flagged == {i: any(i == q for q, _ in want) for i in range(len(TEXTS))}
+
+
+def test_more_names_than_a_list_should_hold(spark):
+    """Dictionaries have no bound: over ten thousand names, exact and misspelt ones."""
+    made = spark.range(12_000).select(F.concat(F.lit("place number "), F.lpad(F.col("id").cast("string"), 6, "x")).alias("name"))
+    names = linking.dictionary((made, "name", "Place"))
+    texts = spark.createDataFrame([(0, "to place number x11999"), (1, "to plase number xx1234"), (2, "to place of no number")], "qid int, text string")
+    flags = {r["qid"]: r["names_place"] for r in linking.names_place(texts, "qid", "text", names).collect()}
+    assert flags == {0: True, 1: True, 2: False}
 
 
 def test_aliases(tables):
