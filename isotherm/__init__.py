@@ -1,5 +1,5 @@
 """Entity / region / year panel analytics on PySpark."""
 
-from isotherm.session import build_session, materialize, shared_dir
+from isotherm.session import build_session, clear_work, materialize, shared_dir
 
-__all__ = ["build_session", "materialize", "shared_dir"]
+__all__ = ["build_session", "clear_work", "materialize", "shared_dir"]

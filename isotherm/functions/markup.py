@@ -38,10 +38,11 @@ def line_value(line: Column) -> Column:
 
 
 def line_type(line: Column) -> Column:
-    """blank / heading / table / bullet / numbered / label_value / prose."""
+    """blank / heading / table / rule / bullet / numbered / label_value / prose; a rule is a table line without cells."""
     return (
         F.when(line == "", "blank")
         .when(line.startswith("##"), "heading")
+        .when(line.startswith("|") & line.rlike(r"^[|\s\-:]+$"), "rule")
         .when(line.startswith("|"), "table")
         .when(line.rlike(r"^[-•*]\s+"), "bullet")
         .when(line.rlike(r"^[0-9]+[.)]\s+"), "numbered")
@@ -91,26 +92,28 @@ def weather_fields(df: DataFrame, key: str, text: str) -> DataFrame:
 def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, block_no, line_type, first_line, n_lines``: runs of lines of one type.
 
-    The positions where the type changes are found in the row; a block ends
+    Rules belong to the table they stand in and do not count as its lines; rules alone are no block. The positions where the type changes are found in the row; a block ends
     where the next one starts, so the work is linear in the lines of the text.
     """
-    typed = df.select(key, F.transform(text_lines(F.col(text)), line_type).alias("_types"))
+    read = df.select(key, F.transform(text_lines(F.col(text)), line_type).alias("_read"))
+    typed = read.select(key, "_read", F.transform("_read", lambda t: F.when(t == "rule", "table").otherwise(t)).alias("_types"))
     at = lambda i: F.get("_types", i)
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_types") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))
     )
-    runs = typed.select(key, "_types", starts.alias("_starts")).select(
-        key, "_types", "_starts", F.posexplode_outer("_starts").alias("_n", "_start")
+    runs = typed.select(key, "_read", "_types", starts.alias("_starts")).select(
+        key, "_read", "_types", "_starts", F.posexplode_outer("_starts").alias("_n", "_start")
     )
     runs = runs.where(F.col("_start").isNotNull())
     end = F.coalesce(F.get("_starts", F.col("_n") + 1), F.size("_types"))
+    own = F.slice("_read", F.col("_start") + 1, end - F.col("_start"))
     return runs.select(
         key,
         (F.col("_n") + 1).alias("block_no"),
         at(F.col("_start")).alias("line_type"),
         (F.col("_start") + 1).alias("first_line"),
-        (end - F.col("_start")).alias("n_lines"),
-    )
+        F.size(F.filter(own, lambda t: t != "rule")).alias("n_lines"),
+    ).where("n_lines > 0")
 
 
 def typed_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -373,23 +373,25 @@ def keyword_rows(
     )
     used = split.select(key, F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_all")).alias("_used"))
     cities = F.transform("_used", lambda w: map_column(COUNTRY_OF_CITY, w))
+    # Texts with the same words are scored once: a word of one letter is part of nearly every name.
+    listed = F.array_sort(F.filter(F.concat("_used", cities), lambda w: w.isNotNull()))
+    bags = used.select(key, F.array_join(listed, "|").alias("_bag"))
     keywords = (
-        used.select(key, F.explode_outer(F.concat("_used", cities)).alias("part"))
-        .where("part IS NOT NULL")
-        .groupBy(key, "part")
+        bags.select("_bag").distinct()
+        .select("_bag", F.explode(F.split("_bag", r"\|")).alias("part"))
+        .groupBy("_bag", "part")
         .count()
     )
     parts = materialize(substrings(rows.select(column).distinct(), column), "parts")
-    scores = (
-        keywords.join(parts, "part").groupBy(key, column).agg(F.sum("count").alias("score"))
-    )
-    by_score = W.partitionBy(key).orderBy(F.desc("score"), *order)
+    scores = keywords.join(parts, "part").groupBy("_bag", column).agg(F.sum("count").alias("score"))
+    by_score = W.partitionBy("_bag").orderBy(F.desc("score"), *order)
     best = (
         scores.join(rows, column)
         .withColumn("row_no", F.row_number().over(by_score))
         .where(F.col("row_no") <= n)
     )
-    rest = _first_rows(texts, scores.select(key).distinct(), key, rows, order, fallback).withColumn(
+    best = bags.join(materialize(best, "scored"), "_bag")
+    rest = _first_rows(texts, best.select(key).distinct(), key, rows, order, fallback).withColumn(
         "score", F.lit(0).cast("bigint")
     )
     columns = [key, "score", "row_no", *rows.columns]

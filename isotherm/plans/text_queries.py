@@ -193,14 +193,14 @@ def _(w):
 # Lines of the given documents: each text is cut, and every third line is marked up.
 LABEL = pick_of("doc_id % 8", ["Temperature", "Feels Like", "Condition", "Humidity", "Location", "Today Min", "Today Max", "Rainfall"])
 MARKED = f"""array_join(transform(split(text, '\\n'), (l, i) -> CASE (i + doc_id) % 9 WHEN 0 THEN '## ' || l WHEN 1 THEN '- ' || l
-  WHEN 2 THEN '| ' || l || ' |' WHEN 3 THEN '3) ' || l WHEN 4 THEN '**' || {LABEL} || '**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h'
+  WHEN 2 THEN '| ' || l || ' |' WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '3) ' || l ELSE '|---|:-:|' END WHEN 4 THEN '**' || {LABEL} || '**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h'
   ELSE l END), '\\n')"""
 SQL_LINES = f""", raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 marked AS (SELECT doc_id, line_no, trim(CASE (line_no - 1 + doc_id) % 9 WHEN 0 THEN '## ' || l WHEN 1 THEN '- ' || l WHEN 2 THEN '| ' || l || ' |'
-  WHEN 3 THEN '3) ' || l WHEN 4 THEN '**' || {LABEL} || '**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h' ELSE l END, ' ' || chr(9) || chr(13)) AS line FROM raw),
+  WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '3) ' || l ELSE '|---|:-:|' END WHEN 4 THEN '**' || {LABEL} || '**: ' || length(l) WHEN 5 THEN 'Wind - ' || doc_id || ' km/h' ELSE l END, ' ' || chr(9) || chr(13)) AS line FROM raw),
 lv AS (SELECT *, trim(regexp_extract(line, '^(?:\\*\\*)?([^:*]+?)(?:\\*\\*)?\\s*[:\\-]\\s*(.+?)$', 1)) AS label,
   trim(regexp_extract(line, '^(?:\\*\\*)?([^:*]+?)(?:\\*\\*)?\\s*[:\\-]\\s*(.+?)$', 2)) AS value FROM marked),
-typed AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '##') THEN 'heading' WHEN starts_with(line, '|') THEN 'table'
+typed AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '##') THEN 'heading' WHEN regexp_matches(line, '^[|][|\\s:-]*$') THEN 'rule' WHEN starts_with(line, '|') THEN 'table'
   WHEN regexp_matches(line, '^[-•*]\\s+') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]+[.)]\\s+') THEN 'numbered'
   WHEN label <> '' AND value <> '' THEN 'label_value' ELSE 'prose' END AS line_type FROM lv)"""
 
@@ -235,9 +235,10 @@ def _(w):
 
 @query(
     "sc18_blocks",
-    SQL_LINES + """, s AS (SELECT *, CASE WHEN line_type = lag(line_type) OVER w THEN 0 ELSE 1 END AS is_start FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    SQL_LINES + """, ty AS (SELECT doc_id, line_no, line_type AS own, CASE line_type WHEN 'rule' THEN 'table' ELSE line_type END AS line_type FROM typed),
+    s AS (SELECT *, CASE WHEN line_type = lag(line_type) OVER w THEN 0 ELSE 1 END AS is_start FROM ty WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
     b AS (SELECT *, CAST(sum(is_start) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS block_no FROM s)
-    SELECT doc_id, block_no, line_type, min(line_no) AS first_line, count(*) AS n_lines FROM b GROUP BY doc_id, block_no, line_type""",
+    SELECT doc_id, block_no, line_type, min(line_no) AS first_line, count(CASE WHEN own <> 'rule' THEN 1 END) AS n_lines FROM b GROUP BY doc_id, block_no, line_type HAVING count(CASE WHEN own <> 'rule' THEN 1 END) > 0""",
 )
 def _(w):
     return markup.blocks(marked(w), "doc_id", "text")
