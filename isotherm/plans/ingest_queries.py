@@ -77,7 +77,10 @@ def mixed_uploads(w):
     return f"{path}/*"
 
 
-KIND_OF_FILE = F.regexp_extract("file", "/kind([0-9]+)/", 1).cast("int").alias("kind")
+def kind_of_file():
+    return F.regexp_extract("file", "/kind([0-9]+)/", 1).cast("int").alias("kind")
+
+
 CANONICAL = "SELECT o_orderkey % 4 AS kind, Country, Region, Year, AvgTemperature FROM dirty WHERE o_orderkey % 4 <> 3 AND NOT (Country IS NULL AND Region IS NULL AND Year IS NULL AND AvgTemperature IS NULL)"
 
 
@@ -141,7 +144,7 @@ def _(w):
 def _(w):
     lines = uploads.upload_lines(w.spark.read.text(mixed_uploads(w)))
     headers = uploads.upload_headers(lines)
-    kinds = headers.select("dataset_id", KIND_OF_FILE)
+    kinds = headers.select("dataset_id", kind_of_file())
     rows = uploads.panel_rows(lines, headers).dropna("all", subset=RAW_PANEL.names).join(kinds, "dataset_id")
     return rows.select("kind", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in RAW_PANEL.names])
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from isotherm.plans.catalog import query
-from isotherm.plans.ingest_queries import KIND_OF_FILE, clean_sql, mixed_uploads
+from isotherm.plans.ingest_queries import clean_sql, kind_of_file, mixed_uploads
 from isotherm.plans.oracle import r
 from isotherm.plans.text_queries import ROUTES, as_of
 from isotherm.plans.workload import EVENT_CODE, QUESTION, QUESTION_PARTS
@@ -30,7 +30,7 @@ def _(w):
     """Every row that was ingested, with the header its file had, and the file kinds that were refused."""
     folder, out = mixed_uploads(w), w.work_path("ingested")
     ingest_uploads(w.spark, folder, out, w.work_path("ingest-log"), files_per_batch=4).awaitTermination()
-    files = uploads.upload_headers(uploads.upload_lines(w.spark.read.text(folder))).select("dataset_id", KIND_OF_FILE)
+    files = uploads.upload_headers(uploads.upload_lines(w.spark.read.text(folder))).select("dataset_id", kind_of_file())
     rows = w.spark.read.parquet(out).join(files, "dataset_id").select("kind", "Country", "Region", "Year", "AvgTemperature")
     refused = w.spark.read.parquet(f"{out}-headers").where("missing <> ''").join(files, "dataset_id").select("kind", "missing").distinct()
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("Region", "string"), ("Year", "int"), ("AvgTemperature", "double"))]
