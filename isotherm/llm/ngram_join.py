@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.batches import WordHasher, bytes_of, mix, row_blocks
-from isotherm.llm.components import components
-from isotherm.llm.tables import staged
+from isotherm.llm.components import components, contract, hung
+from isotherm.llm.tables import fresh, marked, staged
 
 GROUPS = 64  # coordinates of a count vector
 SPARE = 2  # partitions beyond those that differences can spoil
@@ -229,22 +229,22 @@ def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 1_500_
             )
 
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, schema)
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(chain, "a long, b long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lambda batches: contract(chain(batches)), "a long, b long")
 
 
 def verified_links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
     """Links within each comparison: ``places`` is (id, comp, left, right, side, own), where own tells what is linked already."""
 
     def compare(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        rows.sort(key=lambda r: (r["id"], r["side"]))
+        rows = sorted(group.to_pylist(), key=lambda r: (r["id"], r["side"]))
+        rows = [r for i, r in enumerate(rows) if not i or (r["id"], r["side"]) != (rows[i - 1]["id"], rows[i - 1]["side"])]
         sets = shingle_sets([(r["text"] or "").encode() for r in rows], k, WordHasher())
         found = link(sets, [r["own"] for r in rows], np.array([r["side"] for r in rows], bool), percent)
-        return pa.table({"a": pa.array([rows[i]["id"] for i, _ in found], pa.int64()), "b": pa.array([rows[j]["id"] for _, j in found], pa.int64())})
+        a, b = hung(*(np.array([rows[p[side]]["id"] for p in found], np.int64) for side in (0, 1)))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    needed = places.select("id").distinct()
-    held = texts.join(needed.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    held = marked(texts, "id", places.select("id"), "_wanted").where("_wanted").drop("_wanted")
     return held.join(places, "id").groupBy("comp", "left", "right").applyInArrow(compare, "a long, b long")
 
 
@@ -283,9 +283,10 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     links = staged(verified_links(docs, staged(own.union(lead), "places"), k, percent), "links")
 
     split = sizes.where("chunks > 1")
-    if split.limit(1).count():
-        links = staged(links.union(cross_links(docs, members, split, links, k, percent)), "links")
     linked = components(links)
+    if split.limit(1).count():
+        more = cross_links(docs, members, split, linked, k, percent)
+        linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     found = classes.join(linked.withColumnRenamed("id", "_first"), "_first", "left").select(
         "n_shingles", "_k1", "_k2", F.coalesce("component", "_first").alias("_component")
     )
@@ -296,10 +297,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
-def cross_links(docs: DataFrame, members: DataFrame, split: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
+def cross_links(docs: DataFrame, members: DataFrame, split: DataFrame, so_far: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between chunks: documents linked with the group's first one (they need no comparison with each other)
     against all others, and the others among themselves, chunk by chunk."""
-    so_far = components(links)
     state = members.join(split, "comp").join(so_far, "id", "left").select("id", "comp", "lead", "n_shingles", F.coalesce("component", "id").alias("own"))
     leads = state.where("id = lead").select("comp", F.col("own").alias("main"))
     state = staged(state.join(leads, "comp").withColumn("in_main", F.col("own") == F.col("main")), "state")
@@ -318,7 +318,16 @@ def cross_links(docs: DataFrame, members: DataFrame, split: DataFrame, links: Da
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id. Rows without doc_id stay."""
-    kept = join(docs, k, percent).where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each component: that of its smallest doc_id. Rows without doc_id stay.
+
+    Only rows that may have to go (copies, and repeated rows) are shuffled; all others pass as they are.
+    """
+    found = staged(join(docs, k, percent).select("doc_id", "component_id"), "joined")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    flag = fresh(docs, "_maybe")
+    seen = marked(docs, "doc_id", gone.union(twice), flag)
+    sure = seen.where(~F.col(flag) | F.col("doc_id").isNull()).drop(flag)
+    maybe = seen.where(F.col(flag) & F.col("doc_id").isNotNull()).drop(flag)
+    kept = maybe.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return sure.select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -6,18 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.session import new_work_path
+from isotherm.session import materialize
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+staged = materialize
 
-    Cuts the lineage, survives lost executors, and gives the optimizer the size of the table, from
-    which it decides about broadcasts by itself.
+
+BITS = 26
+
+
+def marked(df: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``df`` with the boolean ``name``: may the row's ``key`` be one of ``wanted`` (one column)? Nothing of it is shuffled.
+
+    A bitmap of 2 ** BITS hashed places, 8 MB whatever the size of the tables, tells most others apart; where very
+    many keys are wanted it marks more rows. An exact join of the marked rows has to follow.
     """
-    path = new_work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << BITS))
+    marks = wanted.select(place(wanted.columns[0]).alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_group")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")
+    )
+    at, group, bits = (fresh(df, n) for n in ("_place", "_group", "_bits"))
+    byte = f"CAST(conv(hex(substring({bits}, CAST(bitmap_bit_position({at}) DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    there = F.expr(f"(({byte} >> CAST(bitmap_bit_position({at}) % 8 AS INT)) & 1) = 1")
+    placed = df.withColumn(at, place(key)).withColumn(group, F.bitmap_bucket_number(at))
+    joined = placed.join(F.broadcast(staged(marks, "marks").toDF(group, bits)), group, "left")
+    return joined.withColumn(name, F.coalesce(there, F.lit(False))).drop(at, group, bits)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -59,7 +59,7 @@ def test_join(spark, k, percent):
     assert joined(docs, k, percent) == want
 
 
-def chains(rng, n=700):
+def chains(rng, n=400):
     """A large group in which neighbours link but far ones do not, in several strands, and short texts."""
     out, words = {}, [f"w{i}" for i in range(5000)]
     for strand in range(4):
