@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.batches import WordHasher, bytes_of, mix, row_blocks
-from isotherm.llm.components import components, contract, hung
+from isotherm.llm.components import components, hung
 from isotherm.llm.tables import fresh, marked, staged
 
-GROUPS = 64  # coordinates of a count vector
-SPARE = 2  # partitions beyond those that differences can spoil
+GROUPS = 128  # coordinates of a count vector
+POPULAR = 21
+RUN = 64  # documents that share a key and are still taken pair by pair
 CHUNK = 400  # documents that one task compares with each other
 CHUNK_SHINGLES = 4_000_000
 
@@ -47,49 +46,39 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-class Bands:
-    """Size classes and partitions from which two linked sets always share one.
+def popularity(docs: DataFrame, k: int) -> np.ndarray:
+    """For each of 2 ** POPULAR hashed groups of shingles how popular it is, over all documents, as a power of two.
 
-    Sets link when intersection / union >= percent / 100. If the smaller has at most m shingles, they differ in at
-    most m (100 - percent) / percent shingles. Dealt by hash into that number + 1 parts, one part holds the same
-    shingles in both. A class covers sizes from ``low`` to the next; a set also joins the class below if
-    a smaller partner may be in it. An empty part says little, so there are ``SPARE`` parts more, and empty parts
-    count only for sets that have more empty ones than that: two sets that share nothing but empty parts both do.
-    Sets too small to differ at all link only if they are equal.
+    0 for groups up to twice the mean. A task hands on the groups that stand out in it, so few rows meet.
     """
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        low = math.ceil(percent / (100 - percent))
-        self.low = [low]
-        while self.low[-1] < 1 << 40:
-            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * 1.5)))
-
-    def parts(self, band: int) -> int:
-        return (self.low[band + 1] - 1) * (100 - self.percent) // self.percent + 1 + SPARE
-
-    def of(self, n: int) -> list[int]:
-        band = int(np.searchsorted(self.low, n, "right")) - 1
-        if band < 0:
-            return []
-        below = band > 0 and -(-n * self.percent // 100) < self.low[band]
-        return [band, band - 1] if below else [band]
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """One key for each part of each band."""
-        out = []
-        with np.errstate(over="ignore"):
-            for band in self.of(len(s)):
-                parts = self.parts(band)
-                h = mix(s + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15))
-                part = (h % np.uint64(parts)).astype(np.int64)
-                low = np.bincount(part, (s & np.uint64(0xFFFFFFFF)).astype(np.float64), parts).astype(np.uint64)
-                high = np.bincount(part, (s >> np.uint64(32)).astype(np.float64), parts).astype(np.uint64)
-                held = np.bincount(part, minlength=parts) > 0
-                number = np.arange(parts, dtype=np.uint64) + np.uint64(band << 44)
-                key = mix(mix(low + (high << np.uint64(32))) + mix(number))
-                out.append(key if (~held).sum() > SPARE else key[held])
-        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+    def count(batches):
+        hasher, counts = WordHasher(), np.zeros(1 << POPULAR, np.int64)
+        for batch in row_blocks(batches, "text"):
+            counts += np.bincount((np.concatenate(shingle_sets(bytes_of(batch, "text"), k, hasher)) >> np.uint64(64 - POPULAR)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts >= 2 * counts.mean() + 3)
+        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], counts.sum()))], names=["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (found.column(c).to_numpy() for c in ("bucket", "n"))
+    mean = max(n[bucket < 0].sum() / (1 << POPULAR), 1.0)
+    out = np.zeros(1 << POPULAR, np.uint8)
+    out[bucket[bucket >= 0]] = np.clip(np.floor(np.log2(np.maximum(n[bucket >= 0] / mean, 1.0))), 0, 15)
+    return out
+
+
+def prefix(s: np.ndarray, popular: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set: its first shingles in one order for all sets, groups of little popularity first.
+
+    Sets that link overlap in percent / 100 of either one at least, so of the first n - ceil(n percent / 100) + 1 shingles of
+    both they share one, whatever the order is.
+    """
+    n = len(s)
+    if not n:
+        return np.empty(0, np.int64)
+    keys = popular[(s >> np.uint64(64 - POPULAR)).astype(np.int64)].astype(np.uint64) << np.uint64(60) | s >> np.uint64(4)
+    first = n - -(-n * percent // 100) + 1
+    return (np.partition(keys, first - 1)[:first] if first < n else keys).view(np.int64)
 
 
 class CountTree:
@@ -139,7 +128,7 @@ def link(sets: list[np.ndarray], group: list[int], left: np.ndarray, percent: in
 
     ``left`` tells the two sides of a comparison; all are compared with all where there is one side.
     """
-    points = np.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+    points = np.array([count_vector(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     root: dict[int, int] = {}
 
@@ -163,8 +152,13 @@ def link(sets: list[np.ndarray], group: list[int], left: np.ndarray, percent: in
     return out
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """The set as a point: how many shingles fall into each hashed group."""
+    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+
+
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles`` and the set's fingerprint."""
+    """``doc_id, n_shingles``, the set's fingerprint and its count vector."""
 
     def profile(batches):
         hasher = WordHasher()
@@ -172,64 +166,119 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(bytes_of(batch, "text"), k, hasher)
             marks = [fingerprint(s) for s in sets]
             columns = [[len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks]]
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_shingles", "_k1", "_k2"])
+            points = pa.array([count_vector(s).astype("<u4").tobytes() for s in sets], pa.binary())
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), points], names=["doc_id", "n_shingles", "_k1", "_k2", "_point"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n_shingles long, _k1 long, _k2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n_shingles long, _k1 long, _k2 long, _point binary")
 
 
 def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 1_500_000) -> DataFrame:
-    """``a, b``: links that connect all documents sharing a key. A task first links those among its own rows and hands
-    on one row per key, so a key that many documents share does not grow with them."""
-    schema = "key long, a long, b long"
+    """``a, b, sure``: pairs of documents that share a key and whose sizes allow a link.
 
-    def rows(key, a, b=None):
-        return pa.record_batch([pa.array(key), pa.array(a), pa.array(b if b is not None else np.zeros(len(key), np.int64), mask=np.full(len(key), b is None))], names=["key", "a", "b"])
+    Where more than ``RUN`` documents share a key, they are chained instead of paired: chains (``sure``) connect all of
+    them, and grow with their number only. A task hands on one row of a key that more than ``RUN`` of its own documents have,
+    so a key that very many share does not grow with them either.
+    """
+    schema = "key long, a long, n long, b long"
+    popular = docs.sparkSession.sparkContext.broadcast(popularity(docs, k))  # 2 MB
+
+    def rows(key, a, n, b):
+        return pa.record_batch([pa.array(c) for c in (key, a, n, b)], names=["key", "a", "n", "b"])
 
-    def reduce(keys, ids):
-        key, own = np.concatenate(keys), np.concatenate(ids)
+    def reduce(keys, ids, sizes):
+        key, own, n = (np.concatenate(x) for x in (keys, ids, sizes))
         order = np.lexsort((own, key))
-        key, own = key[order], own[order]
+        key, own, n = key[order], own[order], n[order]
         first = np.concatenate(([True], key[1:] != key[:-1]))
-        lead = own[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.unique(np.stack([lead[~first], own[~first]], 1), axis=0)
+        run = np.cumsum(first) - 1
+        many = np.bincount(run)[run] > RUN
+        yield rows(key[~many], own[~many], n[~many], np.full((~many).sum(), -1))
+        lead = own[np.flatnonzero(first)[run]]
+        heads = many & first
+        yield rows(key[heads], own[heads], n[heads], np.full(heads.sum(), -2))
+        pairs = np.unique(np.stack([lead[many & ~first], own[many & ~first]], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield rows(key[first], own[first])
         if len(pairs):
-            yield rows(mix(pairs[:, 1].astype(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
+            yield rows(mix(pairs[:, 1].astype(np.uint64)).view(np.int64), pairs[:, 0], np.zeros(len(pairs), np.int64), pairs[:, 1])
 
     def emit(batches):
-        hasher, bands, keys, ids, held = WordHasher(), Bands(percent), [], [], 0
+        hasher, known, keys, ids, sizes, held = WordHasher(), popular.value, [], [], [], 0
         for batch in row_blocks(batches, "text"):
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(bytes_of(batch, "text"), k, hasher)):
-                own = bands.keys(s)
+                own = prefix(s, known, percent)
                 keys.append(own)
                 ids.append(np.full(len(own), doc, np.int64))
+                sizes.append(np.full(len(own), len(s), np.int64))
                 held += len(own)
             if held >= at_once:
-                yield from reduce(keys, ids)
-                keys, ids, held = [], [], 0
+                yield from reduce(keys, ids, sizes)
+                keys, ids, sizes, held = [], [], [], 0
         if held:
-            yield from reduce(keys, ids)
+            yield from reduce(keys, ids, sizes)
 
-    def chain(batches):
-        last_key, last = None, None
+    def meet(batches):
+        held = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            linked = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-            key, a = batch.column("key").to_numpy()[~linked], batch.column("a").to_numpy()
-            own = a[~linked]
-            if last_key is not None:
-                key, own = np.concatenate(([last_key], key)), np.concatenate(([last], own))
-            same = np.flatnonzero((key[1:] == key[:-1]) & (own[1:] != own[:-1]))
-            if len(key):
-                last_key, last = key[-1], own[-1]
-            given = batch.filter(pa.array(linked))
-            yield pa.record_batch(
-                [pa.array(np.concatenate([own[same], given.column("a").to_numpy()])), pa.array(np.concatenate([own[same + 1], given.column("b").to_numpy()]))],
-                names=["a", "b"],
-            )
+            given = batch.column("b").to_numpy() >= 0
+            at = np.flatnonzero(given)
+            if len(at):
+                yield links(batch.column("a").to_numpy()[at], batch.column("b").to_numpy()[at], True)
+            held = [np.concatenate([h, batch.column(c).to_numpy()[~given]]) for h, c in zip(held, ("key", "a", "n", "b"))]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the run that may go on
+            yield from paired(*(h[:last] for h in held))
+            held = [h[last:] for h in held]
+            if len(held[0]) > RUN or (held[3] == -2).any():
+                yield from paired(held[0], held[1], held[2], np.full(len(held[3]), -2))
+                held = [*(h[-1:] for h in held[:3]), np.full(1, -2)]
+        yield from paired(*held)
+
+    def paired(key, own, n, mark):
+        if len(key) < 2:
+            return
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        run = np.cumsum(first) - 1
+        many = (np.bincount(run) > RUN)[run] | (np.bincount(run, mark == -2) > 0)[run]
+        chained = np.flatnonzero(many[1:] & ~first[1:])
+        if len(chained):
+            yield links(own[chained], own[chained + 1], True)
+        key, own, n = key[~many], own[~many], n[~many]
+        out = []
+        for step in range(1, RUN):
+            same = np.flatnonzero(key[step:] == key[:-step]) if step < len(key) else []
+            if not len(same):
+                break
+            a, b = own[same], own[same + step]
+            small, large = np.minimum(n[same], n[same + step]), np.maximum(n[same], n[same + step])
+            near = (100 * small >= percent * large) & (a != b)
+            out.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], 1))
+        if out:
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield links(pairs[:, 0], pairs[:, 1], False)
+
+    def links(a, b, sure):
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
 
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, schema)
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lambda batches: contract(chain(batches)), "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "a long, b long, sure boolean").distinct()
+
+
+def bounded_links(candidates: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the candidates that the bound of their count vectors lets pass, and of the sure ones; ``points`` is (id, n, point)."""
+
+    def check(batches):
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("p", "q"))
+            most = np.minimum(p, q).sum(1, dtype=np.int64) * (100 + percent)
+            sizes = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            yield batch.filter(pa.array(most >= percent * sizes)).select(["a", "b"])
+
+    sure = candidates.where("sure").select("a", "b")
+    left = points.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("point").alias("p"))
+    right = points.select(F.col("id").alias("b"), "n", F.col("point").alias("q"))
+    open_ones = candidates.where("NOT sure").select("a", "b").join(left, "a").join(right, "b")
+    return sure.union(open_ones.mapInArrow(check, "a long, b long"))
 
 
 def verified_links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
@@ -257,8 +306,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     and has no component. Rows that repeat a doc_id must repeat its text; each gets the same result.
 
     1. Equal sets are one class, by fingerprint; its smallest doc_id stands for it.
-    2. ``Bands``: linked sets share the key of a part, so all that can link is connected by ``candidate_links``.
-    3. In each connected candidate group, chunks of at most about ``CHUNK`` documents, each with the group's first
+    2. Linked sets share one of their first shingles (``prefix``). Of the pairs that do, those stay whose count vectors' summed minima allow a link.
+    3. In each group that these connect, chunks of at most about ``CHUNK`` documents, each with the group's first
        one, are compared in an R-tree over count vectors, and what its bounds let pass is verified exactly.
     4. Groups of several chunks: what does not hang together with the group's first document is compared with
        all other chunks. Only links that connect are handed on, never all pairs of a group.
@@ -267,7 +316,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     classes = staged(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "_k1", "_k2").agg(F.min("doc_id").alias("_first")), "classes"
     )
-    groups = components(candidate_links(docs, k, percent))
+    points = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("_point").alias("point"))
+    points = points.dropDuplicates(["id"])
+    groups = components(bounded_links(staged(candidate_links(docs, k, percent), "candidates"), points, percent))
     members = staged(
         groups.join(classes.select(F.col("_first").alias("id"), "n_shingles"), "id").select("id", F.col("component").alias("comp"), "n_shingles"), "members"
     )

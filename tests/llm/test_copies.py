@@ -93,19 +93,20 @@ def test_join_edges(edge, empty):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == sorted({e[0] or 0 for e in EDGE})
 
 
-def test_bands_share_a_key():
-    """Any two sets that link share a key, whatever the sizes; keys of parts that both lack are shared too."""
-    rng, random_set = np.random.default_rng(2), lambda n: np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64))
+def test_linked_sets_share_a_first_shingle():
+    """Whatever the sizes, and whatever is taken for popular."""
+    rng = np.random.default_rng(2)
+    popular = rng.integers(0, 16, 1 << ngram_join.POPULAR).astype(np.uint8)
     for percent in (70, 80, 90):
-        bands = ngram_join.Bands(percent)
-        for n in [*range(4, 60), 100, 333, 1000]:
-            a = random_set(n)
+        for n in [*range(1, 60), 100, 333, 1000]:
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
             for _ in range(5):
                 drop = rng.integers(0, n * (100 - percent) // 100 + 1)
                 b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, rng.integers(0, 3), np.uint64)]))
                 both = len(np.intersect1d(a, b))
-                if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                    assert np.intersect1d(bands.keys(a), bands.keys(b)).size, (percent, n)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    keys = [ngram_join.prefix(x, popular, percent) for x in (a, b)]
+                    assert np.intersect1d(*keys).size, (percent, n)
 
 
 def test_tree_loses_no_link():
