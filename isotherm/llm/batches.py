@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20  # characters or bytes handled at once; longer texts are handled in pieces
+BLOCK = 1 << 18  # characters or bytes handled at once; longer texts are handled in pieces
 SPACES = b" \t\n\r\x0b\x0c"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
