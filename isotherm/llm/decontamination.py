@@ -205,7 +205,7 @@ def pieces(text: str, limit: int = BLOCK):
         start = stop
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: int = 24, samples: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: int = 24, samples: int = 3, block_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, item_id, edits, first_word, end_word, item_words``: each item that a row of ``docs`` (doc_id, text) holds.
 
     A document holds an item (item_id, text) if a part of it is within ``ratio`` x item words of word edits; words are
@@ -238,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: in
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: int = 24, samples: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, repeats: int = 24, samples: int = 3, block_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` without the rows that hold an item; see ``leaks``. All columns are kept, nothing is shuffled."""
 
     def one(rows, block):
