@@ -172,7 +172,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n_shingles long, _k1 long, _k2 long, _point binary")
 
 
-def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 1_500_000) -> DataFrame:
+def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_000) -> DataFrame:
     """``a, b, sure``: pairs of documents that share a key and whose sizes allow a link.
 
     Where more than ``RUN`` documents share a key, they are chained instead of paired: chains (``sure``) connect all of

@@ -19,7 +19,7 @@ _USUAL = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
 _TWO_SPACES = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?= \S)")
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
-_HELD = 400_000  # remembered units of a Python worker
+_HELD = 250_000  # remembered units of a Python worker
 
 
 def units_of(text: str) -> list[str]:
