@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.batches import WordHasher, bytes_of, mix, row_blocks
-from isotherm.llm.components import components, hung
+from isotherm.llm.components import components, contract, hung
 from isotherm.llm.tables import fresh, marked, staged
 
 GROUPS = 128  # coordinates of a count vector
 POPULAR = 21
+SPARE = 2  # parts beyond those that differences can spoil
+PARTS_FROM = 90  # percent from which a part holds enough shingles to tell sets apart
 RUN = 64  # documents that share a key and are still taken pair by pair
 CHUNK = 400  # documents that one task compares with each other
 CHUNK_SHINGLES = 4_000_000
@@ -81,6 +85,51 @@ def prefix(s: np.ndarray, popular: np.ndarray, percent: int) -> np.ndarray:
     return (np.partition(keys, first - 1)[:first] if first < n else keys).view(np.int64)
 
 
+class Bands:
+    """Size classes and partitions from which two linked sets always share one.
+
+    Sets link when intersection / union >= percent / 100. If the smaller has at most m shingles, they differ in at
+    most m (100 - percent) / percent shingles. Dealt by hash into that number + 1 parts, one part holds the same
+    shingles in both. A class covers sizes from ``low`` to the next; a set also joins the class below if
+    a smaller partner may be in it. An empty part says little, so there are ``SPARE`` parts more, and empty parts
+    count only for sets that have more empty ones than that: two sets that share nothing but empty parts both do.
+    Sets too small to differ at all link only if they are equal.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        low = math.ceil(percent / (100 - percent))
+        self.low = [low]
+        while self.low[-1] < 1 << 40:
+            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * 1.5)))
+
+    def parts(self, band: int) -> int:
+        return (self.low[band + 1] - 1) * (100 - self.percent) // self.percent + 1 + SPARE
+
+    def of(self, n: int) -> list[int]:
+        band = int(np.searchsorted(self.low, n, "right")) - 1
+        if band < 0:
+            return []
+        below = band > 0 and -(-n * self.percent // 100) < self.low[band]
+        return [band, band - 1] if below else [band]
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """One key for each part of each band."""
+        out = []
+        with np.errstate(over="ignore"):
+            for band in self.of(len(s)):
+                parts = self.parts(band)
+                h = mix(s + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15))
+                part = (h % np.uint64(parts)).astype(np.int64)
+                low = np.bincount(part, (s & np.uint64(0xFFFFFFFF)).astype(np.float64), parts).astype(np.uint64)
+                high = np.bincount(part, (s >> np.uint64(32)).astype(np.float64), parts).astype(np.uint64)
+                held = np.bincount(part, minlength=parts) > 0
+                number = np.arange(parts, dtype=np.uint64) + np.uint64(band << 44)
+                key = mix(mix(low + (high << np.uint64(32))) + mix(number))
+                out.append(key if (~held).sum() > SPARE else key[held])
+        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+
+
 class CountTree:
     """R-tree over count vectors: packed by halving at the widest coordinate; a node knows the maxima of its points.
 
@@ -281,6 +330,61 @@ def bounded_links(candidates: DataFrame, points: DataFrame, percent: int) -> Dat
     return sure.union(open_ones.mapInArrow(check, "a long, b long"))
 
 
+def chained_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_000) -> DataFrame:
+    """``a, b``: links that connect all documents sharing a key. A task first links those among its own rows and hands
+    on one row per key, so a key that many documents share does not grow with them."""
+    schema = "key long, a long, b long"
+
+    def rows(key, a, b=None):
+        return pa.record_batch([pa.array(key), pa.array(a), pa.array(b if b is not None else np.zeros(len(key), np.int64), mask=np.full(len(key), b is None))], names=["key", "a", "b"])
+
+    def reduce(keys, ids):
+        key, own = np.concatenate(keys), np.concatenate(ids)
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        lead = own[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        pairs = np.unique(np.stack([lead[~first], own[~first]], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield rows(key[first], own[first])
+        if len(pairs):
+            yield rows(mix(pairs[:, 1].astype(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
+
+    def emit(batches):
+        hasher, bands, keys, ids, held = WordHasher(), Bands(percent), [], [], 0
+        for batch in row_blocks(batches, "text"):
+            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(bytes_of(batch, "text"), k, hasher)):
+                own = bands.keys(s)
+                keys.append(own)
+                ids.append(np.full(len(own), doc, np.int64))
+                held += len(own)
+            if held >= at_once:
+                yield from reduce(keys, ids)
+                keys, ids, held = [], [], 0
+        if held:
+            yield from reduce(keys, ids)
+
+    def chain(batches):
+        last_key, last = None, None
+        for batch in batches:
+            linked = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            key, a = batch.column("key").to_numpy()[~linked], batch.column("a").to_numpy()
+            own = a[~linked]
+            if last_key is not None:
+                key, own = np.concatenate(([last_key], key)), np.concatenate(([last], own))
+            same = np.flatnonzero((key[1:] == key[:-1]) & (own[1:] != own[:-1]))
+            if len(key):
+                last_key, last = key[-1], own[-1]
+            given = batch.filter(pa.array(linked))
+            yield pa.record_batch(
+                [pa.array(np.concatenate([own[same], given.column("a").to_numpy()])), pa.array(np.concatenate([own[same + 1], given.column("b").to_numpy()]))],
+                names=["a", "b"],
+            )
+
+    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, schema)
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lambda batches: contract(chain(batches)), "a long, b long")
+
+
 def verified_links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
     """Links within each comparison: ``places`` is (id, comp, left, right, side, own), where own tells what is linked already."""
 
@@ -306,7 +410,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     and has no component. Rows that repeat a doc_id must repeat its text; each gets the same result.
 
     1. Equal sets are one class, by fingerprint; its smallest doc_id stands for it.
-    2. Linked sets share one of their first shingles (``prefix``). Of the pairs that do, those stay whose count vectors' summed minima allow a link.
+    2. From ``PARTS_FROM`` percent on, linked sets share the key of a part (``Bands``), which few others do. Below, parts hold too few
+       shingles; there linked sets share one of their first shingles (``prefix``), and of the pairs that do, those stay whose count
+       vectors' summed minima allow a link. Neither loses a link.
     3. In each group that these connect, chunks of at most about ``CHUNK`` documents, each with the group's first
        one, are compared in an R-tree over count vectors, and what its bounds let pass is verified exactly.
     4. Groups of several chunks: what does not hang together with the group's first document is compared with
@@ -316,9 +422,13 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     classes = staged(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "_k1", "_k2").agg(F.min("doc_id").alias("_first")), "classes"
     )
-    points = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("_point").alias("point"))
-    points = points.dropDuplicates(["id"])
-    groups = components(bounded_links(staged(candidate_links(docs, k, percent), "candidates"), points, percent))
+    if percent >= PARTS_FROM:
+        groups = components(staged(chained_links(docs, k, percent), "candidates"))
+    else:
+        points = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("_point").alias("point"))
+        candidates = staged(candidate_links(docs, k, percent), "candidates")
+        # Staged, so that no task holds two Python workers at once.
+        groups = components(staged(bounded_links(candidates, points.dropDuplicates(["id"]), percent), "bounded"))
     members = staged(
         groups.join(classes.select(F.col("_first").alias("id"), "n_shingles"), "id").select("id", F.col("component").alias("comp"), "n_shingles"), "members"
     )
