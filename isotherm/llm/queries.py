@@ -55,7 +55,7 @@ boilerplate AS (
 found AS (SELECT host, list(line) AS dropped FROM boilerplate GROUP BY host),
 kept AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines,
-    list_filter(string_split(text, chr(10)), x -> NOT list_contains(coalesce(dropped, []), x)) AS rest
+    list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(dropped, []), x)) AS rest
   FROM docs LEFT JOIN found USING (host)
 )
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(rest, chr(10)) END AS text,
