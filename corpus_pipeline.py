@@ -20,8 +20,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents rid of their site's boilerplate lines; n_chars is that of the new text."""
-    clean = line_dedup.drop_boilerplate(docs.select(*COLUMNS), "source")
+    """Documents rid of their site's boilerplate lines; n_chars is that of the new text.
+
+    Equal texts of a site count as one page, so copies keep their text until the join leaves one of them.
+    """
+    clean = line_dedup.drop_boilerplate(docs.select(*COLUMNS), "source", copies_once=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

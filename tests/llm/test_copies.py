@@ -271,6 +271,17 @@ def test_pipeline_stages(spark, tmp_path):
         before = after
 
 
+def test_one_of_many_equal_copies_reaches_the_end(spark):
+    """Copies that hold a third of a source, or all of a small one, are reduced to one and not emptied."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(i, f"{words('a')}\n{words('b')}", "en", "s", 0) for i in range(10)] + [(i, f"{words(i)}\nsite line", "en", "s", 0) for i in range(10, 30)]
+    rows += [(i, words("c"), "en", "small", 0) for i in range(30, 33)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_near_copies(spark, corpus_pipeline.without_boilerplate(spark, docs, SF_DIR), SF_DIR)
+    want = {0: rows[0][1], 30: words("c")} | {i: words(i) for i in range(10, 30)}
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == want
+
+
 def test_stages_on_edges_and_empty_tables(spark, edge, empty):
     for docs in (edge, empty):
         for name, stage in corpus_pipeline.STAGES[:4]:
