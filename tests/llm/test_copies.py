@@ -223,6 +223,27 @@ def test_changed_passages_are_found(spark, documents, texts):
     assert {k for k in got} <= set(want) | {k for k in got if got[k]["edits"] == 0}
 
 
+@pytest.mark.parametrize("n", [47, 63, 95, 190, 400])
+@pytest.mark.parametrize("clumped", [False, True])
+def test_long_changed_passages_are_found(n, clumped):
+    """A fifth of the words changed, all over or within the first two thirds."""
+    rng, made, texts = random.Random(n), [], []
+    for item in range(100):
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        made.append((item, " ".join(words)))
+        near = {k: [w] for k, w in enumerate(words)}
+        for k in rng.sample(range(2 * n // 3 if clumped else n), n // 5):
+            near[k] = rng.choice([[], [f"z{k}"], [f"z{k}"], [f"z{k}", words[k]]])
+        texts.append(" ".join(["before it"] * 20 + [w for k in range(n) for w in near[k]] + ["after it"] * 20))
+    items = decontamination.Items(made, 0.2, 24, 3)
+    hits = items.look_up([decontamination.numbered_words(t, items.vocabulary) for t in texts])
+    assert all(h[1] <= n // 5 for own in hits for h in own)
+    assert np.mean([any(h[0] == k for h in own) for k, own in enumerate(hits)]) >= 0.97
+    with_edits = [(k, own[0]) for k, own in enumerate(hits) if own][:5]
+    for k, hit in with_edits:
+        assert hit[1] == edits_within(words_of(made[k][1]), words_of(texts[k]))
+
+
 def test_leak_edges(spark, edge, empty):
     benchmark = spark.createDataFrame(
         [(1, "same line", 0), (2, None, 0), (3, "", 0), (None, "same line", 0), (4, "?!", 0), (5, "one", 0), (6, "same line", 0), (7, "under the mit license", 0)],
