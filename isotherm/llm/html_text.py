@@ -34,6 +34,9 @@ MARKS = frozenset(
     " newsletter subscribe subscription signup login comment comments reply replies discussion disqus footer header masthead topbar toolbar"
     " search form pagination pager skip copyright hidden contentinfo complementary".split()
 )
+_COMMENTS = frozenset("comment comments reply replies discussion disqus".split())
+# Words that beside a mark name the same part: "cookie-banner", "footer-inner".
+_BESIDE = frozenset("area bar bottom box button buttons container inner left links list right section site top wrap wrapper".split())
 _WORD = re.compile(r"[a-z]+")
 _MAIN = frozenset(("article", "main"))
 _CLOSES = {
@@ -43,10 +46,51 @@ _CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "marked", "parts", "sure", "key")
+    """``sure``: is or holds a main element. ``holds``: holds the main part of the page, so its tag or mark does not count."""
 
-    def __init__(self, tag: str, marked: bool):
-        self.tag, self.marked, self.parts, self.sure, self.key = tag, marked, [], tag in _MAIN, 0
+    __slots__ = ("tag", "marked", "comments", "parts", "sure", "holds", "key")
+
+    def __init__(self, tag: str, marked: bool, comments: bool = False):
+        self.tag, self.marked, self.comments, self.parts, self.sure, self.holds, self.key = tag, marked, comments, [], False, False, 0
+
+
+def has_mark(names: list[str], marks: frozenset[str]) -> bool:
+    """Is one of the names a mark, or made of marks and words that stand beside them ("has-sidebar" is not)?"""
+    return any(n in marks or (own := set(_WORD.findall(n))) and own & marks and own <= MARKS | _BESIDE for n in names)
+
+
+def weigh(root: Node) -> None:
+    """Tell which elements are or hold the main elements, or else most of the text in paragraphs; without recursion.
+
+    Articles inside a part of comments are comments, unless nothing but that part has main elements or paragraphs.
+    """
+    order, todo = [], [(root, False, False)]
+    while todo:
+        node, spoken, para = todo.pop()
+        spoken, para = spoken or node.comments, para or node.tag == "p"
+        order.append((node, spoken, para))
+        todo += [(p, spoken, para) for p in node.parts if isinstance(p, Node) and p.tag not in RAW]
+    for talk in (False, True):
+        mains: dict[int, int] = {}
+        letters: dict[int, int] = {}
+        for node, spoken, para in reversed(order):
+            counts = talk or not spoken
+            below = [p for p in node.parts if isinstance(p, Node)]
+            mains[id(node)] = (counts and node.tag in _MAIN) + sum(mains.get(id(p), 0) for p in below)
+            own = sum(len(p.strip()) for p in node.parts if isinstance(p, str)) if counts and para else 0
+            letters[id(node)] = own + sum(letters.get(id(p), 0) for p in below)
+        if mains[id(root)] or letters[id(root)]:
+            break
+    else:
+        talk = False
+    for node, _, _ in order:
+        node.sure = mains[id(node)] > 0
+        if mains[id(root)]:
+            node.holds = mains[id(node)] == mains[id(root)]
+        else:
+            node.holds = 2 * letters[id(node)] > letters[id(root)] and node.tag != "p"
+        node.holds |= node.tag in ("html", "body")
+        node.comments &= not (talk and node.holds) and node.tag not in ("html", "body")
 
 
 def parse(page: str) -> Node:
@@ -55,9 +99,7 @@ def parse(page: str) -> Node:
     stack, at = [root], 0
 
     def close(upto: int) -> None:
-        while len(stack) > upto:
-            node = stack.pop()
-            stack[-1].sure |= node.sure
+        del stack[max(upto, 1) :]
 
     def text(raw: str) -> None:
         if raw:
@@ -88,9 +130,9 @@ def parse(page: str) -> Node:
             if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                 break
         attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-        marked = bool(MARKS & set(_WORD.findall(named))) or "hidden" in m[3].lower().split() or attributes.get("aria-hidden") == "true"
-        node = Node(tag, marked)
+        named = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split()
+        marked = has_mark(named, MARKS) or "hidden" in m[3].lower().split() or attributes.get("aria-hidden") == "true"
+        node = Node(tag, marked, has_mark(named, _COMMENTS))
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
@@ -98,7 +140,7 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     text(page[at:])
-    close(1)
+    weigh(root)
     return root
 
 
@@ -136,6 +178,17 @@ def candidates(root: Node) -> set[int]:
     return out
 
 
+def dropped(node: Node, template: frozenset[int]) -> bool:
+    """Is the element no part of the main text: comments, an aside, or a template of the host?"""
+    if node.comments:
+        return True
+    if node.tag in _MAIN and node.sure:
+        return False
+    if not node.holds and (node.tag in ASIDE or node.marked and not node.sure):
+        return True
+    return not node.sure and node.key in template
+
+
 def blocks(root: Node, template: frozenset[int]) -> list[str]:
     """Texts of the blocks in page order; only the main elements where there are some, without template and asides."""
     out, held = [], []
@@ -146,7 +199,7 @@ def blocks(root: Node, template: frozenset[int]) -> list[str]:
             out.append(block)
         held.clear()
 
-    todo = [(root, not root.sure)]
+    todo = [(root, not root.sure)]  # inside: a main element has begun, or there is none
     while todo:
         node, inside = todo.pop()
         if node is None:
@@ -156,7 +209,7 @@ def blocks(root: Node, template: frozenset[int]) -> list[str]:
                 held.append(node)
         elif node.tag == "br":
             held.append(" ")
-        elif node.tag in _MAIN or not (node.tag in ASIDE or node.marked and not node.sure or not node.sure and node.key in template):
+        elif not dropped(node, template):
             inside = inside or node.tag in _MAIN
             block = node.tag in BLOCKS
             todo += [(None, inside)] * block + [(p, inside) for p in reversed(node.parts)] + [(None, inside)] * block
@@ -196,8 +249,9 @@ def extract(pages: DataFrame, ratio: float = 0.2, least_pages: int = 5) -> DataF
     """``page_id, url, text, n_chars``: the main text of each row of ``pages`` (page_id, url, html).
 
     Deleted are subtrees that recur on the host, parts that are never main text (navigation, forms, scripts ...)
-    and parts whose class, id or role says so. Where a page has article or main elements, its text is what stands
-    in them, and repeated sentences in them are kept. A null or empty page has an empty text; pages without a
+    and parts whose class, id or role says so, but not if they hold the main elements (or, where there are none, more
+    than half of the text in paragraphs). Where a page has article or main elements, its text is what stands in them,
+    without comments, and repeated sentences in them are kept. A null or empty page has an empty text; pages without a
     readable host form one host; repeated rows are pages of their own.
     """
     found = staged(templates(pages, ratio, least_pages), "templates")

@@ -38,6 +38,27 @@ def test_recurring_subtrees_go_and_unique_ones_stay(spark):
     assert all(got[100 + i] == f"Shared box\nSame words\nOwn text {i}\nOnly here {i} <b>" for i in range(3))
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://h{i if apart else ''}.example/{i}", page) for i, (page, apart) in enumerate(pages)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_an_element_with_the_main_text_is_not_dropped(spark):
+    text = "<p>Main text of the page</p><p>that goes on</p>"
+    main = "Main text of the page\nthat goes on"
+    article = f"<article>{text}</article>"
+    talk = "<section class='comments'><article class='comment'><p>A reader with very much to say about all this, on and on</p></article></section>"
+    pages = [
+        f"<body class='has-sidebar'>{text}</body>", f"<body class='sidebar'>{text}</body>", f"<body><div class='content-with-sidebar'>{text}</div></body>",
+        f"<body><div class='two-col side'>{text}<div class='sidebar'><p>Aside</p></div></div></body>", f"<body><form>{text}<input></form><nav><p>x</p></nav></body>",
+        f"<body><form>{article}</form></body>", f"<body><header>{article}</header><footer><p>f</p></footer></body>", f"<body><dialog open>{article}</dialog></body>",
+        f"<body>{article}{talk}</body>", f"<body>{text}{talk}</body>", f"<body><main>{text}{talk}</main></body>", f"<body>{text}<div class='cookie-banner'>We use cookies</div></body>",
+        f"<body><div class='discussion'>{article}</div></body>",
+    ]
+    assert extracted(spark, [(p, True) for p in pages]) == [main] * len(pages)
+
+
 def test_given_pages(spark):
     import html
     import re
