@@ -39,6 +39,8 @@ _COMMENTS = frozenset("comment comments reply replies discussion disqus".split()
 _BESIDE = frozenset("area bar bottom box button buttons container inner left links list right section site top wrap wrapper".split())
 _WORD = re.compile(r"[a-z]+")
 _MAIN = frozenset(("article", "main"))
+# Elements that may be template inside a main element too; paragraphs, headings and lists there are its text.
+INNER = frozenset("div section table aside".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",),
@@ -159,26 +161,30 @@ def hash_subtrees(root: Node) -> None:
         node.key = xxhash.xxh3_64_intdigest(f"{node.tag}\x00{shape}") >> 1
 
 
-def candidates(root: Node) -> set[int]:
-    """Keys of the subtrees that may be template: those that neither are, hold or lie in the main element.
+def candidates(root: Node) -> set[tuple[int, int | None]]:
+    """Keys of the subtrees that may be template, and the key of the main element that they lie in.
 
-    A page without article or main element has no main element; there all but html and body may be template.
+    Outside the main elements that is all that does not hold one; inside, INNER elements only, with ~key for key. A
+    main element has an entry for itself, with the key -1. A page without article or main element has no main
+    element; there all but html and body may be template.
     """
-    out, todo = set(), [root]
+    out, todo = set(), [(root, None)]
     while todo:
-        for p in todo.pop().parts:
-            if isinstance(p, Node) and p.tag not in ("html", "body", "head"):
-                if not p.sure:
-                    out.add(p.key)
-                    todo.append(p)
-                elif p.tag not in _MAIN:
-                    todo.append(p)
-            elif isinstance(p, Node) and p.tag != "head":
-                todo.append(p)
+        node, main = todo.pop()
+        for p in node.parts:
+            if not isinstance(p, Node) or p.tag == "head":
+                continue
+            within = main
+            if p.tag in _MAIN and p.sure:
+                within = p.key if main is None else main
+                out.add((-1, within))
+            elif p.tag not in ("html", "body") and not p.sure and (main is None or p.tag in INNER):
+                out.add((p.key if main is None else ~p.key, main))
+            todo.append((p, within))
     return out
 
 
-def dropped(node: Node, template: frozenset[int]) -> bool:
+def dropped(node: Node, in_main: bool, template: frozenset[int]) -> bool:
     """Is the element no part of the main text: comments, an aside, or a template of the host?"""
     if node.comments:
         return True
@@ -186,7 +192,7 @@ def dropped(node: Node, template: frozenset[int]) -> bool:
         return False
     if not node.holds and (node.tag in ASIDE or node.marked and not node.sure):
         return True
-    return not node.sure and node.key in template
+    return not node.sure and (node.tag in INNER and ~node.key in template if in_main else node.key in template)
 
 
 def blocks(root: Node, template: frozenset[int]) -> list[str]:
@@ -209,7 +215,7 @@ def blocks(root: Node, template: frozenset[int]) -> list[str]:
                 held.append(node)
         elif node.tag == "br":
             held.append(" ")
-        elif not dropped(node, template):
+        elif not dropped(node, inside and root.sure, template):
             inside = inside or node.tag in _MAIN
             block = node.tag in BLOCKS
             todo += [(None, inside)] * block + [(p, inside) for p in reversed(node.parts)] + [(None, inside)] * block
@@ -223,7 +229,10 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """``_host, _keys``: for each host the subtrees on at least ``least_pages`` pages and more than ``ratio`` of them."""
+    """``_host, _keys``: for each host the subtrees on at least ``least_pages`` pages and more than ``ratio`` of them.
+
+    Those inside main elements are counted once for each distinct main element, so copies of one do not make it template.
+    """
 
     def keys(batches):
         for batch in row_blocks(batches, "html"):
@@ -231,16 +240,21 @@ def templates(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
             for page in batch.column("html").to_pylist():
                 root = parse(page or "")
                 hash_subtrees(root)
-                out.append(sorted(candidates(root)))
-            yield pa.record_batch([batch.column("_host"), pa.array(out, pa.list_(pa.int64()))], names=["_host", "_keys"])
-
-    rows = _with_host(pages).select("_host", "html").mapInArrow(keys, "_host string, _keys array<long>")
-    # One pass: a page's own row has no key, so a host's pages are counted beside its subtrees.
-    counted = rows.select("_host", F.explode(F.concat(F.col("_keys"), F.array(F.lit(None).cast("long")))).alias("_key")).groupBy("_host", "_key").agg(F.count("*").alias("_n"))
-    counted = staged(counted.where((F.col("_n") >= least_pages) | F.col("_key").isNull()), "subtrees")
-    totals = counted.where("_key IS NULL").select("_host", F.col("_n").alias("_pages"))
+                out.append([{"key": k, "main": m} for k, m in candidates(root)])
+            yield pa.record_batch([batch.column("_host"), pa.array(out, pair)], names=["_host", "_keys"])
+
+    pair = pa.list_(pa.struct([("key", pa.int64()), ("main", pa.int64())]))
+    rows = _with_host(pages).select("_host", "html").mapInArrow(keys, "_host string, _keys array<struct<key: long, main: long>>")
+    # One pass: a page's own row has no key, so a host's pages are counted beside its subtrees, and its main elements by the key -1.
+    each = rows.select("_host", F.explode(F.concat(F.col("_keys"), F.expr("array(named_struct('key', CAST(NULL AS BIGINT), 'main', CAST(NULL AS BIGINT)))"))).alias("_pair"))
+    once = each.groupBy("_host", F.col("_pair.key").alias("_key"), F.col("_pair.main").alias("_main")).agg(F.count("*").alias("_n"))
+    counted = once.groupBy("_host", "_key").agg(F.sum(F.when(F.col("_main").isNull(), F.col("_n")).otherwise(1)).alias("_n"))
+    counted = staged(counted.where((F.col("_n") >= least_pages) | F.col("_key").isNull() | (F.col("_key") == -1)), "subtrees")
+    total = "_key IS NULL OR _key = -1"
+    totals = counted.where(total).select("_host", F.col("_key").isNotNull().alias("_inner"), F.col("_n").alias("_pages"))
     return (
-        counted.where("_key IS NOT NULL").join(totals, "_host").where(F.col("_n") > F.lit(ratio) * F.col("_pages"))
+        counted.where(f"NOT ({total})").withColumn("_inner", F.col("_key") < 0).join(totals, ["_host", "_inner"])
+        .where(F.col("_n") > F.lit(ratio) * F.col("_pages"))
         .groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
     )
 
@@ -251,7 +265,8 @@ def extract(pages: DataFrame, ratio: float = 0.2, least_pages: int = 5) -> DataF
     Deleted are subtrees that recur on the host, parts that are never main text (navigation, forms, scripts ...)
     and parts whose class, id or role says so, but not if they hold the main elements (or, where there are none, more
     than half of the text in paragraphs). Where a page has article or main elements, its text is what stands in them,
-    without comments, and repeated sentences in them are kept. A null or empty page has an empty text; pages without a
+    without comments and without div, section, table and aside elements in them that recur in the host's distinct
+    main elements; other repeated text in them is kept. A null or empty page has an empty text; pages without a
     readable host form one host; repeated rows are pages of their own.
     """
     found = staged(templates(pages, ratio, least_pages), "templates")

@@ -44,6 +44,16 @@ def extracted(spark, pages):
     return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
 
 
+def test_template_inside_the_main_element_goes(spark):
+    """A box that recurs inside distinct articles is template; what recurs in copies of one article is not."""
+    page = "<body><article><h1>T {n}</h1><div class='x'><b>Tell</b> a friend</div><p>Same words</p><p>Own {n}</p></article></body>"
+    copy = "<body><i>{n}</i><main><div><p>One text</p><p>often copied</p></div></main></body>"
+    pages = [(page.format(n=i), False) for i in range(20)] + [(copy.format(n=i), False) for i in range(10)]
+    got = extracted(spark, pages)
+    assert got[:20] == [f"T {i}\nSame words\nOwn {i}" for i in range(20)]
+    assert got[20:] == ["One text\noften copied"] * 10
+
+
 def test_an_element_with_the_main_text_is_not_dropped(spark):
     text = "<p>Main text of the page</p><p>that goes on</p>"
     main = "Main text of the page\nthat goes on"
