@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm import decontamination, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality
+from isotherm.llm import decontamination, filter_audit, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,3 +105,52 @@ def op9(spark, sf_dir):
 @query("op10_ngram_join")
 def op10(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+FILTER_AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(words) < 100,
+    100 * len(list_distinct(words)) < 80 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)
+  ] AS fails
+  FROM docs LEFT JOIN marks USING (doc_id)
+),
+sets AS (SELECT part, fails, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM failed GROUP BY ALL),
+digits AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM digits a, digits b, digits c, digits d, digits e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, i AS step, o[i] AS own FROM orders, digits),
+hits AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails,
+    coalesce(list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])), false) AS earlier, fails[own] AS mine,
+    len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM sets, steps
+),
+found AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT earlier AND NOT mine THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mine AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mine AND earlier THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mine AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mine AND NOT earlier THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mine AND NOT earlier THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM hits GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM found
+"""
+
+
+@query("op13_filter_audit", FILTER_AUDIT_SQL)
+def op13(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
