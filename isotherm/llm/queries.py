@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm import decontamination, filter_audit, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality
+from isotherm.llm import decontamination, fill_middle, filter_audit, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -107,6 +107,36 @@ def op10(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+FILL_MIDDLE_SQL = r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+tokens AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t,
+    list_transform([1, 9, 17, 25], lambda x: ('0x' || substr(h, x, 8))::BIGINT) AS h
+  FROM drawn
+),
+cuts AS (SELECT doc_id, text, t, h, least(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS a, greatest(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS b FROM tokens),
+parts AS (
+  SELECT doc_id, text, len(t) AS n, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op12_fill_middle", FILL_MIDDLE_SQL)
+def op12(spark, sf_dir):
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 FILTER_AUDIT_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
