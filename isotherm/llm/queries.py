@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm import decontamination, fill_middle, filter_audit, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality
+from isotherm.llm import decontamination, fill_middle, filter_audit, html_text, language, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, site_quality, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -107,6 +107,35 @@ def op10(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+SUFFIX_DEDUP_SQL = """
+WITH docs AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM docs WHERE n >= 100)),
+firsts AS (SELECT w, min({'d': doc_id, 'p': p}) AS f FROM windows GROUP BY w HAVING count(*) > 1),
+later AS (SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE {'d': doc_id, 'p': p} <> f),
+steps AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS opens FROM later),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1 AS last
+  FROM runs
+),
+rests AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs LEFT JOIN rests USING (doc_id)
+"""
+
+
+@query("op11_suffix_dedup", SUFFIX_DEDUP_SQL)
+def op11(spark, sf_dir):
+    rest = suffix_dedup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 FILL_MIDDLE_SQL = r"""
 WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 tokens AS (
