@@ -6,15 +6,19 @@ from fractions import Fraction
 from itertools import permutations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotherm.llm.batches import WordHasher, bytes_of, row_blocks
 from isotherm.llm.tables import staged
 
 FILTERS = "ABCDE"
 COALITIONS = 1 << len(FILTERS)
-SPACE = r"[\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_byte = np.arange(256)
+CAPITAL = (_byte >= 65) & (_byte <= 90)
+SIGN = np.isin(_byte, list(b"#$%&*|"))
 
 
 def solve(rows: list[list[Fraction]]) -> list[list[Fraction]]:
@@ -52,18 +56,31 @@ def shapley_weights(n: int) -> list[list[Fraction]]:
     return solve(rows)[:n]
 
 
-def failures(text: Column) -> Column:
-    """Bits of the filters A to D that a text fails: few words, few distinct words, capitals, signs."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    n = F.size(words)
-    letters = F.length(text) - F.length(F.translate(text, UPPER, ""))
-    failed = [
-        n < 100,
-        100 * F.size(F.array_distinct(words)).cast("long") < 80 * n.cast("long"),
-        100 * letters.cast("long") > 10 * F.length(text).cast("long"),
-        text.rlike(r"[#$%&*|]"),
-    ]
-    return sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(failed)), F.lit(0))
+def failures(texts: list[bytes], hasher: WordHasher) -> np.ndarray:
+    """Bits of the filters A to D that each text fails: few words, few distinct words, capitals, signs."""
+    words, ends = hasher.words(texts)
+    n = np.diff(ends)
+    by = np.lexsort((words, owner := np.repeat(np.arange(len(texts)), n)))
+    new = np.ones(len(words), bool)
+    new[1:] = (words[by][1:] != words[by][:-1]) | (owner[1:] != owner[:-1])
+    distinct = np.bincount(owner[new], minlength=len(texts))
+    codes = np.frombuffer(b"".join(texts), np.uint8)
+    stops = np.cumsum([0, *map(len, texts)])
+    inside = lambda hit: np.diff(np.concatenate(([0], np.cumsum(hit)))[stops])
+    failed = [n < 100, 100 * distinct < 80 * n, 100 * inside(CAPITAL[codes]) > 10 * inside(codes & 0xC0 != 0x80), inside(SIGN[codes]) > 0]
+    return sum(f.astype(np.int32) << i for i, f in enumerate(failed))
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, part, key, text) with ``mask`` instead of the text."""
+
+    def judge(batches):
+        hasher = WordHasher()
+        for batch in row_blocks(batches, "text"):
+            mask = pa.array(failures(bytes_of(batch, "text"), hasher), pa.int32())
+            yield pa.record_batch([*(batch.column(c) for c in ("id", "part", "key")), mask], names=["id", "part", "key", "mask"])
+
+    return docs.mapInArrow(judge, "id long, part string, key binary, mask int")
 
 
 def outcomes(docs: DataFrame, labels: DataFrame, part: str) -> DataFrame:
@@ -75,9 +92,10 @@ def outcomes(docs: DataFrame, labels: DataFrame, part: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = staged(
-        docs.select(
-            F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col(part), F.lit("")).alias("part"), failures(text).alias("mask"),
-            F.unhex(F.sha2(text, 256)).alias("key"),
+        masked(
+            docs.select(
+                F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col(part), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("key"), "text"
+            )
         )
         .groupBy("id", "part", "mask", "key").agg(F.count("*").alias("n")),
         "facts",
@@ -125,10 +143,14 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     any of its labels says so. Without documents there are no rows. Other columns do not matter.
     """
     table = outcomes(docs, labels, part)
-    hit = lambda s, c: F.sum(F.when(F.col("mask").bitwiseAND(F.lit(s)) != 0, F.col(c)).otherwise(F.lit(0)))
-    removals = table.groupBy("part").agg(
-        F.sum("n").alias("total"), *[F.array(*[hit(s, c) for s in range(COALITIONS)]).alias(c) for c in ("n", "good", "toxic")]
+    measures = ("n", "good", "toxic")
+    hit = F.col("mask").bitwiseAND(F.col("coalition")) != 0
+    coalitions = (
+        table.withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(COALITIONS - 1))))
+        .groupBy("part", "coalition").agg(F.sum("n").alias("total"), *[F.sum(F.when(hit, F.col(c)).otherwise(F.lit(0))).alias(c) for c in measures])
     )
+    removals = coalitions.groupBy("part").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("coalition", *measures))).alias("by"))
+    removals = removals.select("part", "total", *[F.col(f"by.{c}").alias(c) for c in measures])
     orders, n = list(permutations(range(len(FILTERS)))), len(FILTERS)
     weights = [[w * len(orders) for w in row] for row in shapley_weights(n)]
     assert all(w.denominator == 1 for row in weights for w in row)
