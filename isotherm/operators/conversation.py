@@ -52,14 +52,15 @@ def routed_texts(
 
 
 def route_turns(routed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """``conv_id, turn, place, followup, last_source, route``; ``last_source`` is the state a turn starts from.
+    """``conv_id, turn, place, followup, last_source, route, led``; ``last_source`` is the state a turn starts from.
 
     ``routed`` needs ``conv_id, turn, place, fixed, follow, keyword``. A follow-up takes over the
     source of the turn before it, which may itself be taken over. That chain ends
     at the last turn that is no follow-up, so one carry finds it. Follow-ups with no
     such turn before them take the state the conversation came with (``seeds``: ``conv_id, seed``), or
     hang on the first of them that keywords can place: a second carry. ``last_source`` of a mixed answer reads
-    ``hybrid`` for the whole chain of follow-ups; their route is climate.
+    ``hybrid`` for the whole chain of follow-ups; their route is climate. ``led`` marks follow-ups before any such
+    turn: all that depends on the state the conversation came with.
     """
     follow = F.col("fixed").isNull() & F.col("follow")
     known = routed.select("conv_id", "turn", "place", "fixed", follow.alias("follow"), "keyword")
@@ -81,6 +82,21 @@ def route_turns(routed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         F.col("follow").alias("followup"),
         state.alias("last_source"),
         F.when(F.col("follow"), taken).otherwise(own).alias("route"),
+        (F.col("follow") & F.col("_anchor").isNull()).alias("led"),
+    )
+
+
+def conversation_parts(routes: DataFrame) -> DataFrame:
+    """One row per conversation of ``route_turns`` without seeds: what these turns make of any state they may start from.
+
+    ``anchored``: some turn settles its source by itself; ``led``: follow-ups come before; ``source, place``: what is
+    left if the conversation starts here; ``tail``: the place that turns after the leading follow-ups leave.
+    """
+    latest = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("turn")))
+    source, place = source_of(F.col("route")), place_left(F.col("route"), F.col("place"))
+    return routes.groupBy("conv_id").agg(
+        F.bool_or(~F.col("followup") & source.isNotNull()).alias("anchored"), F.bool_or("led").alias("led"),
+        latest(source).alias("source"), latest(place).alias("place"), latest(F.when(~F.col("led"), place)).alias("tail"),
     )
 
 

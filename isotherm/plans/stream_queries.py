@@ -78,10 +78,10 @@ STATE_SQL = """, t AS (SELECT conv_id, turn, place, fixed, fixed IS NULL AND fol
 
 @query("st04_stream_conversations", ROUTES + STATE_SQL)
 def _(w):
-    parts = event_stream(w).select("event_id", "user_id", *[F.expr(e).alias(c) for c, e in QUESTION_PARTS.items()])
+    parts = event_stream(w).select("event_id", "user_id", "ts", *[F.expr(e).alias(c) for c, e in QUESTION_PARTS.items()])
     turns = parts.select(
-        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.expr(QUESTION).alias("text")
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.expr(QUESTION).alias("text"), "ts"
     )
     out = w.work_path("answers")
-    route_conversations(turns, w.names, as_of(), out, w.work_path("answers-log")).awaitTermination()
+    route_conversations(turns, w.names, as_of(), out, w.work_path("answers-log"), ts="ts").awaitTermination()
     return w.spark.read.parquet(out).select("conv_id", "turn", "followup", "route", "last_source", "last_place")

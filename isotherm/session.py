@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _MARKED: set[str] = set()
+_SCOPE = threading.local()
 
 
 def build_session(app: str = "isotherm", master: str | None = None, **conf) -> SparkSession:
@@ -72,13 +76,32 @@ def new_work_path(spark: SparkSession, name: str) -> str:
         system, target = _file_system(spark, root)
         system.deleteOnExit(target)
         _MARKED.add(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Work paths that this thread takes inside go when the block ends: for jobs that run again and again, such as micro-batches."""
+    outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _SCOPE.paths:
+            delete_path(spark, path)
+        _SCOPE.paths = outer
 
 
 def clear_work(spark: SparkSession) -> None:
     """Delete what this application has staged; tables that were read from it can no longer be used."""
-    system, target = _file_system(spark, _work_root(spark))
-    system.delete(target, True)
+    delete_path(spark, _work_root(spark))
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from isotherm.functions.questions import with_routes
 from isotherm.operators import linking
 from isotherm.operators.conversation import carried_answers, history_text, recent_turns, route_turns, routed_texts
-from isotherm.streaming.conversation import route_conversations
-from isotherm.session import new_work_path
+from isotherm.session import _file_system, _work_root, new_work_path
+from isotherm.streaming import conversation
+from isotherm.streaming.conversation import PARTS, route_conversations
 
 TALKS = {
     1: ["why is that?", "explain it", "weather in Oslo today", "why?", "hello there", "tell me more"],
@@ -77,12 +78,68 @@ def test_stream(spark, turns, names, expected):
     for low in (0, 2, 4):  # later turns arrive in later files
         turns.where(F.col("turn").between(low, low + 1)).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    route_conversations(stream, names, as_of(), out, new_work_path(spark, "log")).awaitTermination()
+    log = new_work_path(spark, "log")
+    route_conversations(stream, names, as_of(), out, log).awaitTermination()
     got = spark.read.parquet(out).collect()
     assert {(r["conv_id"], r["turn"]): (r["route"], r["last_source"], r["last_place"]) for r in got} == expected
     assert {r["batch"] for r in got} == {0, 1, 2}
-    state = spark.read.parquet(f"{out}-state").where("batch = 2")
-    assert state.count() == state.select("conv_id").distinct().count() == len(TALKS)
+    state = spark.read.format("statestore").option("path", f"{log}/state").option("stateVarName", "left").load()
+    assert state.count() == state.select("key.conv_id").distinct().count() == len(TALKS)
+
+
+@pytest.fixture
+def keywords_only(monkeypatch):
+    """Texts are routed without looking for names, so that a micro-batch takes little time."""
+    def routed(texts, key, text, names, as_of, measure):
+        return with_routes(texts.withColumn("names_place", F.lit(False)), text, as_of).drop(text)
+
+    monkeypatch.setattr(conversation, "routed_texts", routed)
+
+
+def stream_of(spark):
+    """Runs the files that ``add`` puts into a folder, each call of ``run`` from where the last one stopped."""
+    schema = "conv_id long, turn long, text string, ts timestamp"
+    folder, out, log = (new_work_path(spark, n) for n in ("turns", "routes", "log"))
+
+    def run(rows, names):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        route_conversations(stream, names, as_of(), out, log, ts="ts").awaitTermination()
+        return {(r["conv_id"], r["turn"]): (r["route"], r["last_source"], r["last_place"]) for r in spark.read.parquet(out).collect()}
+
+    return run, out, log
+
+
+def day(n):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+
+
+def test_stream_state(spark, names, keywords_only):
+    """State goes when the stream's clock is 30 days past a conversation, whatever the clock on the wall says.
+
+    A batch of parts that is written again, as after a failure between writing and committing, is carried once. Turns
+    and parts of answered rounds go, and what a micro-batch stages goes with it.
+    """
+    run, out, log = stream_of(spark)
+    system, root = _file_system(spark, _work_root(spark))
+    run([(1, 0, "weather in Oslo today", day(0)), (2, 0, "weather in Oslo today", day(0))], names)
+    before = {s.getPath().getName() for s in system.listStatus(root)}
+    got = run([(1, 1, "why?", day(20)), (3, 0, "climate trends", day(29))], names)
+    assert got[1, 1] == ("weather", "weather", "Oslo")
+    parts = f"{out}-work/parts/batch=1"
+    again = spark.read.schema(PARTS).parquet(parts).collect()
+    spark.createDataFrame(again, PARTS).coalesce(1).write.mode("append").parquet(parts)
+    got = run([(2, 1, "why?", day(31)), (1, 2, "why?", day(31))], names)
+    assert got[1, 2] == ("weather", "weather", "Oslo")
+    assert got[2, 1][1:] == (None, None)
+    run([(4, 0, "climate trends", day(80))], names)  # takes the watermark 30 days past all others
+    state = spark.read.format("statestore").option("path", f"{log}/state").option("stateVarName", "left").load()
+    assert [r[0] for r in state.select("key.conv_id").collect()] == [4]
+    assert spark.read.parquet(out).count() == 7
+    assert {s.getPath().getName() for s in system.listStatus(root)} == before
+    for kind in ("turns", "parts"):
+        _, folder = _file_system(spark, f"{out}-work/{kind}")
+        assert [s.getPath().getName() for s in system.listStatus(folder)] == ["batch=3"]
 
 
 def test_history(spark):
