@@ -66,37 +66,41 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
 
 
 def carry_forward(
+    df: DataFrame, key: str, order: str, value: Column, name: str, keep: str = "last", block: int = 65_536, levels: int = 1
+) -> DataFrame:
+    """``keep`` ("last" / "first") non-null ``value`` of the earlier rows of the same ``key``; see ``carry_all``."""
+    return carry_all(df, key, order, {name: (value, keep)}, block, levels)
+
+
+def carry_all(
     df: DataFrame,
     key: str,
     order: str,
-    value: Column,
-    name: str,
-    keep: str = "last",
+    values: dict[str, tuple[Column, str]],
     block: int = 65_536,
     levels: int = 1,
 ) -> DataFrame:
-    """``keep`` ("last" / "first") non-null ``value`` of the earlier rows of the same ``key``.
+    """For each name of ``values`` (value, "last" or "first"): that non-null value of the earlier rows of the same ``key``.
 
     A key may hold a large share of all rows, so its rows are cut into blocks of the
-    integer ``order``. A window runs inside each block; what the blocks hand on is
+    integer ``order``. One window runs inside each block; what the blocks hand on is
     carried in the same way over one row per block, ``levels`` times, so that the one
     window over a whole key sees a row per ``block ** levels`` steps of ``order``.
     ``(key, order)`` must be unique; for a wide ``order`` such as microseconds take
     two levels.
     """
-    over, by = (F.last, F.max_by) if keep == "last" else (F.first, F.min_by)
+    over = {"last": F.last, "first": F.first}
     earlier = lambda *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     if levels == 0:
-        return df.withColumn(name, over(value, ignorenulls=True).over(earlier(key)))
-    v, b, near, far = (f"_{c}{levels}" for c in ("value", "block", "near", "far"))
-    cut = df.withColumn(v, value).withColumn(b, F.floor(F.col(order) / block))
-    inside = cut.withColumn(near, over(v, ignorenulls=True).over(earlier(key, b)))
-    end = by(v, F.when(F.col(v).isNotNull(), F.col(order)))
-    ends = cut.groupBy(key, b).agg(end.alias("_end"))
-    handed = carry_forward(ends, key, b, F.col("_end"), far, keep, block, levels - 1)
-    pick = (near, far) if keep == "last" else (far, near)
-    return (
-        inside.join(handed.select(key, b, far), [key, b], "left")
-        .withColumn(name, F.coalesce(*pick))
-        .drop(v, b, near, far)
+        return df.withColumns({n: over[keep](value, ignorenulls=True).over(earlier(key)) for n, (value, keep) in values.items()})
+    b, at = f"_block{levels}", {n: [f"_{c}{levels}_{i}" for c in ("value", "near", "end", "far")] for i, n in enumerate(values)}
+    cut = df.withColumns({at[n][0]: value for n, (value, _) in values.items()}).withColumn(b, F.floor(F.col(order) / block))
+    inside = cut.withColumns({at[n][1]: over[keep](at[n][0], ignorenulls=True).over(earlier(key, b)) for n, (_, keep) in values.items()})
+    by = {"last": F.max_by, "first": F.min_by}
+    ends = cut.groupBy(key, b).agg(
+        *[by[keep](at[n][0], F.when(F.col(at[n][0]).isNotNull(), F.col(order))).alias(at[n][2]) for n, (_, keep) in values.items()]
     )
+    handed = carry_all(ends, key, b, {at[n][3]: (F.col(at[n][2]), keep) for n, (_, keep) in values.items()}, block, levels - 1)
+    joined = inside.join(handed.select(key, b, *[at[n][3] for n in values]), [key, b], "left")
+    pick = {n: F.coalesce(*([at[n][1], at[n][3]] if keep == "last" else [at[n][3], at[n][1]])) for n, (_, keep) in values.items()}
+    return joined.withColumns(pick).drop(b, *[c for n in values for c in at[n] if c != at[n][2]])

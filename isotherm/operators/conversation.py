@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.functions.distributed import carry_forward
+from isotherm.functions.distributed import carry_all
 from isotherm.functions.questions import early_route, followup_route, keyword_route, source_of, with_routes
 from isotherm.operators.linking import linked_names
 from isotherm.session import materialize
@@ -56,9 +56,9 @@ def route_turns(routed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
     ``routed`` needs ``conv_id, turn, place, fixed, follow, keyword``. A follow-up takes over the
     source of the turn before it, which may itself be taken over. That chain ends
-    at the last turn that is no follow-up, so one carry finds it. Follow-ups with no
+    at the last turn that is no follow-up, so a carry finds it. Follow-ups with no
     such turn before them take the state the conversation came with (``seeds``: ``conv_id, seed``), or
-    hang on the first of them that keywords can place: a second carry. ``last_source`` of a mixed answer reads
+    hang on the first of them that keywords can place. ``last_source`` of a mixed answer reads
     ``hybrid`` for the whole chain of follow-ups; their route is climate. ``led`` marks follow-ups before any such
     turn: all that depends on the state the conversation came with.
     """
@@ -68,10 +68,11 @@ def route_turns(routed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     if seeds is not None:
         known, seed = known.join(seeds, "conv_id", "left"), F.col("seed")
     known = materialize(known, "turns")
-    anchor = F.when(~F.col("follow"), source_of(F.coalesce("fixed", "keyword")))
-    carried = carry_forward(known, "conv_id", "turn", anchor, "_anchor")
-    lead = F.when(F.col("follow") & F.col("_anchor").isNull(), source_of(F.col("keyword")))
-    led = carry_forward(carried, "conv_id", "turn", lead, "_lead", keep="first")
+    # Where no anchor comes before, all follow-ups before are led ones, so both values are carried at once.
+    led = carry_all(known, "conv_id", "turn", {
+        "_anchor": (F.when(~F.col("follow"), source_of(F.coalesce("fixed", "keyword"))), "last"),
+        "_lead": (F.when(F.col("follow"), source_of(F.col("keyword"))), "first"),
+    })
     state = F.coalesce(F.col("_anchor"), seed, F.col("_lead"))
     own = F.coalesce("fixed", "keyword")
     taken = F.coalesce(followup_route(state), "keyword")
@@ -115,8 +116,9 @@ def carried_answers(routed: DataFrame, seeds: DataFrame | None = None) -> DataFr
     ``seeds`` (``conv_id, seed, seed_place``) is the state the conversations came with.
     """
     turns = route_turns(routed, None if seeds is None else seeds.select("conv_id", "seed"))
-    source = carry_forward(turns, "conv_id", "turn", source_of(F.col("route")), "_source")
-    both = carry_forward(source, "conv_id", "turn", place_left(F.col("route"), F.col("place")), "_place")
+    both = carry_all(turns, "conv_id", "turn", {
+        "_source": (source_of(F.col("route")), "last"), "_place": (place_left(F.col("route"), F.col("place")), "last"),
+    })
     if seeds is None:
         both = both.withColumns({"seed": F.lit(None).cast("string"), "seed_place": F.lit(None).cast("string")})
     else:
