@@ -5,6 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from isotherm.functions import distributed
 from isotherm.functions.distributed import carry_forward, exact_median, number_rows
 from isotherm.session import clear_work, materialize, new_work_path
 from isotherm.sources.delimited import path_exists
@@ -18,6 +19,38 @@ def test_median(spark):
         assert exact_median(df, "v").first()[0] == statistics.median(values)
 
 
+def test_median_of_odd_values(spark, monkeypatch):
+    """Few bins, so that many passes narrow the bracket; far ends, infinities, NaN above all, decimals and whole numbers."""
+    monkeypatch.setattr(distributed, "BINS", 4)
+    monkeypatch.setattr(distributed, "SKETCH", 4)
+    inf, nan = float("inf"), float("nan")
+    cases = [
+        [0.0, 1e-9, 1.0, 1.0 + 1e-9], [-1.7e308, 1.7e308, 1.6e308], [-inf, -inf, 3.0, inf, inf], [-inf, inf, 1.0, 2.0], [1.0, 2.0, nan, nan],
+        [1.0, nan, nan], [5e-324, 0.0, -5e-324], [float(x * x) for x in range(1001)], [2.0] * 7, [1.0, 1.0, 1.0, 9.0, 9.0, 9.0],
+    ]
+    for values in cases:
+        ordered = sorted(values, key=lambda v: (v != v, v))
+        low, high = ordered[(len(values) - 1) // 2], ordered[len(values) // 2]
+        want = low if low == high else (low + high) / 2
+        got = exact_median(spark.createDataFrame([(v,) for v in values], "v double").repartition(3), "v").first()[0]
+        assert got == want or (got != got and want != want)
+    assert exact_median(spark.createDataFrame([("1.25",), ("3.75",)], "v string").select(F.col("v").cast("decimal(9,2)")), "v").first()[0] == 2.5
+    assert exact_median(spark.createDataFrame([], "v double"), "v").first()[0] is None
+
+
+def test_median_of_many_values(spark, monkeypatch):
+    """A million distinct values: what is gathered is one row per bin, in two passes, and nothing is sorted but bins."""
+    seen = []
+    count = distributed._histogram
+    monkeypatch.setattr(distributed, "_histogram", lambda *a: seen.append(len(found := count(*a))) or found)
+    rows = spark.range(1_000_000).select(((F.col("id") * 7919) % 1_000_003 / 8).alias("v"))
+    found = exact_median(rows, "v")
+    values = sorted(i * 7919 % 1_000_003 / 8 for i in range(1_000_000))
+    assert found.first()[0] == (values[499_999] + values[500_000]) / 2
+    assert len(seen) <= 2 and max(seen) <= distributed.BINS + 3
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
 def test_row_numbers(spark):
     random.seed(6)
     rows = [(i, random.choice([1, 1, 1, random.randint(0, 50)])) for i in range(3000)]
