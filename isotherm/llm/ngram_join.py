@@ -268,7 +268,7 @@ def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_00
     def meet(batches):
         held = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            given = batch.column("b").to_numpy() >= 0
+            given = batch.column("n").to_numpy() == 0  # links that are ready; a key has the size of its set
             at = np.flatnonzero(given)
             if len(at):
                 yield links(batch.column("a").to_numpy()[at], batch.column("b").to_numpy()[at], True)

@@ -57,7 +57,9 @@ class Encoder:
         held = sys.modules.setdefault("_remembered_units", types.ModuleType("_remembered_units"))
         self.known: dict[str, bytes] = held.__dict__.setdefault(path, {})
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.special = {t.content: _packed([i]) for i, t in self.slow.get_added_tokens_decoder().items()}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         self.fast = _ranks(ranks, pattern) if ranks else None
 
     def learn(self, units: set[str]) -> None:
@@ -85,6 +87,12 @@ class Encoder:
         return found
 
     def encode(self, text: str, piece: int = 1 << 20) -> bytes:
+        """Ids of a text; the tokenizer's added tokens keep their own id and part the text."""
+        if self.cut is None:
+            return self._encode(text, piece)
+        return b"".join(self.special[t] if i % 2 else self._encode(t, piece) for i, t in enumerate(self.cut.split(text)))
+
+    def _encode(self, text: str, piece: int) -> bytes:
         units, parts = units_of(text), []
         for start in range(0, len(units), piece):
             some = units[start : start + piece]

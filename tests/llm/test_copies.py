@@ -59,6 +59,15 @@ def test_join(spark, k, percent):
     assert joined(docs, k, percent) == want
 
 
+@pytest.mark.parametrize("ids", [range(1, 201), range(-200, 0), [-(1 << 63), *range(-99, 100)]])
+def test_many_sharers_with_any_ids(spark, ids):
+    """More near copies in one task than are taken pair by pair, whatever the sign of their ids."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:n] + [f"x{n}"] + words[n + 1 :])) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in ngram_join.keep_one(df, k=5, percent=80).collect()] == [min(ids)]
+
+
 def chains(rng, n=400):
     """A large group in which neighbours link but far ones do not, in several strands, and short texts."""
     out, words = {}, [f"w{i}" for i in range(5000)]

@@ -157,10 +157,17 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     return [e.ids + [1] for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens(spark):
+    """Texts that hold the tokenizer's added token get its id there, as the plain tokenizer says."""
+    texts = ["a <|endoftext|>b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n<|endoftext|>", "<|endoftext", "é <|endoftext|>漢 z", "  <|endoftext|>  "]
+    rows = list(enumerate(texts))
+    assert any(50256 in ids for ids in ids_of(texts))
+    check_packing(pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def check_packing(rows, texts):
     """``texts``: (doc_id, text) of every packed row."""
     want = Counter()
