@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,29 @@ from isotherm.llm.tables import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # of the predicted language
+BATCH = 2 << 20  # bytes of texts that travel to or from a Python worker at once
+
+
+def small_batches(stage):
+    """Texts are long: without a bound in bytes a task holds ten thousand of them on both sides."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
 
 
+@small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not ``und`` and with a score of LEAST_SCORE. Learned from the rows with a lang."""
     keep = language.keep_known(docs, LEAST_SCORE)
     return keep.select(*COLUMNS)
 
 
+@small_batches
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents rid of their site's boilerplate lines; n_chars is that of the new text.
 
@@ -28,16 +45,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@small_batches
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more)."""
     return ngram_join.keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
+@small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontamination.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
     return pack_documents(docs)
