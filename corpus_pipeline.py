@@ -13,7 +13,7 @@ from isotherm.llm.tables import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # of the predicted language
-BATCH = 2 << 20  # bytes of texts that travel to or from a Python worker at once
+BATCH = 2 << 20  # bytes of texts that travel to a Python worker at once
 
 
 def small_batches(stage):
@@ -22,7 +22,6 @@ def small_batches(stage):
     @wraps(stage)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(BATCH))
         return stage(spark, docs, sf_dir)
 
     return bounded
