@@ -40,8 +40,8 @@ def upload_headers(lines: DataFrame) -> DataFrame:
     return placed.withColumn("missing", missing)
 
 
-def panel_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """The panel columns as text, with ``dataset_id``, of every file that has them all, whatever their order.
+def panel_rows(lines: DataFrame, headers: DataFrame, by: str = "dataset_id") -> DataFrame:
+    """The panel columns as text, with ``by`` (``dataset_id`` or ``file``), of every file that has them all, whatever their order.
 
     Cells are parsed by Spark's own parser under as many positions as the widest header has; a file's own
     positions then say which cell is which column. Files with a missing column give no rows: ``upload_report``
@@ -52,7 +52,7 @@ def panel_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
     cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
     parsed = lines.join(places, "file").where((F.trim("value") != "") & (F.col("value") != F.col("header"))).withColumn("_row", cells)
     listed = parsed.withColumn("_row", F.array(*[F.col(f"_row.c{i}") for i in range(width)]))
-    return listed.select(*[F.get("_row", F.col(f"_{std}")).alias(std) for std in PANEL_COLUMNS], "dataset_id")
+    return listed.select(*[F.get("_row", F.col(f"_{std}")).alias(std) for std in PANEL_COLUMNS], by)
 
 
 def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,14 +62,17 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upload_report(spark: SparkSession, folder: str) -> DataFrame:
-    """``dataset_id, columns_detected, missing, n_rows`` of each upload; a file without a required column has no rows."""
+    """``dataset_id, file, columns_detected, missing, n_rows`` of each upload; a file without a required column has no rows.
+
+    Files are told apart by their path, so two of one name in two folders have a row each.
+    """
     lines = upload_lines(spark.read.text(folder))
     headers = upload_headers(lines)
-    counts = panel_rows(lines, headers).groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
+    counts = panel_rows(lines, headers, "file").groupBy("file").agg(F.count("*").alias("n_rows"))
     detected = F.concat_ws(", ", *[
         F.when(F.col(f"_{std}").isNotNull(), F.concat(F.lit(f"{std}="), F.get("_cells", F.col(f"_{std}")))) for std in PANEL_COLUMNS
     ])
-    return headers.join(counts, "dataset_id", "left").select(
-        "dataset_id", detected.alias("columns_detected"), F.array_join("missing", ", ").alias("missing"),
+    return headers.join(counts, "file", "left").select(
+        "dataset_id", "file", detected.alias("columns_detected"), F.array_join("missing", ", ").alias("missing"),
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
     )

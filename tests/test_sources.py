@@ -108,3 +108,13 @@ def test_stream_rollup_matches_batch(spark):
     got = run_available(daily_summaries(stream), "days").collect()
     want = daily_summaries(df).where("location <> 'z'").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+
+
+def test_uploads_of_one_name(spark, tmp_path):
+    """Two files of one name in two folders: the refused one has no rows."""
+    for folder, text in (("a", "Country,Region,Year,AvgTemperature\nPeru,South America,2001,20.5\n"), ("b", "Country,Year,AvgTemperature\nPeru,2001,20.5\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(text)
+    rows = uploads.upload_report(spark, f"{tmp_path}/*/*.csv").collect()
+    found = {r["file"].split("/")[-2]: (r["dataset_id"], r["missing"], r["n_rows"]) for r in rows}
+    assert found == {"a": ("x.csv", "", 1), "b": ("x.csv", "Region", 0)}
