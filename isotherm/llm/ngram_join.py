@@ -18,6 +18,10 @@ POPULAR = 21
 SPARE = 2  # parts beyond those that differences can spoil
 PARTS_FROM = 90  # percent from which a part holds enough shingles to tell sets apart
 RUN = 64  # documents that share a key and are still taken pair by pair
+FREQUENT = 32  # documents that count a shingle among their first ones and still take it for rare
+FREQUENT_BITS = 26
+ROUNDS = 3
+SHARED = 4  # first shingles that two linked sets have in common
 CHUNK = 400  # documents that one task compares with each other
 CHUNK_SHINGLES = 4_000_000
 
@@ -71,20 +75,65 @@ def popularity(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, popular: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: its first shingles in one order for all sets, groups of little popularity first.
+def prefix(s: np.ndarray, popular: np.ndarray, percent: int, frequent: np.ndarray | None = None, shared: int = SHARED) -> np.ndarray:
+    """Keys of a set: its first shingles in one order for all sets, groups of little popularity first, ``frequent`` ones last.
 
-    Sets that link overlap in percent / 100 of either one at least, so of the first n - ceil(n percent / 100) + 1 shingles of
-    both they share one, whatever the order is.
+    Sets that link overlap in percent / 100 of either one at least, so of the first n - ceil(n percent / 100) + ``shared``
+    shingles of both they have that many in common, whatever the order is; sets that overlap in fewer have all of those.
     """
     n = len(s)
     if not n:
         return np.empty(0, np.int64)
-    keys = popular[(s >> np.uint64(64 - POPULAR)).astype(np.int64)].astype(np.uint64) << np.uint64(60) | s >> np.uint64(4)
-    first = n - -(-n * percent // 100) + 1
+    level = popular[(s >> np.uint64(64 - POPULAR)).astype(np.int64)].astype(np.uint64)
+    rest = s >> np.uint64(4)
+    if frequent is not None:
+        place = (rest & np.uint64((1 << FREQUENT_BITS) - 1)).astype(np.int64)
+        level[(frequent[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1] = 15
+    keys = level << np.uint64(60) | rest
+    first = n - least_overlap(n, percent) + shared
     return (np.partition(keys, first - 1)[:first] if first < n else keys).view(np.int64)
 
 
+def frequent_shingles(docs: DataFrame, k: int, percent: int, popular) -> np.ndarray:
+    """A bitmap of 2 ** FREQUENT_BITS hashed places (8 MB whatever the tables' size) of shingles that more than ``FREQUENT`` sets have among their first.
+
+    Counted over all documents. With those moved to the end others become first ones, which the next round
+    counts; only what is new in a set is counted again. The bitmap orders shingles, so no link depends on it.
+    """
+    held = [None, np.zeros(1 << FREQUENT_BITS - 3, np.uint8)]
+    for turn in range(ROUNDS):
+        sent = docs.sparkSession.sparkContext.broadcast(held[-2:])
+
+        def count(batches, turn=turn, sent=sent):
+            hasher, (before, now) = WordHasher(), sent.value
+            for batch in row_blocks(batches, "text"):
+                firsts = [np.empty(0, np.int64)]
+                for s in shingle_sets(bytes_of(batch, "text"), k, hasher):
+                    own = prefix(s, popular.value, percent, now)
+                    firsts.append(np.setdiff1d(own, prefix(s, popular.value, percent, before), True) if turn else own)
+                # The level of a shingle may change between rounds, its place does not.
+                key, n = np.unique(np.concatenate(firsts), return_counts=True)
+                yield pa.record_batch([pa.array(key & ((1 << 60) - 1)), pa.array(n)], names=["key", "n"])
+
+        counts = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        place = F.col("key").bitwiseAND((1 << FREQUENT_BITS) - 1)
+        marks = counts.where(F.col("n") > FREQUENT).select(F.shiftright(place, 15).alias("part"), place.bitwiseAND((1 << 15) - 1).alias("at"))
+        found = marks.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+        sent.unpersist()
+        more = held[-1].copy()
+        for part, bits in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
+            more[part << 12 : part + 1 << 12] |= np.frombuffer(bits, np.uint8)
+        if not found.num_rows:
+            break
+        held.append(more)
+    return held[-1]
+
+
+def least_overlap(n, percent: int):
+    """Shingles that a set of ``n`` and one it links with have in common at least."""
+    return -(-n * percent // 100)
+
+
 class Bands:
     """Size classes and partitions from which two linked sets always share one.
 
@@ -222,14 +271,16 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_000) -> DataFrame:
-    """``a, b, sure``: pairs of documents that share a key and whose sizes allow a link.
+    """``a, b, sure``: pairs of documents whose sizes allow a link and that share ``SHARED`` keys, or all that they must.
 
-    Where more than ``RUN`` documents share a key, they are chained instead of paired: chains (``sure``) connect all of
+    A pair that shares a single shingle by chance is told by 40 bytes, before its count vectors are fetched. Where more than ``RUN`` documents share a key, they are chained instead of paired: chains (``sure``) connect all of
     them, and grow with their number only. A task hands on one row of a key that more than ``RUN`` of its own documents have,
     so a key that very many share does not grow with them either.
     """
     schema = "key long, a long, n long, b long"
-    popular = docs.sparkSession.sparkContext.broadcast(popularity(docs, k))  # 2 MB
+    send = docs.sparkSession.sparkContext.broadcast
+    popular = send(popularity(docs, k))  # 2 MB
+    frequent = send(frequent_shingles(docs, k, percent, popular))  # 8 MB
 
     def rows(key, a, n, b):
         return pa.record_batch([pa.array(c) for c in (key, a, n, b)], names=["key", "a", "n", "b"])
@@ -254,7 +305,7 @@ def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_00
         hasher, known, keys, ids, sizes, held = WordHasher(), popular.value, [], [], [], 0
         for batch in row_blocks(batches, "text"):
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(bytes_of(batch, "text"), k, hasher)):
-                own = prefix(s, known, percent)
+                own = prefix(s, known, percent, frequent.value)
                 keys.append(own)
                 ids.append(np.full(len(own), doc, np.int64))
                 sizes.append(np.full(len(own), len(s), np.int64))
@@ -271,7 +322,7 @@ def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_00
             given = batch.column("n").to_numpy() == 0  # links that are ready; a key has the size of its set
             at = np.flatnonzero(given)
             if len(at):
-                yield links(batch.column("a").to_numpy()[at], batch.column("b").to_numpy()[at], True)
+                yield ready(batch.column("a").to_numpy()[at], batch.column("b").to_numpy()[at])
             held = [np.concatenate([h, batch.column(c).to_numpy()[~given]]) for h, c in zip(held, ("key", "a", "n", "b"))]
             if not len(held[0]):
                 continue
@@ -291,7 +342,7 @@ def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_00
         many = (np.bincount(run) > RUN)[run] | (np.bincount(run, mark == -2) > 0)[run]
         chained = np.flatnonzero(many[1:] & ~first[1:])
         if len(chained):
-            yield links(own[chained], own[chained + 1], True)
+            yield ready(own[chained], own[chained + 1])
         key, own, n = key[~many], own[~many], n[~many]
         out = []
         for step in range(1, RUN):
@@ -301,16 +352,22 @@ def candidate_links(docs: DataFrame, k: int, percent: int, at_once: int = 500_00
             a, b = own[same], own[same + step]
             small, large = np.minimum(n[same], n[same + step]), np.maximum(n[same], n[same + step])
             near = (100 * small >= percent * large) & (a != b)
-            out.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], 1))
+            need = np.minimum(least_overlap(large, percent), SHARED)
+            out.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near], need[near]], 1))
         if out:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield links(pairs[:, 0], pairs[:, 1], False)
+            pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
+            yield links(*pairs.T, times)
+
+    def links(a, b, need, times):
+        return pa.record_batch([pa.array(np.ascontiguousarray(c, np.int64)) for c in (a, b, need, times)], names=["a", "b", "need", "times"])
 
-    def links(a, b, sure):
-        return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
+    def ready(a, b):
+        return links(a, b, np.zeros(len(a)), np.ones(len(a)))
 
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, schema)
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "a long, b long, sure boolean").distinct()
+    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "a long, b long, need long, times long")
+    pairs = met.groupBy("a", "b").agg(F.min("need").alias("least"), F.max("need").alias("need"), F.sum("times").alias("times"))
+    return pairs.where("least = 0 OR times >= need").select("a", "b", (F.col("least") == 0).alias("sure"))
 
 
 def bounded_links(candidates: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -411,8 +468,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
     1. Equal sets are one class, by fingerprint; its smallest doc_id stands for it.
     2. From ``PARTS_FROM`` percent on, linked sets share the key of a part (``Bands``), which few others do. Below, parts hold too few
-       shingles; there linked sets share one of their first shingles (``prefix``), and of the pairs that do, those stay whose count
-       vectors' summed minima allow a link. Neither loses a link.
+       shingles; there linked sets share some of their first shingles (``prefix``), and of the pairs of classes that do, those stay whose
+       count vectors' summed minima allow a link. Neither loses a link.
     3. In each group that these connect, chunks of at most about ``CHUNK`` documents, each with the group's first
        one, are compared in an R-tree over count vectors, and what its bounds let pass is verified exactly.
     4. Groups of several chunks: what does not hang together with the group's first document is compared with
@@ -426,7 +483,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         groups = components(staged(chained_links(docs, k, percent), "candidates"))
     else:
         points = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("_point").alias("point"))
-        candidates = staged(candidate_links(docs, k, percent), "candidates")
+        one_each = marked(docs.select("doc_id", "text"), "doc_id", classes.select("_first"), "_one").where("_one")  # and few others
+        candidates = staged(candidate_links(one_each, k, percent), "candidates")
         # Staged, so that no task holds two Python workers at once.
         groups = components(staged(bounded_links(candidates, points.dropDuplicates(["id"]), percent), "bounded"))
     members = staged(

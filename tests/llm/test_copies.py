@@ -117,9 +117,10 @@ def test_bands_share_a_key():
                     assert np.intersect1d(bands.keys(a), bands.keys(b)).size, (percent, n)
 
 
-def test_linked_sets_share_a_first_shingle():
-    """Whatever the sizes, and whatever is taken for popular."""
+def test_linked_sets_share_first_shingles():
+    """Whatever the sizes, and whatever is taken for popular or frequent."""
     rng = np.random.default_rng(2)
+    frequent = rng.integers(0, 256, 1 << ngram_join.FREQUENT_BITS - 3).astype(np.uint8)
     popular = rng.integers(0, 16, 1 << ngram_join.POPULAR).astype(np.uint8)
     for percent in (70, 80, 90):
         for n in [*range(1, 60), 100, 333, 1000]:
@@ -129,8 +130,17 @@ def test_linked_sets_share_a_first_shingle():
                 b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, rng.integers(0, 3), np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both):
-                    keys = [ngram_join.prefix(x, popular, percent) for x in (a, b)]
-                    assert np.intersect1d(*keys).size, (percent, n)
+                    for marks in (None, frequent):
+                        keys = [ngram_join.prefix(x, popular, percent, marks) for x in (a, b)]
+                        assert np.intersect1d(*keys).size >= min(ngram_join.SHARED, both), (percent, n)
+
+
+def test_texts_around_a_passage_do_not_hang_together(spark):
+    """A passage that more documents share than are paired is no key of theirs."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, " ".join(f"d{d}w{i}" for i in range(200)) + f" {passage} " + " ".join(f"d{d}v{i}" for i in range(40))) for d in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert ngram_join.candidate_links(df, 5, 80).count() == 0
 
 
 def test_tree_loses_no_link():
