@@ -95,12 +95,12 @@ def temperature(scores: np.ndarray, label: np.ndarray) -> float:
 def train(docs: DataFrame, per_language: int = 800, epochs: int = 3):
     """``languages, idf, weights`` from ``docs`` (doc_id, text, lang), or None without a language.
 
-    Fitted on the ``per_language`` rows of each language whose ids hash lowest (the bound of the sample); every
-    fifth of them only sets the temperature. IDF is taken over all of ``docs``.
+    Fitted on the ``per_language`` documents of each language whose ids hash lowest (the bound of the sample; of rows
+    that repeat a doc_id the smallest text counts); every fifth of them only sets the temperature. IDF is taken over all of ``docs``.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     idf = inverse_frequencies(known)
-    some = smallest_by_hash(known.select("doc_id", "lang"), "doc_id", per_language, per="lang").distinct()
+    some = smallest_by_hash(known.select("doc_id", "lang"), "doc_id", per_language, per="lang")
 
     def features(batches):
         for batch in row_blocks(batches, "text", most_rows=ROWS):
@@ -111,7 +111,8 @@ def train(docs: DataFrame, per_language: int = 800, epochs: int = 3):
                 names=["doc_id", "lang", "at", "value"],
             )
 
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"]).mapInArrow(features, "doc_id long, lang string, at array<int>, value array<float>").toArrow()
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sample.mapInArrow(features, "doc_id long, lang string, at array<int>, value array<float>").toArrow()
     order = np.lexsort((rows.column("lang").to_numpy(), (rows.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64))) if rows.num_rows else []
     at = [np.asarray(x.values) for x in rows.column("at")]
     value = [np.asarray(x.values).astype(np.float64) for x in rows.column("value")]

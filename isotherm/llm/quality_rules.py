@@ -158,14 +158,16 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 5000):
     """Fit on the ``most_labels`` labelled documents whose ids hash lowest (the bound of the sample).
 
-    Labels that are null or that contradict each other are left out. None without both classes.
+    Labels that are null or that contradict each other are left out. Of rows that repeat a doc_id the smallest text
+    counts. None without both classes.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
         .agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y").select("doc_id", "y")
     )
     some = smallest_by_hash(known, "doc_id", most_labels)
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = feature_rows(sample).toArrow()
     y = np.array(rows.column("y").to_pylist(), np.float64)
     if len(set(y)) < 2:
         return None

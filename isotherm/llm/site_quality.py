@@ -24,14 +24,15 @@ def held(batch: pa.RecordBatch, hasher: WordHasher):
 def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
     """``y, text, part`` of the sample: the ``most_labels`` labelled documents whose ids hash lowest.
 
-    Null and contradicting labels are left out. Every fifth document (part 4) only calibrates.
+    Null and contradicting labels are left out. Of rows that repeat a doc_id the smallest text counts. Every fifth document (part 4) only calibrates.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
         .agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y").select("doc_id", "y")
     )
     some = smallest_by_hash(known, "doc_id", most_labels)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return staged(sample.select("y", "text", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part")), "sample")
 
 
 def evidence_weights(sample: DataFrame) -> np.ndarray | None:

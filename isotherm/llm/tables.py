@@ -41,16 +41,16 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def smallest_by_hash(df: DataFrame, key: str, most: int, per: str | None = None) -> DataFrame:
-    """At most ``most`` rows (of each ``per``): those whose ``key`` hashes lowest. Bounded, and the same in every run.
+    """At most ``most`` rows (different ones of each ``per``): those whose ``key`` hashes lowest. Bounded, and the same in every run.
 
-    Of a large group only the rows below a hash that about 1.5 x ``most`` rows fall under are shuffled and ranked.
+    Of a large group only the rows below a hash that about 1.5 x ``most`` keys fall under are shuffled and ranked.
     """
     order = [F.xxhash64(F.col(key)), F.col(key)]
     if per is None:
         return df.orderBy(*order).limit(most)
-    sizes = staged(df.groupBy(per).agg(F.count("*").alias("_n")), "sizes")
+    sizes = staged(df.groupBy(per).agg(F.approx_count_distinct(key).alias("_n")), "sizes")
     place = (F.xxhash64(F.col(key)) / F.lit(2.0**63) + 1) / 2
-    few = df.join(sizes, per).where(place * F.col("_n") <= 1.5 * most + 50)
+    few = df.join(sizes, per).where(place * F.col("_n") <= 1.5 * most + 50).distinct()
     rank = F.row_number().over(W.partitionBy(per).orderBy(*order))
     return few.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_n")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isotherm.llm import html_text, language, site_quality
+from isotherm.llm import html_text, language, quality_rules, site_quality
 from isotherm.llm.queries import held_out
 
 from .conftest import EDGE
@@ -191,3 +191,22 @@ def test_site_quality_edges(edge, empty, labels, no_labels):
     rows = site_quality.classify(edge, no_labels).collect()
     assert len(rows) == len(EDGE) and all(r["kept"] and r["p_good"] is None for r in rows)
     assert site_quality.classify(empty, no_labels).count() == 0
+
+
+def test_repeated_rows_do_not_enlarge_the_samples(spark, monkeypatch):
+    """A document that is repeated very often is one of the sample, and leaves the others their places."""
+    rows = [(i, f"word{i} and some more words {'#' * (i % 2)}", "en") for i in range(40)]
+    rows += [rows[7]] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = quality_rules.Logistic.fit
+    monkeypatch.setattr(quality_rules.Logistic, "fit", lambda self, at, share, y: seen.append(len(y)) or fit(self, at, share, y))
+    quality_rules.train(docs, marks)
+    assert seen == [40]
+    assert site_quality.labelled(docs, marks, 5000).count() == 40
+    learned = []
+    learn = language.Ftrl.learn
+    monkeypatch.setattr(language.Ftrl, "learn", lambda self, at, value, label: learned.append(label) or learn(self, at, value, label))
+    language.train(docs, per_language=100, epochs=1)
+    assert len(learned) == 32
