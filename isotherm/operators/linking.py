@@ -116,24 +116,8 @@ def _segment_bounds(length: Column, pieces: Column, i: Column) -> tuple[Column,
     return start, F.floor((i + 1) * length / pieces) - start
 
 
-def similar_pairs(
-    phrases: DataFrame, names: DataFrame, threshold: float, measure: str = "ratio"
-) -> DataFrame:
-    """``phrase, n_words, kind, name, similarity`` of the pairs that reach ``threshold``.
-
-    A phrase is cut into one segment more than edits are allowed, so a similar
-    name holds one of them unchanged, shifted by at most that many places. Both
-    sides emit (length, segment number, segment text) and are equi-joined, which
-    loses no pair. ``phrases`` must be distinct (``phrase, n_words``).
-    """
-    length = F.length("phrase")
-    edits, _, _ = _edits(measure, threshold, length)
-    cut = phrases.select("phrase", "n_words", length.alias("len"), (edits + 1).alias("pieces")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("i")
-    )
-    start, size = _segment_bounds(F.col("len"), F.col("pieces"), F.col("i"))
-    left = cut.select("phrase", "n_words", "len", "i", F.substring("phrase", start + 1, size).alias("seg"))
-
+def _name_segments(names: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """``kind, name, name_phrase, n_words, len, i, seg``: what a phrase of ``len`` that is similar to the name holds as segment ``i``."""
     own = F.length("name_phrase")
     # Every phrase length a name of this length can be similar to.
     wide = F.ceil(own / threshold + own * (1 - threshold) * 2 / threshold) + 1
@@ -150,10 +134,72 @@ def similar_pairs(
     low = F.greatest(start - F.col("edits"), F.lit(0))
     high = F.least(start + F.col("edits"), own - size)
     placed = spots.select("*", size.alias("size"), F.when(high >= low, F.sequence(low, high)).alias("at"))
-    right = placed.select("kind", "name", "name_phrase", "n_words", "len", "i", "size", F.explode("at").alias("at")).select(
+    return placed.select("kind", "name", "name_phrase", "n_words", "len", "i", "size", F.explode("at").alias("at")).select(
         "kind", "name", "name_phrase", "n_words", "len", "i",
         F.substring("name_phrase", F.col("at") + 1, F.col("size")).alias("seg"),
-    ).distinct()
+    )
+
+
+SLOTS = 1 << 20  # bytes of the segment map
+MOST_PIECES = 8  # phrases of more segments are not probed
+
+
+def _slot(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(SLOTS)).cast("int")
+
+
+def _segment_slot(n_words: Column, length: Column, i: Column, seg: Column) -> Column:
+    return _slot(*[c.cast("bigint") for c in (n_words, length, i)], seg)
+
+
+def _may_match(names: DataFrame, fuzzy: DataFrame | None, threshold: float, measure: str) -> Column:
+    """Can the column ``phrase`` be one of ``names``, or similar to one of ``fuzzy``? No phrase that is gets false.
+
+    A map of SLOTS bytes, whatever the names are, marks the hashes of the names and of their segments. It is
+    probed in the stage that cuts the texts, so that what cannot match is never shuffled or written. Names by the
+    ten thousand fill the map; then it only lets more through.
+    """
+    marks = names.select(_slot(F.col("phrase")).alias("slot"))
+    if fuzzy is not None:
+        columns = [F.col(c) for c in ("n_words", "len", "i", "seg")]
+        marks = marks.unionByName(_name_segments(fuzzy, threshold, measure).select(_segment_slot(*columns).alias("slot")))
+    filled = bytearray(SLOTS)
+    for slot in marks.agg(F.collect_set("slot")).first()[0]:  # at most SLOTS numbers
+        filled[slot] = 1
+    held = names.sparkSession.createDataFrame([(filled,)], "slots binary").scalar()
+    marked = lambda slot: F.substring(held, slot + 1, F.lit(1)) == F.lit(bytes([1]))
+    may = marked(_slot(F.col("phrase")))
+    if fuzzy is None:
+        return may
+    phrase, length = F.col("phrase"), F.length("phrase")
+    n_words = length - F.length(F.replace(phrase, F.lit(" "))) + 1
+    edits, _, _ = _edits(measure, threshold, length)
+    pieces = edits + 1
+    for i in range(MOST_PIECES):
+        start, size = _segment_bounds(length, pieces, F.lit(i))
+        seg = F.substring(phrase, (start + 1).cast("int"), size.cast("int"))
+        may = may | ((pieces > i) & marked(_segment_slot(n_words, length, F.lit(i), seg)))
+    return may | (pieces > MOST_PIECES)
+
+
+def similar_pairs(
+    phrases: DataFrame, names: DataFrame, threshold: float, measure: str = "ratio"
+) -> DataFrame:
+    """``phrase, n_words, kind, name, similarity`` of the pairs that reach ``threshold``.
+
+    A phrase is cut into one segment more than edits are allowed, so a similar
+    name holds one of them unchanged, shifted by at most that many places. Both
+    sides emit (length, segment number, segment text) and are equi-joined, which
+    loses no pair. ``phrases`` must be distinct (``phrase, n_words``).
+    """
+    length = F.length("phrase")
+    edits, _, _ = _edits(measure, threshold, length)
+    cut = phrases.select("phrase", "n_words", length.alias("len"), (edits + 1).alias("pieces")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("i")
+    )
+    start, size = _segment_bounds(F.col("len"), F.col("pieces"), F.col("i"))
+    left = cut.select("phrase", "n_words", "len", "i", F.substring("phrase", start + 1, size).alias("seg"))
+    right = _name_segments(names, threshold, measure).distinct()
 
     pairs = left.join(right, ["n_words", "len", "i", "seg"]).select(
         "phrase", "n_words", "kind", "name", "name_phrase"
@@ -191,7 +237,7 @@ def fuzzy_mentions(
     """``key, kind, name, similarity``: a window of the text is similar to the name.
 
     Windows have as many words as the name; with ``exact_single`` one-word names must match exactly. The
-    phrases that are similar to some name are a written table, which the windows are then joined with.
+    texts are cut once; the windows that may be similar to some name are a written table.
     """
     fuzzy = names.where("n_words > 1") if exact_single else names
     sizes = _sizes(fuzzy)
@@ -202,8 +248,8 @@ def fuzzy_mentions(
                    (("kind", "string"), ("name", "string"), ("similarity", "double"))]
         )
     windows = _phrase_rows(texts, key, text, sizes, aliases)
-    pairs = materialize(_similar_phrases(windows, fuzzy, threshold, measure), "similar")
-    hits = windows.join(pairs, "phrase")
+    few = materialize(windows.where(_may_match(fuzzy, fuzzy, threshold, measure)), "windows")
+    hits = few.join(_similar_phrases(few, fuzzy, threshold, measure), "phrase")
     return hits.groupBy(key, "kind", "name").agg(F.max("similarity").alias("similarity"))
 
 
@@ -219,17 +265,21 @@ def linked_names(
 ) -> DataFrame:
     """``key, kind, name`` by exact phrase, alias or similarity.
 
-    The names' own phrases and the phrases similar to one are put together in one table, so the texts are cut
-    once more and joined once.
+    The texts are cut once. The windows that may be a name or similar to one are a written table; the names' own
+    phrases and the phrases similar to one are put together and joined with it.
     """
     sizes = _sizes(names)
     windows = _phrase_rows(texts, key, text, sizes, aliases)
     fuzzy = names.where("n_words > 1") if exact_single else names
     exact = names.select("phrase", "kind", "name")
-    many = windows.where(F.col("phrase").contains(" ")) if exact_single else windows
-    near = _similar_phrases(many, fuzzy, threshold, measure).drop("similarity")
-    known = materialize(exact.unionByName(near).distinct(), "linked")
-    return windows.join(known, "phrase").select(key, "kind", "name").distinct()
+    several = F.col("phrase").contains(" ")
+    may = _may_match(names, fuzzy, threshold, measure)
+    if exact_single:
+        may = F.when(several, may).otherwise(_may_match(names, None, threshold, measure))
+    few = materialize(windows.where(may), "windows")
+    near = _similar_phrases(few.where(several) if exact_single else few, fuzzy, threshold, measure).drop("similarity")
+    known = exact.unionByName(near).distinct()
+    return few.join(known, "phrase").select(key, "kind", "name").distinct()
 
 
 def names_place(
