@@ -29,26 +29,34 @@ def _ratio(total: str, count: str) -> Column:
     return F.try_divide(F.sum(total).cast("double"), F.sum(count).cast("double"))
 
 
-def rollup(daily: DataFrame, grain: str) -> DataFrame:
-    """Mean of means, highest max, lowest min, totals, mean wind, days and dominant code.
+MEANS = {"tmean": "mean", "tmax": "max", "tmin": "min", "wind": "wind"}
+TOTALS = ["days", *[f"{n}_{kind}" for n in MEANS.values() for kind in ("sum", "n")], "rain", "precipitation"]
+PARTS = [*TOTALS, "highest", "lowest"]
 
-    Counting per code and summing share the first aggregation; the second one
-    only merges its few rows per period, so no join is needed for the code.
-    """
-    period = F.date_format("day", PERIOD_FORMAT[grain])
-    sums = {"tmean": "mean", "tmax": "max", "tmin": "min", "wind": "wind"}
-    first = daily.groupBy("location", period.alias("period"), "code").agg(
-        F.count("*").alias("days"),
-        *[F.sum(exact(F.col(c), 6)).alias(f"{n}_sum") for c, n in sums.items()],
-        *[F.count(c).alias(f"{n}_n") for c, n in sums.items()],
-        F.max("tmax").alias("highest"),
-        F.min("tmin").alias("lowest"),
-        F.sum(exact(F.col("rain"), 6)).alias("rain"),
-        F.sum(exact(F.col("precipitation"), 6)).alias("precipitation"),
-    )
+
+def day_parts() -> list[Column]:
+    """A daily row as the parts a period is put together from."""
+    return [
+        F.lit(1).cast("bigint").alias("days"),
+        *[exact(F.col(c), 6).alias(f"{n}_sum") for c, n in MEANS.items()],
+        *[F.col(c).isNotNull().cast("bigint").alias(f"{n}_n") for c, n in MEANS.items()],
+        F.col("tmax").alias("highest"),
+        F.col("tmin").alias("lowest"),
+        exact(F.col("rain"), 6).alias("rain"),
+        exact(F.col("precipitation"), 6).alias("precipitation"),
+    ]
+
+
+def merged_parts() -> list[Column]:
+    """Parts of days, or of shorter periods, put together."""
+    return [*[F.sum(c).alias(c) for c in TOTALS], F.max("highest").alias("highest"), F.min("lowest").alias("lowest")]
+
+
+def summary() -> list[Column]:
+    """The summary of a period from its parts per code."""
     mean_of = lambda n: round_to(_ratio(f"{n}_sum", f"{n}_n"), 2)
     code = F.max_by("code", F.when(F.col("code").isNotNull(), F.struct("days", -F.col("code"))))
-    merged = first.groupBy("location", "period").agg(
+    return [
         F.coalesce(mean_of("mean"), round_to((mean_of("max") + mean_of("min")) / 2, 2)).alias("temperature_c"),
         round_to(F.max("highest"), 2).alias("max_temperature_c"),
         round_to(F.min("lowest"), 2).alias("min_temperature_c"),
@@ -57,10 +65,24 @@ def rollup(daily: DataFrame, grain: str) -> DataFrame:
         mean_of("wind").alias("wind_speed_kmh"),
         F.sum("days").alias("num_days"),
         F.coalesce(code, F.lit(0)).alias("weather_code"),
-    )
-    return with_condition(merged, "weather_code", default="variable").withColumn(
-        "will_rain", will_rain(F.col("rain_mm"))
-    )
+    ]
+
+
+def described(summaries: DataFrame) -> DataFrame:
+    """With the text of the code and whether it rains."""
+    return with_condition(summaries, "weather_code", default="variable").withColumn("will_rain", will_rain(F.col("rain_mm")))
+
+
+def rollup(daily: DataFrame, grain: str) -> DataFrame:
+    """Mean of means, highest max, lowest min, totals, mean wind, days and dominant code.
+
+    Counting per code and summing share the first aggregation; the second one
+    only merges its few rows per period, so no join is needed for the code.
+    """
+    period = F.date_format("day", PERIOD_FORMAT[grain])
+    parts = daily.select("location", period.alias("period"), "code", *day_parts())
+    first = parts.groupBy("location", "period", "code").agg(*merged_parts())
+    return described(first.groupBy("location", "period").agg(*summary()))
 
 
 def dominant_code(daily: DataFrame, grain: str) -> DataFrame:

@@ -37,11 +37,11 @@ def _(w):
     return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-def _rollup_sql(grain_format):
+def rollup_sql(grain_format, daily="daily"):
     mean = lambda c: f"round_even(sum(CAST({c} AS DECIMAL(28,6)))::DOUBLE / count({c}) * 100, 0) / 100"
     total = lambda c: r(f"sum(CAST({c} AS DECIMAL(28,6)))::DOUBLE", 2)
     m = lambda c: r(f"(sum(CAST({c} AS DECIMAL(28,6)))::DOUBLE / count({c}))", 2)
-    return f""", p AS (SELECT *, strftime(day, '{grain_format}') AS period FROM daily),
+    return f""", p AS (SELECT *, strftime(day, '{grain_format}') AS period FROM {daily}),
     top AS (SELECT location, period, code AS weather_code FROM (
       SELECT location, period, code, row_number() OVER (PARTITION BY location, period ORDER BY count(*) DESC, code) AS rn
       FROM p WHERE code IS NOT NULL GROUP BY location, period, code) WHERE rn = 1),
@@ -55,7 +55,7 @@ def _rollup_sql(grain_format):
 
 for _grain, _format in (("day", "%Y-%m-%d"), ("month", "%Y-%m"), ("year", "%Y")):
 
-    @query(f"ag17_rollup_{_grain}", _rollup_sql(_format))
+    @query(f"ag17_rollup_{_grain}", rollup_sql(_format))
     def _(w, grain=_grain):
         return rollup.rollup(w.daily, grain)
 

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from isotherm.plans.catalog import query
 from isotherm.plans.ingest_queries import clean_sql, kind_of_file, mixed_uploads
 from isotherm.plans.oracle import r
+from isotherm.plans.rollup_queries import rollup_sql
 from isotherm.plans.text_queries import ROUTES, as_of
 from isotherm.plans.workload import EVENT_CODE, QUESTION, QUESTION_PARTS
 from isotherm.sources import uploads
 from isotherm.operators.compare import against_history
 from isotherm.streaming.conversation import route_conversations
 from isotherm.streaming.ingest import ingest_uploads
-from isotherm.streaming.rollup import daily_summaries
+from isotherm.streaming.rollup import daily_summaries, period_summaries
 from isotherm.streaming.run import run_available
 
 
@@ -38,17 +39,46 @@ def _(w):
 
 
 MEAN = "(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) / count(value))"
+TOTAL = "sum(CAST(CASE WHEN event_type IN ({}) THEN value END AS DECIMAL(28,6)))::DOUBLE"
+RAIN, PRECIPITATION, WIND = TOTAL.format("'view'"), TOTAL.format("'view', 'error'"), "max(CASE WHEN event_type = 'click' THEN value END)"
+
+
+def weather_readings(w, ts):
+    """Events as readings: the value is a temperature, and rain, precipitation or wind by the type."""
+    of = lambda *types: F.when(F.col("event_type").isin(*types), F.col("value"))
+    return event_stream(w).select(
+        F.expr(ts).alias("ts"), F.concat(F.lit("L"), F.col("user_id")).alias("location"), "value",
+        of("view").alias("rain"), of("view", "error").alias("precipitation"), of("click").alias("wind"), F.expr(EVENT_CODE).alias("code"),
+    )
 
 
 @query(
     "st02_stream_rollup",
-    f"""SELECT 'L' || user_id AS location, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, {r(MEAN, 2)} AS temperature_c,
-      max(value) AS max_temperature_c, min(value) AS min_temperature_c, count(value) AS n FROM events
-      WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY user_id, CAST(ts AS DATE)""",
+    f""", d AS (SELECT 'L' || user_id AS location, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, {r(MEAN, 2)} AS temperature_c,
+      max(value) AS max_temperature_c, min(value) AS min_temperature_c, count(value) AS n, {r(RAIN, 2)} AS rain_mm,
+      {r(PRECIPITATION, 2)} AS precipitation_mm, {r(WIND, 2)} AS wind_speed_kmh, 1 AS num_days, coalesce(max({EVENT_CODE}), 0) AS weather_code FROM events
+      WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY user_id, CAST(ts AS DATE))
+    SELECT d.*, coalesce(code_text, 'variable') AS condition, coalesce(rain_mm > 0, false) AS will_rain FROM d LEFT JOIN codes ON code = weather_code""",
 )
 def _(w):
-    readings = event_stream(w).select("ts", F.concat(F.lit("L"), F.col("user_id")).alias("location"), "value")
-    return run_available(daily_summaries(readings), "rollup")
+    return run_available(daily_summaries(weather_readings(w, "ts")), "rollup")
+
+
+# The events span a month; with an hour for a day they span two years.
+STRETCHED = "TIMESTAMP '2024-01-01 00:00:00' + 24 * (ts - TIMESTAMP '2024-01-01 00:00:00')"
+
+for _grain, _format in (("month", "%Y-%m"), ("year", "%Y")):
+
+    @query(
+        f"st02_stream_{_grain}s",
+        f""", e AS (SELECT * REPLACE ({STRETCHED} AS ts) FROM events),
+        d AS (SELECT 'L' || user_id AS location, CAST(ts AS DATE) AS day, {r(MEAN, 2)} AS tmean, max(value) AS tmax, min(value) AS tmin,
+          {RAIN} AS rain, {PRECIPITATION} AS precipitation, {WIND} AS wind, max({EVENT_CODE}) AS code FROM e
+          WHERE date_trunc('{_grain}', ts) + INTERVAL 1 {_grain} <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR GROUP BY user_id, CAST(ts AS DATE))"""
+        + rollup_sql(_format, "d"),
+    )
+    def _(w, grain=_grain):
+        return run_available(period_summaries(weather_readings(w, STRETCHED), grain), "rollup")
 
 
 @query(
