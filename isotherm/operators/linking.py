@@ -140,46 +140,52 @@ def _name_segments(names: DataFrame, threshold: float, measure: str) -> DataFram
     )
 
 
-SLOTS = 1 << 20  # bytes of the segment map
-MOST_PIECES = 8  # phrases of more segments are not probed
+SLOTS = 1 << 20  # bytes of the map
 
 
 def _slot(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(SLOTS)).cast("int")
 
 
+def _length_slot(n_words: Column, length: Column) -> Column:
+    return _slot(n_words.cast("bigint"), length.cast("bigint"))
+
+
 def _segment_slot(n_words: Column, length: Column, i: Column, seg: Column) -> Column:
     return _slot(*[c.cast("bigint") for c in (n_words, length, i)], seg)
 
 
-def _may_match(names: DataFrame, fuzzy: DataFrame | None, threshold: float, measure: str) -> Column:
-    """Can the column ``phrase`` be one of ``names``, or similar to one of ``fuzzy``? No phrase that is gets false.
+def _possible(windows: DataFrame, key: str, names: DataFrame | None, fuzzy: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """``key, phrase`` of the windows that may be one of ``names`` or similar to one of ``fuzzy``, some more than once: a written table.
 
-    A map of SLOTS bytes, whatever the names are, marks the hashes of the names and of their segments. It is
-    probed in the stage that cuts the texts, so that what cannot match is never shuffled or written. Names by the
-    ten thousand fill the map; then it only lets more through.
+    A map of SLOTS bytes, whatever the names are, marks the hashes of the names, of the lengths similar to them and of
+    their segments. It is probed in the stage that cuts the texts, so what cannot match is never shuffled or written.
+    No match is lost; names by the ten thousand fill the map, which then only lets more through.
     """
-    marks = names.select(_slot(F.col("phrase")).alias("slot"))
-    if fuzzy is not None:
-        columns = [F.col(c) for c in ("n_words", "len", "i", "seg")]
-        marks = marks.unionByName(_name_segments(fuzzy, threshold, measure).select(_segment_slot(*columns).alias("slot")))
+    segments = _name_segments(fuzzy, threshold, measure).select("n_words", "len", "i", "seg").distinct()
+    of = [F.col(c) for c in ("n_words", "len", "i", "seg")]
+    slots = F.array(_length_slot(*of[:2]), _segment_slot(*of))
+    marks = segments.select(F.explode(slots).alias("slot"))
+    if names is not None:
+        marks = marks.unionByName(names.select(_slot(F.col("phrase")).alias("slot")))
     filled = bytearray(SLOTS)
     for slot in marks.agg(F.collect_set("slot")).first()[0]:  # at most SLOTS numbers
         filled[slot] = 1
-    held = names.sparkSession.createDataFrame([(filled,)], "slots binary").scalar()
+    held = windows.sparkSession.createDataFrame([(filled,)], "slots binary").scalar()
     marked = lambda slot: F.substring(held, slot + 1, F.lit(1)) == F.lit(bytes([1]))
-    may = marked(_slot(F.col("phrase")))
-    if fuzzy is None:
-        return may
-    phrase, length = F.col("phrase"), F.length("phrase")
-    n_words = length - F.length(F.replace(phrase, F.lit(" "))) + 1
+
+    length = F.length("phrase")
     edits, _, _ = _edits(measure, threshold, length)
-    pieces = edits + 1
-    for i in range(MOST_PIECES):
-        start, size = _segment_bounds(length, pieces, F.lit(i))
-        seg = F.substring(phrase, (start + 1).cast("int"), size.cast("int"))
-        may = may | ((pieces > i) & marked(_segment_slot(n_words, length, F.lit(i), seg)))
-    return may | (pieces > MOST_PIECES)
+    n_words = length - F.length(F.replace(F.col("phrase"), F.lit(" "))) + 1
+    sized = windows.select(key, "phrase", n_words.alias("n_words"), length.alias("len"), (edits + 1).alias("pieces"))
+    # Segment -1 is the whole phrase.
+    whole = F.when(marked(_slot(F.col("phrase"))), F.array(F.lit(-1).cast("bigint"))) if names is not None else F.lit(None)
+    parts = F.when(marked(_length_slot(F.col("n_words"), F.col("len"))), F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))
+    cut = sized.select("*", F.explode_outer(F.coalesce(whole, parts)).alias("i")).where("i IS NOT NULL")
+    start, size = _segment_bounds(F.col("len"), F.col("pieces"), F.col("i"))
+    seg = F.substring(F.col("phrase"), (start + 1).cast("int"), size.cast("int"))
+    near = marked(_segment_slot(F.col("n_words"), F.col("len"), F.col("i"), seg))
+    return materialize(cut.where((F.col("i") < 0) | near).select(key, "phrase"), "windows")
 
 
 def similar_pairs(
@@ -248,7 +254,7 @@ def fuzzy_mentions(
                    (("kind", "string"), ("name", "string"), ("similarity", "double"))]
         )
     windows = _phrase_rows(texts, key, text, sizes, aliases)
-    few = materialize(windows.where(_may_match(fuzzy, fuzzy, threshold, measure)), "windows")
+    few = _possible(windows, key, None, fuzzy, threshold, measure)
     hits = few.join(_similar_phrases(few, fuzzy, threshold, measure), "phrase")
     return hits.groupBy(key, "kind", "name").agg(F.max("similarity").alias("similarity"))
 
@@ -273,10 +279,7 @@ def linked_names(
     fuzzy = names.where("n_words > 1") if exact_single else names
     exact = names.select("phrase", "kind", "name")
     several = F.col("phrase").contains(" ")
-    may = _may_match(names, fuzzy, threshold, measure)
-    if exact_single:
-        may = F.when(several, may).otherwise(_may_match(names, None, threshold, measure))
-    few = materialize(windows.where(may), "windows")
+    few = _possible(windows, key, names, fuzzy, threshold, measure)
     near = _similar_phrases(few.where(several) if exact_single else few, fuzzy, threshold, measure).drop("similarity")
     known = exact.unionByName(near).distinct()
     return few.join(known, "phrase").select(key, "kind", "name").distinct()
