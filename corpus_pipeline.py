@@ -13,15 +13,22 @@ from isotherm.llm.tables import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # of the predicted language
-BATCH = 2 << 20  # bytes of texts that travel to a Python worker at once
+# Texts are long, so what a task holds of them is bounded in bytes or in few rows: what travels to a Python worker at
+# once, what is buffered before a row group is written (and read again), what is decoded at once.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20,
+    "parquet.block.size": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+}
 
 
 def small_batches(stage):
-    """Texts are long: without a bound in bytes a task holds ten thousand of them on both sides."""
+    """Texts are long: without BOUNDS a task holds ten thousand of them on both sides."""
 
     @wraps(stage)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        for name, bound in BOUNDS.items():
+            spark.conf.set(name, str(bound))
         return stage(spark, docs, sf_dir)
 
     return bounded
