@@ -12,14 +12,26 @@ from pyspark.sql import functions as F
 
 from isotherm.session import materialize
 
+ROWS = 100_000  # rows of a task at most whose work is heavy per row
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that comes in fewer splits than there are cores over all cores.
+    """Spread a table over all cores, and over as many tasks that none has more than ROWS rows.
+
+    For work that is heavy per row: a split of 128 MB may hold millions of short rows. A table that has
+    as many splits stays as it is, without a shuffle. Counting reads no column.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as it is, its columns computed once: no condition on what is computed from them moves below.
 
-    For work that is heavy per row. A large table has more splits than that and
-    stays as it is, without a shuffle.
+    The optimizer takes the conditions of later joins down to the scan, with all expressions they read. There they run
+    in as few tasks as the scan has, and again above. It moves nothing past a condition that is not deterministic.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.where(F.spark_partition_id() >= 0)
 
 
 def _sorted_rows(df: DataFrame, *order: Column) -> DataFrame:

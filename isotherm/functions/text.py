@@ -108,11 +108,15 @@ def with_date(df: DataFrame, text: str, as_of: Column, name: str = "date") -> Da
     Layouts in order: month day year, day month year, year-month-day,
     day-month-year, month year, year month, year. Every layout scans the text
     once; its parts are read from the short match. Texts without four digits in a
-    row are not scanned at all.
+    row are not scanned at all, those without a month or a sign only for the layouts without.
     """
     q = F.lower(F.col(text))
-    dated = df.withColumn("_q", F.when(q.rlike("[0-9]{4}"), q))
-    found = {f"_l{i}": F.regexp_extract("_q", p, 0) for i, (p, *_) in enumerate(DATE_LAYOUTS)}
+    dated = df.withColumn("_q", F.when(q.rlike("[0-9]{4}"), q)).withColumns({
+        "_worded": F.when(F.col("_q").rlike(MONTH_NAMES), F.col("_q")),
+        "_signed": F.when(F.col("_q").contains("/") | F.col("_q").contains("-"), F.col("_q")),
+    })
+    # No match is an empty text; as null, nothing more is looked for in it.
+    found = {f"_l{i}": F.nullif(F.regexp_extract("_worded" if MONTH_NAMES in p else "_signed", p, 0), F.lit("")) for i, (p, *_) in enumerate(DATE_LAYOUTS)}
     found["_in"] = F.regexp_extract("_q", r"(?U)(?:in|during|for|of|year)\s+((?:19|20)[0-9]{2})\b", 1)
     found["_bare"] = F.regexp_extract("_q", YEAR, 1)
     dates = []
@@ -132,26 +136,30 @@ def with_date(df: DataFrame, text: str, as_of: Column, name: str = "date") -> Da
 
 
 def with_place(df: DataFrame, text: str, name: str = "place") -> DataFrame:
-    """Add the place named after in / at / for / a weather word, with dates taken out first."""
-    t = F.regexp_replace(F.col(text), rf"(?iU)\b({MONTH_NAMES})\b", "")
+    """Add the place named after in / at / for / a weather word, with dates taken out first.
+
+    What is taken out are whole words, so a text without any of the words before a place has none afterwards either.
+    """
+    weather = "weather|temperature|temp|forecast|condition|conditions"
+    led = F.when(F.col(text).rlike(rf"(?iU)\b(?:in|at|for|{weather})\s"), F.col(text))
+    t = F.regexp_replace(led, rf"(?iU)\b({MONTH_NAMES})\b", "")
     t = F.regexp_replace(t, r"(?U)\b(19|20)[0-9]{2}\b", "")
     t = F.regexp_replace(t, r"(?U)\b[0-9]{1,2}(st|nd|rd|th)?\b", "")
     t = squeeze(F.regexp_replace(t, r"(?iU)\bon\b", ""))
     # A place phrase and the words before it.
     phrase = rf"([A-Za-z][A-Za-z\s]{{1,40}}?)(?:\s+(?:{PLACE_END})|\?|$)"
-    weather = "weather|temperature|temp|forecast|condition|conditions"
     patterns = [
         rf"(?iU)\bin\s+{phrase}",
         rf"(?iU)\bat\s+{phrase}",
         rf"(?iU)\bfor\s+{phrase}",
         rf"(?iU)\b(?:{weather})\s+(?:in\s+|for\s+|at\s+|of\s+)?{phrase}",
     ]
-    names = [f"_p{i}" for i in range(len(patterns))]
-    found = df.withColumn("_clean", t).withColumns(
-        {n: squeeze(F.regexp_extract("_clean", p, 1)) for n, p in zip(names, patterns)}
-    )
-    kept = [F.when((F.length(n) >= 2) & ~F.lower(n).isin(NOT_A_PLACE), F.col(n)) for n in names]
-    return found.select(*df.columns, F.coalesce(*kept).alias(name))
+    found = df.withColumn("_clean", t).withColumn(name, F.lit(None).cast("string"))
+    for p in patterns:  # each only where those before it found nothing
+        found = found.withColumn("_p", F.when(F.col(name).isNull(), squeeze(F.regexp_extract("_clean", p, 1))))
+        kept = F.when((F.length("_p") >= 2) & ~F.lower("_p").isin(NOT_A_PLACE), F.col("_p"))
+        found = found.withColumn(name, F.coalesce(name, kept))
+    return found.select(*df.columns, name)
 
 
 def parse_texts(df: DataFrame, text: str, as_of: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.functions.distributed import spread
+from isotherm.functions.distributed import settled, spread
 from isotherm.functions.numbers import mean, rint_to
 from isotherm.operators.cleaning import apply_region_corrections
 from isotherm.operators.linking import dictionary
@@ -209,19 +209,17 @@ class Workload:
         """``qid, conv_id, turn, text``: one question per event."""
         events = spread(self.events.select("event_id", "user_id"))
         parts = events.select("event_id", "user_id", *[F.expr(e).alias(c) for c, e in QUESTION_PARTS.items()])
-        return parts.select(
+        return settled(parts.select(
             F.col("event_id").alias("qid"),
             F.col("user_id").alias("conv_id"),
             F.col("event_id").alias("turn"),
             F.expr(QUESTION).alias("text"),
-        )
+        ))
 
     @cached_property
     def texts(self) -> DataFrame:
         """``qid, text``: the questions and every whole conversation turn."""
-        turns = spread(self.table("conversations")).select(
-            F.expr(TURN_ID).alias("qid"), "text"
-        )
+        turns = settled(spread(self.table("conversations")).select(F.expr(TURN_ID).alias("qid"), "text"))
         return self.questions.select("qid", "text").unionByName(turns)
 
     @cached_property

@@ -6,7 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from isotherm.functions import distributed
-from isotherm.functions.distributed import carry_forward, exact_median, number_rows
+from isotherm.functions.distributed import carry_forward, exact_median, number_rows, settled, spread
 from isotherm.session import clear_work, materialize, new_work_path
 from isotherm.sources.delimited import path_exists
 
@@ -83,3 +83,21 @@ def test_staged_tables(spark):
     spark.range(3).write.parquet(folder)
     clear_work(spark)
     assert not path_exists(spark, folder)
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(distributed, "ROWS", 50)
+    dealt = spread(spark.range(0, 2001, 1, 1))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2001 and len(sizes) == 41
+    assert spread(dealt).rdd.getNumPartitions() == 41
+
+
+def test_conditions_stay_above_what_is_settled(spark):
+    """A join's condition on a computed column is not taken below the exchange, where there are few tasks."""
+    rows = settled(spread(spark.range(0, 100, 1, 1)).select("id", F.concat(F.lit("x"), "id").alias("text")))
+    names = spark.createDataFrame([("X7", 1)], "up string, n int")
+    joined = rows.select("id", F.nullif(F.upper("text"), F.lit("")).alias("up")).join(names, "up")
+    assert [tuple(r) for r in joined.select("id", "n").collect()] == [(7, 1)]
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "upper(" in plan and "upper(" not in plan[plan.index("Repartition"):]
