@@ -157,7 +157,7 @@ def question_type(text: Column, whole_words: bool = False) -> Column:
 
 def top_n(text: Column, default: int = 10, cap: int = 200) -> Column:
     """The number of rows a question asks for, by the first of four patterns that hits."""
-    q = F.lower(text)
+    q = F.when(text.rlike("[0-9]"), F.lower(text))  # all patterns hold a digit
     # The ways a number of rows is asked for.
     entity = "countries|regions|hottest|coolest|warmest|fastest|coldest|slowest"
     patterns = [

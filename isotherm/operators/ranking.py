@@ -144,7 +144,7 @@ def answer_rankings(
         .otherwise(F.col("neutral") & ~F.col("regions_only"))
     )
     asked = questions.select(
-        key, ranking_request(F.col(text)).alias("_r"), top_n(F.col(text), cap=most).alias("_n")
+        key, ranking_request(F.col(text)).alias("_r"), F.coalesce(top_n(F.col(text), cap=most), F.lit(0)).alias("_n")
     ).select(key, "_r.*", "_n")
     return (
         asked.join(F.broadcast(lists), ["by_change", "ascending"])
