@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotherm.operators.cleaning import PANEL_COLUMNS
+from isotherm.session import materialize
 
 LINE = "value string, dataset_id string, file string, start long"
 
@@ -27,7 +28,8 @@ def _header_cells(line: Column) -> Column:
 def upload_headers(lines: DataFrame) -> DataFrame:
     """One row per file: its header line, where each panel column stands in it (from 0), and which are missing.
 
-    The header is the first line of the file's first split; one aggregation finds it for all files.
+    The header is the first line of the file's first split; one aggregation finds it for all files. A written table:
+    it is found once, and the optimizer knows that it is small, so no join with it brings a file's lines into one task.
     """
     first = (
         lines.where("start = 0").select("file", "dataset_id", "value", F.monotonically_increasing_id().alias("_n"))
@@ -37,7 +39,7 @@ def upload_headers(lines: DataFrame) -> DataFrame:
     place = lambda names: F.coalesce(*[F.nullif(F.array_position("_cells", n.lower()), F.lit(0)) for n in names]) - 1
     placed = named.select("*", *[place(names).cast("int").alias(f"_{std}") for std, names in PANEL_COLUMNS.items()])
     missing = F.array_compact(F.array(*[F.when(F.col(f"_{std}").isNull(), F.lit(std)) for std in PANEL_COLUMNS]))
-    return placed.withColumn("missing", missing)
+    return materialize(placed.withColumn("missing", missing), "headers")
 
 
 def panel_rows(lines: DataFrame, headers: DataFrame, by: str = "dataset_id") -> DataFrame:

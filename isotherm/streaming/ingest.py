@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from isotherm.operators.cleaning import clean_panel
 from isotherm.schemas import RAW_PANEL
+from isotherm.session import temporary_tables
 from isotherm.sources.uploads import panel_rows, upload_headers, upload_lines
 
 
@@ -23,12 +24,13 @@ def ingest_uploads(
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
 
     def write(lines: DataFrame, batch: int) -> None:
-        headers = upload_headers(lines)
-        rows = clean_panel(panel_rows(lines, headers).dropna("all", subset=RAW_PANEL.names))
-        report = headers.select("dataset_id", F.array_join("missing", ", ").alias("missing"))
-        for df, path in ((rows, out), (report, f"{out}-headers")):
-            keyed = df.withColumn("batch", F.lit(batch)).write.mode("overwrite")
-            keyed.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        with temporary_tables(lines.sparkSession):
+            headers = upload_headers(lines)
+            rows = clean_panel(panel_rows(lines, headers).dropna("all", subset=RAW_PANEL.names))
+            report = headers.select("dataset_id", F.array_join("missing", ", ").alias("missing"))
+            for df, path in ((rows, out), (report, f"{out}-headers")):
+                keyed = df.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+                keyed.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return (
         upload_lines(files)

@@ -118,3 +118,13 @@ def test_uploads_of_one_name(spark, tmp_path):
     rows = uploads.upload_report(spark, f"{tmp_path}/*/*.csv").collect()
     found = {r["file"].split("/")[-2]: (r["dataset_id"], r["missing"], r["n_rows"]) for r in rows}
     assert found == {"a": ("x.csv", "", 1), "b": ("x.csv", "Region", 0)}
+
+
+def test_lines_of_a_file_are_not_brought_together(spark, tmp_path):
+    """The headers are a small written table, so a large file's lines stay in the tasks that read them."""
+    (tmp_path / "a.csv").write_text("Country,Region,Year,AvgTemperature\nPeru,South America,1999,20.5\n")
+    (tmp_path / "b.csv").write_text("Year,Country,AvgTemp,Region\n2000,Chad,30.5,Africa\n")
+    lines = uploads.upload_lines(spark.read.text(str(tmp_path)))
+    rows = uploads.panel_rows(lines, uploads.upload_headers(lines))
+    assert sorted(tuple(r) for r in rows.collect()) == [("Chad", "Africa", "2000", "30.5", "b.csv"), ("Peru", "South America", "1999", "20.5", "a.csv")]
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
