@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isotherm.functions.distributed import number_rows
 from isotherm.functions.lookups import COUNTRY_OF_CITY, STATION_ALIASES, map_column
 from isotherm.functions.questions import requested_year, search_terms
 from isotherm.functions.text import has_any, normalize, shingles, words
@@ -426,27 +427,28 @@ def keyword_rows(
     )
     used = split.select(key, F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_all")).alias("_used"))
     cities = F.transform("_used", lambda w: map_column(COUNTRY_OF_CITY, w))
-    # Texts with the same words are scored once: a word of one letter is part of nearly every name.
+    # Texts with the same words are scored once: a word of one letter is part of nearly every name. Their words are
+    # told by a hash, so that what is grouped and sorted is short however long the texts are.
     listed = F.array_sort(F.filter(F.concat("_used", cities), lambda w: w.isNotNull()))
-    bags = used.select(key, F.array_join(listed, "|").alias("_bag"))
-    keywords = (
-        bags.select("_bag").distinct()
-        .select("_bag", F.explode(F.split("_bag", r"\|")).alias("part"))
-        .groupBy("_bag", "part")
-        .count()
-    )
+    bags = used.select(key, F.coalesce(F.array_join(listed, "|"), F.lit("")).alias("_bag"))
+    bags = bags.select(key, F.unhex(F.sha2("_bag", 256)).alias("_id"), "_bag")
+    # A word counts as often as the text has it.
+    keywords = bags.select("_id", "_bag").dropDuplicates(["_id"]).select("_id", F.explode(F.split("_bag", r"\|")).alias("part"))
     parts = materialize(substrings(rows.select(column).distinct(), column), "parts")
-    scores = keywords.join(parts, "part").groupBy("_bag", column).agg(F.sum("count").alias("score"))
-    by_score = W.partitionBy("_bag").orderBy(F.desc("score"), *order)
+    scores = keywords.join(parts, "part").groupBy("_id", column).agg(F.count("*").alias("score"))
+    # Rows are named by their place in the table until the best are known.
+    placed = number_rows(rows, *order, name="_at")
+    by_score = W.partitionBy("_id").orderBy(F.desc("score"), "_at")
     best = (
-        scores.join(rows, column)
+        scores.join(placed.select(column, "_at"), column)
         .withColumn("row_no", F.row_number().over(by_score))
         .where(F.col("row_no") <= n)
     )
-    best = bags.join(materialize(best, "scored"), "_bag")
-    rest = _first_rows(texts, best.select(key).distinct(), key, rows, order, fallback).withColumn(
-        "score", F.lit(0).cast("bigint")
-    )
+    scored = materialize(best.select("_id", "score", "row_no", "_at"), "scored")
+    told = materialize(bags.select(key, "_id"), "told")
+    best = told.join(scored, "_id").join(placed, "_at")
+    served = told.join(scored.select("_id"), "_id", "left_semi")
+    rest = _first_rows(texts, served, key, rows, order, fallback).withColumn("score", F.lit(0).cast("bigint"))
     columns = [key, "score", "row_no", *rows.columns]
     return best.select(*columns).unionByName(rest.select(*columns))
 

@@ -134,3 +134,17 @@ def test_comparison_needs_two(spark):
         "United Kingdom vs United States", "United Kingdom vs Peru", "United States vs Peru"
     }
     assert {r["qid"] for r in got} == {0, 2}
+
+
+def test_long_texts_are_scored_by_a_short_key(spark, monkeypatch):
+    """Neither what is ranked nor what is written repeats the words of a text; equal texts share their rows, a text of no name gets the first."""
+    written, write = {}, linking.materialize
+    monkeypatch.setattr(linking, "materialize", lambda df, name="table": written.setdefault(name, write(df, name)))
+    rows = spark.createDataFrame([("Peru", "A"), ("Peru", "B"), ("Chad", "A")], "Country string, Region string")
+    long = "xyz " * 500 + "peru per"
+    texts = spark.createDataFrame([(1, long), (2, long), (3, "qq"), (4, None), (5, "chad " * 3)], "qid int, text string")
+    got = linking.keyword_rows(texts, "qid", "text", rows, "Country", [F.asc("Country"), F.asc("Region")], fallback=1)
+    expected = [(i, 2, n, "Peru", r) for i in (1, 2) for n, r in ((1, "A"), (2, "B"))] + [(3, 0, 1, "Chad", "A"), (4, 0, 1, "Chad", "A"), (5, 3, 1, "Chad", "A")]
+    assert sorted(map(tuple, got.select("qid", "score", "row_no", "Country", "Region").collect())) == expected
+    widest = lambda df: df.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert widest(written["scored"]) < 200 and widest(written["told"]) < 200
