@@ -314,16 +314,18 @@ def substrings(names: DataFrame, name: str, shortest: int = 1) -> DataFrame:
 
 def pick_rows(
     texts: DataFrame, key: str, text: str, rows: DataFrame, names: DataFrame, order: list[Column],
-    max_rows: int = 20, measure: str = "ratio", part: str | None = None,
+    max_rows: int = 20, measure: str = "ratio", part: str | None = None, keys: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of a country table each question is about, at most ``max_rows`` in table order.
 
     First hit wins: countries named (phase 1), regions named (2), a search term
     inside a country or region name (3), else the first rows of the table (4).
     The phase of a question is settled on names alone, before any row is joined.
-    With ``part``, a column of both sides, a question sees only the rows of its part of the table.
+    With ``part``, a column of both sides, a question sees only the rows of its part of the table. ``keys`` is
+    ``texts`` without the text, where that is a written table.
     """
     parts = [part] if part else []
+    keys = texts.select(key, *parts) if keys is None else keys
     places = rows.select(*parts, F.lit("Country").alias("kind"), F.col("Country").alias("name")).unionByName(
         rows.select(*parts, F.lit("Region").alias("kind"), F.col("Region").alias("name"))
     ).distinct()
@@ -336,7 +338,7 @@ def pick_rows(
     inside = terms.join(materialize(inside_names, "parts"), "part_").select(key, "kind", "name", F.lit(3).alias("phase"))
     named = linked.unionByName(inside).distinct()
     if part:
-        named = named.join(texts.select(key, part), key).join(places, [part, "kind", "name"], "left_semi")
+        named = named.join(keys, key).join(places, [part, "kind", "name"], "left_semi")
     found = materialize(named, "found")
     first = found.groupBy(key).agg(F.min("phase").alias("phase"))
     chosen = found.join(first, [key, "phase"], "left_semi")
@@ -345,11 +347,12 @@ def pick_rows(
     in_region = W.partitionBy(*parts, "Region").orderBy(*order)
     leading = rows.withColumn("_n", F.row_number().over(in_region)).where(F.col("_n") <= max_rows).drop("_n")
     of = lambda kind: chosen.where(F.col("kind") == kind).select(key, *parts, "phase", F.col("name").alias(kind))
-    hits = rows.join(of("Country"), [*parts, "Country"]).unionByName(leading.join(of("Region"), [*parts, "Region"])).distinct()
+    hits = rows.join(of("Country"), [*parts, "Country"]).unionByName(leading.join(of("Region"), [*parts, "Region"]))
+    hits = hits.repartition(key).distinct()  # the numbering takes the rows as they are dealt here
     numbered = hits.withColumn("row_no", F.row_number().over(W.partitionBy(key).orderBy(*order)))
     best = numbered.where(F.col("row_no") <= max_rows)
 
-    rest = _first_rows(texts, first, key, rows, order, max_rows, part).withColumn("phase", F.lit(4))
+    rest = _first_rows(keys, first, key, rows, order, max_rows, part).withColumn("phase", F.lit(4))
     columns = [key, "phase", "row_no", *rows.columns]
     return best.select(*columns).unionByName(rest.select(*columns))
 
@@ -378,10 +381,12 @@ def yearly_rows(
         side = parts.where("AvgTemperature IS NOT NULL").withColumn("row_no", place).where(F.col("row_no") <= max_rows)
         side = side.withColumn("_low", F.lit(low))
         ranked = side if ranked is None else ranked.unionByName(side)
-    top = asked.where("_ranked").select(key, "_part", "_low").join(ranked, ["_part", "_low"]).select(key, "row_no", *columns)
-    others = asked.where("NOT coalesce(_ranked, false)").select(key, text, "_part")
+    other = "NOT coalesce(_ranked, false)"
+    told = materialize(asked.drop(text), "asked")
+    top = told.where("_ranked").select(key, "_part", "_low").join(ranked, ["_part", "_low"]).select(key, "row_no", *columns)
+    others, keys = asked.where(other).select(key, text, "_part"), told.where(other).select(key, "_part")
     order = [F.asc("Country"), F.asc("Year"), F.asc("Region")]
-    named = pick_rows(others, key, text, parts, names, order, max_rows, measure, part="_part")
+    named = pick_rows(others, key, text, parts, names, order, max_rows, measure, part="_part", keys=keys)
     return top.unionByName(named.select(key, "row_no", *columns))
 
 

@@ -148,3 +148,14 @@ def test_long_texts_are_scored_by_a_short_key(spark, monkeypatch):
     assert sorted(map(tuple, got.select("qid", "score", "row_no", "Country", "Region").collect())) == expected
     widest = lambda df: df.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0]
     assert widest(written["scored"]) < 200 and widest(written["told"]) < 200
+
+
+def test_questions_are_read_once_for_their_year_and_ranking(spark, monkeypatch):
+    written, write = [], linking.materialize
+    monkeypatch.setattr(linking, "materialize", lambda df, name="table": written.append((name, df.columns)) or write(df, name))
+    yearly = spark.createDataFrame([("Saudi Arabia", "Asia", 1999, 30.0), ("Peru", "South America", 2000, 20.0)], "Country string, Region string, Year int, AvgTemperature double")
+    names = linking.dictionary((yearly, "Country", "Country"), (yearly, "Region", "Region"))
+    texts = spark.createDataFrame([(1, "hottest of 1999"), (2, "about peru"), (3, "saudi arabbia 1999"), (4, None)], "qid int, text string")
+    got = linking.yearly_rows(yearly, texts, "qid", "text", names)
+    assert sorted((r["qid"], r["Country"]) for r in got.collect()) == [(1, "Saudi Arabia"), (2, "Peru"), (3, "Saudi Arabia"), (4, "Peru"), (4, "Saudi Arabia")]
+    assert ("asked", ["qid", "_low", "_ranked", "_part"]) in written
