@@ -20,6 +20,7 @@ _TWO_SPACES = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?= \S)")
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
 _HELD = 250_000  # remembered units of a Python worker
+_WHOLE = 1 << 18  # characters of a text at most that is encoded at once
 
 
 def units_of(text: str) -> list[str]:
@@ -47,8 +48,9 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Ids of a byte-level BPE as little-endian unsigned 32-bit bytes.
 
-    Units are encoded once and remembered, for as long as the worker lives. Units of usual characters take the
-    same ranks through the faster library where they are given, all others the tokenizer itself.
+    Texts of usual characters take the same ranks through the faster library where they are given. Others, and very
+    long ones, are cut into units, which are encoded once and remembered for as long as the worker lives: units of
+    usual characters by the faster library too, all others by the tokenizer itself.
     """
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
@@ -93,6 +95,8 @@ class Encoder:
         return b"".join(self.special[t] if i % 2 else self._encode(t, piece) for i, t in enumerate(self.cut.split(text)))
 
     def _encode(self, text: str, piece: int) -> bytes:
+        if self.fast is not None and len(text) <= _WHOLE and _USUAL.fullmatch(text):
+            return _packed(self.fast.encode_ordinary(text))
         units, parts = units_of(text), []
         for start in range(0, len(units), piece):
             some = units[start : start + piece]

@@ -217,6 +217,22 @@ def test_units_of_a_text_are_encoded_as_the_whole(documents):
         assert encoder.encode(text) == np.array(ids[:-1], "<u4").tobytes(), repr(text)
 
 
+def test_usual_texts_are_encoded_whole(documents):
+    """Nothing of them is remembered, whatever white space and signs they hold; longer ones give the same ids by their units."""
+    rng = np.random.default_rng(4)
+    marks = list(" \t\n\rab,.'é9_<|ÀɏZ") + ["  ", " \n", "\n ", "   ", "n't", "'s ", "word ", " word", "<|endoftext|>"]
+    made = ["".join(rng.choice(marks, 60)) for _ in range(1000)] + ["", " ", "\n\n", " \t "]
+    import public_tokenizers as vocabularies
+
+    encoder = packing.Encoder(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+    encoder.known.clear()
+    found = [encoder.encode(t) for t in made]
+    assert not encoder.known
+    assert found == [np.array(ids[:-1], "<u4").tobytes() for ids in ids_of(made)]
+    long = "".join(made)
+    assert len(long) * 8 > packing._WHOLE and encoder.encode(long * 8) == np.array(ids_of([long * 8])[0][:-1], "<u4").tobytes()
+
+
 def test_pieces_have_reciprocal_sizes():
     sizes = packing.piece_sizes(2048)
     assert sizes[0] == 2048 and sizes[-1] == 1 and all(2048 - s * (2048 // s) < s for s in sizes)
